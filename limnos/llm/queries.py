@@ -5,15 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import decontamination, language_id, lz_fingerprint, token_orc
+from .common import scratch_path, table
 from .sharding import shard_documents
 
+#: The byte-level BPE vocabulary of the public tokenizers; never copied into the repository.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_sharding": op1_sharding}
+def op5_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.edit_probe(table(spark, sf_dir, "documents"))
+
+
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = decontamination.n_hit()
+    return out.select(
+        "doc_id",
+        F.col("leak.n_words").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size("leak.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("leak.items", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def held_out(id_col: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op9_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~held_out()))
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-orc")
+    token_orc.write_token_orc(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return token_orc.document_index(spark, path)
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op5_lz_fingerprints": op5_lz_fingerprints,
+    "op6_winnowing": op6_winnowing,
+    "op9_language_cnn": op9_language_cnn,
+    "op10_token_orc": op10_token_orc,
+}
 
 ORACLES: dict[str, str] = {}
