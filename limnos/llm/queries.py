@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lz_fingerprint, token_orc
+from . import decontamination, language_id, lz_fingerprint, near_dedup, token_orc
 from .common import scratch_path, table
 from .sharding import shard_documents
 
@@ -24,6 +24,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op5_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.edit_probe(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_minhash_bayes": op3_minhash_bayes,
     "op5_lz_fingerprints": op5_lz_fingerprints,
     "op6_winnowing": op6_winnowing,
     "op9_language_cnn": op9_language_cnn,
