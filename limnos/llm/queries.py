@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lz_fingerprint, near_dedup, token_orc
+from . import decontamination, language_id, lz_fingerprint, mixing, near_dedup, token_orc, url_filter
 from .common import scratch_path, table
 from .sharding import shard_documents
 
@@ -24,6 +24,21 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: Host, path and verdict of each rule.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op2_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -45,6 +60,11 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "tokens", "weight", "epoch", "block", "block_order", "doc_order")
+
+
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -64,9 +84,11 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_redirect_equivalence": op2_redirect_equivalence,
     "op3_minhash_bayes": op3_minhash_bayes,
     "op5_lz_fingerprints": op5_lz_fingerprints,
     "op6_winnowing": op6_winnowing,
+    "op7_temperature_mixing": op7_temperature_mixing,
     "op9_language_cnn": op9_language_cnn,
     "op10_token_orc": op10_token_orc,
 }
