@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lz_fingerprint, mixing, near_dedup, token_orc, url_filter
+from . import decontamination, html_text, language_id, lz_fingerprint, mixing, near_dedup, token_orc, url_filter
 from .common import scratch_path, table
 from .sharding import shard_documents
 
@@ -65,6 +65,11 @@ def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "tokens", "weight", "epoch", "block", "block_order", "doc_order")
 
 
+def op8_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -89,6 +94,7 @@ QUERIES = {
     "op5_lz_fingerprints": op5_lz_fingerprints,
     "op6_winnowing": op6_winnowing,
     "op7_temperature_mixing": op7_temperature_mixing,
+    "op8_consensus_html": op8_consensus_html,
     "op9_language_cnn": op9_language_cnn,
     "op10_token_orc": op10_token_orc,
 }
