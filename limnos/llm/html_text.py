@@ -20,12 +20,15 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_hexdigest
 
 from .common import materialize, unused
 from .url_filter import host as host_of
 
 #: Hosts whose winners are broadcast at most.
 BROADCAST_HOSTS = 200_000
+#: Characters of a path beyond which its upper part is written as a hash, so that deep nesting stays linear.
+LONG_PATH = 500
 
 # HTML's element kinds, and the class and id words of boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,6 +48,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<raw>{'|'.join(RAW)})\b[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
+    r"|</?[a-z][^<>]*+\Z"  # cut off within a tag
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
@@ -52,18 +56,20 @@ _ATTR = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", r
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _is_boilerplate(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
-    """Whether an element starts a boilerplate subtree, and its first class."""
+def _judged(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, str]:
+    """Whether an element starts a boilerplate subtree, whether it is an article by tag or class, and its first class."""
+    article = tag in ("article", "main")
     if tag in SKIP or (tag == "header" and not in_article):
-        return True, ""
+        return True, False, ""
     if not attrs or attrs.isspace():
-        return False, ""
+        return False, article, ""
     values = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
     words = {w.lower() for w in _WORD.findall(f"{values.get('class', '')} {values.get('id', '')}")}
     skip = bool(words & BOILERPLATE) or ("header" in words and not in_article and not words & ARTICLE_WORDS) or values.get("role", "").lower() in ROLES
     hidden = values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "") or re.search(r"(?:^|\s)hidden(?:\s|/|$)", _ATTR.sub("", attrs))
     first = values.get("class", "").split()
-    return (skip or bool(hidden)) and tag not in ("html", "body"), first[0] if first else ""
+    whole = tag in ("html", "body")
+    return (skip or bool(hidden)) and not whole, article or (bool(words & ARTICLE_WORDS) and not whole), first[0] if first else ""
 
 
 class Page:
@@ -75,7 +81,7 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []
         buffer: list[str] = []
         links = 0
-        stack: list[tuple[str, int, bool]] = []  # tag, container, whether skipped
+        stack: list[tuple[str, int, bool, bool]] = []  # tag, container, whether skipped, whether an article
         container, skip, anchors, articles, at = 0, False, 0, 0, 0
 
         def flush() -> None:
@@ -89,9 +95,9 @@ class Page:
         def pop(n: int) -> None:
             """Closes the elements above the n lowest."""
             nonlocal container, skip, anchors, articles
-            for tag, _, _ in stack[n:]:
+            for tag, _, _, article in stack[n:]:
                 anchors -= tag == "a"
-                articles -= tag in ("article", "main")
+                articles -= article
             del stack[n:]
             container, skip = (stack[-1][1], stack[-1][2]) if stack else (0, False)
 
@@ -109,7 +115,7 @@ class Page:
                 n = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
                 if tag in BLOCKS:
                     flush()
-                if n >= 0 and not (tag not in BLOCKS and any(t in BLOCKS for t, _, _ in stack[n:])):
+                if n >= 0 and not (tag not in BLOCKS and any(e[0] in BLOCKS for e in stack[n:])):
                     pop(n)
                 continue
             if tag in BLOCKS:
@@ -124,18 +130,21 @@ class Page:
                 buffer.append(" ")
             if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCKS:
                 continue
-            boiler, css = _is_boilerplate(tag, m["attrs"], articles > 0)
+            boiler, article, css = _judged(tag, m["attrs"], articles > 0)
             if boiler and not skip and tag not in BLOCKS:
                 buffer.append(" ")
             skip = skip or boiler
             if tag in CONTAINERS and tag != "body" and not skip:
-                name = f"{self.paths[container]}>{tag}" + (f".{re.sub('[0-9]+', '#', css)}" if css else "")
+                above = self.paths[container]
+                if len(above) > LONG_PATH:
+                    above = xxh64_hexdigest(above)
+                name = f"{above}>{tag}" + (f".{re.sub('[0-9]+', '#', css)}" if css else "")
                 self.paths.append(name)
                 self.parents.append(container)
                 container = len(self.paths) - 1
             anchors += tag == "a"
-            articles += tag in ("article", "main")
-            stack.append((tag, container, skip))
+            articles += article
+            stack.append((tag, container, skip, article))
         if not skip and at < len(html):
             buffer.append(unescape(html[at:]))
         flush()

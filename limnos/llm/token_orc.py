@@ -7,17 +7,23 @@ indexes (minimum and maximum of every `row_index_stride` rows) and the Bloom fil
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Characters that one encoder call takes: its results hold many times their bytes.
+#: Characters that one encoder call takes, as its results hold many times their bytes; the ORC writer's sizes.
 CHARS_PER_CALL, STRIPE_BYTES, ROW_INDEX_STRIDE, BLOOM_FPP = 400_000, 16 << 20, 1000, 0.01
+#: Chunks that a worker remembers.
+MEMO_SIZE = 600_000
 
 
 def load_tokenizer(path: str):
@@ -29,9 +35,84 @@ def load_tokenizer(path: str):
     return out
 
 
+class ChunkEncoder:
+    """Encodes whole texts, chunk by chunk, with a memo of chunks.
+
+    A byte-level pre-tokenizer's tokens hold white space at their start alone, so a token begins at every white-space
+    run: a run and the word after it encode alike in any text. Only spaces and line feeds part chunks; a text with other
+    white space, or any text under a tokenizer of another kind, is encoded in one piece.
+    """
+
+    _chunks = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+    _other_space = re.compile(r"[^\S \n]")
+
+    def __init__(self, path: str, end_id: int, memo_size: int = MEMO_SIZE):
+        self.tokenizer, self.end, self.memo_size = load_tokenizer(path), np.array([end_id], np.int32), memo_size
+        spec = json.loads(self.tokenizer.to_str())
+        pre = spec["pre_tokenizer"] or {}
+        self.by_chunk = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"] and all(t["special"] for t in spec["added_tokens"])
+        if self.by_chunk:
+            vocab = self.tokenizer.get_vocab()
+            self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+            for token, i in vocab.items():
+                self.bytes_of[i] = len(token)  # one character of the vocabulary's alphabet is one byte
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.flat, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Adds chunks to the memo. Those with white space before a word are encoded as one text, whose ids are parted by their bytes."""
+        joined = [c for c in fresh if c[0] in " \n" and c[-1] not in " \n"]
+        single = [c for c in fresh if c[0] not in " \n" or c[-1] in " \n"]
+        parts = [np.array(x, np.int32) for x in self._encode(single)]
+        counts = [len(x) for x in parts]
+        if joined:
+            ids = np.array(self._encode(["".join(joined)])[0], np.int32)
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(c.encode("utf-8", "replace")) for c in joined])) + 1
+            parts.append(ids)
+            counts += np.diff(ends, prepend=0).tolist()
+        self.memo.update(zip([*single, *joined], range(len(self.memo), len(self.memo) + len(fresh)), strict=True))
+        at = len(self.flat) + np.cumsum([0, *counts])
+        self.start, self.count = np.concatenate([self.start, at[:-1]]), np.concatenate([self.count, np.array(counts, np.int64)])
+        self.flat = np.concatenate([self.flat, *parts])
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, in one array, and the texts' ends."""
+        if len(self.memo) > self.memo_size:
+            self._forget()
+        parts = [self._chunks.findall(t) if self.by_chunk and not self._other_space.search(t) else None for t in texts]
+        if fresh := list(set(chain.from_iterable(p for p in parts if p)).difference(self.memo)):
+            self._learn(fresh)
+        alone = iter(self._encode([t for t, p in zip(texts, parts, strict=True) if p is None]))
+        get, out = self.memo.__getitem__, []
+        for p in parts:
+            if p is None:
+                out.append(np.array(next(alone), np.int32))
+            else:
+                at = np.fromiter(map(get, p), np.int64, len(p))
+                count = self.count[at]
+                ends = np.cumsum(count)
+                places = np.arange(ends[-1] if len(at) else 0) + np.repeat(self.start[at] - ends + count, count)
+                out.append(self.flat[places])
+            out.append(self.end)
+        sizes = [len(x) + 1 for x in out[::2]]
+        return np.concatenate(out), np.cumsum([0, *sizes], dtype=np.int32)
+
+
+@lru_cache(2)
+def encoder_of(path: str, end_id: int) -> ChunkEncoder:
+    """One a worker process, so that its memo outlives a task."""
+    return ChunkEncoder(path, end_id)
+
+
 def encode_batches(tokenizer_path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_tokenizer(tokenizer_path).encode_batch_fast
+        encoder = encoder_of(tokenizer_path, end_id)
         for batch in batches:
             texts, i = batch.column(1).to_pylist(), 0
             while i < len(texts):
@@ -39,12 +120,8 @@ def encode_batches(tokenizer_path: str, end_id: int):
                 while j < len(texts) and (j == i or chars + len(texts[j] or "") <= CHARS_PER_CALL):
                     chars += len(texts[j] or "")
                     j += 1
-                ids = []
-                for e in encode([t or "" for t in texts[i:j]], add_special_tokens=False):
-                    got = np.array(e.ids, np.int32)
-                    ids.append(np.append(got, np.int32(end_id)))
-                ends = np.cumsum([0, *(len(x) for x in ids)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                ids, ends = encoder.ids([t or "" for t in texts[i:j]])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(ends), pa.int32()), lists], ["doc_id", "n_tokens", "ids"])
                 i = j
 
