@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, lz_fingerprint, mixing, near_dedup, token_orc, url_filter
+from . import decontamination, html_text, language_id, lz_fingerprint, mixing, near_dedup, pii_crf, token_orc, url_filter
 from .common import scratch_path, table
 from .sharding import shard_documents
 
@@ -43,6 +43,10 @@ def op3_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii.*")
+
+
 def op5_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.edit_probe(table(spark, sf_dir, "documents"))
 
@@ -91,6 +95,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_redirect_equivalence": op2_redirect_equivalence,
     "op3_minhash_bayes": op3_minhash_bayes,
+    "op4_pii_crf": op4_pii_crf,
     "op5_lz_fingerprints": op5_lz_fingerprints,
     "op6_winnowing": op6_winnowing,
     "op7_temperature_mixing": op7_temperature_mixing,
