@@ -6,9 +6,10 @@
 3. Every class of a bucket is paired with the bucket's least class (a star: as many pairs as members). A pair's signatures
    are compared batch by batch; it is dropped once the posterior probability of reaching the threshold, given the
    agreements so far under a uniform prior, is below `MISS`. Survivors are verified on full shingle sets.
-4. Links give components. Buckets whose other members still lie in several components go through a grid of bounded blocks:
-   signatures are compared in numpy across components alone, each class yields its likeliest unverified partners first,
-   and later rounds take the rest, so that no link is lost and no pair within a component is emitted.
+4. Links give components. Buckets whose other members still lie in several components are laid together by their least
+   class's component, each class once. Each such hub's classes outside its largest component meet all its others in a grid of cells of
+   bounded bytes, where signatures, then full sets, are compared in numpy. A cell yields only links that join what it
+   had not yet joined: no link is lost, and pairs are never rows.
 
 Ids whose sets are empty are linked with nothing.
 """
@@ -27,10 +28,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 from .components import components
 
-#: Hash functions; hashes compared at a time; the chosen miss probability; classes of a grid block.
-K, BATCH, MISS, BLOCK = 128, 32, 1e-6, 2048
-#: Partners of a class, best first, that each grid round emits up to; the last round emits all that are left.
-SLICES = (8, 128, 1 << 62)
+#: Hash functions; hashes compared at a time; the chosen miss probability; classes and bytes of sets of a grid block.
+K, BATCH, MISS, BLOCK, BLOCK_BYTES = 128, 32, 1e-6, 2048, 8 << 20
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 
@@ -135,9 +134,24 @@ class NearDuplicates:
         self.needs = least_agreements(percent / 100)
         self.rows = band_rows(percent / 100)
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """key and shingles (sorted hashes) of the wanted classes, made anew from the texts of their documents."""
+        size = self.shingle
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            hashes = _Hashes()
+            for x in batches:
+                got = [shingle_set(t, size, hashes) for t in x["text"]]
+                yield pd.DataFrame({"key": [_set_key(s) for s in got], "shingles": [s.tobytes() for s in got]})
+
+        ids = self.reps.select("key", "id").join(wanted, "key", "left_semi").select("id").distinct()
+        found = self.docs.join(_few(materialize(ids, "ids")), "id", "left_semi").mapInPandas(run, "key binary, shingles binary")
+        # One id may have rows of several texts: only classes that were asked for stay, each once.
+        return found.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b of class keys) whose full shingle sets reach the threshold."""
-        needs, percent, size = self.needs, self.percent, self.shingle
+        needs, percent = self.needs, self.percent
 
         def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in batches:
@@ -149,12 +163,6 @@ class NearDuplicates:
         joined = pairs.join(sig.withColumnsRenamed({"key": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"key": "b", "sig": "sig_b"}), "b")
         kept = materialize(joined.mapInPandas(prune, "a binary, b binary"), "survivors")
 
-        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            hashes = _Hashes()
-            for x in batches:
-                got = [shingle_set(t, size, hashes) for t in x["text"]]
-                yield pd.DataFrame({"key": [_set_key(s) for s in got], "shingles": [s.tobytes() for s in got]})
-
         def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in batches:
                 keep = []
@@ -165,71 +173,81 @@ class NearDuplicates:
                 yield x.loc[keep, ["a", "b"]]
 
         wanted = kept.select(F.col("a").alias("key")).unionByName(kept.select(F.col("b").alias("key"))).distinct()
-        ids = self.reps.select("key", "id").join(wanted, "key", "left_semi").select("id").distinct()
-        found = self.docs.join(_few(materialize(ids, "ids")), "id", "left_semi").mapInPandas(sets, "key binary, shingles binary")
-        # One id may have rows of several texts: only classes that were asked for stay, each once.
-        found = materialize(found.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sets")
+        found = materialize(self.sets(wanted), "sets")
         full = kept.join(found.withColumnsRenamed({"key": "b", "shingles": "set_b"}), "b").join(found.withColumnsRenamed({"key": "a", "shingles": "set_a"}), "a")
         links = materialize(full.select("a", "b", "set_a", "set_b").mapInPandas(exact, "a binary, b binary"), "links")
         discard(found)
         return links
 
-    def grid(self, members: DataFrame, after: int, upto: int) -> DataFrame:
-        """Pairs across components of one bucket, by each class's order of likelihood from `after` to `upto`; `more`: some are left. members: bucket, key, label, sig, n (of the bucket)."""
-        needs = self.needs
-        parts = F.ceil(F.col("n") / BLOCK)
-        placed = members.withColumn("own", F.when(parts > 1, F.pmod(F.xxhash64("key"), parts)).otherwise(F.lit(0)))
-        dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select(
-            "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("first"), F.col("own"), "key", "label", "sig"
-        )
-
-        def pairs(group: list[tuple]) -> tuple[list[tuple], bool]:
-            keys = [g[3] for g in group]
-            label = np.unique([g[4] for g in group], return_inverse=True)[1]
-            if label.max() == 0:
-                return [], False
-            own = np.array([g[2] for g in group])
-            square = own.min() == own.max()
-            sig = np.frombuffer(b"".join(g[5] for g in group), np.uint32).reshape(-1, K)
-            size = np.bincount(label)
-            rank = size[label].astype(np.int64) * (len(size) + 1) + label  # a pair is emitted by its smaller component
-            out, more = [], False
-            for i in range(len(group)):
-                at = np.flatnonzero((label != label[i]) & (rank > rank[i]) & (square | (own != own[i])))
-                if not len(at):
-                    continue
+    def grid(self, members: DataFrame) -> DataFrame:
+        """Links across components within hubs, as many as join a cell's parts. members: hub, key, label, sig, shingles."""
+        needs, percent = self.needs, self.percent
+        size = F.octet_length("shingles")
+        labels = members.groupBy("hub", "label").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+        # The largest component of a hub is its major side: two of its classes never meet.
+        hubs = labels.groupBy("hub").agg(F.max(F.struct("n", "bytes", "label")).alias("major"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+        parts = lambda n, b: F.ceil(F.greatest(n / BLOCK, b / BLOCK_BYTES)).cast("long")
+        hubs = hubs.select(
+            "hub", F.col("major.label").alias("major"), parts(F.col("major.n"), F.col("major.bytes")).alias("majors"), parts(F.col("n") - F.col("major.n"), F.col("bytes") - F.col("major.bytes")).alias("minors")
+        ).where("minors > 0")
+        placed = members.join(hubs, "hub").withColumn("is_major", F.col("label") == F.col("major"))
+        placed = placed.withColumn("own", F.pmod(F.xxhash64("key"), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors"))))
+        minors = F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)
+        with_minors = F.transform(minors, lambda m: F.struct(F.least("own", m).alias("x"), F.greatest("own", m).alias("y")))
+        with_majors = F.transform(F.sequence(F.lit(0).cast("long"), F.col("majors") - 1), lambda m: F.struct(F.col("own").alias("x"), (-m - 1).alias("y")))
+        as_major = F.transform(minors, lambda m: F.struct(m.alias("x"), (-F.col("own") - 1).alias("y")))
+        cells = F.when(F.col("is_major"), as_major).otherwise(F.concat(with_minors, with_majors))
+        side = F.when(F.col("is_major"), -F.col("own") - 1).otherwise(F.col("own"))
+        dealt = placed.select("hub", F.explode(cells).alias("cell"), side.alias("side"), "key", "label", "sig", "shingles").select("hub", "cell.x", "cell.y", "side", "key", "label", "sig", "shingles")
+
+        def links(group: list[tuple]) -> list[tuple]:
+            keys = [g[2] for g in group]
+            names, label = np.unique([g[3] for g in group], return_inverse=True)
+            if len(names) < 2:
+                return []
+            side = np.array([g[1] for g in group])
+            sig = np.frombuffer(b"".join(g[4] for g in group), np.uint32).reshape(-1, K)
+            sets = [np.frombuffer(g[5], np.uint64) for g in group]
+            sizes = np.array([len(x) for x in sets])
+            root, out = np.arange(len(names)), []
+            x, y = group[0][0][1:]
+            for i in np.flatnonzero(side == x):
+                # Of a cell's two sides every pair is met once; within one side the later ones are.
+                other = np.flatnonzero(side == y) if x != y else np.arange(i + 1, len(group))
+                at = other[root[label[other]] != root[label[i]]]
+                # Sizes alone bound the similarity.
+                at = at[100 * np.minimum(sizes[at], sizes[i]) >= percent * np.maximum(sizes[at], sizes[i])]
                 got = agreeing(np.broadcast_to(sig[i], (len(at), K)), sig[at], needs)
-                at, got = at[got >= 0], got[got >= 0]
-                at = at[np.lexsort((at, -got))]
-                more |= len(at) > upto
-                out += [(*sorted((keys[i], keys[j])), False) for j in at[after:upto]]
-            return out, more
+                at = at[got >= 0][np.argsort(-got[got >= 0], kind="stable")]
+                step = 4
+                while len(at):
+                    now, at, step = at[:step], at[step:], min(4 * step, 256)
+                    flat = np.concatenate([sets[j] for j in now])
+                    place = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+                    both = np.add.reduceat((sets[i][place] == flat).astype(np.int64), np.cumsum([0, *sizes[now[:-1]]]))
+                    for j in now[100 * both >= percent * (sizes[i] + sizes[now] - both)]:
+                        a, b = root[label[i]], root[label[j]]
+                        if a != b:
+                            root[root == b] = a
+                            out.append((keys[i], keys[j]))
+                    at = at[root[label[at]] != root[label[i]]]
+            return out
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            group, at, any_more = [], None, False
-
-            def flush() -> list[tuple]:
-                nonlocal any_more
-                found, more = pairs(group) if len(group) > 1 else ([], False)
-                any_more |= more
-                group.clear()
-                return found
-
-            for x in batches:
+            group, at = [], None
+            for batch in batches:
                 out = []
-                for row in zip(zip(x["bucket"], x["x"], x["y"], strict=True), x["first"], x["own"], x["key"], x["label"], x["sig"], strict=True):
+                for row in zip(zip(batch["hub"], batch["x"], batch["y"], strict=True), *(batch[c] for c in ("side", "key", "label", "sig", "shingles")), strict=True):
                     if row[0] != at:
-                        out += flush()
-                        at = row[0]
+                        out += links(group) if len(group) > 1 else []
+                        group, at = [], row[0]
                     group.append(row)
                 if out:
-                    yield pd.DataFrame(out, columns=["a", "b", "more"])
-            out = flush()
-            if any_more:
-                out.append((b"", b"", True))
-            yield pd.DataFrame(out, columns=["a", "b", "more"])
+                    yield pd.DataFrame(out, columns=["a", "b"])
+            if len(group) > 1 and (out := links(group)):
+                yield pd.DataFrame(out, columns=["a", "b"])
 
-        return dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "key").mapInPandas(run, "a binary, b binary, more boolean").distinct()
+        return dealt.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y", "key").mapInPandas(run, "a binary, b binary")
 
     def run(self) -> DataFrame:
         signed = materialize(signatures(self.docs, self.shingle), "signatures")
@@ -242,21 +260,19 @@ class NearDuplicates:
         shared = bands.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1")
         bands = materialize(bands.join(shared, "bucket").where("key != pivot").select("bucket", "pivot", "key", "n"), "bands")
         star = materialize(bands.select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "star")
-        links, tested = self.verified(star), star
+        links = self.verified(star)
         roots = materialize(components(links, "a", "b"), "roots")
-        for after, upto in zip((0, *SLICES), SLICES, strict=False):
-            labelled = bands.where("n > 2").join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("label"))
-            mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-            open_ = labelled.join(mixed, "bucket").join(self.reps.select("key", "sig"), "key")
-            found = materialize(self.grid(open_, after, upto), "grid")
-            fresh = found.where("not more").select("a", "b").join(tested, ["a", "b"], "left_anti")
-            more = bool(found.where("more").limit(1).count())
-            if fresh.limit(1).count():
-                links = links.unionByName(self.verified(fresh))
-                tested = tested.unionByName(found.where("not more").select("a", "b"))
-                roots = materialize(components(links, "a", "b"), "roots")
-            if not more:
-                break
+        # Pairs with a bucket's least class are decided; its other members may still be in several components.
+        root_of = roots.withColumnRenamed("node", "key")
+        labelled = bands.where("n > 2").join(root_of, "key", "left").select("bucket", "pivot", "key", F.coalesce("root", "key").alias("label"))
+        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("pivot").alias("pivot")).where("low != high")
+        hubs = mixed.select("bucket", "pivot").join(roots.withColumnsRenamed({"node": "pivot", "root": "hub"}), "pivot", "left").select("bucket", F.coalesce("hub", "pivot").alias("hub"))
+        open_ = materialize(labelled.join(hubs, "bucket").select("hub", "key", "label").distinct(), "open")
+        full = materialize(self.sets(open_.select("key").distinct()), "sets")
+        more = materialize(self.grid(open_.join(self.reps.select("key", "sig"), "key").join(full, "key")), "links")
+        discard(full)
+        if more.limit(1).count():
+            roots = materialize(components(links.unionByName(more), "a", "b"), "roots")
         classes = members.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("low"))
         classes = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "low", F.coalesce("root", "key").alias("root"))
         lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))

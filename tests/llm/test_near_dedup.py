@@ -40,7 +40,7 @@ def edited(rng, words, n):
 @pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
 def test_components_equal_all_pairs(spark, size, percent, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 40)
-    monkeypatch.setattr(near_dedup, "SLICES", (2, 6, 1 << 62))
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 40_000)
     rng = random.Random(3)
     base = [f"t{rng.randrange(3000)}" for _ in range(160)]
     rows = [(i, edited(rng, base, rng.randrange(1, 9))) for i in range(150)]  # a diffuse group: many pairs lie near the threshold
