@@ -13,7 +13,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +34,29 @@ def load_tokenizer(path: str):
     return out
 
 
+class _Memo(dict):
+    """Numbers of chunks in order of arrival; new ones are listed in `fresh`."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.fresh: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        self.fresh.append(chunk)
+        return n
+
+
 class ChunkEncoder:
     """Encodes whole texts, chunk by chunk, with a memo of chunks.
 
     A byte-level pre-tokenizer's tokens hold white space at their start alone, so a token begins at every white-space
-    run: a run and the word after it encode alike in any text. Only spaces and line feeds part chunks; a text with other
-    white space, or any text under a tokenizer of another kind, is encoded in one piece.
+    run, and one ends where a letter or digit meets a sign: such pieces encode alike in any text. Only spaces, line
+    feeds and some signs after plain letters part chunks; a text with other white space, or any text under a tokenizer
+    of another kind, is encoded in one piece.
     """
 
-    _chunks = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+    _chunks = re.compile(r"[ \n]*(?:[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[,.;:!?%*#&$|])|[^ \n]+)|[ \n]+")
     _other_space = re.compile(r"[^\S \n]")
 
     def __init__(self, path: str, end_id: int, memo_size: int = MEMO_SIZE):
@@ -59,47 +72,68 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.flat, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.memo = _Memo()
+        self.flat, self.start, self.count, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Keeps the chunks that were used more than once since the last time; if those are many, forgets all."""
+        keep = np.flatnonzero(self.used > 1)
+        if 2 * len(keep) > self.memo_size:
+            return self._forget()
+        chunks, count = list(self.memo), self.count[keep]
+        ends = np.cumsum(count)
+        self.flat = self.flat[np.arange(count.sum()) + np.repeat(self.start[keep] - ends + count, count)]
+        self.memo = _Memo((chunks[k], i) for i, k in enumerate(keep.tolist()))
+        self.start, self.count, self.used = ends - count, count, np.zeros(len(keep), np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, fresh: list[str]) -> None:
-        """Adds chunks to the memo. Those with white space before a word are encoded as one text, whose ids are parted by their bytes."""
-        joined = [c for c in fresh if c[0] in " \n" and c[-1] not in " \n"]
-        single = [c for c in fresh if c[0] not in " \n" or c[-1] in " \n"]
-        parts = [np.array(x, np.int32) for x in self._encode(single)]
-        counts = [len(x) for x in parts]
+        """Encodes the memo's new chunks. Those with white space before a word are encoded as one text, whose ids are parted by their bytes."""
+        joined = [i for i, c in enumerate(fresh) if c[0] in " \n" and c[-1] not in " \n"]
+        single = [i for i, c in enumerate(fresh) if c[0] not in " \n" or c[-1] in " \n"]
+        parts = [np.array(x, np.int32) for x in self._encode([fresh[i] for i in single])]
+        count = np.zeros(len(fresh), np.int64)
+        count[single] = [len(x) for x in parts]
         if joined:
-            ids = np.array(self._encode(["".join(joined)])[0], np.int32)
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(c.encode("utf-8", "replace")) for c in joined])) + 1
+            ids = np.array(self._encode(["".join([fresh[i] for i in joined])])[0], np.int32)
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(fresh[i].encode("utf-8", "replace")) for i in joined])) + 1
             parts.append(ids)
-            counts += np.diff(ends, prepend=0).tolist()
-        self.memo.update(zip([*single, *joined], range(len(self.memo), len(self.memo) + len(fresh)), strict=True))
-        at = len(self.flat) + np.cumsum([0, *counts])
-        self.start, self.count = np.concatenate([self.start, at[:-1]]), np.concatenate([self.count, np.array(counts, np.int64)])
-        self.flat = np.concatenate([self.flat, *parts])
+            count[joined] = np.diff(ends, prepend=0)
+        order = np.array([*single, *joined])
+        start = np.zeros(len(fresh), np.int64)
+        start[order] = len(self.flat) + np.cumsum(count[order]) - count[order]
+        self.start, self.count = np.concatenate([self.start, start]), np.concatenate([self.count, count])
+        self.flat, self.used = np.concatenate([self.flat, *parts]), np.append(self.used, np.zeros(len(fresh), np.int64))
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, in one array, and the texts' ends."""
         if len(self.memo) > self.memo_size:
-            self._forget()
-        parts = [self._chunks.findall(t) if self.by_chunk and not self._other_space.search(t) else None for t in texts]
-        if fresh := list(set(chain.from_iterable(p for p in parts if p)).difference(self.memo)):
-            self._learn(fresh)
-        alone = iter(self._encode([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        get, out = self.memo.__getitem__, []
-        for p in parts:
-            if p is None:
+            self._shrink()
+        get, self.memo.fresh = self.memo.__getitem__, []
+        seen: list[np.ndarray | None] = []
+        for t in texts:
+            if self.by_chunk and not self._other_space.search(t):
+                chunks = self._chunks.findall(t)
+                seen.append(np.fromiter(map(get, chunks), np.int64, len(chunks)))
+            else:
+                seen.append(None)
+        if self.memo.fresh:
+            self._learn(self.memo.fresh)
+        alone = iter(self._encode([t for t, at in zip(texts, seen, strict=True) if at is None]))
+        out = []
+        for at in seen:
+            if at is None:
                 out.append(np.array(next(alone), np.int32))
             else:
-                at = np.fromiter(map(get, p), np.int64, len(p))
                 count = self.count[at]
                 ends = np.cumsum(count)
                 places = np.arange(ends[-1] if len(at) else 0) + np.repeat(self.start[at] - ends + count, count)
                 out.append(self.flat[places])
             out.append(self.end)
+        if known := [at for at in seen if at is not None]:
+            self.used += np.bincount(np.concatenate(known), minlength=len(self.used))
         sizes = [len(x) + 1 for x in out[::2]]
         return np.concatenate(out), np.cumsum([0, *sizes], dtype=np.int32)
 
