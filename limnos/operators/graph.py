@@ -109,4 +109,5 @@ def routes(edges: DataFrame, requests: DataFrame, graph: str) -> DataFrame:
         return pd.DataFrame(rows, columns=[graph, "request", "length", "path", "depth_held"])
 
     kind = dict(edges.dtypes)[graph]
+    requests = requests.select(*(F.col(c).alias(c) for c in requests.columns))  # of a lineage apart from the edges'
     return edges.groupBy(graph).cogroup(requests.groupBy(graph)).applyInPandas(solve, f"{graph} {kind}, request long, length double, path array<long>, depth_held boolean")
