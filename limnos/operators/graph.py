@@ -65,16 +65,16 @@ def chase(pointers: DataFrame, key: str = "id", to: str = "next") -> DataFrame:
     return ends.select(F.col("k").alias(key), "end", "steps")
 
 
-def accumulate(links: DataFrame, own: DataFrame, key: str, to: str, value: str, rounds: int = 200) -> DataFrame:
-    """key and the sum of value over itself and all that lead into it, through a forest of links (each key has one `to` at most): sums flow down a step a round, until nothing moves."""
-    moving = cut(own.select(F.col(key).alias("k"), F.col(value).alias("v")))
-    total = moving
-    step = links.select(F.col(key).alias("k"), F.col(to).alias("t")).where("t is not null")
-    for _ in range(rounds):
-        moving = cut(moving.join(step, "k").groupBy(F.col("t").alias("k")).agg(F.sum("v").alias("v")))
-        if not moving.limit(1).count():
-            break
-        total = cut(total.unionByName(moving).groupBy("k").agg(F.sum("v").alias("v")))
+def accumulate(links: DataFrame, own: DataFrame, key: str, to: str, value: str) -> DataFrame:
+    """key and the sum of value over itself and all that lead into it, through a forest of links (each key has one `to` at most).
+    After k rounds a key holds what lies within 2**k steps; pointers double with it, so rounds grow with the logarithm of the longest chain.
+    Links that run in a cycle never end: keep them out (`chase` finds them)."""
+    total = cut(own.select(F.col(key).alias("k"), F.col(value).alias("v")))
+    step = cut(links.select(F.col(key).alias("k"), F.col(to).alias("t")).where("k is not null and t is not null"))
+    while step.limit(1).count():
+        moved = total.join(step, "k").select(F.col("t").alias("k"), "v")
+        total = cut(total.unionByName(moved).groupBy("k").agg(F.sum("v").alias("v")))
+        step = cut(step.join(step.select(F.col("k").alias("t"), F.col("t").alias("u")), "t").select("k", F.col("u").alias("t")))
     return total.select(F.col("k").alias(key), F.col("v").alias(value))
 
 

@@ -72,11 +72,11 @@ def diamonds(spark, sf_dir, every: int = 25, radius: float = 0.15):
 
 
 @query(f"""WITH {POINTS} SELECT id AS poly, round(2*0.15::DOUBLE*0.15, 8) AS area_deg2, round(2*0.15::DOUBLE*0.15 * 111320.0*110570.0*cos(radians(lat)) / 4046.8564224, 1) AS acres,
- round(lon, 4) AS cx, round(lat, 4) AS cy FROM points WHERE id % 25 = 0""")
+ round(lon, 6) AS cx, round(lat, 6) AS cy FROM points WHERE id % 25 = 0""")
 def geo_rings(spark, sf_dir):
     ring = F.col("rings")[0]
     c = geo.area_centroid(ring)
-    return diamonds(spark, sf_dir).select("poly", r(F.abs(geo.shoelace(ring)), 8).alias("area_deg2"), r(geo.ring_area_acres(ring), 1).alias("acres"), r(c["x"]).alias("cx"), r(c["y"]).alias("cy"))
+    return diamonds(spark, sf_dir).select("poly", r(F.abs(geo.shoelace(ring)), 8).alias("area_deg2"), r(geo.ring_area_acres(ring), 1).alias("acres"), r(c["x"], 6).alias("cx"), r(c["y"], 6).alias("cy"))
 
 
 @query(f"""WITH {POINTS} SELECT id, round(6378137.0 * radians(lon), 2) AS mx, round(6378137.0 * ln(tan(pi()/4 + radians(lat)/2)), 2) AS my,
@@ -167,9 +167,9 @@ def cells(spark, sf_dir):
     return raster.rasterize(points(spark, sf_dir), [], "lon", "lat", "depth", 0.05)
 
 
-@query(f"""WITH {CELLS} SELECT a.i, a.j, round(avg(b.mean), 9) AS mean, round(min(b.mean), 9) AS low, count(*) AS count FROM cells a JOIN cells b ON abs(a.i-b.i) <= 1 AND abs(a.j-b.j) <= 1 GROUP BY a.i, a.j""")
+@query(f"""WITH {CELLS} SELECT a.i, a.j, round(avg(b.mean), 10) AS mean, round(min(b.mean), 10) AS low, count(*) AS count FROM cells a JOIN cells b ON abs(a.i-b.i) <= 1 AND abs(a.j-b.j) <= 1 GROUP BY a.i, a.j""")
 def raster_smooth(spark, sf_dir):
-    return raster.neighbourhood(cells(spark, sf_dir), [], "mean").select("i", "j", r("mean", 9).alias("mean"), r("low", 9).alias("low"), "count")
+    return raster.neighbourhood(cells(spark, sf_dir), [], "mean").select("i", "j", r("mean", 10).alias("mean"), r("low", 10).alias("low"), "count")
 
 
 @query(f"""WITH {CELLS}, o AS (SELECT unnest([-1,0,1]) AS d), dil AS (SELECT DISTINCT c.i + a.d AS i, c.j + b.d AS j FROM cells c, o a, o b),
