@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 POSITION = "array<double>"
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str, coordinates: str = f"array<{POSITION}>") -> DataFrame:
-    """One row a feature: its properties, geometry type and coordinates. Compressed files are known by suffix. properties: their schema, so that nothing is inferred."""
+def read_geojson(spark: SparkSession, path: str, properties: str, coordinates: str = f"array<{POSITION}>", lines: bool = False) -> DataFrame:
+    """One row a feature: its properties, geometry type and coordinates. Compressed files are known by suffix. properties: their schema, so that nothing is inferred. lines: one collection a line, as `to_geojson` writes, not a file."""
     feature = f"struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:{coordinates}>>"
-    rows = spark.read.schema(f"features array<{feature}>").option("multiLine", True).json(path)
+    rows = spark.read.schema(f"features array<{feature}>").option("multiLine", not lines).json(path)
     return rows.select(F.explode("features").alias("f"), F.col("_metadata.file_path").alias("file")).select("file", "f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
