@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination, html_text, language_id, lz_fingerprint, mixing, near_dedup, pii_crf, token_orc, url_filter
 from .common import scratch_path, table
+from .oracles import OP2, OP3, OP6
 from .sharding import shard_documents
 
 #: The byte-level BPE vocabulary of the public tokenizers; never copied into the repository.
@@ -104,4 +105,4 @@ QUERIES = {
     "op10_token_orc": op10_token_orc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_redirect_equivalence": OP2, "op3_minhash_bayes": OP3, "op6_winnowing": OP6}
