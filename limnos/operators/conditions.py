@@ -24,17 +24,17 @@ def seasonal_value(points: DataFrame, key: str, year_day: str, value: str, at: D
 
 
 def stat_band(value: Column, percentiles: list[tuple[int, Column]]) -> Column:
-    """Between which published percentiles a value lies: `<p10`, `p10-p25` ... `>p90`; unknown percentiles are passed over, and without any, or a value, it is null."""
+    """Between which published percentiles a value lies, in words; unknown percentiles are passed over, and without any, or a value, it is null."""
     known = F.filter(F.array(*(F.struct(F.lit(p).alias("p"), c.cast("double").alias("v")) for p, c in percentiles)), lambda x: x["v"].isNotNull())
     below = F.filter(known, lambda x: x["v"] <= value)
     above = F.filter(known, lambda x: x["v"] > value)
-    low, high = F.element_at(below, -1)["p"], F.get(above, F.lit(0))["p"]
-    name = F.when(F.size(below) == 0, F.concat(F.lit("<p"), high.cast("string"))).when(F.size(above) == 0, F.concat(F.lit(">p"), F.try_element_at(below, F.lit(-1))["p"].cast("string"))).otherwise(F.concat(F.lit("p"), low.cast("string"), F.lit("-p"), high.cast("string")))
+    low, high = F.try_element_at(below, F.lit(-1))["p"], F.get(above, F.lit(0))["p"]
+    name = F.when(F.size(below) == 0, F.format_string("below the %dth percentile", high)).when(F.size(above) == 0, F.format_string("above the %dth percentile", low)).otherwise(F.format_string("between the %dth and %dth percentile", low, high))
     return F.when(value.isNotNull() & (F.size(known) > 0), name)
 
 
 def tide_stage(events: DataFrame, key: str, at: str, kind: str, queries: DataFrame, query_at: str, slack_s: float = 2700) -> DataFrame:
-    """queries with `stage`: high or low within the slack of such an event, else flood or ebb by the next one; null past the last."""
+    """queries with `stage`: high or low within the slack of such an event (of two the earlier), else flood or ebb by the next one, or past the last by that; null without any."""
     w = Window.partitionBy(key).orderBy("_t", "_e")
     e = events.select(key, F.col(at).alias("_t"), F.col(kind).alias("_k"), F.lit(0).alias("_e"))
     q = queries.withColumn("_t", F.col(query_at)).withColumn("_e", F.lit(1))
@@ -42,8 +42,9 @@ def tide_stage(events: DataFrame, key: str, at: str, kind: str, queries: DataFra
     event = F.when(F.col("_e") == 0, F.struct("_t", "_k"))
     both = both.withColumn("_p", F.last(event, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(event, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     before, ahead = F.col("_t") - F.col("_p._t"), F.col("_n._t") - F.col("_t")
-    close = F.when((before <= slack_s) & (ahead.isNull() | (before <= ahead)), F.col("_p._k")).when(ahead <= slack_s, F.col("_n._k"))
-    stage = F.when(close == "H", "high").when(close == "L", "low").when(F.col("_n._k") == "H", "flood").when(F.col("_n._k") == "L", "ebb")
+    close = F.when(before <= slack_s, F.col("_p._k")).when(ahead <= slack_s, F.col("_n._k"))
+    rising = F.coalesce(F.col("_n._k") == "H", F.col("_p._k") != "H")
+    stage = F.when(close == "H", "high").when(close == "L", "low").when(rising, "flood").when(~rising, "ebb")
     return both.where("_e = 1").select(*queries.columns, stage.alias("stage"))
 
 
@@ -70,7 +71,12 @@ def charge_first(sites: DataFrame, keys: list[str], place: str, wanted: list[str
     return sites.groupBy(*keys).agg(*aggs)
 
 
+#: A flow over so many times its monthly mean freshens an inlet; at the second the effect is whole.
+INTRUSION_FROM, INTRUSION_WHOLE = 1.3, 2.5
+
+
 def severity_ramp(current: Column, mean: Column) -> Column:
-    """none, mild, moderate, severe by the ratio of a flow to its monthly mean; null where either is unknown or the mean is not positive."""
+    """0 to 1 by the ratio of a flow to its monthly mean, three places; 0 up to the threshold and where either is unknown or the mean is not positive."""
     r = current / F.when(mean > 0, mean)
-    return F.when(r.isNull(), None).when(r < 1.3, "none").when(r < 2, "mild").when(r < 3, "moderate").otherwise("severe")
+    ramp = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (r - INTRUSION_FROM) / (INTRUSION_WHOLE - INTRUSION_FROM)))
+    return F.round(F.coalesce(F.when(~F.isnan(ramp), ramp), F.lit(0.0)), 3)

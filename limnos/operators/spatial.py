@@ -84,15 +84,24 @@ def box_pairs(a: DataFrame, b: DataFrame, box_a: tuple, box_b: tuple, size: floa
     return pairs.where(F.col("_c") == corner).drop("_c", "_d")
 
 
-def overlap_verdict(a_in_b: str, b_in_a: str, ratio: str) -> Column:
-    """What two outlines are to each other: identity needs both shares and a like size."""
+def overlap_verdict(a_in_b: str, b_in_a: str, ratio: str, apart: Column | None = None, same_type: Column | None = None) -> Column:
+    """struct<label, duplicate>: what two outlines are to each other. Containment is identity only between like sizes of one kind.
+    Shares in percent; apart: the centroids' distance over the larger size."""
     a, b, r = F.col(a_in_b), F.col(b_in_a), F.col(ratio)
-    return (
-        F.when((a < 1) & (b < 1), "touching")
-        .when((a >= 70) & (b >= 70) & (r >= 0.5), "same outline")
-        .when((F.greatest(a, b) >= 90) & (r < 0.5), "contained")
-        .otherwise("partial")
-    )
+    tight = F.coalesce((r >= 0.97) & (apart <= 0.02), F.lit(False)) if apart is not None else F.lit(False)
+    within = F.greatest(a, b) >= 90
+    rungs = [
+        (((a >= 90) & (b >= 90)) | tight, "same outline", True),
+        (within & (r.isNull() | (r < 0.25)), "within, sizes unlike", False),
+        (~same_type if same_type is not None else F.lit(False), "different types", False),
+        (within, "within, sizes alike", True),
+        (F.least(a, b) >= 40, "heavy overlap", True),
+    ]
+    say = lambda label, duplicate: F.struct(F.lit(label).alias("label"), F.lit(duplicate).alias("duplicate"))
+    out = None
+    for holds, label, duplicate in rungs:
+        out = F.when(holds, say(label, duplicate)) if out is None else out.when(holds, say(label, duplicate))
+    return out.otherwise(say("touching", False))
 
 
 def measure_overlaps(pairs: DataFrame, rings_a: str, rings_b: str, keep: list[str], sample: int = 400) -> DataFrame:

@@ -29,7 +29,7 @@ def cond_seasonal_level(spark, sf_dir):
 
 
 @query(f"""WITH {SERIES}, p AS (SELECT event_type, quantile_disc(value, 0.1) AS p10, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90 FROM series GROUP BY 1)
- SELECT event_id, CASE WHEN value < p10 THEN '<p10' WHEN value < p50 THEN 'p10-p50' WHEN value < p90 THEN 'p50-p90' ELSE '>p90' END AS band FROM series JOIN p USING (event_type)""")
+ SELECT event_id, CASE WHEN value < p10 THEN 'below the 10th percentile' WHEN value < p50 THEN 'between the 10th and 50th percentile' WHEN value < p90 THEN 'between the 50th and 90th percentile' ELSE 'above the 90th percentile' END AS band FROM series JOIN p USING (event_type)""")
 def cond_stat_band(spark, sf_dir):
     disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
     s = series(spark, sf_dir)
@@ -40,8 +40,8 @@ def cond_stat_band(spark, sf_dir):
 @query(f"""WITH {SERIES}, e AS (SELECT user_id, t, min(CASE WHEN event_id % 2 = 0 THEN 'H' ELSE 'L' END) AS k FROM series WHERE event_type IN ('view','click') GROUP BY ALL), q AS (SELECT user_id, event_id, t FROM series WHERE event_type = 'purchase'),
  p AS (SELECT q.*, (SELECT max(e.t) FROM e WHERE e.user_id = q.user_id AND e.t <= q.t) AS pt, (SELECT min(e.t) FROM e WHERE e.user_id = q.user_id AND e.t > q.t) AS nt FROM q),
  x AS (SELECT p.*, a.k AS pk, b.k AS nk FROM p LEFT JOIN e a ON a.user_id = p.user_id AND a.t = pt LEFT JOIN e b ON b.user_id = p.user_id AND b.t = nt),
- c AS (SELECT *, CASE WHEN t - pt <= 2700 AND (nt IS NULL OR t - pt <= nt - t) THEN pk WHEN nt - t <= 2700 THEN nk END AS ck FROM x)
- SELECT event_id, CASE WHEN ck = 'H' THEN 'high' WHEN ck = 'L' THEN 'low' WHEN nk = 'H' THEN 'flood' WHEN nk = 'L' THEN 'ebb' END AS stage FROM c""")
+ c AS (SELECT *, CASE WHEN t - pt <= 2700 THEN pk WHEN nt - t <= 2700 THEN nk END AS ck FROM x)
+ SELECT event_id, CASE WHEN ck = 'H' THEN 'high' WHEN ck = 'L' THEN 'low' WHEN coalesce(nk = 'H', pk <> 'H') THEN 'flood' WHEN NOT coalesce(nk = 'H', pk <> 'H') THEN 'ebb' END AS stage FROM c""")
 def cond_tide_stage(spark, sf_dir):
     s = series(spark, sf_dir)
     e = s.where("event_type in ('view','click')").groupBy("user_id", "t").agg(F.min(F.when(F.col("event_id") % 2 == 0, "H").otherwise("L")).alias("k"))
@@ -61,7 +61,7 @@ def cond_hourly_wind(spark, sf_dir):
 
 
 @query(f"""WITH {SERIES}, m AS (SELECT user_id, avg(value) AS m FROM series GROUP BY 1), l AS (SELECT user_id, arg_max(value, event_id) AS c FROM series GROUP BY 1)
- SELECT user_id, CASE WHEN c / m < 1.3 THEN 'none' WHEN c / m < 2 THEN 'mild' WHEN c / m < 3 THEN 'moderate' ELSE 'severe' END AS severity FROM m JOIN l USING (user_id)""")
+ SELECT user_id, round(least(1.0, greatest(0.0, (c / m - 1.3::DOUBLE) / (2.5::DOUBLE - 1.3::DOUBLE))), 3) AS severity FROM m JOIN l USING (user_id)""")
 def cond_intrusion(spark, sf_dir):
     by = series(spark, sf_dir).groupBy("user_id").agg(F.avg("value").alias("m"), F.max_by("value", "event_id").alias("c"))
     return by.select("user_id", conditions.severity_ramp(F.col("c"), F.col("m")).alias("severity"))

@@ -140,7 +140,7 @@ def spatial_overlap_verdicts(spark, sf_dir):
     b = a.select(*(F.col(c).alias(f"b_{c}") for c in a.columns))
     pairs = spatial.box_pairs(a, b, ("x0", "y0", "x1", "y1"), ("b_x0", "b_y0", "b_x1", "b_y1"), 0.3).where("poly < b_poly")
     out = spatial.measure_overlaps(pairs, "rings", "b_rings", ["poly", "b_poly"])
-    return out.withColumn("verdict", spatial.overlap_verdict("a_in_b", "b_in_a", "ratio"))
+    return out.withColumn("v", spatial.overlap_verdict("a_in_b", "b_in_a", "ratio")).select("poly", "b_poly", "a_in_b", "b_in_a", "ratio", F.col("v.label").alias("verdict"), "v.duplicate")
 
 
 @query(f"""WITH {POINTS}, a AS (SELECT * FROM points WHERE grp < 5), b AS (SELECT * FROM points WHERE grp >= 5),

@@ -108,7 +108,8 @@ def decode_wkb(blob: str | Column) -> Column:
     return run(blob)
 
 
-GRAPH_MAGIC = 0x57415452
+# Fixed value: the graph format's magic number, little-endian.
+GRAPH_MAGIC = 0x47574D54
 
 
 def pack_graph(nodes: list[tuple[float, float, int]], edges: list[tuple[int, int]], layer: int = 0, base: int = 0) -> bytes:

@@ -222,3 +222,9 @@ def test_layers_replace_their_partitions_alone(spark, tmp_path):
     readers.write_layers(df, path, ["slug", "layer"])
     readers.write_layers(spark.createDataFrame([(9, "b", 1)], df.schema), path, ["slug", "layer"])
     assert sorted((r["slug"], r["v"]) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 9)]
+
+
+def test_verdicts(spark):
+    rows = [(100.0, 100.0, 1.0), (100.0, 1.0, 0.01), (95.0, 60.0, 0.6), (60.0, 50.0, 0.9), (5.0, 5.0, 0.9)]
+    df = spark.createDataFrame(rows, "a double, b double, r double").select(spatial.overlap_verdict("a", "b", "r").alias("v"))
+    assert [tuple(r["v"]) for r in df.collect()] == [("same outline", True), ("within, sizes unlike", False), ("within, sizes alike", True), ("heavy overlap", True), ("touching", False)]
