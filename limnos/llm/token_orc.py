@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that one encoder call takes, as its results hold many times their bytes; the ORC writer's sizes.
-CHARS_PER_CALL, STRIPE_BYTES, ROW_INDEX_STRIDE, BLOOM_FPP = 400_000, 16 << 20, 1000, 0.01
+CHARS_PER_CALL, STRIPE_BYTES, ROW_INDEX_STRIDE, BLOOM_FPP = 1_500_000, 16 << 20, 1000, 0.01
 #: Chunks that a worker remembers.
-MEMO_SIZE = 600_000
+MEMO_SIZE = 800_000
 
 
 def load_tokenizer(path: str):
@@ -58,6 +58,7 @@ class ChunkEncoder:
 
     _chunks = re.compile(r"[ \n]*(?:[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[,.;:!?%*#&$|])|[^ \n]+)|[ \n]+")
     _other_space = re.compile(r"[^\S \n]")
+    _stem_end = staticmethod(re.compile(r"[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]").match)
 
     def __init__(self, path: str, end_id: int, memo_size: int = MEMO_SIZE):
         self.tokenizer, self.end, self.memo_size = load_tokenizer(path), np.array([end_id], np.int32), memo_size
@@ -82,30 +83,65 @@ class ChunkEncoder:
             return self._forget()
         chunks, count = list(self.memo), self.count[keep]
         ends = np.cumsum(count)
-        self.flat = self.flat[np.arange(count.sum()) + np.repeat(self.start[keep] - ends + count, count)]
+        self.flat = self._gather(keep)
         self.memo = _Memo((chunks[k], i) for i, k in enumerate(keep.tolist()))
         self.start, self.count, self.used = ends - count, count, np.zeros(len(keep), np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, text: str) -> list[str]:
+        """The keys of the text's chunks. Where single spaces and line feeds alone part its words, a split will do: a piece stands for
+        itself after a space, or for itself if it begins with a line feed. Marked by a tab, which no such text has, a key is the chunk."""
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+            return ["\t" + c for c in self._chunks.findall(text)]
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = "\t" + pieces[0]
+        return pieces
+
     def _learn(self, fresh: list[str]) -> None:
-        """Encodes the memo's new chunks. Those with white space before a word are encoded as one text, whose ids are parted by their bytes."""
-        joined = [i for i, c in enumerate(fresh) if c[0] in " \n" and c[-1] not in " \n"]
-        single = [i for i, c in enumerate(fresh) if c[0] not in " \n" or c[-1] in " \n"]
-        parts = [np.array(x, np.int32) for x in self._encode([fresh[i] for i in single])]
-        count = np.zeros(len(fresh), np.int64)
-        count[single] = [len(x) for x in parts]
+        """Encodes the memo's new chunks. A word with signs after it is its word's ids, then its signs': each is looked up, or learned, alone.
+        Chunks with white space before a word are encoded as one text, whose ids are parted by their bytes."""
+        first, get, stem_end = len(self.count), self.memo.__getitem__, self._stem_end
+        halves: list[tuple[int, int, int]] = []
+        whole: list[int] = []
+        for i in range(len(fresh)):  # what is looked up here joins the list's end, and is whole
+            c = fresh[i]
+            stem = c.rstrip(",.;:!?%*#&$|")
+            if len(stem) < len(c) and stem_end(stem[-1:]):
+                halves.append((i, get(stem), get("\t" + c[len(stem) :])))
+            else:
+                whole.append(i)
+        whole += range(len(whole) + len(halves), len(fresh))
+        chunks = [c[1:] if c[:1] == "\t" else c if c[:1] == "\n" else " " + c for c in (fresh[i] for i in whole)]
+        joined = [k for k, c in enumerate(chunks) if c[:1] in (" ", "\n") and c[-1] not in " \n"]
+        single = [k for k, c in enumerate(chunks) if c and not (c[0] in " \n" and c[-1] not in " \n")]
+        parts = [np.array(x, np.int32) for x in self._encode([chunks[k] for k in single])]
+        size = np.zeros(len(whole), np.int64)
+        size[single] = [len(x) for x in parts]
         if joined:
-            ids = np.array(self._encode(["".join([fresh[i] for i in joined])])[0], np.int32)
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(fresh[i].encode("utf-8", "replace")) for i in joined])) + 1
+            ids = np.array(self._encode(["".join([chunks[k] for k in joined])])[0], np.int32)
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(chunks[k].encode("utf-8", "replace")) for k in joined])) + 1
             parts.append(ids)
-            count[joined] = np.diff(ends, prepend=0)
-        order = np.array([*single, *joined])
-        start = np.zeros(len(fresh), np.int64)
-        start[order] = len(self.flat) + np.cumsum(count[order]) - count[order]
-        self.start, self.count = np.concatenate([self.start, start]), np.concatenate([self.count, count])
+            size[joined] = np.diff(ends, prepend=0)
+        order, at = np.array([*single, *joined], np.int64), np.zeros(len(whole), np.int64)
+        at[order] = len(self.flat) + np.cumsum(size[order]) - size[order]
+        self.start, self.count = np.append(self.start, np.zeros(len(fresh), np.int64)), np.append(self.count, np.zeros(len(fresh), np.int64))
+        self.start[first + np.array(whole, np.int64)], self.count[first + np.array(whole, np.int64)] = at, size
         self.flat, self.used = np.concatenate([self.flat, *parts]), np.append(self.used, np.zeros(len(fresh), np.int64))
+        if halves:
+            i, left, right = np.array(halves, np.int64).T
+            pair = np.stack([left, right], 1).ravel()
+            ids = self._gather(pair)
+            size = self.count[left] + self.count[right]
+            self.start[first + i], self.count[first + i] = len(self.flat) + np.cumsum(size) - size, size
+            self.flat = np.append(self.flat, ids)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the memo's chunks with these numbers, end to end."""
+        count = self.count[at]
+        ends = np.cumsum(count)
+        return self.flat[np.arange(ends[-1] if len(at) else 0) + np.repeat(self.start[at] - ends + count, count)]
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, in one array, and the texts' ends."""
@@ -115,7 +151,7 @@ class ChunkEncoder:
         seen: list[np.ndarray | None] = []
         for t in texts:
             if self.by_chunk and not self._other_space.search(t):
-                chunks = self._chunks.findall(t)
+                chunks = self._pieces(t)
                 seen.append(np.fromiter(map(get, chunks), np.int64, len(chunks)))
             else:
                 seen.append(None)
@@ -127,13 +163,11 @@ class ChunkEncoder:
             if at is None:
                 out.append(np.array(next(alone), np.int32))
             else:
-                count = self.count[at]
-                ends = np.cumsum(count)
-                places = np.arange(ends[-1] if len(at) else 0) + np.repeat(self.start[at] - ends + count, count)
-                out.append(self.flat[places])
+                out.append(self._gather(at))
             out.append(self.end)
         if known := [at for at in seen if at is not None]:
-            self.used += np.bincount(np.concatenate(known), minlength=len(self.used))
+            for at in known:
+                self.used[at] += 1  # once a text
         sizes = [len(x) + 1 for x in out[::2]]
         return np.concatenate(out), np.cumsum([0, *sizes], dtype=np.int32)
 
@@ -172,7 +206,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     n_files = n_files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id")
     out = rows.mapInArrow(encode_batches(tokenizer_path, end_id), "doc_id long, n_tokens int, ids array<int>")
-    options = {"orc.stripe.size": stripe_bytes, "orc.create.index": True, "orc.row.index.stride": ROW_INDEX_STRIDE, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": BLOOM_FPP}
+    options = {"orc.stripe.size": stripe_bytes, "orc.create.index": True, "orc.row.index.stride": ROW_INDEX_STRIDE, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": BLOOM_FPP, "compression": "lz4"}
     out.write.options(**options).orc(path)
 
 
