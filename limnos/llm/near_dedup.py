@@ -30,6 +30,8 @@ from .components import components
 
 #: Hash functions; hashes compared at a time; the chosen miss probability; classes and bytes of sets of a grid block.
 K, BATCH, MISS, BLOCK, BLOCK_BYTES = 128, 32, 1e-6, 2048, 8 << 20
+#: Words whose hashes a worker remembers.
+MEMO_WORDS = 150_000
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 
@@ -59,7 +61,7 @@ def least_agreements(threshold: float, miss: float = MISS) -> list[tuple[int, in
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > MEMO_WORDS:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word)
         return out
@@ -103,8 +105,11 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
         for batch in batches:
-            sets = [shingle_set(t, size, hashes) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "n_shingles": [len(s) for s in sets], "key": [_set_key(s) if len(s) else None for s in sets], "sig": [signature(s).tobytes() if len(s) else None for s in sets]})
+            rows = []
+            for t in batch["text"]:  # no more than one set is held
+                s = shingle_set(t, size, hashes)
+                rows.append((len(s), _set_key(s), signature(s).tobytes()) if len(s) else (0, None, None))
+            yield pd.DataFrame(rows, columns=["n_shingles", "key", "sig"]).assign(id=batch["id"].to_numpy())[["id", "n_shingles", "key", "sig"]]
 
     return docs.mapInPandas(run, "id long, n_shingles long, key binary, sig binary")
 
