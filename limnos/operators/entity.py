@@ -108,3 +108,31 @@ def disambiguate(rows: DataFrame, name: str, label: Column, among: Column, out:
     """Names that several of the rows in `among` bear get the label appended."""
     n = F.count(F.when(among, 1)).over(Window.partitionBy(name))
     return rows.withColumn(out, F.when(among & (n > 1), F.concat(F.col(name), F.lit(" ("), label, F.lit(")"))).otherwise(F.col(name)))
+
+
+def changed_documents(store: DataFrame, fresh: DataFrame, key: str, print_: str, version: str = "version") -> DataFrame:
+    """fresh rows whose fingerprint is not their key's latest, with the next version: what a content-addressed store has to append."""
+    last = store.groupBy(key).agg(F.max_by(print_, version).alias("_p"), F.max(version).alias("_v"))
+    new = fresh.join(last, key, "left").where(F.col("_p").isNull() | (F.col("_p") != F.col(print_)))
+    return new.withColumn(version, F.coalesce(F.col("_v"), F.lit(0)) + 1).drop("_p", "_v")
+
+
+def first_sightings(snapshots: DataFrame, live: DataFrame, key: str, day: str, days: int) -> DataFrame:
+    """Of the newest so many days' snapshots the rows that are no longer live, each key once, as last seen."""
+    newest = snapshots.join(F.broadcast(snapshots.select(day).distinct().orderBy(F.desc(day)).limit(days)), day, "left_semi")
+    gone = newest.join(live.select(key), key, "left_anti")
+    return prefer(gone, [key], F.desc(day))
+
+
+def merge_records(pairs: DataFrame, keeper: str, retiree: str, lists: list[str], maps: list[str], scalars: list[str]) -> DataFrame:
+    """keeper rows with a retired one's fields folded in. pairs has each field twice, as keep_<f> and gone_<f>: lists are joined without repeats in
+    order, maps united with the keeper's values first, scalars filled where empty."""
+    blank = lambda c: c.isNull() | (c.cast("string") == "")
+    out = [F.col(keeper), F.col(retiree)]
+    for f in lists:
+        out.append(F.array_distinct(F.concat(F.coalesce(f"keep_{f}", F.array()), F.coalesce(f"gone_{f}", F.array()))).alias(f))
+    for f in maps:
+        out.append(F.map_zip_with(F.coalesce(F.col(f"keep_{f}"), F.create_map()), F.coalesce(F.col(f"gone_{f}"), F.create_map()), lambda k, a, b: F.coalesce(a, b)).alias(f))
+    for f in scalars:
+        out.append(F.when(blank(F.col(f"keep_{f}")), F.col(f"gone_{f}")).otherwise(F.col(f"keep_{f}")).alias(f))
+    return pairs.select(*out)

@@ -111,3 +111,23 @@ def routes(edges: DataFrame, requests: DataFrame, graph: str) -> DataFrame:
     kind = dict(edges.dtypes)[graph]
     requests = requests.select(*(F.col(c).alias(c) for c in requests.columns))  # of a lineage apart from the edges'
     return edges.groupBy(graph).cogroup(requests.groupBy(graph)).applyInPandas(solve, f"{graph} {kind}, request long, length double, path array<long>, depth_held boolean")
+
+
+def reachable(edges: DataFrame, starts: DataFrame, stops: DataFrame | None, hops: int, src: str = "src", dst: str = "dst", node: str = "node") -> DataFrame:
+    """start, node, hop: what each start reaches along the edges within so many hops, at the fewest; a stop node is reached, and not passed."""
+    e = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").distinct())
+    seen = cut(starts.select(F.col(node).alias("start"), F.col(node).alias("node"), F.lit(0).alias("hop")).distinct())
+    front = seen
+    for hop in range(1, hops + 1):
+        open_ = front if stops is None or hop == 1 else front.join(stops.select(F.col(node).alias("node")), "node", "left_anti")
+        front = cut(open_.join(e, open_["node"] == e["a"]).select("start", F.col("b").alias("node"), F.lit(hop).alias("hop")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti"))
+        if not front.limit(1).count():
+            break
+        seen = cut(seen.unionByName(front))
+    return seen
+
+
+def dominant(pairs: DataFrame, a: str, b: str, share: float = 100.0):
+    """Whether first values of pairs are greater (true) or less (false) than second ones by so many to one; null where neither is."""
+    n = pairs.agg(F.count_if(F.col(a) > F.col(b)).alias("down"), F.count_if(F.col(a) < F.col(b)).alias("up"))
+    return n.select(F.when(F.col("down") > share * F.col("up"), True).when(F.col("up") > share * F.col("down"), False).alias("decreasing"), "down", "up")
