@@ -301,3 +301,32 @@ def cell(lon, lat, size: float, how: str = "floor") -> Column:
     """struct<i,j> of a grid cell: floor, truncation toward zero, or JavaScript's rounding."""
     one = {"floor": lambda v: F.floor(v), "trunc": lambda v: v.cast("long"), "round": lambda v: F.floor(v + 0.5)}[how]
     return F.struct(one(_col(lon) / size).cast("long").alias("i"), one(_col(lat) / size).cast("long").alias("j"))
+
+
+def affine(src: list[tuple], dst: list[tuple]) -> Column:
+    """struct<a,b,c,d,e,f> with x' = a x + b y + c, y' = d x + e y + f through three point pairs; null where the points lie on a line."""
+    (x1, y1), (x2, y2), (x3, y3) = [(_col(x), _col(y)) for x, y in src]
+    det = x1 * (y2 - y3) + x2 * (y3 - y1) + x3 * (y1 - y2)
+    safe = F.when(F.abs(det) > 1e-12, det)
+
+    def row(u1, u2, u3) -> tuple[Column, Column, Column]:
+        u1, u2, u3 = map(_col, (u1, u2, u3))
+        return (
+            (u1 * (y2 - y3) + u2 * (y3 - y1) + u3 * (y1 - y2)) / safe,
+            (u1 * (x3 - x2) + u2 * (x1 - x3) + u3 * (x2 - x1)) / safe,
+            (u1 * (x2 * y3 - x3 * y2) + u2 * (x3 * y1 - x1 * y3) + u3 * (x1 * y2 - x2 * y1)) / safe,
+        )
+
+    names = iter("abcdef")
+    parts = [p.alias(next(names)) for k in (0, 1) for p in row(*(d[k] for d in dst))]
+    return F.when(safe.isNotNull(), F.struct(*parts))
+
+
+def inside_point(ring) -> Column:
+    """The middle of the first two crossings of a ring by its box's middle latitude; the box's centre where there are none."""
+    b = bounds(ring)
+    y = (b["ymin"] + b["ymax"]) / 2
+    hits = F.filter(_closed(ring), lambda p: (p["a"]["y"] > y) != (p["b"]["y"] > y))
+    xs = F.array_sort(F.transform(hits, lambda p: p["a"]["x"] + (y - p["a"]["y"]) * (p["b"]["x"] - p["a"]["x"]) / (p["b"]["y"] - p["a"]["y"])))
+    x = F.when(F.size(xs) >= 2, (F.get(xs, F.lit(0)) + F.get(xs, F.lit(1))) / 2).otherwise((b["xmin"] + b["xmax"]) / 2)
+    return F.struct(x.alias("x"), y.alias("y"))

@@ -117,3 +117,20 @@ def clamp_to_oxygen(top, bottom, anoxic) -> Column:
     t, b, a = _col(top), _col(bottom), _col(anoxic)
     conflict = F.coalesce(a <= t, F.lit(False))
     return F.struct(t.alias("top"), F.when(conflict | a.isNull(), b).otherwise(F.least(b, a)).alias("bottom"), conflict.alias("conflict"))
+
+
+def depth_ranges(text, limit: float = 200.0) -> Column:
+    """array<struct<low,high,kind>> of depths in feet told in prose, up to a limit: fish where the words before speak of fish, water where of water or bottom, else unclear."""
+    pattern = r"((?:\S+\s+){0,4})(\d+(?:\.\d+)?)(?:\s*(?:-|to)\s*(\d+(?:\.\d+)?))?\s*(?:feet|foot|ft)\b"
+    t = F.lower(_col(text))
+    part = lambda n: F.regexp_extract_all(t, F.lit(pattern), F.lit(n))
+    before = part(1)
+    kind = lambda s: F.when(s.rlike("fish|bass|crappie|holding|suspend|catch"), "fish").when(s.rlike("water|bottom|depth|deep"), "water").otherwise("unclear")
+    rows = F.transform(F.arrays_zip(before.alias("b"), part(2).alias("l"), part(3).alias("h")), lambda x: F.struct(x["l"].cast("double").alias("low"), F.coalesce(F.nullif(x["h"], F.lit("")).try_cast("double"), x["l"].cast("double")).alias("high"), kind(x["b"]).alias("kind")))
+    return F.filter(rows, lambda x: (x["low"] <= x["high"]) & (x["high"] <= limit))
+
+
+def between_markers(text, start: str, end: str) -> Column:
+    """What stands between two markers (regular expressions), the end's absence meaning the text's end; null without the start."""
+    got = F.regexp_extract(_col(text), rf"(?s){start}(.*?)(?:{end}|\z)", 1)
+    return F.when(_col(text).rlike(start), got)

@@ -136,3 +136,47 @@ def merge_records(pairs: DataFrame, keeper: str, retiree: str, lists: list[str],
     for f in scalars:
         out.append(F.when(blank(F.col(f"keep_{f}")), F.col(f"gone_{f}")).otherwise(F.col(f"keep_{f}")).alias(f))
     return pairs.select(*out)
+
+
+def deletions(name: Column, edits: int) -> Column:
+    """The name and all it becomes by dropping up to so many letters: two names within that edit distance share one of them."""
+    out = F.array(name)
+    level = out
+    for _ in range(edits):
+        level = F.array_distinct(F.flatten(F.transform(level, lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))))))
+        out = F.array_distinct(F.concat(out, level))
+    return out
+
+
+def near_names(queries: DataFrame, registry: DataFrame, key: str, name: str, row_id: str, row_name: str, edits: int = 1) -> DataFrame:
+    """key, row_id, edits of every pair of names 1 to `edits` apart: names meet in a hashed join on their deletions, and the distance is then taken."""
+    q = queries.select(key, F.col(name).alias("_a"), F.explode(deletions(F.col(name), edits)).alias("_d"))
+    r = registry.select(row_id, F.col(row_name).alias("_b"), F.explode(deletions(F.col(row_name), edits)).alias("_d"))
+    pairs = q.join(r, "_d").select(key, row_id, "_a", "_b").distinct()
+    return pairs.withColumn("edits", F.levenshtein("_a", "_b")).where(F.col("edits").between(1, edits)).select(key, row_id, "edits")
+
+
+def merge_places(left: DataFrame, right: DataFrame, row_id: str, name: str, fields: list[str], metres: float = 50.0) -> DataFrame:
+    """One table of two sources' places: rows of one cleaned name within so many metres are one, with the left's values and the right's where those are
+    missing; others stay. A right row joins the nearest left one. Columns: row_id, lon, lat, name, fields, source."""
+    from limnos.functions import geo
+
+    a = left.withColumn("_k", clean(name))
+    b = right.select(clean(name).alias("_k"), F.col(row_id).alias("_id"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), *(F.col(f).alias(f"_{f}") for f in fields))
+    near = a.join(b, "_k").withColumn("_m", geo.equirect_m("lon", "lat", "_lon", "_lat")).where(F.col("_m") <= metres)
+    pairs = prefer(prefer(near, ["_id"], F.col("_m"), F.col(row_id)), [row_id], F.col("_m"), F.col("_id"))
+    filled = a.join(pairs.select(row_id, "_id", *(f"_{f}" for f in fields)), row_id, "left")
+    source = F.when(F.col("_id").isNull(), "left").otherwise("both")
+    kept = filled.select(row_id, "lon", "lat", name, *(F.coalesce(f, f"_{f}").alias(f) for f in fields), source.alias("source"))
+    rest = right.join(pairs.select(F.col("_id").alias(row_id)), row_id, "left_anti").select(row_id, "lon", "lat", name, *fields, F.lit("right").alias("source"))
+    return kept.unionByName(rest)
+
+
+def fresh(table: DataFrame, loaded_at: str, now: Column, ttl_s: float) -> DataFrame:
+    """Rows whose time to live is not over."""
+    return table.where(now - F.col(loaded_at) <= ttl_s)
+
+
+def new_defaults(defaults: DataFrame, saved: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """Defaults that are neither saved nor were seen before, so that what a user deleted stays so."""
+    return defaults.join(saved.select(key), key, "left_anti").join(seen.select(key), key, "left_anti")

@@ -85,3 +85,16 @@ def span_within(line: Column, box: tuple) -> Column:
     b = geo.bounds(line)
     x0, y0, x1, y1 = map(geo._col, box)
     return (b["xmax"] - b["xmin"] <= x1 - x0) & (b["ymax"] - b["ymin"] <= y1 - y0)
+
+
+def best_of_kinds(items: DataFrame, keys: list[str], kind: str, score: str, item: str, floor: float = -900.0) -> DataFrame:
+    """keys, slot, item: slot 0 has the best above the floor, slot 1 the best of another kind."""
+    live = items.where(F.col(score) > floor)
+    by_kind = live.groupBy(*keys, kind).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(item).alias("i"))).alias("_b"))
+    w = Window.partitionBy(*keys).orderBy("_b")
+    return by_kind.withColumn("slot", F.row_number().over(w) - 1).where("slot < 2").select(*keys, "slot", F.col("_b.i").alias(item))
+
+
+def registry_counts(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """One row: how many rows each flag holds for."""
+    return rows.agg(F.count("*").alias("rows"), *(F.count_if(c).alias(n) for n, c in flags.items()))

@@ -77,3 +77,11 @@ def contours(cells: DataFrame, key: str, value: str, levels: list[float]) -> Dat
 
     kind = dict(cells.dtypes)[key]
     return cells.select(key, "i", "j", value).groupBy(key).applyInPandas(trace, f"{key} {kind}, level double, segments long, lines long, length double")
+
+
+def fill_fringe(cells: DataFrame, keys: list[str], value: str, reach: int = 3) -> DataFrame:
+    """cells and the empty cells within reach of one, with the value of the nearest (of equal ones the least cell); `filled` marks them."""
+    sent = cells.select(*keys, F.col("i").alias("_i"), F.col("j").alias("_j"), F.col(value).alias("_v"), F.explode(_offsets(reach)).alias("_o"))
+    near = F.min(F.struct((F.col("_o.a") * F.col("_o.a") + F.col("_o.b") * F.col("_o.b")).alias("d"), F.col("_i").alias("i"), F.col("_j").alias("j"), F.col("_v").alias("v")))
+    out = sent.groupBy(*keys, (F.col("_i") + F.col("_o.a")).alias("i"), (F.col("_j") + F.col("_o.b")).alias("j")).agg(near.alias("_n"))
+    return out.where(F.col("_n.d") <= reach * reach).select(*keys, "i", "j", F.col("_n.v").alias(value), (F.col("_n.d") > 0).alias("filled"))
