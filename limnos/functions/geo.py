@@ -330,3 +330,31 @@ def inside_point(ring) -> Column:
     xs = F.array_sort(F.transform(hits, lambda p: p["a"]["x"] + (y - p["a"]["y"]) * (p["b"]["x"] - p["a"]["x"]) / (p["b"]["y"] - p["a"]["y"])))
     x = F.when(F.size(xs) >= 2, (F.get(xs, F.lit(0)) + F.get(xs, F.lit(1))) / 2).otherwise((b["xmin"] + b["xmax"]) / 2)
     return F.struct(x.alias("x"), y.alias("y"))
+
+
+def inverse_albers(x, y, lat0: float = 23.0, lon0: float = -96.0, lat1: float = 29.5, lat2: float = 45.5) -> Column:
+    """struct<lon,lat> of `albers`' plane, by the series from the authalic latitude."""
+    import math
+
+    a, f = 6_378_137.0, 1 / 298.257222101
+    e2 = 2 * f - f * f
+    e = math.sqrt(e2)
+
+    def q(s: float) -> float:
+        return (1 - e2) * (s / (1 - (e * s) ** 2) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+    def m(p: float) -> float:
+        return math.cos(p) / math.sqrt(1 - (e * math.sin(p)) ** 2)
+
+    p0, p1, p2 = (math.radians(v) for v in (lat0, lat1, lat2))
+    n = (m(p1) ** 2 - m(p2) ** 2) / (q(math.sin(p2)) - q(math.sin(p1)))
+    c = m(p1) ** 2 + n * q(math.sin(p1))
+    rho0 = a * math.sqrt(c - n * q(math.sin(p0))) / n
+    dy = rho0 - _col(y)
+    rho = F.hypot(_col(x), dy)
+    beta = F.asin((c - F.pow(rho * n / a, F.lit(2.0))) / n / q(1.0))
+    terms = [(2, e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040), (4, 23 * e2**2 / 360 + 251 * e2**3 / 3780), (6, 761 * e2**3 / 45360)]
+    lat = beta
+    for k, v in terms:
+        lat = lat + v * F.sin(k * beta)
+    return F.struct((F.lit(lon0) + F.degrees(F.atan2(_col(x), dy)) / n).alias("lon"), F.degrees(lat).alias("lat"))

@@ -160,3 +160,50 @@ def chain_lines(lines: list[list[tuple[float, float]]], places: int = 5) -> list
             run.reverse()
         out.append(run)
     return out
+
+
+def _crossings(edges: np.ndarray, y: float) -> np.ndarray:
+    """Sorted x at which a polygon's edges (n, 2, 2) cross a level; pairs of them are its inside."""
+    a, b = edges[:, 0], edges[:, 1]
+    hit = (a[:, 1] > y) != (b[:, 1] > y)
+    a, b = a[hit], b[hit]
+    return np.sort(a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1]))
+
+
+def _meets(e: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Levels at which edges of two sets cross each other."""
+    p, r = e[:, None, 0], e[:, None, 1] - e[:, None, 0]
+    q, s = f[None, :, 0], f[None, :, 1] - f[None, :, 0]
+    cross = r[..., 0] * s[..., 1] - r[..., 1] * s[..., 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = ((q - p)[..., 0] * s[..., 1] - (q - p)[..., 1] * s[..., 0]) / cross
+        u = ((q - p)[..., 0] * r[..., 1] - (q - p)[..., 1] * r[..., 0]) / cross
+    at = (cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+    return (p[..., 1] + t * r[..., 1])[at]
+
+
+def exact_overlap(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[float, float, float]:
+    """Areas of two polygons (outer rings and holes, even-odd) and of their intersection. Between neighbouring levels of vertices and crossings
+    all edges are straight and apart, so a slab's overlap is its height times the overlap at its middle."""
+    edges = [np.concatenate([np.stack([r, np.roll(r, -1, axis=0)], 1) for r in rings]) for rings in (a, b)]
+    levels = np.unique(np.concatenate([edges[0][:, 0, 1], edges[1][:, 0, 1], _meets(*edges)]))
+    areas = np.zeros(3)
+    for lo, hi in zip(levels, levels[1:], strict=False):
+        xs = [_crossings(e, (lo + hi) / 2) for e in edges]
+        spans = [x.reshape(-1, 2) for x in xs]
+        both = sum(max(0.0, min(p[1], q[1]) - max(p[0], q[0])) for p in spans[0] for q in spans[1])
+        areas += (hi - lo) * np.array([(s[:, 1] - s[:, 0]).sum() for s in spans] + [both])
+    return tuple(float(x) for x in areas)
+
+
+def pull_string(path: np.ndarray, clear, step: float) -> list[int]:
+    """Indices of a path's vertices kept by always going on to the farthest one in sight: every sample of the chord, `step` apart, must be clear."""
+    keep = [0]
+    while keep[-1] < len(path) - 1:
+        at = keep[-1]
+        for to in range(len(path) - 1, at, -1):
+            n = max(2, int(np.hypot(*(path[to] - path[at])) / step) + 1)
+            if to == at + 1 or all(clear(p) for p in path[at] + np.linspace(0, 1, n)[:, None] * (path[to] - path[at])):
+                keep.append(to)
+                break
+    return keep

@@ -146,3 +146,29 @@ def resample(share: float):
 
 def smooth(window: int):
     return line_udf(lambda xy: kernels.moving_average(xy, window))
+
+
+def exact_overlaps(pairs: DataFrame, rings_a: str, rings_b: str, keep: list[str]) -> DataFrame:
+    """As measure_overlaps, with exact areas: for outlines of moderate size, as every crossing of their edges is looked at."""
+
+    @F.pandas_udf("a_in_b double, b_in_a double, ratio double")
+    def measure(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        arrays = lambda rings: [np.array([(p["x"], p["y"]) for p in r]) for r in rings]
+        rows = []
+        for p, q in zip(a, b, strict=True):
+            na, nb, both = kernels.exact_overlap(arrays(p), arrays(q))
+            rows.append((100 * both / na if na else 0.0, 100 * both / nb if nb else 0.0, min(na, nb) / max(na, nb) if max(na, nb) else 0.0))
+        return pd.DataFrame(rows, columns=["a_in_b", "b_in_a", "ratio"])
+
+    return pairs.select(*keep, measure(rings_a, rings_b).alias("_m")).select(*keep, "_m.*")
+
+
+def side_of(points: DataFrame, segments: DataFrame, key: str, metres: float) -> DataFrame:
+    """key and side (1 left of the nearest segment as drawn, -1 right, 0 on it), for points within metres of one; of equally near ones the first drawn.
+    points: lon, lat; segments: seg, ax, ay, bx, by, each no longer than metres, so that its middle's cells find it."""
+    mid = segments.select("*", ((F.col("ax") + F.col("bx")) / 2).alias("_mx"), ((F.col("ay") + F.col("by")) / 2).alias("_my"))
+    near = radius_join(points.select(key, "lon", "lat"), mid, ("lon", "lat"), ("_mx", "_my"), 1.5 * metres)
+    d = geo.point_segment_m("lon", "lat", "ax", "ay", "bx", "by")
+    cross = (F.col("bx") - F.col("ax")) * (F.col("lat") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("lon") - F.col("ax"))
+    best = F.min(F.struct(d.alias("d"), F.col("seg").alias("s"), F.signum(cross).cast("int").alias("side")))
+    return near.where(d <= metres).groupBy(key).agg(best.alias("_b")).select(key, F.col("_b.side").alias("side"))

@@ -143,3 +143,64 @@ def read_graphs(spark: SparkSession, path: str, what: str) -> DataFrame:
 def write_layers(df: DataFrame, path: str, keys: list[str]) -> None:
     """Parquet by partition; only the partitions that df holds are replaced."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def read_dbf(spark: SparkSession, path: str) -> DataFrame:
+    """file, row, fields (map of trimmed strings) of dBASE tables; deleted rows go."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, data in zip(batch["path"], batch["content"], strict=True):
+                n, head, width = struct.unpack_from("<IHH", data, 4)
+                fields, at = [], 32
+                while data[at] != 0x0D:
+                    fields.append((data[at : at + 11].split(b"\0")[0].decode("latin-1"), data[at + 16]))
+                    at += 32
+                rows = []
+                for r in range(n):
+                    row = data[head + r * width : head + (r + 1) * width]
+                    if row[:1] == b"*":
+                        continue
+                    out, at = {}, 1
+                    for name, size in fields:
+                        out[name] = row[at : at + size].decode("latin-1").strip()
+                        at += size
+                    rows.append((file, r, out))
+                yield pd.DataFrame(rows, columns=["file", "row", "fields"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, row long, fields map<string,string>")
+
+
+def read_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """file, row, rings (array<array<struct<x,y>>>) of the polygons of shapefiles; other shapes have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, data in zip(batch["path"], batch["content"], strict=True):
+                at, rows = 100, []
+                while at + 8 <= len(data):
+                    number, words = struct.unpack_from(">II", data, at)
+                    kind = struct.unpack_from("<I", data, at + 8)[0]
+                    rings = []
+                    if kind in (5, 15, 25):
+                        parts, points = struct.unpack_from("<II", data, at + 44)
+                        starts = [*struct.unpack_from(f"<{parts}I", data, at + 52), points]
+                        xy = struct.unpack_from(f"<{2 * points}d", data, at + 52 + 4 * parts)
+                        rings = [[{"x": xy[2 * i], "y": xy[2 * i + 1]} for i in range(a, b)] for a, b in zip(starts, starts[1:], strict=False)]
+                    rows.append((file, number - 1, rings))
+                    at += 8 + 2 * words
+                yield pd.DataFrame(rows, columns=["file", "row", "rings"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, row long, rings array<array<struct<x:double,y:double>>>")
+
+
+def write_gpx(waypoints: DataFrame, path: str) -> None:
+    """Waypoints (name, sym, lat, lon) as XML that `read_gpx` reads."""
+    rows = waypoints.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "name", "sym")
+    rows.write.format("xml").option("rootTag", "gpx").option("rowTag", "wpt").save(path)
+
+
+def read_series(spark: SparkSession, path: str) -> DataFrame:
+    """name, unit, t, value of JSON series whose values are [time in ms, value, ...] rows, the unit told beside them; null values stay null."""
+    rows = spark.read.schema("name string, units string, `values` array<array<double>>").option("multiLine", True).json(path)
+    return rows.select("name", F.col("units").alias("unit"), F.explode("values").alias("v")).select("name", "unit", F.timestamp_millis(F.col("v")[0].cast("long")).alias("t"), F.col("v")[1].alias("value"))

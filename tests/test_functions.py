@@ -228,3 +228,57 @@ def test_verdicts(spark):
     rows = [(100.0, 100.0, 1.0), (100.0, 1.0, 0.01), (95.0, 60.0, 0.6), (60.0, 50.0, 0.9), (5.0, 5.0, 0.9)]
     df = spark.createDataFrame(rows, "a double, b double, r double").select(spatial.overlap_verdict("a", "b", "r").alias("v"))
     assert [tuple(r["v"]) for r in df.collect()] == [("same outline", True), ("within, sizes unlike", False), ("within, sizes alike", True), ("heavy overlap", True), ("touching", False)]
+
+
+def test_exact_overlap():
+    square = lambda x, y, s: np.array([(x, y), (x + s, y), (x + s, y + s), (x, y + s)], float)
+    assert np.allclose(kernels.exact_overlap([square(0, 0, 10)], [square(5, 0, 10)]), (100, 100, 50))
+    assert np.allclose(kernels.exact_overlap([square(0, 0, 10), square(4, 4, 2)], [square(0, 0, 10)]), (96, 100, 96))
+    assert kernels.exact_overlap([square(0, 0, 1)], [square(5, 5, 1)])[2] == 0
+    diamond = np.array([(5, -5), (15, 5), (5, 15), (-5, 5)], float)
+    assert np.allclose(kernels.exact_overlap([square(0, 0, 10)], [diamond])[2], 100)
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        a, b = ([np.stack([np.cos(t), np.sin(t)], 1) * rng.uniform(0.5, 1.5, (9, 1)) + rng.normal(0, 0.3, 2)] for t in (np.arange(9) * 2 * np.pi / 9,) * 2)
+        area = kernels.exact_overlap(a, b)
+        grid = np.stack(np.meshgrid(*(np.linspace(-2.5, 2.5, 801),) * 2), -1).reshape(-1, 2)
+        assert abs(area[2] - (kernels.inside(grid, a) & kernels.inside(grid, b)).mean() * (5 * 801 / 800) ** 2) < 0.03
+
+
+def test_pulled_string():
+    path = np.array([(0, 0), (1, 1), (2, 0), (3, 1), (4, 0)], float)
+    assert kernels.pull_string(path, lambda p: True, 0.1) == [0, 4]
+    assert kernels.pull_string(path, lambda p: p[1] > 0.4 or abs(p[0] - round(p[0] / 4) * 4) < 0.5, 0.1) == [0, 1, 3, 4]
+
+
+def test_albers_round_trip(spark):
+    df = spark.createDataFrame([(-81.0, 34.0), (-96.0, 23.0), (-120.5, 47.25)], "lon double, lat double")
+    p = df.withColumn("p", geo.albers("lon", "lat")).withColumn("b", geo.inverse_albers(F.col("p.x"), F.col("p.y"))).collect()
+    assert all(abs(r["b"]["lon"] - r["lon"]) < 1e-9 and abs(r["b"]["lat"] - r["lat"]) < 1e-7 for r in p)
+    assert abs(p[1]["p"]["x"]) < 1e-6 and abs(p[1]["p"]["y"]) < 1e-6
+
+
+def test_sides(spark):
+    pts = spark.createDataFrame([(1, -81.0, 34.001), (2, -81.0, 33.999), (3, -70.0, 34.0)], "id long, lon double, lat double")
+    seg = spark.createDataFrame([(1, -81.002, 34.0, -80.998, 34.0)], "seg int, ax double, ay double, bx double, by double")
+    assert {r["id"]: r["side"] for r in spatial.side_of(pts, seg, "id", 500).collect()} == {1: 1, 2: -1}
+
+
+def test_shapes_and_tables(spark, tmp_path):
+    fields = [(b"NAME", 6), (b"N", 3)]
+    head = 32 + 32 * len(fields) + 1
+    dbf = struct.pack("<BBBBIHH20x", 3, 0, 0, 0, 2, head, 10) + b"".join(n.ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([w]) + b"\0" * 15 for n, w in fields) + b"\r"
+    (tmp_path / "a.dbf").write_bytes(dbf + b" " + b"Lake  " + b"  7" + b"*" + b"gone  " + b"  8")
+    rows = readers.read_dbf(spark, str(tmp_path / "a.dbf")).collect()
+    assert [(r["row"], r["fields"]) for r in rows] == [(0, {"NAME": "Lake", "N": "7"})]
+    xy = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0)]
+    body = struct.pack("<I4dII", 5, 0, 0, 1, 1, 1, 4) + struct.pack("<I", 0) + b"".join(struct.pack("<dd", *p) for p in xy)
+    (tmp_path / "a.shp").write_bytes(b"\0" * 100 + struct.pack(">II", 1, len(body) // 2) + body + struct.pack(">II", 2, 2) + struct.pack("<I", 0))
+    shapes = readers.read_shapes(spark, str(tmp_path / "a.shp")).orderBy("row").collect()
+    assert [(p["x"], p["y"]) for p in shapes[0]["rings"][0]] == xy and shapes[1]["rings"] == []
+    way = spark.createDataFrame([("Hump", "Fish", 34.5, -81.25)], "name string, sym string, lat double, lon double")
+    readers.write_gpx(way, str(tmp_path / "gpx"))
+    assert tuple(readers.read_gpx(spark, str(tmp_path / "gpx")).first()) == ("Hump", "Fish", 34.5, -81.25)
+    (tmp_path / "s.json").write_text('{"name": "x", "units": "ft", "values": [[0, 1.5, 0], [3600000, null, 0]]}')
+    got = readers.read_series(spark, str(tmp_path / "s.json")).collect()
+    assert [(r["unit"], r["value"]) for r in got] == [("ft", 1.5), ("ft", None)]
