@@ -7,15 +7,18 @@ Rows are ordered by a 64-bit hash of their text, so equal texts are neighbours.
 2. The exact size of every range is counted (one row a range reaches the driver).
    In a range over `overfull` times the mean, the hashes that alone outweigh half
    a mean range are looked up; each is subdivided by a hash of the row's id.
-3. Ranges are laid end to end and dealt to shards by the midpoint of their
-   cumulative bytes; a slot is the shard's earlier ranges' rows plus the row number in the range.
+3. A shard is a set of ranges: the largest range goes to the least loaded shard, and so on down. A slot is the shard's
+   earlier ranges' rows plus the row number in the range.
 
 Only sizes and hashes are shuffled, unless the caller keeps wide columns.
-Law: `bytes`. Shards differ by about one range (1/ranges_per_shard of a shard) or the largest single row.
+Law: `bytes`. Shards differ by a fraction of a range (1/ranges_per_shard of a shard), unless one row outweighs a shard.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,14 +96,17 @@ def shard_documents(
     parts = F.coalesce(F.get(F.lit([heavy[h] for h in heavies] or [1]), (place - 1).cast("int")), F.lit(1))
     rows = rows.withColumn(rng, ranged).withColumn(sub, F.struct(F.col(rng).alias("r"), place.alias("p"), F.when(place > 0, F.pmod(F.col(order), parts)).otherwise(F.lit(0)).cast("long").alias("s")))
     counted = rows.groupBy(sub).agg(F.sum("size"), F.count("*")).collect() if heavies else [((r, 0, 0), b, k) for r, (b, k) in sizes.items()]
-    codes, shard_of, slot_of, seen, filled = {}, [], [], 0, [0] * n_shards
-    for i, (code, b, k) in enumerate(sorted((tuple(c[0]), c[1], c[2]) for c in counted)):
-        codes[code] = i
-        shard = min(n_shards - 1, (2 * seen + b) * n_shards // (2 * total))
-        shard_of.append(shard)
+    counted = sorted((tuple(c[0]), c[1], c[2]) for c in counted)
+    codes = {code: i for i, (code, _, _) in enumerate(counted)}
+    # The largest range goes to the least loaded shard, and so on down: shards end within the smallest ranges of each other.
+    loads, shard_of = [(0, s) for s in range(n_shards)], [0] * len(counted)
+    for i in sorted(range(len(counted)), key=lambda i: (-counted[i][1], i)):
+        load, shard_of[i] = heapq.heappop(loads)
+        heapq.heappush(loads, (load + counted[i][1], shard_of[i]))
+    slot_of, filled = [], [0] * n_shards
+    for (_, _, k), shard in zip(counted, shard_of, strict=True):
         slot_of.append(filled[shard])
         filled[shard] += k
-        seen += b
     # The dense number of a range: ordinary ranges by their rank, heavy hashes by an offset of their own.
     base = [codes.get((r, 0, 0), 0) for r in range(len(bounds) + 1)]
     dense = F.get(F.lit(base), F.col(f"{sub}.r"))
@@ -123,6 +129,4 @@ def shard_documents(
 
 
 def _rank_of(key: int, bounds: list[int]) -> int:
-    import bisect
-
     return bisect.bisect_left(bounds, key)

@@ -40,7 +40,7 @@ def test_sharding_law_and_slots(spark):
         slots[r["shard"]].append(r["slot"])
         largest = max(largest, r["size"])
     assert all(sorted(s) == list(range(len(s))) for s in slots)
-    assert max(load) - min(load) <= 2 * largest
+    assert max(load) - min(load) <= largest
 
 
 def test_sharding_splits_a_hot_group_and_keeps_others_whole(spark):
