@@ -13,10 +13,8 @@ N_SHARDS = 16
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that have a language: those without text or letters go. `lang` stays as it was."""
-    model = language_id.train(docs.where(~held_out()))
-    out = language_id.identify(docs, model, lang_pred="__lang_pred", score="__score")
-    return out.where(F.col("__lang_pred") != language_id.UND).select(*docs.columns) if model is not None else docs
+    """Keeps documents that the network puts in a language it learned, by prediction and score; those without text or letters go. `lang` stays as it was."""
+    return language_id.in_learned_language(docs, language_id.train(docs.where(~held_out()), reject=True))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
