@@ -4,8 +4,8 @@ The patterns' matches (the base) always stay. The CRF is trained on a small labe
 finds elsewhere: personal data in spellings that the patterns miss. A token's features are numbers of its shape
 (digits, letters, signs, what it starts and ends with, lengths in steps) and those of its neighbours.
 
-Texts are tokenised and decoded in numpy batches, many texts laid end to end. Only tokens near a digit or an @ may
-bear a label; the field is trained on, and Viterbi runs over, these stretches alone, all of a batch at once.
+Texts are tokenised and decoded in numpy batches, many texts laid end to end. Every token may bear a label: the
+field is trained on, and Viterbi runs over, whole texts, all of a batch at once.
 """
 
 from __future__ import annotations
@@ -85,8 +85,8 @@ def _char_classes() -> np.ndarray:
 
 _CLASS = _char_classes()
 N_CLASSES = 11
-#: Tokens on either side of a digit or an @ that may be labelled; further off every token is O.
-REACH = 4
+#: Cells (rows times tokens) that a decoded batch holds at most, longer single parts apart.
+CELLS = 200_000
 #: Words whose neighbourhood tells a label; a fixed list, in lower case.
 CUES = ("phone", "tel", "call", "mobile", "fax", "email", "mail", "contact", "write", "ip", "host", "server", "address", "card", "visa", "paid", "account", "at", "dot")
 
@@ -106,9 +106,9 @@ def tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 _WIDE_SPACES = np.array([c for c in range(128, 0x3001) if chr(c).isspace()], np.uint32)
 
-#: Feature numbers of a token: counts of digits and other classes in steps, first and last class, cues.
+#: Feature numbers of a token: counts of digits and other classes in steps, first and last class, cues, whether (at), [at], (dot) or [dot] is within.
 _DIGIT_STEPS = np.array([0, 1, 2, 3, 4, 5, 7, 9, 10, 12, 13, 16, 17, 20], np.int64)
-_SIZES = (len(_DIGIT_STEPS), 3, 3, 5, 4, 2, 2, 3, N_CLASSES, N_CLASSES, len(CUES) + 1)
+_SIZES = (len(_DIGIT_STEPS), 3, 3, 5, 4, 2, 2, 3, N_CLASSES, N_CLASSES, len(CUES) + 1, 3)
 N_FEATURES = sum(_SIZES)
 _OFFSETS = np.cumsum([0, *_SIZES[:-1]])
 _RADIX = np.cumprod([1, *_SIZES[:-1]], dtype=np.int64)
@@ -140,6 +140,20 @@ def _cues(codes: np.ndarray, starts: np.ndarray, letters: np.ndarray) -> np.ndar
     return out
 
 
+def _bracketed(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each token 1 if it holds (at) or [at], 2 if (dot) or [dot], of several the last; else 0."""
+    out = np.zeros(len(starts), np.int64)
+    opens = np.flatnonzero((codes == ord("(")) | (codes == ord("[")))
+    for number, word in ((1, "at"), (2, "dot")):
+        at = opens[opens + len(word) + 1 < len(codes)]
+        for i, c in enumerate(word, 1):
+            at = at[(codes[at + i] | 32) == ord(c)]
+        close = codes[at + len(word) + 1]
+        at = at[(close == ord(")")) | (close == ord("]"))]
+        out[np.searchsorted(starts, at, "right") - 1] = number
+    return out
+
+
 def features(starts: np.ndarray, ends: np.ndarray, classes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """(token, group) feature numbers, by running sums over the characters' classes."""
     n = len(starts)
@@ -169,20 +183,14 @@ def features(starts: np.ndarray, ends: np.ndarray, classes: np.ndarray, codes: n
         classes[starts],
         classes[ends - 1],
         _cues(codes, starts, letters),
+        _bracketed(codes, starts),
     )
     return np.stack(groups, 1).astype(np.int64) + _OFFSETS
 
 
 def stretches(f: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Tokens within REACH tokens, in the same text, of one with a digit or an @."""
-    text = np.cumsum(first)
-    seed = (f[:, 0] > _OFFSETS[0]) | (f[:, 2] > _OFFSETS[2])
-    out = seed.copy()
-    for d in range(1, min(REACH, len(f) - 1) + 1):
-        same = text[d:] == text[:-d]
-        out[d:] |= seed[:-d] & same
-        out[:-d] |= seed[d:] & same
-    return out
+    """Tokens that may bear a label: all, as an email in words has neither digit nor @."""
+    return np.ones(len(f), bool)
 
 
 class CRF:
@@ -246,8 +254,12 @@ class CRF:
         step = np.where(self.banned, -1e9, self.step)
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(stretches)
         order = sorted(range(len(stretches)), key=lambda i: len(stretches[i]))
-        for lo in range(0, len(order), 512):
-            rows = order[lo : lo + 512]
+        lo = 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and hi - lo < 4096 and (hi + 1 - lo) * len(stretches[order[hi]]) <= CELLS:
+                hi += 1
+            rows, lo = order[lo:hi], hi
             length = np.array([len(stretches[i]) for i in rows])
             e = np.zeros((len(rows), length[-1], len(self.LABELS)))
             for r, i in enumerate(rows):
@@ -270,16 +282,14 @@ class CRF:
         return out
 
     def label(self, f: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The best labels of texts laid end to end, O outside the stretches; all stretches are decoded together."""
+        """The best labels of texts laid end to end, those of Viterbi over each whole text; all texts are decoded together."""
         out = np.zeros(len(f), np.int64)
         if not len(f):
             return out
+        e = self.scores(f, first)
         live = np.flatnonzero(stretches(f, first))
-        if not len(live):
-            return out
         breaks = np.flatnonzero((np.diff(live) > 1) | first[live[1:]]) + 1
         pieces = np.split(live, breaks)
-        e = self.scores(f, first)
         for at, y in zip(pieces, self.decode([e[p] for p in pieces]), strict=True):
             out[at] = y
         return out
@@ -293,8 +303,10 @@ def _sample_row(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     def item() -> tuple[str, str]:
         kind = rng.choice(KINDS)
         if kind == "email":
-            name, site, top = f"{word()}.{digits(2)}", f"{word()}{rng.choice(['', '2'])}", rng.choice(["com", "org", "net", "example.com"])
-            return rng.choice([f"{name}@{site}.{top}", f"{name} at {site} dot com", f"{name}(at){site}.{top}", f"{name}[at]{site}.{top}"]), kind
+            site, top = f"{word()}{rng.choice(['', '', '2'])}", rng.choice(["com", "org", "net", "example.com"])
+            name = rng.choice([f"{word()}.{digits(2)}", word(), f"{word()}.{word()}"])
+            spoken = rng.choice([name, f"{word()} dot {word()}"])
+            return rng.choice([f"{name}@{site}.{top}", f"{spoken} at {site} dot {top.split('.')[-1]}", f"{name}(at){site}.{top}", f"{name}[at]{site}.{top}", f"{name} (at) {site} (dot) com", f"{name} [at] {site} [dot] com"]), kind
         if kind == "ip":
             p = [str(rng.randrange(256)) for _ in range(4)]
             return rng.choice([".".join(p), ".".join(p), " . ".join(p)]), kind
@@ -356,11 +368,15 @@ _TRIM = ".,;:!?*%&$#\"'|<>[]{}"
 _DIGITS_OF = {"ip": (4, 12), "card": (12, 19), "phone": (9, 15)}
 
 
+#: A name, an @ or `at`, a site, a dot or `dot`, and letters.
+_SPELLED = re.compile(r"\w[^\w@]*(?:@|\bat\b)[^\w@]*\w.*?(?:\.|\bdot\b)\W*[a-z]", re.I | re.S)
+
+
 def _plausible(kind: str, text: str) -> bool:
     """An added span must hold what its kind needs: digits in number, a card's check digit, an address's parts."""
     digits = _DIGIT.sub("", text)
     if kind == "email":
-        return bool(re.search(r"@|\bat\b", text) and re.search(r"\.[A-Za-z]|\bdot\b", text))
+        return bool(_SPELLED.search(text))
     low, high = _DIGITS_OF[kind]
     if not low <= len(digits) <= high:
         return False
