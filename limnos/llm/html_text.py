@@ -2,8 +2,9 @@
 
 1. Every page is parsed into blocks (paragraphs, headings, list items ...) that stand in containers (body, div, article ...).
    A container's score is the text of its own blocks less their links, and half of its child containers' scores.
-2. A container's path is generalised: tags with their first class, digits as #. Each page gives each path the
-   share of its score; Spark sums the shares by host, and the path with the most votes wins the host.
+   From the best container a page climbs to the highest article by tag or class about it, and on while the parent holds text of its own.
+2. A container's path is generalised: tags with their first class, digits as #. Each page votes for the path it climbed to;
+   Spark sums the votes by host, and the path with the most wins the host.
 3. Pages are parsed again; the blocks within the containers on the host's winning path are the text. A page without such
    a container falls back on its own best one.
 
@@ -78,6 +79,7 @@ class Page:
     def __init__(self, html: str):
         self.paths: list[str] = ["body"]
         self.parents: list[int] = [-1]
+        self.declared: list[bool] = [False]
         self.blocks: list[tuple[int, str, int]] = []
         buffer: list[str] = []
         links = 0
@@ -141,6 +143,7 @@ class Page:
                 name = f"{above}>{tag}" + (f".{re.sub('[0-9]+', '#', css)}" if css else "")
                 self.paths.append(name)
                 self.parents.append(container)
+                self.declared.append(article)
                 container = len(self.paths) - 1
             anchors += tag == "a"
             articles += article
@@ -157,15 +160,30 @@ class Page:
             out[self.parents[i]] += out[i] / 2
         return out
 
-    def votes(self) -> dict[str, float]:
-        """The share of the page's score that each path has."""
-        out: dict[str, float] = defaultdict(float)
+    def best(self) -> int | None:
+        """The container of the whole article, or None where no text stands outside links."""
         scores = self.scores()
-        total = sum(scores) or 1.0
-        for path, s in zip(self.paths, scores, strict=True):
-            if s:
-                out[path] += s / total
-        return out
+        c = max(range(len(scores)), key=lambda i: (scores[i], -i))
+        if not scores[c]:
+            return None
+        own = {i for i, text, links in self.blocks if len(text) > 2 * links}
+        up = c
+        while up >= 0:
+            c, up = up if self.declared[up] else c, self.parents[up]
+        while self.parents[c] >= 0 and (above := self._holding(self.parents[c], own)) is not None:
+            c = above
+        return c
+
+    def _holding(self, c: int, own: set[int]) -> int | None:
+        """The container c or the nearest one about it that has text of its own."""
+        while c >= 0 and c not in own:
+            c = self.parents[c]
+        return c if c >= 0 else None
+
+    def votes(self) -> dict[str, float]:
+        """The page's vote for a path."""
+        c = self.best()
+        return {} if c is None else {self.paths[c]: 1.0}
 
     def text(self, path: str | None) -> str:
         """The blocks within containers on the path; without one, within the page's best container."""
