@@ -5,8 +5,9 @@
    From the best container a page climbs to the highest article by tag or class about it, and on while the parent holds text of its own.
 2. A container's path is generalised: tags with their first class, digits as #. Each page votes for the path it climbed to;
    Spark sums the votes by host, and the path with the most wins the host.
-3. Pages are parsed again; the blocks within the containers on the host's winning path are the text. A page without such
-   a container falls back on its own best one.
+3. Pages are parsed again; the blocks within the containers on the host's winning path are the text. A page where these
+   hold no text, or less than a tenth of an article that the page declares by tag or class, falls back on its own best one; so do
+   pages without a host, which have nothing in common.
 
 Boilerplate subtrees (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) count nowhere.
 """
@@ -30,6 +31,8 @@ from .url_filter import host as host_of
 BROADCAST_HOSTS = 200_000
 #: Characters of a path beyond which its upper part is written as a hash, so that deep nesting stays linear.
 LONG_PATH = 500
+#: Share of a page's declared article below which text on the host's path is a stub.
+FAR_LESS = 0.1
 
 # HTML's element kinds, and the class and id words of boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -186,10 +189,16 @@ class Page:
         return {} if c is None else {self.paths[c]: 1.0}
 
     def text(self, path: str | None) -> str:
-        """The blocks within containers on the path; without one, within the page's best container."""
-        if path not in self.paths:
-            votes = self.votes()
-            path = max(sorted(votes), key=votes.get, default=None)
+        """The blocks within containers on the path; where they hold no text, or far less than an article that the page declares, those within the page's best container."""
+        best = self.best()
+        own = None if best is None else self.paths[best]
+        out = self._within(path)
+        if own is None or own == path or out and not self.declared[best]:
+            return out
+        mine = self._within(own)
+        return mine if len(out) < len(mine) * FAR_LESS or not out else out
+
+    def _within(self, path: str | None) -> str:
         inside = [False] * len(self.paths)
         for i, p in enumerate(self.paths):
             inside[i] = p == path or (self.parents[i] >= 0 and inside[self.parents[i]])
@@ -207,7 +216,7 @@ def winning_paths(pages: DataFrame, host: str, html: str) -> DataFrame:
                     total[h, path] += share
             yield pd.DataFrame([(*k, round(v * 1e6)) for k, v in total.items()], columns=["host", "path", "votes"])
 
-    votes = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInPandas(vote, "host string, path string, votes long")
+    votes = pages.where(F.col(host) != "").select(F.col(host).alias("host"), F.col(html).alias("html")).mapInPandas(vote, "host string, path string, votes long")
     summed = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     # The least of (-votes, path): a map-side combine leaves one row a host and task.
     return summed.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "path")).alias("best")).select("host", F.col("best.path").alias("path"))
@@ -217,7 +226,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
     """pages with the main text of each whole html in column `out` (a clashing one is replaced).
 
     Character references are decoded, white space within a block becomes one space, blocks are joined in page order by a line feed.
-    Null html is empty and gives an empty text; a null url or one without a host shares the host ''. Truncated and unclosed
+    Null html is empty and gives an empty text; a page whose url is null or without a host is judged alone. Truncated and unclosed
     markup is parsed as far as it goes. Repeated pages get equal texts; an empty table gives an empty one.
     """
     kept = [c for c in pages.columns if c != out]

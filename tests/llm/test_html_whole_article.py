@@ -20,3 +20,14 @@ def test_headline_and_lead_stay(spark):
     got = texts(spark, rows)
     for k, name in enumerate(pages):
         assert {got[100 * k + i] for i in range(3)} == {"\n".join(want[name])}
+
+
+def test_second_template_of_a_host(spark):
+    usual = f"<body><div class=a><p>{BODY}</p></div></body>"
+    empty = f"<body><div class=a><img src=x></div><div class=b><p>{LEAD}</p></div></body>"
+    stub = f"<body><div class=a><p>brief</p></div><article><p>{LEAD}</p></article></body>"
+    rows = [(i, "http://h.org/", usual) for i in range(6)] + [(7, "http://h.org/7", empty), (8, "http://h.org/8", stub)]
+    rows += [(i, None, usual) for i in range(10, 16)] + [(17, None, f"<body><div class=a><p>brief</p></div><div class=b><p>{LEAD}</p></div></body>")]
+    got = texts(spark, rows)
+    assert got[0] == got[10] == BODY.strip()
+    assert got[7] == got[8] == got[17] == LEAD.strip()
