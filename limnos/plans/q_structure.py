@@ -62,7 +62,7 @@ def struct_first_wins(spark, sf_dir):
 
 @query()
 def plan_orient_legs(spark, sf_dir):
-    leg = legs(spark, sf_dir).where("id % 5 < 2").select("grp", "id", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), "lon2", "lat2", F.lit(-81.0).alias("launch_lon"), F.lit(34.0).alias("launch_lat"))
+    leg = legs(spark, sf_dir).select("grp", "id", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), "lon2", "lat2", F.lit(-81.0).alias("launch_lon"), F.lit(34.0).alias("launch_lat"))
     return planning.orient_legs(leg, "grp", "id")
 
 
@@ -74,7 +74,7 @@ def plan_search_order(spark, sf_dir):
 
 @query()
 def plan_tours(spark, sf_dir):
-    p = points(spark, sf_dir).where("id % 7 = 0").select("grp", "id", "lon", "lat", F.lit(-81.0).alias("home_lon"), F.lit(34.0).alias("home_lat"))
+    p = points(spark, sf_dir).select("grp", "id", "lon", "lat", F.lit(-81.0).alias("home_lon"), F.lit(34.0).alias("home_lat"))
     return planning.tours(p, "grp", "id")
 
 
