@@ -16,108 +16,153 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, no_text
+
 N_HASHES, SEED = 64, 11
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _rng = np.random.default_rng(SEED)
-_ADD = _rng.integers(0, 1 << 63, 4096, dtype=np.int64).astype(np.uint64)
-_MUL = (_rng.integers(0, 1 << 63, 4096, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-
-
-def parse(text: str, known: set[str], start: int = 0) -> list[int]:
-    """Ends of the phrases from start on; known, the dictionary, grows. The dictionary holds every prefix of its phrases, so a phrase's length is found by walking from the last one's, up or down, and need not grow from 1."""
-    ends, n, guess = [], len(text), 1
-    add = known.add
-    while start < n:
-        end = start + guess
-        if end > n:
-            end = n
-        if text[start:end] in known:
-            end += 1
-            while end <= n and text[start:end] in known:
-                end += 1
-            if end > n:
-                ends.append(n)
+_ADD = _rng.integers(0, 1 << 32, 4096, dtype=np.int64).astype(np.uint32)
+_MUL = (_rng.integers(0, 1 << 31, 4096, dtype=np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
+#: Phrases hashed at a time, so that the table of all functions' values stays in the cache.
+PIECE = 512
+#: A phrase that no longer phrase begins with, in the dictionary.
+LEAF: dict = {}
+
+
+def parse(text: str, known: dict, log: list | None = None) -> list[int]:
+    """Ends of the phrases of text that are new to the dictionary; what is left after the last one is known.
+
+    The dictionary is a tree of dicts by character, and grows: each phrase is a known one and a character, so a walk down
+    the tree ends where the phrase does. log gets what `forget` needs.
+    """
+    log = [] if log is None else log
+    ends: list[int] = []
+    node, add, note = known, ends.append, log.append
+    steps = enumerate(text, 1)
+    for i, c in steps:
+        below = node.get(c)
+        if below is None:
+            node[c] = LEAF
+            note((node, c))
+            add(i)
+            node = known
+        elif below:
+            node = below
+        else:  # whatever follows a leaf is new
+            for end, d in steps:
+                node[c] = {d: LEAF}
+                note((node, c))
+                add(end)
+                node = known
                 break
-        else:
-            while end - start > 1 and text[start : end - 1] not in known:
-                end -= 1
-        add(text[start:end])
-        guess = end - start
-        ends.append(end)
-        start = end
     return ends
 
 
-def phrase_hashes(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of text[start:end], by differences of a running polynomial sum modulo 2**64."""
+def forget(log: list) -> None:
+    """Takes the logged phrases out of the dictionary again, the last first."""
+    for node, c in reversed(log):
+        if node[c]:
+            node[c] = LEAF
+        else:
+            del node[c]
+
+
+class _Powers:
+    """Powers of the base and of its inverse, as many as the longest text so far needs."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(cls.up):
+            with np.errstate(over="ignore"):
+                cls.up, cls.down = (np.multiply.accumulate(np.full(2 * n, x)) for x in (_BASE, _INVERSE))
+        return cls.up, cls.down
+
+
+def phrase_hashes(text: str, ends: np.ndarray) -> np.ndarray:
+    """32-bit hashes of the phrases of text that follow each other up to these ends, by differences of a running polynomial sum modulo 2**64."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    up, down = _Powers.of(len(codes) + 1)
+    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]]) if len(ends) else ends
     with np.errstate(over="ignore"):
         codes = (codes + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
         codes ^= codes >> np.uint64(32)
-        powers = np.multiply.accumulate(np.full(len(codes) + 1, _BASE)) if len(codes) else np.ones(1, np.uint64)
-        inverse = np.multiply.accumulate(np.full(len(codes) + 1, np.uint64(pow(int(_BASE), -1, 1 << 64))))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers[: len(codes)], dtype=np.uint64)])
-        x = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
+        codes *= up[: len(codes)]
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes, out=sums[1:])
+        x = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        return (x >> np.uint64(32)).astype(np.uint32)
 
 
 def least(hashes: np.ndarray, n_hashes: int) -> np.ndarray:
-    """The set's signature: 32 bits of its minimum under each hash function; all ones for an empty set."""
-    out = np.full(n_hashes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    if len(hashes):
-        with np.errstate(over="ignore"):
-            for i in range(n_hashes):
-                out[i] = ((hashes ^ _ADD[i]) * _MUL[i]).min()
+    """The set's signature: its minimum under each hash function; all ones for an empty set."""
+    out = np.full(n_hashes, 0xFFFFFFFF, np.uint32)
+    add, mul = _ADD[:n_hashes, None], _MUL[:n_hashes, None]
+    for i in range(0, len(hashes), PIECE):
+        x = hashes[None, i : i + PIECE] ^ add
+        x *= mul
+        np.minimum(out, x.min(1), out=out)
     return out
 
 
+def _closed(ends: list[int], n: int) -> np.ndarray:
+    """The ends with n, where the last phrase is a known one."""
+    return np.array(ends if not n or ends[-1:] == [n] else [*ends, n], np.int64)
+
+
+def sign(text: str, n_hashes: int = N_HASHES) -> np.ndarray:
+    return least(phrase_hashes(text, _closed(parse(text, {}), len(text))), n_hashes)
+
+
 class Parsed:
-    """A text's phrases; `half` is the parse's state at the edit point, from which the edited text's parse goes on."""
+    """A text's signature, and the state of its parse before the edit point, from which an edited text's parse goes on."""
 
     def __init__(self, text: str, n_hashes: int = N_HASHES):
         self.text, self.n_hashes = text, n_hashes
-        known: set[str] = set()
-        self.ends = parse(text, known)
-        ends = np.array(self.ends, np.int64)
-        self.signature = self._sign(text, ends)
-
-    def _sign(self, text: str, ends: np.ndarray) -> np.ndarray:
-        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]]) if len(ends) else ends
-        return least(phrase_hashes(text, starts, ends), self.n_hashes)
+        self.keep = len(text) - len(text) // 2
+        self.known: dict = {}
+        head = parse(text[: max(0, self.keep - 1)], self.known)
+        self.at = head[-1] if head else 0  # the phrases up to here are the edited text's too
+        self.shared = least(phrase_hashes(text[: self.at], np.array(head, np.int64)), n_hashes)
+        log: list = []
+        self.signature = self._with(text[self.at :], log)
+        forget(log)
+
+    def _with(self, rest: str, log: list) -> np.ndarray:
+        ends = _closed(parse(rest, self.known, log), len(rest))
+        return np.minimum(self.shared, least(phrase_hashes(rest, ends), self.n_hashes))
 
     def edited(self, donor: str) -> tuple[str, np.ndarray]:
-        """The text whose last floor(n/2) code points are the donor's first as many, or all, and its signature. Phrases that end before the edit are those of the text itself."""
-        n = len(self.text)
-        keep = n - n // 2
-        text = self.text[:keep] + donor[: n // 2]
-        shared = int(np.searchsorted(self.ends, keep, "left"))
-        kept = self.ends[:shared]
-        starts = [0, *kept[:-1]] if kept else []
-        known = {self.text[a:b] for a, b in zip(starts, kept, strict=True)}
-        ends = np.array(kept + parse(text, known, kept[-1] if kept else 0), np.int64)
-        return text, self._sign(text, ends)
+        """The text whose last floor(n/2) code points are the donor's first as many, or all, and its signature."""
+        text = self.text[: self.keep] + donor[: len(self.text) // 2]
+        log: list = []
+        signature = self._with(text[self.at :], log)
+        forget(log)
+        return text, signature
 
 
 def fingerprint_text(signature: np.ndarray) -> str:
-    """32 bits of each minimum, in hexadecimal digits."""
-    return (signature >> np.uint64(32)).astype(">u4").tobytes().hex()
+    """The minima in hexadecimal digits."""
+    return signature.astype(">u4").tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    return float(((a >> np.uint64(32)) == (b >> np.uint64(32))).mean())
+    return float((a == b).mean())
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", n_hashes: int = N_HASHES) -> DataFrame:
     """docs with each whole text's fingerprint (a clashing column is replaced); null counts as empty, equal texts have equal fingerprints."""
 
     @F.pandas_udf("string")
-    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([fingerprint_text(Parsed(t or "", n_hashes).signature) for t in texts], dtype=object)
+            yield pd.Series([fingerprint_text(sign(t or "", n_hashes)) for t in texts], dtype=object)
 
-    return docs.select(*(c for c in docs.columns if c != out), sign(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias(out))
+    return docs.select(*(c for c in docs.columns if c != out), signed(no_text(text)).alias(out))
 
 
 ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -133,10 +178,11 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_ha
 
     Documents are range-partitioned by id once, and each partition is read in order: every row but a partition's
     last meets its successor there. The last ones get theirs in a second, small pass that fetches those rows alone.
-    Rows with equal ids follow each other by text; null ids come first. Null text is empty; a lone document succeeds itself.
+    Rows with equal ids follow each other by a hash of the text, then by text; null ids come first. Null text is empty, a very long one is
+    parsed whole; a lone document succeeds itself, and an empty table gives an empty one. No other column of docs is read or returned, so none can clash.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), no_text(text).alias("text")).withColumn("lot", F.xxhash64("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,10 +206,8 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_ha
         return out.astype({"doc_id": "Int64", "n_chars": "Int64", "near_edited": float, "near_next": float, "opens": bool})
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "opens", "text"]
-    from .common import materialize
-
     # A partition's first row (opens) and last row (no fingerprint) come out with their texts for the second pass.
-    out = materialize(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(within, f"{ROW}, opens boolean, text string").withColumn("part", F.spark_partition_id()), "lz-probe")
+    out = materialize(rows.repartitionByRange(n, "doc_id", "lot").sortWithinPartitions("doc_id", "lot", "text").drop("lot").mapInPandas(within, f"{ROW}, opens boolean, text string").withColumn("part", F.spark_partition_id()), "lz-probe")
     edges = out.where("fingerprint is null").select("part", "opens", "doc_id", "text")
     # Partitions follow each other in id order: each last row's successor is the next non-empty partition's first row.
     parts = sorted(r[0] for r in edges.where("opens").select("part").collect())

@@ -112,13 +112,27 @@ def plain_lz(text):
 
 
 def test_lz_parse_equals_the_plain_one(spark):
-    for t in [*list(texts(spark).values())[:60], "", "a", "aaaaaaa", "abababab", "é" * 50, "ab" * 300]:
-        known = set()
-        assert lz_fingerprint.parse(t, known) == plain_lz(t)
+    for t in [*list(texts(spark).values())[:60], "", "a", "aa", "aaaaaaa", "abababab", "é" * 50, "ab" * 300, "x\U0001f600" * 40]:
+        ends = lz_fingerprint.parse(t, {})
+        assert plain_lz(t) in (ends, [*ends, len(t)])
         doc = lz_fingerprint.Parsed(t)
-        for donor in ("", "zz top", "ab" * 400):
+        assert (doc.signature == lz_fingerprint.sign(t)).all()
+        for donor in ("", "zz top", "ab" * 400, t[::-1], ""):
             edited, signature = doc.edited(donor)
-            assert (signature == lz_fingerprint.Parsed(edited).signature).all()
+            assert edited == t[: len(t) - len(t) // 2] + donor[: len(t) // 2]
+            assert (signature == lz_fingerprint.sign(edited)).all()
+
+
+def test_lz_minima_equal_brute_force(spark):
+    """Each place of a signature is the least of a function's values over the set of phrases; equal phrases hash alike wherever they stand."""
+    for t in [*list(texts(spark).values())[:8], "abcabcabcabc", "q"]:
+        ends = plain_lz(t)
+        phrases = {t[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)}
+        hashes = {p: int(lz_fingerprint.phrase_hashes(p, lz_fingerprint.np.array([len(p)]))[0]) for p in phrases}
+        assert len(set(hashes.values())) == len(phrases)
+        want = [min(((h ^ int(lz_fingerprint._ADD[i])) * int(lz_fingerprint._MUL[i])) % 2**32 for h in hashes.values()) for i in range(lz_fingerprint.N_HASHES)]
+        assert lz_fingerprint.sign(t).tolist() == want
+    assert lz_fingerprint.sign("").tolist() == [0xFFFFFFFF] * lz_fingerprint.N_HASHES
 
 
 def test_lz_edit_probe(spark):
