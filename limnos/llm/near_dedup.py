@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, unused
 from .components import components
 
 #: Hash functions; hashes compared at a time; the chosen miss probability; classes and bytes of sets of a grid block.
@@ -100,18 +101,20 @@ def _set_key(shingles: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """id, n_shingles, key (128 bits of the shingle set) and sig; key and sig are null for an empty set."""
+    """id, lot (the text's hash), n_shingles, key (128 bits of the shingle set) and sig; key and sig are null for an empty set. Ids of any type pass through as they are."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
             rows = []
-            for t in batch["text"]:  # no more than one set is held
-                s = shingle_set(t, size, hashes)
+            for t in batch.column(2):  # no more than one text and set are held
+                s = shingle_set(t.as_py(), size, hashes)
                 rows.append((len(s), _set_key(s), signature(s).tobytes()) if len(s) else (0, None, None))
-            yield pd.DataFrame(rows, columns=["n_shingles", "key", "sig"]).assign(id=batch["id"].to_numpy())[["id", "n_shingles", "key", "sig"]]
+            n, keys, sigs = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["id", "lot", "n_shingles", "key", "sig"])
 
-    return docs.mapInPandas(run, "id long, n_shingles long, key binary, sig binary")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", F.xxhash64("text").alias("lot"), "text").mapInArrow(run, f"id {kind}, lot long, n_shingles long, key binary, sig binary")
 
 
 def agreeing(a: np.ndarray, b: np.ndarray, needs: list[tuple[int, int]]) -> np.ndarray:
@@ -128,13 +131,13 @@ def agreeing(a: np.ndarray, b: np.ndarray, needs: list[tuple[int, int]]) -> np.n
 
 
 def _few(ids: DataFrame) -> DataFrame:
-    """A table of ids, marked for broadcast if it is counted small."""
+    """A table of ids or of a few numbers a row, marked for broadcast if it is counted small."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 class NearDuplicates:
     def __init__(self, docs: DataFrame, id_col: str, text: str, shingle: int, percent: int):
-        self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+        self.docs = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
         self.shingle, self.percent = shingle, percent
         self.needs = least_agreements(percent / 100)
         self.rows = band_rows(percent / 100)
@@ -150,7 +153,7 @@ class NearDuplicates:
                 yield pd.DataFrame({"key": [_set_key(s) for s in got], "shingles": [s.tobytes() for s in got]})
 
         ids = self.reps.select("key", "id").join(wanted, "key", "left_semi").select("id").distinct()
-        found = self.docs.join(_few(materialize(ids, "ids")), "id", "left_semi").mapInPandas(run, "key binary, shingles binary")
+        found = self.docs.join(_few(materialize(ids, "ids")), "id", "left_semi").select("text").mapInPandas(run, "key binary, shingles binary")
         # One id may have rows of several texts: only classes that were asked for stay, each once.
         return found.join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
@@ -195,7 +198,8 @@ class NearDuplicates:
         hubs = hubs.select(
             "hub", F.col("major.label").alias("major"), parts(F.col("major.n"), F.col("major.bytes")).alias("majors"), parts(F.col("n") - F.col("major.n"), F.col("bytes") - F.col("major.bytes")).alias("minors")
         ).where("minors > 0")
-        placed = members.join(hubs, "hub").withColumn("is_major", F.col("label") == F.col("major"))
+        # A hub holds as many rows as its buckets do, so members are not dealt by it: its numbers go to them.
+        placed = members.join(_few(materialize(hubs, "hubs")), "hub").withColumn("is_major", F.col("label") == F.col("major"))
         placed = placed.withColumn("own", F.pmod(F.xxhash64("key"), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors"))))
         minors = F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)
         with_minors = F.transform(minors, lambda m: F.struct(F.least("own", m).alias("x"), F.greatest("own", m).alias("y")))
@@ -256,8 +260,9 @@ class NearDuplicates:
 
     def run(self) -> DataFrame:
         signed = materialize(signatures(self.docs, self.shingle), "signatures")
-        members = materialize(signed.select("id", "n_shingles", "key"), "members")
-        self.reps = materialize(signed.where("key is not null").dropDuplicates(["key"]).select("key", "id", "sig"), "classes")
+        members = materialize(signed.select("id", "lot", "n_shingles", "key"), "members")
+        # A class is found again by an id of its own; rows without one stand alone.
+        self.reps = materialize(signed.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
         discard(signed)
         width = 4 * self.rows
         buckets = [F.xxhash64(F.lit(b), F.substring("sig", 1 + b * width, width)) for b in range(K // self.rows)]
@@ -282,21 +287,29 @@ class NearDuplicates:
         classes = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "low", F.coalesce("root", "key").alias("root"))
         lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
         of_class = classes.join(lowest, "root").select("key", "component_id")
-        return members.join(of_class, "key", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+        return members.join(of_class, "key", "left").select("id", "lot", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row a row of docs: the id, n_shingles, component_id (the least id reachable over links) and kept (the id is its component's).
 
     Texts link where 100 * intersection >= percent * union of their sets of `shingle`-word shingles. Null, empty and wordless texts
-    have no shingles and stand alone; so do, with a null component_id, rows without id, which are kept. Repeated rows are equal results; rows that share
-    an id are one document and share its component where their texts link. An empty table gives an empty one.
+    have no shingles and stand alone; so do, with a null component_id, rows without id, which are kept. Ids may be of any ordered type. Repeated rows
+    are equal results; rows that share an id are judged each by its own text. Very long texts are read whole. Other columns of docs are not read. An empty table gives an empty one.
     """
     out = NearDuplicates(docs, id_col, text, shingle, percent).run()
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents whose component has a smaller id."""
-    dropped = materialize(near_duplicates(docs, id_col, text, shingle, percent).where("not kept").select(id_col).distinct(), "dropped")
-    return docs.join(_few(dropped), id_col, "left_anti").select(*docs.columns)
+    """docs without the rows whose component has a smaller id, with docs' columns alone.
+
+    A row goes by its id and its text's hash together: another text under the same id stays. Rows that repeat a kept one stay, as do rows
+    without id, shingles or text. An empty table gives an empty one.
+    """
+    out = NearDuplicates(docs, id_col, text, shingle, percent).run()
+    n = unused(docs, "_id", "_lot")
+    dropped = out.where("id != component_id").select(F.col("id").alias(n["_id"]), F.col("lot").alias(n["_lot"])).distinct()
+    dropped = _few(materialize(dropped, "dropped"))
+    same = (F.col(id_col) == dropped[n["_id"]]) & (F.xxhash64(F.col(text).cast("string")) == dropped[n["_lot"]])
+    return docs.join(dropped, same, "left_anti")

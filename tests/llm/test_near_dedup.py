@@ -74,3 +74,19 @@ def test_components_of_a_long_chain_and_a_hub(spark):
 def test_bounds():
     assert near_dedup.band_rows(0.85) == 5 and near_dedup.band_rows(0.8) == 4
     assert all(a < m for m, a in near_dedup.least_agreements(0.85))
+
+
+def test_lost_rows_and_links(spark):
+    """Ids that are null, shared or strings lose neither rows nor links."""
+    near = [f"t{i}" for i in range(199)]
+    a, b, c = " ".join(near), " ".join(["x", *near[1:]]), "an unlike text of its own that no other row has"
+    rows = [(None, a), (None, a), (None, a), (1, a), (2, b), (5, c), (5, b), (2**60 + 1, c + " and more words"), (2**60, "words and more of it here")]
+    d = spark.createDataFrame(rows, DOCS)
+    got = near_dedup.near_duplicates(d).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(None, None), (1, 1), (2, 1), (5, 5), (5, 1), (2**60 + 1, 2**60 + 1), (2**60, 2**60)}
+    kept = sorted(((r["doc_id"] or 0), r["text"]) for r in near_dedup.deduplicate(d).collect())
+    assert kept == sorted([(0, a)] * 3 + [(1, a), (5, c), (2**60 + 1, rows[7][1]), (2**60, rows[8][1])])
+    named = spark.createDataFrame([("b" if i is None else f"id{i}", t, 3, 4) for i, t in rows], "doc_id string, text string, _id int, _lot int")
+    assert {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(named).collect()} == {("b", "b"), ("id1", "b"), ("id2", "b"), ("id5", "id5"), ("id5", "b"), (f"id{2**60 + 1}", f"id{2**60 + 1}"), (f"id{2**60}", f"id{2**60}")}
+    left = near_dedup.deduplicate(named)
+    assert left.columns == named.columns and left.count() == 6  # the three equal rows of b stay
