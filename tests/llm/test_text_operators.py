@@ -56,6 +56,30 @@ def test_sharding_splits_a_hot_group_and_keeps_others_whole(spark):
     assert all(len(s) == 1 for s in where.values())
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_sharding_keeps_equal_texts_together(spark, sf):
+    """No group of the given tables outweighs a shard."""
+    rows = queries.op1_sharding(spark, f"/root/testdata/{sf}").join(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text"), "doc_id")
+    groups = rows.groupBy(F.coalesce("text", F.lit("")).alias("t")).agg(F.count("*").alias("n"), F.countDistinct("shard").alias("s"))
+    assert groups.where("n > 1").count() > 0 and groups.where("s > 1").count() == 0
+    loads = [r[0] for r in rows.groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
+    assert len(loads) == 16 and max(loads) - min(loads) <= max(r[0] for r in rows.select("size").collect())
+
+
+def test_sharding_subdivides_overfull_ranges(spark, monkeypatch):
+    """With far too small a sample ranges are overfull; subdivisions keep the law, the slots and the groups."""
+    monkeypatch.setattr(sharding, "SAMPLES_PER_RANGE", 1)
+    rows = [(i, f"text {i // 3} " * (1 + i % 3 * 0)) for i in range(3000)] + [(None, "same " * 50)] * 40
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=4, ranges_per_shard=8).collect()
+    slots, where = [[] for _ in range(4)], {}
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+        where.setdefault(r["text"], set()).add(r["shard"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots) and all(len(x) == 1 for x in where.values())
+    load = [sum(r["size"] for r in out if r["shard"] == s) for s in range(4)]
+    assert max(load) < 1.1 * min(load)
+
+
 def test_sharding_edges(spark):
     out = sharding.shard_documents(edge_docs(spark), n_shards=3)
     assert out.count() == 7 and {r["size"] for r in out.where("text is null or text = ''").collect()} == {1}
