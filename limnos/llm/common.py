@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is configured, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/limnos_checkpoints"
+    """The cluster's shared checkpoint folder; where none is configured a folder of our own on a single machine, as in tests, and an error on a cluster."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path or "/tmp/limnos_checkpoints"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -39,6 +43,12 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def pieces(df: DataFrame, bytes_each: int, text: str = "text") -> int:
+    """Partitions for a shuffle of whole texts: the session's number, or as many more as keep their mean below bytes_each."""
+    total = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bytes_each))
+
+
 def no_text(c: str = "text") -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(c).cast("string"), F.lit(""))

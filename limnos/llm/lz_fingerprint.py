@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, no_text
+from .common import materialize, no_text, pieces
 
 N_HASHES, SEED = 64, 11
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -26,6 +26,8 @@ _ADD = _rng.integers(0, 1 << 32, 4096, dtype=np.int64).astype(np.uint32)
 _MUL = (_rng.integers(0, 1 << 31, 4096, dtype=np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 #: Phrases hashed at a time, so that the table of all functions' values stays in the cache.
 PIECE = 512
+#: Bytes of text of a partition, on average, at most.
+PARTITION_BYTES = 128 << 20
 #: A phrase that no longer phrase begins with, in the dictionary.
 LEAF: dict = {}
 
@@ -183,7 +185,7 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_ha
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), no_text(text).alias("text")).withColumn("lot", F.xxhash64("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = pieces(rows, PARTITION_BYTES)
 
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None

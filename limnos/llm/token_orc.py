@@ -19,19 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 #: Characters that one encoder call takes, as its results hold many times their bytes; the ORC writer's sizes.
 CHARS_PER_CALL, STRIPE_BYTES, ROW_INDEX_STRIDE, BLOOM_FPP = 1_500_000, 16 << 20, 1000, 0.01
-#: Chunks that a worker remembers.
-MEMO_SIZE = 800_000
+#: Chunks that a worker remembers; bytes of text that a file holds on average, at most.
+MEMO_SIZE, FILE_BYTES = 800_000, 256 << 20
+SCHEMA = "doc_id long, lot long, n_tokens int, ids array<int>"
 
 
 def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # a special token's string within a text is text
-    return out
+    return Tokenizer.from_file(path)
 
 
 class _Memo(dict):
@@ -52,19 +53,19 @@ class ChunkEncoder:
 
     A byte-level pre-tokenizer's tokens hold white space at their start alone, so a token begins at every white-space
     run, and one ends where a letter or digit meets a sign: such pieces encode alike in any text. Only spaces, line
-    feeds and some signs after plain letters part chunks; a text with other white space, or any text under a tokenizer
-    of another kind, is encoded in one piece.
+    feeds and some signs after plain letters part chunks; a text with other white space or with an added token's string, or any text
+    under a tokenizer of another kind, is encoded in one piece.
     """
 
     _chunks = re.compile(r"[ \n]*(?:[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[,.;:!?%*#&$|])|[^ \n]+)|[ \n]+")
-    _other_space = re.compile(r"[^\S \n]")
     _stem_end = staticmethod(re.compile(r"[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]").match)
 
     def __init__(self, path: str, end_id: int, memo_size: int = MEMO_SIZE):
         self.tokenizer, self.end, self.memo_size = load_tokenizer(path), np.array([end_id], np.int32), memo_size
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
-        self.by_chunk = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"] and all(t["special"] for t in spec["added_tokens"])
+        self.by_chunk = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
+        self._whole = re.compile("|".join([r"[^\S \n]", *(re.escape(t["content"]) for t in spec["added_tokens"] if t["content"])]))
         if self.by_chunk:
             vocab = self.tokenizer.get_vocab()
             self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -150,7 +151,7 @@ class ChunkEncoder:
         get, self.memo.fresh = self.memo.__getitem__, []
         seen: list[np.ndarray | None] = []
         for t in texts:
-            if self.by_chunk and not self._other_space.search(t):
+            if self.by_chunk and not self._whole.search(t):
                 chunks = self._pieces(t)
                 seen.append(np.fromiter(map(get, chunks), np.int64, len(chunks)))
             else:
@@ -182,7 +183,7 @@ def encode_batches(tokenizer_path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path, end_id)
         for batch in batches:
-            texts, i = batch.column(1).to_pylist(), 0
+            texts, i = batch.column(2).to_pylist(), 0
             while i < len(texts):
                 j, chars = i, 0
                 while j < len(texts) and (j == i or chars + len(texts[j] or "") <= CHARS_PER_CALL):
@@ -190,55 +191,58 @@ def encode_batches(tokenizer_path: str, end_id: int):
                     j += 1
                 ids, ends = encoder.ids([t or "" for t in texts[i:j]])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(ends), pa.int32()), lists], ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(ends), pa.int32()), lists], ["doc_id", "lot", "n_tokens", "ids"])
                 i = j
 
     return run
 
 
 def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text: str = "text", n_files: int | None = None, stripe_bytes: int = STRIPE_BYTES) -> None:
-    """Writes doc_id, n_tokens and ids (with the end id) of all documents, ascending by id.
+    """Writes doc_id, lot, n_tokens and ids (with the end id) of all documents, ascending by id; rows with equal ids by lot, a hash of their text.
 
-    Null text counts as empty: the end id alone. Rows with equal ids stand together, in no set order among themselves.
-    A null id stands first. Columns besides id and text aren't read. An empty table leaves files without rows.
+    A text's ids are those of the tokenizer's plain call, so that an added token's string within it is that token. Null text counts as empty: the end id alone.
+    A null id stands first. Very long texts are encoded whole. Columns besides id and text aren't read, so none can clash. An empty table leaves files without rows.
+    Files are at least `spark.sql.shuffle.partitions`, and as many more as keep `FILE_BYTES` of text each.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    n_files = n_files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id")
-    out = rows.mapInArrow(encode_batches(tokenizer_path, end_id), "doc_id long, n_tokens int, ids array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("lot", F.xxhash64("text"))
+    n_files = n_files or pieces(rows, FILE_BYTES)
+    rows = rows.repartitionByRange(n_files, "doc_id", "lot").sortWithinPartitions("doc_id", "lot").select("doc_id", "lot", "text")
+    out = rows.mapInArrow(encode_batches(tokenizer_path, end_id), SCHEMA)
     options = {"orc.stripe.size": stripe_bytes, "orc.create.index": True, "orc.row.index.stride": ROW_INDEX_STRIDE, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": BLOOM_FPP, "compression": "lz4"}
     out.write.options(**options).orc(path)
 
 
 def read_token_orc(spark: SparkSession, path: str, ids: list[int] | None = None) -> DataFrame:
     """The written rows; with ids, those documents' alone, found by row indexes and Bloom filters."""
-    out = spark.read.schema("doc_id long, n_tokens int, ids array<int>").orc(path)
+    out = spark.read.schema(SCHEMA).orc(path)
     return out if ids is None else out.where(F.col("doc_id").isin([int(x) for x in ids]))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = batch.column(2)
+        lists = batch.column(3)
         flat, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
         crc = [zlib.crc32(flat[a:b].data) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], ["file", "doc_id", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], ["file", "doc_id", "lot", "n_tokens", "ids_crc32"])
 
 
 def document_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files.
 
     A file's ids are contiguous in the corpus, so the running sum is taken within files, after the totals of the
-    files before it; a row a file reaches the driver.
+    files before it; a row a file reaches the driver. Rows with equal ids, or without one, follow each other as they do in the files;
+    those of equal texts are interchangeable. Files without rows give an empty index.
     """
     rows = read_token_orc(spark, path)
     name = F.input_file_name()
-    files = rows.select(name.alias("file"), "doc_id", "n_tokens").groupBy("file").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("low"), F.sum("n_tokens").alias("n")).collect()
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), F.coalesce("doc_id", F.lit(0)).alias("id"), "lot"))
+    files = rows.select(name.alias("file"), "doc_id", "lot", "n_tokens").groupBy("file").agg(least.alias("low"), F.sum("n_tokens").alias("n")).collect()
     starts, seen = [], 0
-    for f in sorted(files, key=lambda f: f["low"]):
+    for f in sorted(files, key=lambda f: tuple(f["low"])):
         starts.append((f["file"], seen))
         seen += f["n"]
     offsets = spark.createDataFrame(starts, "file string, before long")
-    each = rows.select(name.alias("file"), "doc_id", "ids").mapInArrow(_digests, "file string, doc_id long, n_tokens long, ids_crc32 long")
-    w = Window.partitionBy("file").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = rows.select(name.alias("file"), "doc_id", "lot", "ids").mapInArrow(_digests, "file string, doc_id long, lot long, n_tokens long, ids_crc32 long")
+    w = Window.partitionBy("file").orderBy("doc_id", "lot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     each = each.withColumn("up_to", F.sum("n_tokens").over(w))
     return each.join(offsets, "file").select("doc_id", (F.col("before") + F.col("up_to") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")

@@ -219,6 +219,58 @@ def test_token_orc_round_trip(spark, tmp_path):
     assert {r["doc_id"] for r in token_orc.read_token_orc(spark, path, [3, 5]).collect()} == {3, 5}
 
 
+def test_token_orc_equals_the_plain_call(spark, tmp_path):
+    """Special tokens' strings, odd white space and signs: the library's own loader and call, nothing else."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    rows = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\n\ny <|endoftext", " lead", "tail \n", "two  spaces", "tab\there", "nb\u00a0sp", "don't stop, 3.14!! (ok)", "é\u0301 \U0001f600 mixed,words;here", "\n\n\n", "a" * 5000]
+    rows += [r["text"] for r in docs(spark).limit(60).collect() if r["text"]]
+    token_orc.write_token_orc(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), str(tmp_path / "p"), queries.tokenizer_path())
+    got = {r["doc_id"]: list(r["ids"]) for r in token_orc.read_token_orc(spark, str(tmp_path / "p")).collect()}
+    for i, t in enumerate(rows):
+        assert got[i] == [*plain.encode(t, add_special_tokens=False).ids, 2], t
+
+
+def test_token_orc_ties(spark, tmp_path):
+    """Rows that share an id, or have none, stand in the files as the index says."""
+    rows = [(7, f"text {i} of seven " * (1 + i % 5)) for i in range(200)] + [(None, f"none {i}") for i in range(50)] + [(i, f"doc {i}") for i in range(20, 60)]
+    path = str(tmp_path / "ties")
+    token_orc.write_token_orc(spark.createDataFrame(rows, "doc_id long, text string"), path, queries.tokenizer_path(), n_files=4)
+    files = sorted((tmp_path / "ties").glob("*.orc"))
+    assert len(files) == 4  # one id's rows are in several files
+    from pyarrow import orc
+
+    seen, at = [], 0
+    for f in files:  # part numbers follow the ranges
+        for r in orc.ORCFile(str(f)).read().to_pylist():
+            seen.append((r["doc_id"], at, r["n_tokens"], zlib.crc32(b"".join(x.to_bytes(4, "little") for x in r["ids"]))))
+            at += r["n_tokens"]
+    assert sorted(seen, key=str) == sorted((tuple(r) for r in token_orc.document_index(spark, path).collect()), key=str)
+
+
+def test_token_orc_prunes(spark, tmp_path):
+    """A lookup reads few rows of a file of several stripes: row indexes leave out other ids' rows, Bloom filters ids that no row has."""
+    rows = spark.range(40_000).select((F.col("id") * 2).alias("doc_id"), F.concat_ws(" ", *(F.sha2(F.concat(F.lit(k), F.col("id").cast("string")), 256) for k in "abc")).alias("text"))
+    path = str(tmp_path / "big")
+    token_orc.write_token_orc(rows, path, queries.tokenizer_path(), n_files=1, stripe_bytes=1 << 20)
+    from pyarrow import orc
+
+    (file,) = (tmp_path / "big").glob("*.orc")
+    assert orc.ORCFile(str(file)).nstripes > 3
+
+    def cost(ids):
+        """Rows of the result, and rows that the ORC reader had to hand over."""
+        df = token_orc.read_token_orc(spark, path, ids).select("doc_id", "n_tokens")
+        rows = df.collect()
+        scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return len(rows), scan.metrics().apply("numOutputRows").value()
+
+    whole, one, absent = cost(None), cost([30_000]), cost([30_001])
+    assert whole == (40_000, 40_000) and one[0] == 1 and 1 <= one[1] <= 2 * token_orc.ROW_INDEX_STRIDE
+    assert absent == (0, 0)  # within the ids' range, so the Bloom filter alone tells
+
+
 def test_token_orc_edges(spark, tmp_path):
     token_orc.write_token_orc(edge_docs(spark), str(tmp_path / "a"), queries.tokenizer_path())
     index = token_orc.document_index(spark, str(tmp_path / "a")).collect()
