@@ -2,14 +2,17 @@
 
 1. Every page is parsed into blocks (paragraphs, headings, list items ...) that stand in containers (body, div, article ...).
    A container's score is the text of its own blocks less their links, and half of its child containers' scores.
-   From the best container a page climbs to the highest article by tag or class about it, and on while the parent holds text of its own.
+   From the best container a page climbs to the highest article by tag or class about it, and on while a container above
+   holds text of its own or, where no article is declared, parts that add a twentieth or more to the text.
 2. A container's path is generalised: tags with their first class, digits as #. Each page votes for the path it climbed to;
    Spark sums the votes by host, and the path with the most wins the host.
 3. Pages are parsed again; the blocks within the containers on the host's winning path are the text. A page where these
    hold no text, or less than a tenth of an article that the page declares by tag or class, falls back on its own best one; so do
    pages without a host, which have nothing in common.
 
-Boilerplate subtrees (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) count nowhere.
+Boilerplate subtrees (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) count nowhere. Outside
+an article one boilerplate word in a class or id marks a subtree; within one a whole name of such words, and words
+of layout, is needed, so that a paragraph of class `share-price` stays and a `share-buttons` box goes.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ BROADCAST_HOSTS = 200_000
 LONG_PATH = 500
 #: Share of a page's declared article below which text on the host's path is a stub.
 FAR_LESS = 0.1
+#: Share of a container's text that its parts beside the best one add, from which they belong to an undeclared article.
+ADDS = 0.05
 
 # HTML's element kinds, and the class and id words of boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,6 +50,7 @@ BLOCKS = frozenset(
 BOILERPLATE = frozenset(
     "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert menu menubar nav navbar navigation breadcrumb breadcrumbs sidebar aside masthead footer comment comments commentlist disqus replies share sharing social related recommended newsletter subscribe signup login popup modal overlay widget widgets toolbar pagination pager copyright search".split()
 )
+LAYOUT = frozenset("area article articles bar block body bottom box btn button buttons card col column container content entries entry group header heading icons inline inner item items js label left line link links list main media module outer page pages panel post posts right row section site slot stories text thread title top unit wrap wrapper zone".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 ARTICLE_WORDS = frozenset("article post entry content story".split())
 
@@ -68,8 +74,9 @@ def _judged(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, str]:
     if not attrs or attrs.isspace():
         return False, article, ""
     values = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
-    words = {w.lower() for w in _WORD.findall(f"{values.get('class', '')} {values.get('id', '')}")}
-    skip = bool(words & BOILERPLATE) or ("header" in words and not in_article and not words & ARTICLE_WORDS) or values.get("role", "").lower() in ROLES
+    named = [{w.lower() for w in _WORD.findall(name)} for name in f"{values.get('class', '')} {values.get('id', '')}".split()]
+    words = set().union(*named)
+    skip = any(n & BOILERPLATE and (not in_article or n <= BOILERPLATE | LAYOUT) for n in named) or ("header" in words and not in_article and not words & ARTICLE_WORDS) or values.get("role", "").lower() in ROLES
     hidden = values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "") or re.search(r"(?:^|\s)hidden(?:\s|/|$)", _ATTR.sub("", attrs))
     first = values.get("class", "").split()
     whole = tag in ("html", "body")
@@ -87,6 +94,8 @@ class Page:
         buffer: list[str] = []
         links = 0
         stack: list[tuple[str, int, bool, bool]] = []  # tag, container, whether skipped, whether an article
+        places: dict[str, list[int]] = defaultdict(list)  # of the open elements by tag
+        walls: list[int] = []  # places of the open block elements
         container, skip, anchors, articles, at = 0, False, 0, 0, 0
 
         def flush() -> None:
@@ -103,7 +112,10 @@ class Page:
             for tag, _, _, article in stack[n:]:
                 anchors -= tag == "a"
                 articles -= article
+                places[tag].pop()
             del stack[n:]
+            while walls and walls[-1] >= n:
+                walls.pop()
             container, skip = (stack[-1][1], stack[-1][2]) if stack else (0, False)
 
         for m in _TOKEN.finditer(html):
@@ -117,20 +129,16 @@ class Page:
                 continue
             tag = tag.lower()
             if m["end"]:
-                n = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
                 if tag in BLOCKS:
                     flush()
-                if n >= 0 and not (tag not in BLOCKS and any(e[0] in BLOCKS for e in stack[n:])):
-                    pop(n)
+                if (open_ := places.get(tag)) and (tag in BLOCKS or not walls or walls[-1] < open_[-1]):
+                    pop(open_[-1])
                 continue
             if tag in BLOCKS:
                 flush()
                 closed = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}.get(tag, ()) + ("p",)
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in closed:
-                        pop(i)
-                    elif stack[i][0] in BLOCKS:
-                        break
+                while walls and stack[walls[-1]][0] in closed:
+                    pop(walls[-1])
             elif tag == "br":
                 buffer.append(" ")
             if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCKS:
@@ -150,6 +158,9 @@ class Page:
                 container = len(self.paths) - 1
             anchors += tag == "a"
             articles += article
+            places[tag].append(len(stack))
+            if tag in BLOCKS:
+                walls.append(len(stack))
             stack.append((tag, container, skip, article))
         if not skip and at < len(html):
             buffer.append(unescape(html[at:]))
@@ -170,19 +181,21 @@ class Page:
         if not scores[c]:
             return None
         own = {i for i, text, links in self.blocks if len(text) > 2 * links}
+        within = [0] * len(scores)
+        for i, text, links in self.blocks:
+            within[i] += max(0, len(text) - 2 * links)
+        for i in range(len(within) - 1, 0, -1):
+            within[self.parents[i]] += within[i]
         up = c
         while up >= 0:
             c, up = up if self.declared[up] else c, self.parents[up]
-        while self.parents[c] >= 0 and (above := self._holding(self.parents[c], own)) is not None:
-            c = above
+        alone, up = not self.declared[c], self.parents[c]
+        while up >= 0:
+            if up in own or (alone and within[up] >= (1 + ADDS) * within[c]):
+                c = up
+            up = self.parents[up]
         return c
 
-    def _holding(self, c: int, own: set[int]) -> int | None:
-        """The container c or the nearest one about it that has text of its own."""
-        while c >= 0 and c not in own:
-            c = self.parents[c]
-        return c if c >= 0 else None
-
     def votes(self) -> dict[str, float]:
         """The page's vote for a path."""
         c = self.best()

@@ -31,3 +31,45 @@ def test_second_template_of_a_host(spark):
     got = texts(spark, rows)
     assert got[0] == got[10] == BODY.strip()
     assert got[7] == got[8] == got[17] == LEAD.strip()
+
+
+def test_parts_without_an_article(spark):
+    """Two unequal parts of a plain container, and a headline beside its content."""
+    pages = {
+        "parts": f"<body><div class=page><div class=lead><p>{LEAD}</p></div><div class=rest><p>{BODY}</p></div></div><div class=foot-notes><p>tiny</p></div></body>",
+        "headline": f"<body><div class=wrap><h1>Title</h1><div class=col><p>{BODY}</p></div></div></body>",
+    }
+    want = {"parts": f"{LEAD.strip()}\n{BODY.strip()}", "headline": f"Title\n{BODY.strip()}"}
+    got = texts(spark, [(100 * k + i, f"http://{name}.org/{i}", page) for k, (name, page) in enumerate(pages.items()) for i in range(3)])
+    for k, name in enumerate(pages):
+        assert {got[100 * k + i] for i in range(3)} == {want[name]}
+
+
+def test_class_words_within_an_article(spark):
+    """A boilerplate word in a longer name vetoes nothing within an article; whole names of such words still do, and any does outside."""
+    page = (
+        "<body><div class=share-this-now><p>no</p></div><article><h1>T</h1><p class=share-price>The price rose.</p><section class='related-work'><p>Others did so too.</p></section>"
+        f"<p id=search-results-table>Rows.</p><p>{BODY}</p><div class='share-buttons'><p>no</p></div><div class=ad-box>no</div><div class='related posts'>no</div><ul class=commentList><li>no</ul><div class=cookieNotice>no</div></article></body>"
+    )
+    (got,) = set(texts(spark, [(i, f"http://x.org/{i}", page) for i in range(3)]).values())
+    assert got == f"T\nThe price rose.\nOthers did so too.\nRows.\n{BODY.strip()}"
+
+
+def test_deep_markup_takes_linear_time():
+    import time
+
+    def seconds(html):
+        start = time.process_time()
+        html_text.Page(html)
+        return time.process_time() - start
+
+    deep = [
+        lambda n: "<span>" * n + "</b>" * n + "x",
+        lambda n: "<span>" * n + "<div></span>" * n + "x",
+        lambda n: "<span>" * n + "<p>x" * n,
+        lambda n: "<div>" * n + "x" + "</div>" * n,
+        lambda n: "<ul><li>" * n + "x",
+    ]
+    for shape in deep:
+        seconds(shape(500))
+        assert seconds(shape(8000)) < 1 and seconds(shape(8000)) < 40 * max(0.002, seconds(shape(1000)))
