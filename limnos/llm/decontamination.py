@@ -5,9 +5,9 @@ that a document shares with an item therefore leaves one common fingerprint in b
 documents' fingerprints are joined with the items' in each Arrow batch, every common one is extended left and right
 word by word, and runs of a whole window or more are hits. Items shorter than a window are looked up whole.
 
-Items come in blocks of bounded size: a block's words, fingerprints and postings are broadcast, the documents are
-scanned against it, and further blocks are scanned likewise and merged by document. No document is shuffled where
-one block holds all items.
+Items whose texts are counted to fit in one block of bounded size are broadcast with their fingerprints and postings, and
+no document is shuffled. More items than that stay in Spark: documents' fingerprints are joined with the items', each pair
+of a document and an item that share one is extended on both whole texts, and a document's hits are merged.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused
+from .common import materialize, unused
 
 WINDOW, KGRAM = 10, 5
 #: Bytes of item text in one broadcast block.
@@ -135,20 +136,86 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[object, str | None]]]:
-    """The items in blocks of at most block_bytes of text (or one item), in turn through the driver."""
-    block, size = [], 0
-    for row in items.select(item_id, text).where(F.col(text).isNotNull()).toLocalIterator():
-        n = len(row[1].encode("utf-8", "replace"))
-        if block and size + n > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row[0], row[1]))
-        size += n
-    yield block
+RESULT = "n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 
 
-RESULT = "n_words long, spans array<struct<a:int,b:int>>, items array<string>"
+def word_hashes(found: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(x) >> 1 for x in found), np.int64, len(found))
+
+
+def prints(text: str | None, window: int, k: int, lengths: list[int] | None = None) -> set[int]:
+    """Hashes by which a document and an item meet: the winnowing fingerprints, and those of runs of short items' lengths; lengths None: the text is an item."""
+    ids = word_hashes(words(text))
+    short = lengths if lengths is not None else [len(ids)] if 0 < len(ids) < window else []
+    out: set[int] = set()
+    for n in short:
+        if len(ids) >= n:
+            grams = np.lib.stride_tricks.sliding_window_view(ids, n)
+            out.update(xxhash.xxh3_64_intdigest(g.tobytes(), n) for g in grams)
+    if lengths is not None or len(ids) >= window:
+        out.update(fingerprints(ids, k, window - k + 1)[1].tolist())
+    return {x - (1 << 63) for x in out}
+
+
+def _broadcast_hits(docs: DataFrame, block: list, text: str, out: str, window: int, k: int) -> DataFrame:
+    shipped = docs.sparkSession.sparkContext.broadcast(block)
+
+    @F.pandas_udf(RESULT)
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        index = Block(shipped.value, window, k)
+        for texts in batches:
+            rows = []
+            for t in texts:
+                found = words(t) if isinstance(t, str) else []
+                spans, got = index.matches(found)
+                rows.append((len(found), [{"a": a, "b": b} for a, b in spans], sorted(str(index.ids[i]) for i in got)))
+            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+
+    return docs.select("*", find(F.col(text).cast("string")).alias(out))
+
+
+def _joined_hits(docs: DataFrame, items: DataFrame, text: str, out: str, window: int, k: int) -> DataFrame:
+    """The same by joins; items: item_id, text. Rows get numbers of their own, and are written once so that these hold."""
+    n = unused(docs, "_row")
+    row = n["_row"]
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "leak-docs")
+    items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "leak-items")
+
+    @F.pandas_udf("long")
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(words(t)) for t in texts], dtype="int64")
+
+    lengths = sorted(r[0] for r in items.select(counted("text").alias("n")).where(f"n > 0 and n < {window}").distinct().collect())  # at most window - 1
+
+    def prints_of(lengths: list[int] | None):
+        @F.pandas_udf("array<long>")
+        def run(texts: pd.Series) -> pd.Series:
+            return pd.Series([sorted(prints(t, window, k, lengths)) for t in texts], dtype=object)
+
+        return run
+
+    texts = docs.select(F.col(row).alias("row"), F.col(text).cast("string").alias("text"))
+    of_docs = texts.select("row", F.explode(prints_of(lengths)("text")).alias("h"))
+    of_items = items.select("item", F.explode(prints_of(None)("text")).alias("h"))
+    pairs = materialize(of_docs.join(of_items, "h").select("row", "item").distinct(), "leak-pairs")
+
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def extended(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for found, item in batches:
+            yield pd.Series([[{"a": a, "b": b} for a, b in Block([(0, i)], window, k).matches(words(t))[0]] for t, i in zip(found, item, strict=True)], dtype=object)
+
+    met = pairs.join(texts, "row").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
+    hits = met.select("row", "item_id", extended("text", "item_text").alias("spans")).where("size(spans) > 0")
+
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def union(spans: pd.Series) -> pd.Series:
+        return pd.Series([[{"a": a, "b": b} for a, b in merged((x["a"], x["b"]) for x in s)] for s in spans], dtype=object)
+
+    each = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.collect_list("item_id")).alias("items"))
+    each = each.select(F.col("row").alias(row), F.struct(union("spans").alias("spans"), "items").alias(out))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    got = F.struct(counted(F.col(text).cast("string")).alias("n_words"), F.coalesce(F.col(f"{out}.spans"), none).alias("spans"), F.coalesce(F.col(f"{out}.items"), F.array().cast("array<string>")).alias("items"))
+    return docs.join(each, row, "left").select(*(c for c in docs.columns if c != row), got.alias(out))
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = KGRAM, out: str = "leak", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -156,46 +223,14 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
 
     Null and wordless texts have no words and no hits; null and wordless items occur nowhere. Repeated documents get equal
     results; equal items all count. Empty tables give empty results, or no hits. A column of docs named like `out` is replaced.
-    Whole texts are searched, in time in proportion to words and hits.
+    Whole texts are searched, in time in proportion to words and hits. Items of up to block_bytes of text in all are broadcast.
     """
-    spark, result = docs.sparkSession, None
-    kept = [c for c in docs.columns if c != out]
-    key = unused(docs, "_row")["_row"]
-    blocks = list(item_blocks(items, item_id, item_text, block_bytes))
-
-    def scan(df: DataFrame, block: list, name: str) -> DataFrame:
-        shipped = spark.sparkContext.broadcast(block)
-
-        @F.pandas_udf(RESULT)
-        def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            index = Block(shipped.value, window, k)
-            for texts in batches:
-                rows = []
-                for t in texts:
-                    found = words(t) if isinstance(t, str) else []
-                    spans, got = index.matches(found)
-                    rows.append((len(found), [{"a": a, "b": b} for a, b in spans], sorted(str(index.ids[i]) for i in got)))
-                yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
-
-        return df.select("*", find(F.col(text).cast("string")).alias(name))
-
-    result = docs.select(*kept)
-    names = [f"{key}{i}" for i in range(len(blocks))]
-    for name, block in zip(names, blocks, strict=True):
-        result = scan(result, block, name)
-    if len(blocks) == 1:
-        return result.withColumnRenamed(names[0], out)
-
-    @F.pandas_udf("array<struct<a:int,b:int>>")
-    def union(spans: pd.Series) -> pd.Series:
-        return spans.map(lambda s: [{"a": a, "b": b} for a, b in merged((x["a"], x["b"]) for x in s)])
-
-    joined = F.struct(
-        F.col(f"{names[0]}.n_words").alias("n_words"),
-        union(F.concat(*(F.col(f"{n}.spans") for n in names))).alias("spans"),
-        F.array_sort(F.concat(*(F.col(f"{n}.items") for n in names))).alias("items"),
-    )
-    return result.select(*kept, joined.alias(out))
+    docs = docs.select(*(c for c in docs.columns if c != out))
+    items = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    if size > block_bytes:
+        return _joined_hits(docs, items, text, out, window, k)
+    return _broadcast_hits(docs, [tuple(r) for r in items.collect()], text, out, window, k)
 
 
 def n_hit(leak: str = "leak"):
