@@ -8,7 +8,8 @@
    of the source's blocks, by hash; the partial pass ends within one block, whose documents are taken in hash order while they fit.
 
 A source's totals, its cut block and its cut document are one row; documents meet them in a join on the source, and
-are never sorted or gathered by source.
+are never sorted or gathered by source. The cut is found in three steps: among `LANES` equal parts of a source's block
+orders, among the blocks of the one part, among the documents of the one block. Each sorts few rows, however large the source.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, unused
 
-#: Share of the greatest entropy that the weights aim at; passes over a source at most; tokens of a block; blocks of a source at most.
-TARGET_ENTROPY, MAX_REPEATS, BLOCK_TOKENS, MAX_BLOCKS = 0.95, 4.0, 100_000, 65_536
+#: Share of the greatest entropy that the weights aim at; passes over a source at most; tokens of a block; parts of a source's block orders (a power of 2).
+TARGET_ENTROPY, MAX_REPEATS, BLOCK_TOKENS, LANES = 0.95, 4.0, 100_000, 4096
 #: Exponents that a job tries, and jobs: the exponent is found to (1 / PROBES) ** ROUNDS, then rounded to 6 digits.
 PROBES, ROUNDS = 32, 4
 #: Sources whose rows are broadcast at most.
@@ -71,15 +72,17 @@ def mix(
     target_entropy: float = TARGET_ENTROPY,
     max_repeats: float = MAX_REPEATS,
     seed: int = 0,
+    plain: bool = False,
 ) -> DataFrame:
     """A row for each draw of a document: docs' columns and tokens, weight (of its source), epoch (from 0), block, block_order and doc_order (clashing columns are replaced).
+    plain: docs' columns alone, as they are.
 
     tokens: a document's, by default its words; budget: by default all documents' tokens. Draws of a source sum to its
     budget, less than a document short of it. A null source is a source of its own. Sources without tokens are passed once. Documents without tokens are drawn
     in every whole pass, and in the partial one if they stand before the cut. Rows that are equal in id and text are drawn alike. An empty table gives an empty one.
     """
     added = ["tokens", "weight", "epoch", "block", "block_order", "doc_order"]
-    kept = [c for c in docs.columns if c not in added]
+    kept = docs.columns if plain else [c for c in docs.columns if c not in added]
     n = unused(docs, "_source", "_tokens", "_doc")
     src, tok, doc = n["_source"], n["_tokens"], n["_doc"]
     base = docs.select(
@@ -88,7 +91,8 @@ def mix(
         (tokens if tokens is not None else word_count(text)).cast("long").alias(tok),
         F.xxhash64(F.lit(seed), F.lit("doc"), F.col(id_col), F.col(text)).alias(doc),
     )
-    narrow = base.select(F.col(src).alias("src"), F.col(tok).alias("tokens"), F.col(doc).alias("doc"))
+    # Words are counted once for all sums and once for the result.
+    narrow = materialize(base.select(F.col(src).alias("src"), F.col(tok).alias("tokens"), F.col(doc).alias("doc")), "mix-tokens")
     totals = materialize(narrow.groupBy("src").agg(F.sum("tokens").alias("tokens")), "mix-totals")
     n_sources, total = totals.agg(F.count("*"), F.sum("tokens")).first()
     budget = total if budget is None else budget
@@ -100,7 +104,7 @@ def mix(
     plan = totals.select(
         "src",
         weight.alias("weight"),
-        F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("tokens") / BLOCK_TOKENS))).cast("long").alias("blocks"),
+        F.greatest(F.lit(1), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("long").alias("blocks"),
         F.when(F.col("tokens") > 0, F.floor(weight * float(budget or 0) / F.col("tokens"))).otherwise(F.lit(1)).cast("long").alias("passes"),
         F.when(F.col("tokens") > 0, F.floor(weight * float(budget or 0))).otherwise(F.lit(0)).cast("long").alias("due"),
         F.col("tokens").alias("held"),
@@ -116,13 +120,23 @@ def mix(
     def doc_order(epoch: Column, doc_hash: Column) -> Column:
         return F.xxhash64(F.lit(seed), epoch.cast("long"), doc_hash)
 
-    # The partial pass: the block in which it ends, by a running sum over the source's blocks (at most MAX_BLOCKS).
-    partial = plan.where("part > 0")
-    blocks = narrow.join(few(partial), "src").groupBy("src", block_of(F.col("doc")).alias("block")).agg(F.sum("tokens").alias("n"), F.max("part").alias("part"), F.max("passes").alias("passes"))
-    w = Window.partitionBy("src").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = blocks.withColumn("order", order_of(F.col("passes"), F.col("block"))).withColumn("upto", F.sum("n").over(w))
-    cut = run.where("upto >= part and upto - n < part").groupBy("src").agg(F.min(F.struct("order", "block", (F.col("part") - F.col("upto") + F.col("n")).alias("rest"))).alias("cut"))
-    cut = materialize(cut.select("src", "cut.*"), "mix-cut")
+    partial = plan.where("part > 0").select("src", "blocks", "passes", "part")
+    order = order_of(F.col("passes"), block_of(F.col("doc")))
+    lane = F.shiftright(order, 64 - LANES.bit_length() + 1)
+
+    def cut_of(sums: DataFrame, at: str, due: str, rest: str) -> DataFrame:
+        """sums: src, the place `at`, its tokens n and the tokens `due` of its source. The place at which the running sum meets them, and what is due of it."""
+        w = Window.partitionBy("src").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        met = sums.withColumn("upto", F.sum("n").over(w)).where(f"upto >= {due} and upto - n < {due}")
+        best = met.groupBy("src").agg(F.min(F.struct(at, (F.col(due) - F.col("upto") + F.col("n")).alias(rest))).alias("cut"))
+        return best.select("src", "cut.*")
+
+    # The partial pass: the part of the orders, then the block in which it ends.
+    lanes = narrow.join(few(partial), "src").groupBy("src", lane.alias("lane")).agg(F.sum("tokens").alias("n"), F.max("part").alias("part"))
+    lanes = materialize(cut_of(lanes, "lane", "part", "rest").withColumnRenamed("lane", "cut_lane"), "mix-lanes")
+    blocks = narrow.join(few(partial.join(lanes, "src")), "src").where(lane == F.col("cut_lane"))
+    blocks = blocks.groupBy("src", F.struct(order.alias("order"), block_of(F.col("doc")).alias("block")).alias("at")).agg(F.sum("tokens").alias("n"), F.max("rest").alias("rest"))
+    cut = materialize(cut_of(blocks, "at", "rest", "left").select("src", "at.order", "at.block", F.col("left").alias("rest")), "mix-cut")
     # Within that block: the last document, in hash order, that still fits.
     inside = narrow.join(few(partial.join(cut, "src")), "src").where(block_of(F.col("doc")) == F.col("block"))
     w = Window.partitionBy("src").orderBy("lot").rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -144,6 +158,8 @@ def mix(
     count = p["passes"] + F.when(extra, 1).otherwise(0)
     drawn = drawn.where(count > 0).withColumn(names["_epoch"], F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
     epoch = F.col(names["_epoch"])
+    if plain:
+        return drawn.select(*kept)
     return drawn.select(
         *kept,
         F.col(tok).alias("tokens"),

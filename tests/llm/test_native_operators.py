@@ -104,6 +104,56 @@ def test_draws_meet_the_budget(spark, monkeypatch):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def chain(*values):
+    """Spark's 64-bit hash of a row of strings, ints and longs, signed."""
+    import xxhash
+
+    h = 42
+    for v, size in values:
+        h = xxhash.xxh64_intdigest(v.encode() if size == 0 else v.to_bytes(size, "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.mark.parametrize("lanes", [1, 16, 4096])
+def test_draws_equal_brute_force(spark, monkeypatch, lanes):
+    """Weights, the permutation of blocks in each pass, the cut block and the order of documents, drawn one by one in Python."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(mixing, "LANES", lanes)
+    rows = [(i, " ".join(["w"] * (1 + i % 17)), "big" if i % 3 else f"small{i % 5}") for i in range(900)] + [(5000, "", "big")]
+    budget, seed = 9_000, 4
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), budget=budget, seed=seed)
+    got = Counter((r["doc_id"], r["epoch"], r["block"], r["block_order"], r["doc_order"], round(r["weight"], 12)) for r in out.collect())
+    held = Counter()
+    for _, t, s in rows:
+        held[s] += len(t.split())
+    a = mixing.solve_exponent(spark.createDataFrame(list(held.items()), "src string, tokens long"), budget)
+    total = sum(held.values())
+    z = sum((t / total) ** a for t in held.values())
+    want = Counter()
+    for s, tokens in held.items():
+        weight, blocks = (tokens / total) ** a / z, max(1, math.ceil(tokens / 300))
+        docs = [(chain((seed, 4), ("doc", 0), (i, 8), (t, 0)), i, len(t.split())) for i, t, x in rows if x == s]
+        due, epoch = math.floor(weight * budget), 0
+        while due > 0:
+            perm = sorted((chain((seed, 4), ("block", 0), ("=" + s, 0), (epoch, 8), (b, 8)), b) for b in {d % blocks for d, _, _ in docs})
+            drawn, left = [], due
+            for order, b in perm:
+                mine = sorted((chain((seed, 4), (epoch, 8), (d, 8)), i, n) for d, i, n in docs if d % blocks == b)
+                for lot, i, n in mine:
+                    if n > left:
+                        left = -1
+                        break
+                    left -= n
+                    drawn.append((i, epoch, b, order, lot, round(weight, 12)))
+                if left <= 0 and tokens > due:
+                    break
+            want.update(drawn)
+            due, epoch = due - tokens, epoch + 1
+    assert got == want
+    plain = mixing.mix(spark.createDataFrame([(*r, 777) for r in rows], "doc_id long, text string, source string, tokens int"), budget=budget, seed=seed, plain=True)
+    assert plain.columns == ["doc_id", "text", "source", "tokens"] and {r["tokens"] for r in plain.collect()} == {777} and plain.count() == sum(want.values())
+
+
 def test_mixing_query(spark):
     out = queries.op7_temperature_mixing(spark, SF)
     tokens = sum(len((r["text"] or "").split()) for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect())
