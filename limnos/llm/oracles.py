@@ -10,8 +10,9 @@ WITH RECURSIVE rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com',
 pg AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UP}', '{_LOW}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
   regexp_extract(url, '(?s)^([^#]*)', 1) AS plain, coalesce(html, '') AS html FROM pages),
 nd AS (SELECT *, CASE WHEN regexp_extract(plain, '(?s)^(.*?://[^/?]*)', 1) <> '' THEN translate(regexp_extract(plain, '(?s)^(.*?://[^/?]*)', 1), '{_UP}', '{_LOW}') || substr(plain, length(regexp_extract(plain, '(?s)^(.*?://[^/?]*)', 1)) + 1) END AS node FROM pg),
-found AS (SELECT node AS src, replace(unnest([regexp_extract(regexp_extract(html, '(?i)<link\b[^<>]*\brel\s*=\s*["'']?canonical\b[^<>]*>', 0), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-  regexp_extract(regexp_extract(html, '(?i)<meta\b[^<>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^<>]*>', 0), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]), '&amp;', '&') AS t FROM nd WHERE node IS NOT NULL),
+tags AS (SELECT node AS src, unnest(list_concat(list_transform(regexp_extract_all(html, '(?i)<link\b[^<>]*\brel\s*=\s*["'']?canonical\b[^<>]*>'), lambda x: regexp_extract(x, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+  list_transform(regexp_extract_all(html, '(?i)<meta\b[^<>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^<>]*>'), lambda x: regexp_extract(x, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS t FROM nd WHERE node IS NOT NULL),
+found AS (SELECT src, replace(t, '&amp;', '&') AS t FROM tags),
 absolute AS (SELECT src, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(src, '^([^:]*:)', 1) || t WHEN starts_with(t, '/') THEN regexp_extract(src, '(?s)^(.*?://[^/?]*)', 1) || t WHEN starts_with(t, '#') THEN src
   WHEN length(regexp_extract(src, '(?s)^(.*?://[^?]*/)', 1)) > length(regexp_extract(src, '(?s)^(.*?://[^/?]*)', 1)) THEN regexp_extract(src, '(?s)^(.*?://[^?]*/)', 1) || t ELSE regexp_extract(src, '(?s)^(.*?://[^/?]*)', 1) || '/' || t END AS u FROM found WHERE t <> ''),
 edges AS (SELECT src, translate(regexp_extract(p, '(?s)^(.*?://[^/?]*)', 1), '{_UP}', '{_LOW}') || substr(p, length(regexp_extract(p, '(?s)^(.*?://[^/?]*)', 1)) + 1) AS dst FROM (SELECT src, regexp_extract(u, '(?s)^([^#]*)', 1) AS p FROM absolute) WHERE p LIKE '%://%'),

@@ -15,8 +15,10 @@ from .common import materialize, unused
 from .components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules that one expression tests at most; they are part of the plan.
-MAX_RULES = 500
+#: Rules that one expression tests, as part of the plan; more of them, or a table of rules, are joined.
+INLINE_RULES = 500
+
+Rules = list[tuple[str, str, str]] | DataFrame
 
 _HOST = r"(?s)^.*?://([^/?#]*)"
 _PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
@@ -38,8 +40,6 @@ def path(url: Column) -> Column:
 
 def decide(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """Struct of rule (host and path joined) and verdict of the longest rule that fits; null without one."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for h, p, verdict in sorted(rules, key=lambda r: len(r[0] + r[1])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -47,6 +47,27 @@ def decide(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Col
     return out
 
 
+def judged(urls: DataFrame, rules: Rules, host: str, path: str, out: str) -> DataFrame:
+    """urls with `decide`'s struct in column out. A table of rules has host, path and verdict; it is met by equal keys alone: a distinct
+    url's host suffixes, and its path cut to each length that rules of that suffix have."""
+    if isinstance(rules, list) and len(rules) <= INLINE_RULES:
+        return urls.withColumn(out, decide(F.col(host), F.col(path), rules))
+    if isinstance(rules, list):
+        rules = urls.sparkSession.createDataFrame(rules, "host string, path string, verdict string")
+    rules = rules.select("host", "path", "verdict").where("host is not null and path is not null")
+    lengths = rules.select("host", F.length("path").alias("n")).distinct().groupBy("host").agg(F.collect_list("n").alias("lengths"))
+    each = urls.select(F.col(host).alias("h"), F.col(path).alias("p")).distinct()
+    parts = F.split("h", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    keys = each.select("h", "p", F.explode(suffixes).alias("host")).join(lengths, "host")
+    keys = keys.select("h", "p", "host", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("p"))
+    met = keys.select("h", "p", "host", F.substring(F.col("p"), F.lit(1), F.col("n")).alias("path")).join(rules, ["host", "path"])
+    found = F.struct(F.concat("host", "path").alias("rule"), "verdict")
+    best = met.groupBy("h", "p").agg(F.max_by(found, F.struct(F.length(F.concat("host", "path")), "host", "verdict")).alias(out))
+    best = best.withColumnsRenamed({"h": host, "p": path})
+    return urls.join(best, [host, path], "left").select(*urls.columns, out)
+
+
 def node(url: Column) -> Column:
     """A url's name in the graph: without its fragment, the scheme and host in lower case; null for null or without ://."""
     plain = F.regexp_extract(url, r"(?s)^([^#]*)", 1)
@@ -55,11 +76,15 @@ def node(url: Column) -> Column:
 
 
 def html_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """src, dst: the canonical link and the refresh redirect of each page, relative targets resolved against its url."""
+    """src, dst: the canonical links and the refresh redirects of each page, relative targets resolved against its url."""
     text = F.coalesce(F.col(html).cast("string"), F.lit(""))
+
+    def targets(tag: str, part: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, part, 1))
+
     found = pages.select(
         node(F.col(url)).alias("src"),
-        F.explode(F.array(F.regexp_extract(F.regexp_extract(text, _LINK, 0), _HREF, 1), F.regexp_extract(F.regexp_extract(text, _META, 0), _REFRESH, 1))).alias("to"),
+        F.explode(F.concat(targets(_LINK, _HREF), targets(_META, _REFRESH))).alias("to"),
     ).where("src is not null and to != ''")
     to, src = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&")), F.col("src")
     origin = F.regexp_extract(src, r"(?s)^(.*?://[^/?]*)", 1)
@@ -74,28 +99,28 @@ def html_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return found.select("src", node(absolute).alias("dst"))
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None, url: str = "url", html: str | None = "html", default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Rules, redirects: DataFrame | None = None, url: str = "url", html: str | None = "html", default: str = "allow") -> DataFrame:
     """pages with `host`, `path`, `rule` and `verdict` added (clashing columns are replaced).
 
-    redirects: src and dst urls, besides those that the pages' html names. Null urls and urls without :// have an empty
+    rules: (host, path, verdict) tuples, or a table of them of any size. redirects: src and dst urls, besides those that the pages' html names. Null urls and urls without :// have an empty
     host and path, no rule and the default verdict. Repeated pages get equal verdicts; an empty table gives an empty one.
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     n = unused(pages, "_node", "_rule", "_blocked")
     name, rule, mark = n["_node"], n["_rule"], n["_blocked"]
     parts = [t for t in (html_edges(pages, url, html) if html else None, redirects.select(node(F.col("src")).alias("src"), node(F.col("dst")).alias("dst")) if redirects is not None else None) if t is not None]
-    judged = pages.select(*kept, host(F.col(url).cast("string")).alias("host"), path(F.col(url).cast("string")).alias("path"), node(F.col(url).cast("string")).alias(name))
-    judged = judged.withColumn(rule, decide(F.col("host"), F.col("path"), rules))
+    named = pages.select(*kept, host(F.col(url).cast("string")).alias("host"), path(F.col(url).cast("string")).alias("path"), node(F.col(url).cast("string")).alias(name))
+    named = judged(named, rules, "host", "path", rule)
     blocked = F.lit(False)
     if parts:
         edges = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
         edges = materialize(edges.where("src is not null and dst is not null and src != dst").distinct(), "url-edges")
         if edges.limit(1).count():
             roots = materialize(components(edges, "src", "dst"), "url-roots")
-            verdict = decide(host(F.col("node")), path(F.col("node")), rules)["verdict"]
-            bad = roots.where(verdict == "block").select("root").distinct()
+            nodes = judged(roots.select("root", host(F.col("node")).alias("host"), path(F.col("node")).alias("path")), rules, "host", "path", "rule")
+            bad = nodes.where("rule.verdict = 'block'").select("root").distinct()
             aliases = roots.join(bad, "root", "left_semi").select(F.col("node").alias(name), F.lit(True).alias(mark))
-            judged = judged.join(aliases, name, "left")
+            named = named.join(aliases, name, "left")
             blocked = F.coalesce(F.col(mark), F.lit(False))
     verdict = F.coalesce(F.col(f"{rule}.verdict"), F.when(blocked, F.lit("block")), F.lit(default))
-    return judged.select(*kept, "host", "path", F.col(f"{rule}.rule").alias("rule"), verdict.alias("verdict"))
+    return named.select(*kept, "host", "path", F.col(f"{rule}.rule").alias("rule"), verdict.alias("verdict"))

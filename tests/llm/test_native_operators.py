@@ -54,6 +54,30 @@ def test_blocks_reach_aliases_and_allows_hold(spark):
     assert url_filter.filter_urls(df.limit(0), queries.URL_RULES, redirects).count() == 0
 
 
+def test_rules_beyond_one_expression(spark, monkeypatch):
+    """Joined rules decide as inline ones do, and as plain Python does; hosts with many paths, paths of many lengths, repeated and null rules."""
+    hosts = ["com", "example.com", "www.example.com", "a.b.example.com", "net", "x.net", "", "org"]
+    paths = ["", "/", "/en/", "/en/deep/", "/e", "/es/", "/über/", "/a.b/"]
+    rules = [(h, p, "block" if (len(h) + len(p)) % 3 else "allow") for h in hosts[:6] for p in paths]
+    urls = [f"http://{h}{p}{q}" for h in [*hosts, "badexample.com", "deep.www.example.com"] for p in paths for q in ("", "tail", "?x=/en/")] + [None, "none"]
+    df = spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(urls)] * 2, "page_id long, url string, html string")
+    inline = sorted(map(tuple, url_filter.filter_urls(df, rules).collect()), key=str)
+    table = spark.createDataFrame([*rules, *rules[:5], (None, "/", "block"), ("com", None, "block")], "host string, path string, verdict string")
+    assert sorted(map(tuple, url_filter.filter_urls(df, table).collect()), key=str) == inline
+    monkeypatch.setattr(url_filter, "INLINE_RULES", 3)
+    assert sorted(map(tuple, url_filter.filter_urls(df, rules).collect()), key=str) == inline
+    for r in url_filter.filter_urls(df, rules).collect():
+        host, path = plain_parts(r["url"])
+        fit = [(h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert r["rule"] == max(fit, key=lambda x: len(x[0]), default=(None, None))[0]
+
+
+def test_every_link_of_a_page_counts(spark):
+    two = "<link rel=canonical href='https://a.org/ok'><link rel=canonical href='https://x.net/es/1'>"
+    df = spark.createDataFrame([(1, "https://a.org/1", two), (2, "https://a.org/ok", ""), (3, "https://a.org/3", "")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(df, queries.URL_RULES).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
 def entropy(w):
     return -sum(x * math.log(x) for x in w if x > 0)
 

@@ -22,6 +22,7 @@ def test_linked_pages(spark, tmp_path):
     link = "<link rel=\"canonical\" href='{}'>"
     urls = [f"https://h{i}.org/a/{i}" for i in range(30)] + ["https://x.net/es/1", "https://www.example.com/en/1"]
     rows = [(i, u, link.format(urls[(i * 7) % 32]) if i % 3 else (link.format("../b") if i % 2 else '<meta http-equiv=refresh content="1;url=/a/3">')) for i, u in enumerate(urls)]
+    rows += [(200, "https://h90.org/", link.format("https://h91.org/") + link.format("https://x.net/es/7"))]
     rows += [(100, None, None), (101, "none", link.format("https://x.net/es/1")), (102, "https://h1.org/a/1#z", "")]
     import pandas as pd
 
