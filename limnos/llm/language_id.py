@@ -24,6 +24,8 @@ from .common import unused
 WINDOW, WIDTHS, FILTERS, BATCH = 256, (2, 3, 4), 16, 256
 #: Bound of the training sample: rows of each language, and windows of each row.
 ROWS_PER_LANG, WINDOWS_PER_ROW = 800, 2
+#: Languages that a network learns at most; labels beyond are noise, or need a larger sample.
+MAX_LANGS = 400
 N_CLASSES = 155
 UND = "und"
 #: Score below which no language counts as found; clean documents of learned languages score 0.5 or more, even of a network trained on 150 rows.
@@ -106,33 +108,38 @@ class ByteCNN:
             out.append(z / z.sum(1, keepdims=True))
         return np.concatenate(out)
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean cross entropy of windows x and languages y, and its gradients for the tables, dense and bias."""
+        n_filters = self.tables[0].shape[2]
+        feats, at = self.pooled(x, places=True)
+        live = np.maximum(feats, 0)
+        z = live @ self.dense + self.bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        loss = float(-np.log(p[np.arange(len(y)), y]).mean())
+        p[np.arange(len(y)), y] -= 1
+        p /= len(y)
+        back = (p @ self.dense.T) * (feats > 0)
+        grads = []
+        for j, (w, t) in enumerate(zip(self.widths, self.tables, strict=True)):
+            g, d = np.zeros_like(t), back[:, j * n_filters : (j + 1) * n_filters]
+            f = np.broadcast_to(np.arange(n_filters), d.shape)
+            for k in range(w):
+                np.add.at(g[k], (np.take_along_axis(x, at[j] + k, 1), f), d)
+            grads.append(g)
+        return loss, [*grads, live.T @ p, p.sum(0)]
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteCNN:
         """Adam on the cross entropy; rows in an order drawn from the seed."""
         rng = np.random.default_rng(seed)
         params = [*self.tables, self.dense, self.bias]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        step, n_filters = 0, self.tables[0].shape[2]
+        step = 0
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for i in range(0, len(x), batch):
                 rows = order[i : i + batch]
-                xb, yb = x[rows], y[rows]
-                feats, at = self.pooled(xb, places=True)
-                live = np.maximum(feats, 0)
-                z = live @ self.dense + self.bias
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(yb)), yb] -= 1
-                p /= len(yb)
-                back = (p @ self.dense.T) * (feats > 0)
-                grads = []
-                for j, (w, t) in enumerate(zip(self.widths, self.tables, strict=True)):
-                    g, d = np.zeros_like(t), back[:, j * n_filters : (j + 1) * n_filters]
-                    f = np.broadcast_to(np.arange(n_filters), d.shape)
-                    for k in range(w):
-                        np.add.at(g[k], (np.take_along_axis(xb, at[j] + k, 1), f), d)
-                    grads.append(g)
-                grads += [live.T @ p, p.sum(0)]
+                _, grads = self.gradients(x[rows], y[rows])
                 step += 1
                 for q, g, m, v in zip(params, grads, first, second, strict=True):
                     m += 0.1 * (g - m)
@@ -164,11 +171,11 @@ class ByteCNN:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang: int = ROWS_PER_LANG, windows_per_row: int = WINDOWS_PER_ROW, reject: bool = False) -> ByteCNN | None:
-    """Fits the network on a bounded sample of the labelled rows: at most about `rows_per_lang` rows of each language,
-    drawn by a hash of the text, and `windows_per_row` windows of each, cut in Spark. None where no row is labelled.
+    """Fits the network on a bounded sample of the labelled rows: at most about `rows_per_lang` rows of each of the `MAX_LANGS` languages
+    with most rows, drawn by a hash of the text, and `windows_per_row` windows of each, cut in Spark. None where no row is labelled.
     reject: the network also learns `und`, from a third of the windows made foreign, so that it can turn down what is in none of the languages."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null and lang != 'und'")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return None
     share = F.lit(0.0)

@@ -188,11 +188,6 @@ def features(starts: np.ndarray, ends: np.ndarray, classes: np.ndarray, codes: n
     return np.stack(groups, 1).astype(np.int64) + _OFFSETS
 
 
-def stretches(f: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Tokens that may bear a label: all, as an email in words has neither digit nor @."""
-    return np.ones(len(f), bool)
-
-
 class CRF:
     """Labels: O, and B and I of each kind. A label's score for a token sums the weights of its features, and of its neighbours' by their side."""
 
@@ -217,53 +212,59 @@ class CRF:
         out[:-1][inner] += after[row[1:][inner]]
         return out
 
+    def gradient(self, f: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """A sequence's negative log likelihood and its gradients for emit and step, by the forward and backward sums."""
+        n = len(self.LABELS)
+        e = self.scores(f)
+        step = np.where(self.banned, -1e4, self.step)
+        alpha, beta = np.zeros_like(e), np.zeros_like(e)
+        alpha[0] = np.where(self.first_banned, -1e4, 0) + e[0]
+        for t in range(1, len(e)):
+            alpha[t] = np.logaddexp.reduce(alpha[t - 1][:, None] + step, 0) + e[t]
+        for t in range(len(e) - 2, -1, -1):
+            beta[t] = np.logaddexp.reduce(step + e[t + 1] + beta[t + 1], 1)
+        z = np.logaddexp.reduce(alpha[-1])
+        loss = z - e[np.arange(len(y)), y].sum() - step[y[:-1], y[1:]].sum()
+        grad = np.exp(alpha + beta - z)
+        grad[np.arange(len(y)), y] -= 1
+        g_emit = np.zeros_like(self.emit)
+        for k in range(f.shape[1]):
+            np.add.at(g_emit[0], f[:, k], grad)
+            np.add.at(g_emit[1], f[:-1, k], grad[1:])
+            np.add.at(g_emit[2], f[1:, k], grad[:-1])
+        g_step = np.zeros((n, n))
+        for t in range(1, len(e)):
+            g_step += np.exp(alpha[t - 1][:, None] + step + e[t] + beta[t] - z)
+            g_step[y[t - 1], y[t]] -= 1
+        return float(loss), g_emit, g_step
+
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], epochs: int = 30, rate: float = 0.2, decay: float = 1e-4, seed: int = 3) -> CRF:
         """AdaGrad on the sequences' log likelihood; rows: feature numbers and label numbers."""
-        rng, n = np.random.default_rng(seed), len(self.LABELS)
+        rng = np.random.default_rng(seed)
         sq_emit, sq_step = np.full_like(self.emit, 1e-3), np.full_like(self.step, 1e-3)
         for _ in range(epochs):
             for r in rng.permutation(len(rows)):
-                f, y = rows[r]
-                e = self.scores(f)
-                step = np.where(self.banned, -1e4, self.step)
-                alpha, beta = np.zeros_like(e), np.zeros_like(e)
-                alpha[0] = np.where(self.first_banned, -1e4, 0) + e[0]
-                for t in range(1, len(e)):
-                    alpha[t] = np.logaddexp.reduce(alpha[t - 1][:, None] + step, 0) + e[t]
-                for t in range(len(e) - 2, -1, -1):
-                    beta[t] = np.logaddexp.reduce(step + e[t + 1] + beta[t + 1], 1)
-                z = np.logaddexp.reduce(alpha[-1])
-                grad = np.exp(alpha + beta - z)
-                grad[np.arange(len(y)), y] -= 1
-                g_emit = np.zeros_like(self.emit)
-                for k in range(f.shape[1]):
-                    np.add.at(g_emit[0], f[:, k], grad)
-                    np.add.at(g_emit[1], f[:-1, k], grad[1:])
-                    np.add.at(g_emit[2], f[1:, k], grad[:-1])
-                g_step = np.zeros((n, n))
-                for t in range(1, len(e)):
-                    g_step += np.exp(alpha[t - 1][:, None] + step + e[t] + beta[t] - z)
-                    g_step[y[t - 1], y[t]] -= 1
+                _, g_emit, g_step = self.gradient(*rows[r])
                 for w, g, sq in ((self.emit, g_emit + decay * self.emit, sq_emit), (self.step, g_step + decay * self.step, sq_step)):
                     sq += g * g
                     w -= rate * g / np.sqrt(sq)
         return self
 
-    def decode(self, stretches: list[np.ndarray]) -> list[np.ndarray]:
-        """Viterbi over many stretches of scores at once; before and after a stretch stands O."""
+    def decode(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """Viterbi over many texts' scores at once; before and after a text stands O."""
         step = np.where(self.banned, -1e9, self.step)
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(stretches)
-        order = sorted(range(len(stretches)), key=lambda i: len(stretches[i]))
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
         lo = 0
         while lo < len(order):
             hi = lo + 1
-            while hi < len(order) and hi - lo < 4096 and (hi + 1 - lo) * len(stretches[order[hi]]) <= CELLS:
+            while hi < len(order) and hi - lo < 4096 and (hi + 1 - lo) * len(texts[order[hi]]) <= CELLS:
                 hi += 1
             rows, lo = order[lo:hi], hi
-            length = np.array([len(stretches[i]) for i in rows])
+            length = np.array([len(texts[i]) for i in rows])
             e = np.zeros((len(rows), length[-1], len(self.LABELS)))
             for r, i in enumerate(rows):
-                e[r, : length[r]] = stretches[i]
+                e[r, : length[r]] = texts[i]
             best, back = step[0] + e[:, 0], np.zeros(e.shape, np.int64)
             final = np.where((length == 1)[:, None], best, 0)
             for t in range(1, e.shape[1]):
@@ -287,9 +288,7 @@ class CRF:
         if not len(f):
             return out
         e = self.scores(f, first)
-        live = np.flatnonzero(stretches(f, first))
-        breaks = np.flatnonzero((np.diff(live) > 1) | first[live[1:]]) + 1
-        pieces = np.split(live, breaks)
+        pieces = np.split(np.arange(len(f)), np.flatnonzero(first[1:]) + 1)
         for at, y in zip(pieces, self.decode([e[p] for p in pieces]), strict=True):
             out[at] = y
         return out
@@ -358,9 +357,7 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 5)
             y[inside] = number[f"I-{kind}"]
             y[inside[:1]] = number[f"B-{kind}"]
         if len(y):
-            f, first = features(starts, ends, classes, codes), np.arange(len(y)) == 0
-            live = np.flatnonzero(stretches(f, first))
-            rows += [(f[p], y[p]) for p in np.split(live, np.flatnonzero(np.diff(live) > 1) + 1) if len(p)]
+            rows.append((features(starts, ends, classes, codes), y))
     return crf.fit(rows, epochs=epochs)
 
 
@@ -422,11 +419,11 @@ def portions(texts: list[str]) -> Iterator[list[str]]:
         i = j
 
 
-RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def find_pii(docs: DataFrame, crf: CRF | None = None, text: str = "text", out: str = "pii") -> DataFrame:
-    """docs with a struct column `out`: counts and a digest of the pattern matches, and all spans (with the CRF's), kind:start:end by start, then kind.
+    """docs with a struct column `out`: counts and a digest of the pattern matches, and all spans (with the CRF's), kind:start:end by start, then kind, and their number.
 
     Offsets are code points, ends exclusive. Whole texts are read; null counts as empty and has no spans. Repeated rows get equal
     results, an empty table an empty one; a column of docs named like `out` is replaced.
@@ -441,7 +438,7 @@ def find_pii(docs: DataFrame, crf: CRF | None = None, text: str = "text", out: s
                 base = [base_spans(t) for t in part]
                 for own, more in zip(base, added_spans(crf, part, base), strict=True):
                     counts = [sum(k == n for _, k, _ in own) for n in range(4)]
-                    rows.append((*counts, hashlib.sha256(joined(own).encode()).hexdigest(), joined(sorted(own + more))))
-            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                    rows.append((*counts, hashlib.sha256(joined(own).encode()).hexdigest(), joined(sorted(own + more)), len(own) + len(more)))
+            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     return docs.select(*(c for c in docs.columns if c != out), find(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias(out))

@@ -60,22 +60,45 @@ def test_crf():
     hit = sum(len(w & g) for w, g in zip(want, got, strict=True))
     assert hit > 0.9 * sum(map(len, want)) and hit > 0.9 * sum(map(len, got))
     assert hit > 1.3 * sum(len(w & set(b)) for w, b in zip(want, base, strict=True))
-    # Texts laid end to end decode like each stretch alone, by the plain algorithm.
-    for text, _ in held[:40]:
-        f = pii_crf.features(*pii_crf.tokens(text))
-        first = np.arange(len(f)) == 0
-        y, live = crf.label(f, first), pii_crf.stretches(f, first)
-        assert not y[~live].any()
-        at = np.flatnonzero(live)
-        for piece in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-            # Neighbours outside a stretch count in its scores.
-            if len(piece):
-                e = crf.scores(f)[piece]
-                assert list(crf.decode([e])[0]) == list(y[piece])
+    # Texts laid end to end decode like each text alone.
+    fs = [pii_crf.features(*pii_crf.tokens(text)) for text, _ in held[:40]]
+    first = np.concatenate([np.arange(len(f)) == 0 for f in fs])
+    together = np.split(crf.label(np.concatenate(fs), first), np.cumsum([len(f) for f in fs[:-1]]))
+    for f, y in zip(fs, together, strict=True):
+        assert list(crf.decode([crf.scores(f)])[0]) == list(y)
     f = pii_crf.features(*pii_crf.tokens("call +1 (521) 555-2373 now 12 or 1.2.3.4 - 5"))
     assert list(crf.decode([crf.scores(f)])[0]) == brute_viterbi(crf, f)
 
 
+def test_crf_gradient_and_likelihood():
+    """Against the sum over all label sequences of a short text, and finite differences."""
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    crf = pii_crf.CRF()
+    crf.emit[:], crf.step[:] = rng.normal(0, 0.3, crf.emit.shape), rng.normal(0, 0.3, crf.step.shape)
+    f = pii_crf.features(*pii_crf.tokens("call +15215552373 a@b.co 1.2.3.4"))
+    y = np.array([0, 7, 1, 3])
+
+    def total(labels):
+        e = crf.scores(f)
+        ok = not crf.first_banned[labels[0]] and not any(crf.banned[a, b] for a, b in zip(labels, labels[1:], strict=False))
+        return sum(e[t, v] for t, v in enumerate(labels)) + sum(crf.step[a, b] for a, b in zip(labels, labels[1:], strict=False)) if ok else -np.inf
+
+    z = np.logaddexp.reduce([total(p) for p in product(range(len(crf.LABELS)), repeat=len(f))])
+    loss, g_emit, g_step = crf.gradient(f, y)
+    assert abs(loss - (z - total(list(y)))) < 1e-6
+    for w, g in ((crf.emit, g_emit), (crf.step, g_step)):
+        places = [tuple(x) for x in np.argwhere(np.abs(g) > 1e-9)]
+        for at in [places[i] for i in rng.choice(len(places), 25)]:
+            w[at] += 1e-5
+            up = crf.gradient(f, y)[0]
+            w[at] -= 2e-5
+            down = crf.gradient(f, y)[0]
+            w[at] += 1e-5
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-5
+
+
 def test_cards_that_run_together(spark):
     crf = pii_crf.train(pii_crf.labelled_table())
     text = "pay 7536784127813050 4845168114407329 now"

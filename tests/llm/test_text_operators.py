@@ -195,6 +195,31 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_network_equals_plain_loops():
+    """Filters, maxima and softmax against loops over places; gradients against finite differences."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    net = language_id.ByteCNN(["a", "b", "c"], widths=(2, 3), filters=4)
+    net.tables, net.dense, net.bias = [t.astype(np.float64) for t in net.tables], net.dense.astype(np.float64), net.bias.astype(np.float64)
+    x, y = rng.integers(0, language_id.N_CLASSES, (5, 12)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    for row, got in zip(x, net.probabilities(x), strict=True):
+        feats = [max(sum(t[k, row[i + k], f] for k in range(w)) for i in range(len(row) - w + 1)) for w, t in zip(net.widths, net.tables, strict=True) for f in range(4)]
+        z = np.maximum(feats, 0) @ net.dense + net.bias
+        assert np.allclose(got, np.exp(z) / np.exp(z).sum())
+    loss, grads = net.gradients(x, y)
+    assert abs(loss + np.log(net.probabilities(x)[np.arange(5), y]).mean()) < 1e-9
+    for w, g in zip([*net.tables, net.dense, net.bias], grads, strict=True):
+        places = [tuple(p) for p in np.argwhere(np.abs(g) > 1e-9)]
+        for at in [places[i] for i in rng.choice(len(places), 12)]:
+            w[at] += 1e-6
+            up = net.gradients(x, y)[0]
+            w[at] -= 2e-6
+            down = net.gradients(x, y)[0]
+            w[at] += 1e-6
+            assert abs((up - down) / 2e-6 - g[at]) < 1e-6
+
+
 def test_language_edges(spark):
     model = language_id.train(docs(spark))
     out = language_id.identify(edge_docs(spark), model).collect()
