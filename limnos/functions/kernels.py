@@ -118,25 +118,27 @@ def shortest_path(n: int, edges: list[tuple[int, int, float]], start: int, goal:
 
 
 def iso_segments(grid: np.ndarray, level: float) -> list[tuple[tuple[float, float], tuple[float, float]]]:
-    """Marching squares: the level's segments in cell units; cells with an unknown corner have none, saddles are cut by their mean."""
-    out = []
-    rows, cols = grid.shape
-    for j in range(rows - 1):
-        for i in range(cols - 1):
-            c = [((i, j), grid[j, i]), ((i + 1, j), grid[j, i + 1]), ((i + 1, j + 1), grid[j + 1, i + 1]), ((i, j + 1), grid[j + 1, i])]
-            if any(np.isnan(v) for _, v in c):
-                continue
-            cuts = []
-            for (p, u), (q, v) in zip(c, c[1:] + c[:1], strict=True):
-                if (u >= level) != (v >= level):
-                    t = (level - u) / (v - u)
-                    cuts.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-            if len(cuts) == 2:
-                out.append((cuts[0], cuts[1]))
-            elif len(cuts) == 4:
-                turn = (np.mean([v for _, v in c]) >= level) == (c[0][1] >= level)
-                out += [(cuts[0], cuts[1]), (cuts[2], cuts[3])] if turn else [(cuts[3], cuts[0]), (cuts[1], cuts[2])]
-    return out
+    """Marching squares: the level's segments in cell units, by rows; cells with an unknown corner have none, saddles are cut by their mean."""
+    if min(grid.shape) < 2:
+        return []
+    v = np.stack([grid[:-1, :-1], grid[:-1, 1:], grid[1:, 1:], grid[1:, :-1]])  # corners in turn
+    j, i = np.nonzero(~np.isnan(v).any(0))
+    v = v[:, j, i]
+    corner = np.stack([np.stack([i, j], 1), np.stack([i + 1, j], 1), np.stack([i + 1, j + 1], 1), np.stack([i, j + 1], 1)]).astype(float)
+    nxt, to = np.roll(v, -1, 0), np.roll(corner, -1, 0)
+    crossed = (v >= level) != (nxt >= level)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cut = corner + ((level - v) / (nxt - v))[..., None] * (to - corner)
+    n = crossed.sum(0)
+    two, four = np.flatnonzero(n == 2), np.flatnonzero(n == 4)
+    first, last = crossed[:, two].argmax(0), 3 - crossed[::-1, two].argmax(0)
+    turn = (v[:, four].mean(0) >= level) == (v[0, four] >= level)
+    sides = np.where(turn[:, None, None], np.array([[0, 1], [2, 3]]), np.array([[3, 0], [1, 2]]))
+    block = np.concatenate([two, np.repeat(four, 2)])
+    ends = np.concatenate([np.stack([first, last], 1), sides.reshape(-1, 2)])
+    order = np.argsort(block, kind="stable")
+    a, b = cut[ends[order, 0], block[order]], cut[ends[order, 1], block[order]]
+    return [(tuple(p), tuple(q)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]
 
 
 def chain_lines(lines: list[list[tuple[float, float]]], places: int = 5) -> list[list[tuple[float, float]]]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limnos.operators import spatial
+
 # Words that tell waters of one name apart by kind only.
 GENERIC_WORDS = ("lake", "reservoir", "pond", "river", "creek", "the", "of")
 
@@ -159,11 +161,10 @@ def near_names(queries: DataFrame, registry: DataFrame, key: str, name: str, row
 def merge_places(left: DataFrame, right: DataFrame, row_id: str, name: str, fields: list[str], metres: float = 50.0) -> DataFrame:
     """One table of two sources' places: rows of one cleaned name within so many metres are one, with the left's values and the right's where those are
     missing; others stay. A right row joins the nearest left one. Columns: row_id, lon, lat, name, fields, source."""
-    from limnos.functions import geo
-
     a = left.withColumn("_k", clean(name))
-    b = right.select(clean(name).alias("_k"), F.col(row_id).alias("_id"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), *(F.col(f).alias(f"_{f}") for f in fields))
-    near = a.join(b, "_k").withColumn("_m", geo.equirect_m("lon", "lat", "_lon", "_lat")).where(F.col("_m") <= metres)
+    b = right.select(clean(name).alias("_n"), F.col(row_id).alias("_id"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), *(F.col(f).alias(f"_{f}") for f in fields))
+    # Names and cells are keys of one join: rows of a common name meet only where they are close.
+    near = spatial.radius_join(a, b, ("lon", "lat"), ("_lon", "_lat"), metres, [("_k", "_n")], "_m")
     pairs = prefer(prefer(near, ["_id"], F.col("_m"), F.col(row_id)), [row_id], F.col("_m"), F.col("_id"))
     filled = a.join(pairs.select(row_id, "_id", *(f"_{f}" for f in fields)), row_id, "left")
     source = F.when(F.col("_id").isNull(), "left").otherwise("both")

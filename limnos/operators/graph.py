@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.functions import kernels
-from limnos.sources.shared import cut
+from limnos.sources.shared import cut, cut_and_tell, discard
 
 
 def components(edges: DataFrame, u: str = "src", v: str = "dst") -> DataFrame:
@@ -23,9 +23,11 @@ def components(edges: DataFrame, u: str = "src", v: str = "dst") -> DataFrame:
         low = both.join(of, "b").groupBy("a").agg(F.min("l").alias("m"))
         hooked = label.join(low, label["node"] == low["a"]).select("node", F.least("l", "m").alias("l"))
         up = hooked.select(F.col("node").alias("l"), F.col("l").alias("up"))
-        label = cut(hooked.join(up, "l", "left").select("node", F.coalesce("up", "l").alias("l")))
-        mark = label.agg(F.sum(F.shiftright(F.xxhash64("node", "l"), 20)), F.count("*")).first()
+        after, mark = cut_and_tell(hooked.join(up, "l", "left").select("node", F.coalesce("up", "l").alias("l")), F.sum(F.shiftright(F.xxhash64("node", "l"), 20)), F.count("*"))
+        discard(label)
+        label = after
         if mark == before or not mark[1]:
+            discard(both)
             return label.select("node", F.col("l").alias("component"))
         before = mark
 
@@ -41,28 +43,32 @@ def cell_components(cells: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
 
 
 def chase(pointers: DataFrame, key: str = "id", to: str = "next") -> DataFrame:
-    """key, end (the last of its chain) and steps, by pointer doubling: rounds grow with the logarithm of the chain. Nodes that lead into a cycle have a null end."""
-    p = cut(pointers.select(F.col(key).alias("k"), F.col(to).alias("t"), F.when(F.col(to).isNotNull(), 1).otherwise(0).cast("long").alias("n")))
-    ends = p.where("t is null").select("k", F.col("k").alias("end"), F.lit(0).cast("long").alias("steps"))
-    live = cut(p.where("t is not null"))
-    size, done = live.count(), 1
-    while live.limit(1).count():
+    """key, end (the last of its chain) and steps, by pointer doubling: rounds grow with the logarithm of the chain. Nodes that lead into a cycle have a null end.
+    A round reads what is resolved and writes only what was not; a pointer to a node that is no key ends there."""
+    none = F.lit(None).cast(pointers.schema[key].dataType)
+    ends_here = F.col(to).isNull()
+    rows = pointers.select(F.col(key).alias("k"), F.col(to).alias("t"), F.when(ends_here, 0).otherwise(1).cast("long").alias("n"), F.when(ends_here, F.col(key)).otherwise(none).alias("end"))
+    state, (size, live) = cut_and_tell(rows, F.count("*"), F.count_if(F.col("end").isNull()))
+    parts, done = [state.where("end is not null")], 1
+    rest = state.where("end is null")
+    while live:
         # A pointer past the table's rows runs in a cycle.
         if done > 2 * size:
-            return ends.unionByName(live.select("k", F.lit(None).cast(ends.schema["end"].dataType).alias("end"), F.lit(None).cast("long").alias("steps"))).select(F.col("k").alias(key), "end", "steps")
-        known = ends.select(F.col("k").alias("t"), "end", "steps")
-        resolved = live.join(known, "t", "left")
-        fresh = resolved.where("end is not null").select("k", "end", (F.col("n") + F.col("steps")).alias("steps"))
-        rest = resolved.where("end is null").select("k", "t", "n")
-        # A pointer to a node that is no key ends there.
-        jump = rest.select(F.col("k").alias("t"), F.col("t").alias("t2"), F.col("n").alias("n2"))
-        moved = rest.join(jump, "t", "left")
-        lost = moved.where("t2 is null").join(pointers.select(F.col(key).alias("t")), "t", "left_anti").select("k", F.col("t").alias("end"), F.col("n").alias("steps"))
-        ends = cut(ends.unionByName(fresh).unionByName(lost))
-        left = moved.join(ends.select("k"), "k", "left_anti")
-        live = cut(left.select("k", F.coalesce("t2", "t").alias("t"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")))
-        done *= 2
-    return ends.select(F.col("k").alias(key), "end", "steps")
+            parts.append(rest.withColumn("n", F.lit(None).cast("long")))
+            break
+        known = rest
+        for p in parts:
+            known = known.unionByName(p)
+        known = known.select(F.col("k").alias("t"), F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("end").alias("end2"), F.lit(1).alias("hit"))
+        met = rest.drop("end").join(known, "t", "left")
+        moved = met.select("k", F.when(F.col("end2").isNull(), F.coalesce("t2", "t")).otherwise(F.col("t")).alias("t"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.when(F.col("hit").isNull(), F.col("t")).otherwise(F.col("end2")).alias("end"))
+        state, (live,) = cut_and_tell(moved, F.count_if(F.col("end").isNull()))
+        parts.append(state.where("end is not null"))
+        rest, done = state.where("end is null"), 2 * done
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(F.col("k").alias(key), "end", F.col("n").alias("steps"))
 
 
 def accumulate(links: DataFrame, own: DataFrame, key: str, to: str, value: str) -> DataFrame:
@@ -70,11 +76,13 @@ def accumulate(links: DataFrame, own: DataFrame, key: str, to: str, value: str)
     After k rounds a key holds what lies within 2**k steps; pointers double with it, so rounds grow with the logarithm of the longest chain.
     Links that run in a cycle never end: keep them out (`chase` finds them)."""
     total = cut(own.select(F.col(key).alias("k"), F.col(value).alias("v")))
-    step = cut(links.select(F.col(key).alias("k"), F.col(to).alias("t")).where("k is not null and t is not null"))
-    while step.limit(1).count():
+    step, (left,) = cut_and_tell(links.select(F.col(key).alias("k"), F.col(to).alias("t")).where("k is not null and t is not null"), F.count("*"))
+    while left:
         moved = total.join(step, "k").select(F.col("t").alias("k"), "v")
-        total = cut(total.unionByName(moved).groupBy("k").agg(F.sum("v").alias("v")))
-        step = cut(step.join(step.select(F.col("k").alias("t"), F.col("t").alias("u")), "t").select("k", F.col("u").alias("t")))
+        after = cut(total.unionByName(moved).groupBy("k").agg(F.sum("v").alias("v")))
+        further, (left,) = cut_and_tell(step.join(step.select(F.col("k").alias("t"), F.col("t").alias("u")), "t").select("k", F.col("u").alias("t")), F.count("*"))
+        discard(total, step)
+        total, step = after, further
     return total.select(F.col("k").alias(key), F.col("v").alias(value))
 
 
@@ -120,10 +128,11 @@ def reachable(edges: DataFrame, starts: DataFrame, stops: DataFrame | None, hops
     front = seen
     for hop in range(1, hops + 1):
         open_ = front if stops is None or hop == 1 else front.join(stops.select(F.col(node).alias("node")), "node", "left_anti")
-        front = cut(open_.join(e, open_["node"] == e["a"]).select("start", F.col("b").alias("node"), F.lit(hop).alias("hop")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti"))
-        if not front.limit(1).count():
+        new = open_.join(e, open_["node"] == e["a"]).select("start", F.col("b").alias("node"), F.lit(hop).alias("hop")).distinct()
+        front, (n,) = cut_and_tell(new.join(seen.select("start", "node"), ["start", "node"], "left_anti"), F.count("*"))
+        if not n:
             break
-        seen = cut(seen.unionByName(front))
+        seen = seen.unionByName(front)  # a part a hop
     return seen
 
 

@@ -1,4 +1,4 @@
-"""Grids as cell tables: coverage, dilation, erosion, smoothing, run masks; contours per cluster in numpy."""
+"""Grids as cell tables: coverage, dilation, erosion, smoothing, run masks; contours tile by tile in numpy."""
 
 from __future__ import annotations
 
@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.functions import geo, kernels
+from limnos.operators import graph
+from limnos.sources.shared import cut
+
+#: Cells of a tile's side, which bounds what one task holds of a grid.
+TILE = 256
 
 
 def rasterize(points: DataFrame, keys: list[str], x: str, y: str, value: str, size: float, least: int = 1) -> DataFrame:
@@ -60,23 +65,39 @@ def charted_share(area: DataFrame, covered: DataFrame, keys: list[str]) -> DataF
     return area.select(*keys, "i", "j").distinct().join(hit, [*keys, "i", "j"], "left").groupBy(*keys).agg((F.count("_h") / F.count("*")).alias("share"))
 
 
-def contours(cells: DataFrame, key: str, value: str, levels: list[float]) -> DataFrame:
-    """key, level, segments, length (in cells) of iso-lines over each key's grid, in numpy; a key's grid is one group, as one water's is."""
+def contours(cells: DataFrame, key: str, value: str, levels: list[float], tile: int = TILE) -> DataFrame:
+    """key, level, segments, lines, length (in cells) of iso-lines over each key's grid; levels that no cell crosses are 0.
+
+    Tiles overlap by one cell, and each block of four cells is its least corner's tile's. A tile's segments are chained in numpy; chains that
+    end on a tile's border are tied to their neighbours' by equal ends, and lines are the components.
+    """
+    size = F.lit(tile)
+    tiles = F.array_compact(F.array(*(F.when((F.lit(a == 0) | (F.pmod("i", size) == 0)) & (F.lit(b == 0) | (F.pmod("j", size) == 0)), F.struct((F.floor(F.col("i") / size) - a).alias("ti"), (F.floor(F.col("j") / size) - b).alias("tj"))) for a in (0, 1) for b in (0, 1))))
+    sent = cells.select(key, "i", "j", value, F.explode(tiles).alias("_t")).select(key, "i", "j", value, "_t.ti", "_t.tj")
 
     def trace(k, pdf: pd.DataFrame) -> pd.DataFrame:
         i0, j0 = pdf["i"].min(), pdf["j"].min()
         grid = np.full((int(pdf["j"].max() - j0) + 1, int(pdf["i"].max() - i0) + 1), np.nan)
         grid[(pdf["j"] - j0).astype(int), (pdf["i"] - i0).astype(int)] = pdf[value]
+        spot = lambda p: f"{round((p[0] + i0) * 1e5)},{round((p[1] + j0) * 1e5)}"
         rows = []
         for level in levels:
-            segments = kernels.iso_segments(grid, level)
-            lines = kernels.chain_lines([list(s) for s in segments])
-            length = sum(float(np.hypot(*np.diff(np.array(s), axis=0)[0])) for s in segments)
-            rows.append((k[0], float(level), len(segments), len(lines), round(length, 6)))
-        return pd.DataFrame(rows, columns=[key, "level", "segments", "lines", "length"])
+            for n, line in enumerate(kernels.chain_lines([list(s) for s in kernels.iso_segments(grid, level)])):
+                length = float(np.hypot(*np.diff(np.array(line), axis=0).T).sum())
+                rows.append((k[0], float(level), f"{k[1]},{k[2]},{n}", len(line) - 1, length, spot(line[0]), spot(line[-1])))
+        return pd.DataFrame(rows, columns=[key, "level", "part", "segments", "length", "start", "end"])
 
     kind = dict(cells.dtypes)[key]
-    return cells.select(key, "i", "j", value).groupBy(key).applyInPandas(trace, f"{key} {kind}, level double, segments long, lines long, length double")
+    parts = cut(sent.groupBy(key, "ti", "tj").applyInPandas(trace, f"{key} {kind}, level double, part string, segments long, length double, start string, end string"))
+    name = F.concat_ws("|", F.col(key).cast("string"), F.col("level").cast("string"), "part")
+    open_ = parts.where("start != end").select(name.alias("name"), F.explode(F.array("start", "end")).alias("spot"), key, "level")
+    first = open_.groupBy(key, "level", "spot").agg(F.min("name").alias("first"))
+    tied = open_.join(first, [key, "level", "spot"]).where("name != first").select("name", "first")
+    found = graph.components(tied, "name", "first")
+    lines = parts.join(found, name == found["node"], "left").groupBy(key, "level").agg(F.sum("segments").alias("segments"), F.count_distinct(F.coalesce("component", name)).alias("lines"), F.round(F.sum("length"), 6).alias("length"))
+    every = cells.select(key).distinct().select(key, F.explode(F.array(*(F.lit(float(x)) for x in levels))).alias("level"))
+    none = F.lit(0).cast("long")
+    return every.join(lines, [key, "level"], "left").select(key, "level", F.coalesce("segments", none).alias("segments"), F.coalesce("lines", none).alias("lines"), F.coalesce("length", F.lit(0.0)).alias("length"))
 
 
 def fill_fringe(cells: DataFrame, keys: list[str], value: str, reach: int = 3) -> DataFrame:

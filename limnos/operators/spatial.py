@@ -29,11 +29,30 @@ def within_cells(left: DataFrame, right: DataFrame, left_xy: tuple[str, str], ri
     return a.join(b, (F.col("_c.i") == F.col("_i")) & (F.col("_c.j") == F.col("_j"))).drop("_c", "_i", "_j")
 
 
-def radius_join(left: DataFrame, right: DataFrame, left_xy: tuple[str, str], right_xy: tuple[str, str], metres: float, lat_max: float = 60.0, distance: str = "distance_m") -> DataFrame:
-    """Pairs within flat metres of each other. The cell covers the radius at latitudes up to lat_max."""
-    size = metres / (geo.M_LON * float(np.cos(np.radians(lat_max))))
+def _row(lat: Column, metres: float) -> Column:
+    return F.floor(lat * (geo.M_LAT_POINT / metres))
+
+
+def _place(lon: Column, row: Column, metres: float) -> Column:
+    """The cell along a row: as wide as the radius is at the highest latitude of the row and its neighbours."""
+    top = F.least(F.greatest(F.abs(row - 1), F.abs(row + 2)) * (metres / geo.M_LAT_POINT), F.lit(89.9999))
+    return F.floor(lon * F.cos(F.radians(top)) * (geo.M_LON / metres))
+
+
+def radius_join(left: DataFrame, right: DataFrame, left_xy: tuple[str, str], right_xy: tuple[str, str], metres: float, on: list[tuple[str, str]] = (), distance: str = "distance_m") -> DataFrame:
+    """Pairs within flat metres of each other, at any latitude: a row of cells is as high as the radius, and its cells widen with the latitude.
+    on: pairs of columns that must be equal, keys of the same join. Distances are not taken across the 180th meridian. Column names of the two sides must differ."""
+    lon, lat = F.col(left_xy[0]), F.col(left_xy[1])
+    rows = [_row(lat, metres) + b for b in (-1, 0, 1)]
+    around = F.array(*(F.struct((_place(lon, j, metres) + a).alias("i"), j.alias("j")) for j in rows for a in (-1, 0, 1)))
+    a = left.withColumn("_c", F.explode(around))
+    j = _row(F.col(right_xy[1]), metres)
+    b = right.withColumn("_i", _place(F.col(right_xy[0]), j, metres)).withColumn("_j", j)
+    meet = (F.col("_c.i") == F.col("_i")) & (F.col("_c.j") == F.col("_j"))
+    for x, y in on:
+        meet = meet & (a[x] == b[y])
     d = geo.equirect_m(left_xy[0], left_xy[1], right_xy[0], right_xy[1])
-    return within_cells(left, right, left_xy, right_xy, size).withColumn(distance, d).where(F.col(distance) <= metres)
+    return a.join(b, meet).drop("_c", "_i", "_j").withColumn(distance, d).where(F.col(distance) <= metres)
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], metres: float, k: int = 1) -> DataFrame:

@@ -22,13 +22,13 @@ COLLAPSE_M = 150.0
 
 def ledges(points: DataFrame, key: str, level: str, lon: str = "lon", lat: str = "lat", cell: float = RESULT_CELL) -> DataFrame:
     """key, i, j, slope (ft per 100 ft), drop, run_m, depth: per cell the steepest way from a level's point to the nearest point of the
-    next level that is at least DROP_FT deeper. Levels are matched by a window over the distinct ones, points by cells of the run's reach."""
+    next level that is at least DROP_FT deeper. Levels are matched by a window over the distinct ones, points by key, level and cells of the run's reach."""
     levels = points.select(key, F.col(level).alias("d1")).distinct()
     deeper = F.first("d1").over(Window.partitionBy(key).orderBy("d1").rangeBetween(int(DROP_FT), Window.unboundedFollowing))
     step = levels.withColumn("d2", deeper).where("d2 is not null")
     a = points.select(key, F.col(level).alias("d1"), F.col(lon).alias("alon"), F.col(lat).alias("alat")).join(step, [key, "d1"])
     b = points.select(F.col(key).alias("_k"), F.col(level).alias("_d"), F.col(lon).alias("blon"), F.col(lat).alias("blat"))
-    near = spatial.radius_join(a, b, ("alon", "alat"), ("blon", "blat"), MAX_RUN_M).where((F.col(key) == F.col("_k")) & (F.col("_d") == F.col("d2")))
+    near = spatial.radius_join(a, b, ("alon", "alat"), ("blon", "blat"), MAX_RUN_M, [(key, "_k"), ("d2", "_d")])
     run = near.groupBy(key, "d1", "d2", "alon", "alat").agg(F.min("distance_m").alias("m"))
     slope = (F.col("d2") - F.col("d1")) / (F.greatest(F.col("m"), F.lit(MIN_RUN_M)) / 30.48)
     at = geo.cell("alon", "alat", cell, "trunc")

@@ -118,6 +118,7 @@ def filter_presets(spark, sf_dir):
  s AS (SELECT id, sum(CASE WHEN w > 0 THEN w * (1 - m / 4000) ELSE w END) AS v FROM n GROUP BY id)
  SELECT p.id, round(coalesce(v, 0) * (CASE WHEN depth > 8 THEN 1.0 ELSE 0.5 END) + 0.25, 3) AS score FROM points p LEFT JOIN s USING (id) WHERE grp < 3""")
 def rank_spots(spark, sf_dir):
+    """The groups part all points into spots and structures."""
     p = points(spark, sf_dir)
     kind = F.element_at(F.array(F.lit("dock"), F.lit("hump"), F.lit("weed")), (F.col("id") % 3 + 1).cast("int"))
     s = p.where("grp >= 3").select(F.col("lon").alias("slon"), F.col("lat").alias("slat"), kind.alias("kind"))

@@ -38,15 +38,15 @@ def lines_bulges(spark, sf_dir):
     return lines.bulges(v, ["user_id"], "event_id", 2, 500.0).select("event_id", F.round("bulge_m", 2).alias("bulge_m"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, (l_partkey * 7 + l_suppkey) % 200 AS b FROM lineitem WHERE l_quantity > 40 AND l_partkey < 200),
- r(start, node, hop) AS (SELECT DISTINCT p_partkey, p_partkey, 0 FROM part WHERE p_partkey < 5 UNION SELECT start, b, hop + 1 FROM r JOIN e ON node = a WHERE hop < 3 AND (hop = 0 OR node % 10 <> 3))
+@query("""WITH RECURSIVE m AS (SELECT max(p_partkey) + 1 AS m FROM part), e AS (SELECT DISTINCT l_partkey AS a, (l_partkey * 7 + l_suppkey) % m AS b FROM lineitem, m),
+ r(start, node, hop) AS (SELECT DISTINCT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 50 = 0 UNION SELECT start, b, hop + 1 FROM r JOIN e ON node = a WHERE hop < 2 AND (hop = 0 OR node % 10 <> 3))
  SELECT start, node, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY start, node""")
 def graph_reachable(spark, sf_dir):
-    """What a few parts reach in three hops; parts that end in 3 are not passed."""
-    e = table(spark, sf_dir, "lineitem").where("l_quantity > 40 and l_partkey < 200").select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 200).alias("dst"))
+    """What every fiftieth part reaches in two hops over all parts' links; parts that end in 3 are not passed."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
-    stops = spark.range(200).select(F.col("id").alias("node")).where("node % 10 = 3")
-    return graph.reachable(e, p.where("node < 5"), stops, 3)
+    m = p.agg(F.max("node")).first()[0] + 1
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % m).alias("dst"))
+    return graph.reachable(e, p.where("node % 50 = 0"), p.where("node % 10 = 3"), 2)
 
 
 @query("""SELECT count(CASE WHEN a.o_orderkey < b.o_orderkey THEN 1 END) > 100 * count(CASE WHEN a.o_orderkey > b.o_orderkey THEN 1 END) AS increasing FROM orders a JOIN (SELECT o_orderkey AS k, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS o_orderkey FROM orders) b ON a.o_orderkey = b.k""")

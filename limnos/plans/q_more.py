@@ -11,22 +11,23 @@ from limnos.plans.registry import query
 from limnos.plans.surrogates import POINTS, SERIES, metres, points, series, table
 
 
-@query("""WITH a AS (SELECT p_partkey, p_name FROM part WHERE p_partkey % 3 = 0), b AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'x' || p_name WHEN 1 THEN substr(p_name, 1, length(p_name) - 1) ELSE p_name END AS n FROM part WHERE p_partkey % 50 = 0)
+@query("""WITH a AS (SELECT p_partkey, p_name FROM part), b AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'x' || p_name WHEN 1 THEN substr(p_name, 1, length(p_name) - 1) ELSE p_name END AS n FROM part WHERE p_partkey % 50 = 0)
  SELECT a.p_partkey, b.id, CAST(levenshtein(a.p_name, b.n) AS INTEGER) AS edits FROM a JOIN b ON levenshtein(a.p_name, b.n) BETWEEN 1 AND 2""")
 def ent_near_names(spark, sf_dir):
+    """Every fiftieth part's altered name is searched among all."""
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
     n = F.when(k % 4 == 0, F.concat(F.lit("x"), "p_name")).when(k % 4 == 1, F.expr("substr(p_name, 1, length(p_name) - 1)")).otherwise(F.col("p_name"))
     r = p.where(k % 50 == 0).select(k.alias("id"), n.alias("n"))
-    return entity.near_names(p.where(k % 3 == 0), r, "p_partkey", "p_name", "id", "n", 2)
+    return entity.near_names(p, r, "p_partkey", "p_name", "id", "n", 2)
 
 
-@query(f"""WITH {POINTS}, a AS (SELECT id, lon, lat, 'Ramp ' || grp AS name, CASE WHEN id % 3 = 0 THEN NULL ELSE depth END AS v FROM points WHERE id % 2 = 0), b AS (SELECT id, lon + 0.00001 * (id % 100) - 0.0004 AS lon, lat, 'ramp-' || grp AS name, depth + 1 AS v FROM points),
+@query(f"""WITH {POINTS}, a AS (SELECT id, lon, lat, 'Ramp ' || grp AS name, CASE WHEN id % 3 = 0 THEN NULL ELSE depth END AS v FROM points), b AS (SELECT id, lon + 0.00001 * (id % 100) - 0.0004 AS lon, lat, 'ramp-' || grp AS name, depth + 1 AS v FROM points),
  n AS (SELECT a.id AS i, b.id AS j, {metres('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS m FROM a JOIN b ON replace(lower(b.name), '-', ' ') = lower(a.name) AND {metres('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 50),
  p1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY j ORDER BY m, i) AS r FROM n) WHERE r = 1), p AS (SELECT * FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY m, j) AS r FROM p1) WHERE r = 1)
  SELECT a.id, a.name, coalesce(a.v, b.v) AS v, CASE WHEN j IS NULL THEN 'left' ELSE 'both' END AS source FROM a LEFT JOIN p ON p.i = a.id LEFT JOIN b ON b.id = j UNION ALL SELECT id, name, v, 'right' FROM b WHERE id NOT IN (SELECT j FROM p)""")
 def ent_merge_places(spark, sf_dir):
     p, g = points(spark, sf_dir), F.col("grp").cast("string")
-    a = p.where("id % 2 = 0").select("id", "lon", "lat", F.concat(F.lit("Ramp "), g).alias("name"), F.when(F.col("id") % 3 != 0, F.col("depth")).alias("v"))
+    a = p.select("id", "lon", "lat", F.concat(F.lit("Ramp "), g).alias("name"), F.when(F.col("id") % 3 != 0, F.col("depth")).alias("v"))
     b = p.select("id", (F.col("lon") + 0.00001 * (F.col("id") % 100) - 0.0004).alias("lon"), "lat", F.concat(F.lit("ramp-"), g).alias("name"), (F.col("depth") + 1).alias("v"))
     return entity.merge_places(a, b, "id", "name", ["v"]).select("id", "name", "v", "source")
 
@@ -43,7 +44,7 @@ def raster_fill_fringe(spark, sf_dir):
     return raster.fill_fringe(cells(spark, sf_dir), [], "low", 3)
 
 
-@query(f"""WITH {POINTS} SELECT id AS poly, round(lon, 6) AS x, round(lat, 6) AS y, 2.0::DOUBLE AS a, 0.0::DOUBLE AS b, 3.0::DOUBLE AS c, 1.0::DOUBLE AS d, 1.0::DOUBLE AS e, -1.0::DOUBLE AS f FROM points WHERE id % 25 = 0""")
+@query(f"""WITH {POINTS} SELECT id AS poly, round(lon, 6) AS x, round(lat, 6) AS y, 2.0::DOUBLE AS a, 0.0::DOUBLE AS b, 3.0::DOUBLE AS c, 1.0::DOUBLE AS d, 1.0::DOUBLE AS e, -1.0::DOUBLE AS f FROM points""")
 def geo_affine(spark, sf_dir):
     """A point within each diamond, and the frame that maps (0,0), (1,0), (0,1) to (3,-1), (5,0), (3,0)."""
     m = geo.affine([(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)], [(3.0, -1.0), (5.0, 0.0), (3.0, 0.0)])

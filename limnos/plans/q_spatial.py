@@ -63,16 +63,16 @@ def geo_lines(spark, sf_dir):
     return by.select("grp", F.size("line").cast("long").alias("vertices"), r(geo.vertex_mean("line")["x"], 6).alias("mean_lon"), geo.bounds("line")["xmin"].alias("xmin"), geo.bounds("line")["ymax"].alias("ymax"), r(geo.line_length_m("line"), 1).alias("length_m"), r(geo.longest_segment_m("line"), 2).alias("longest_m"))
 
 
-def diamonds(spark, sf_dir, every: int = 25, radius: float = 0.15):
-    """A diamond about every so many points: rings, box."""
-    p = points(spark, sf_dir).where(F.col("id") % every == 0)
+def diamonds(spark, sf_dir, radius: float = 0.15):
+    """A diamond about every point: rings, box."""
+    p = points(spark, sf_dir)
     v = lambda dx, dy: F.struct((F.col("lon") + dx).alias("x"), (F.col("lat") + dy).alias("y"))
     ring = F.array(v(-radius, 0.0), v(0.0, -radius), v(radius, 0.0), v(0.0, radius))
     return p.select(F.col("id").alias("poly"), F.array(ring).alias("rings"), (F.col("lon") - radius).alias("x0"), (F.col("lat") - radius).alias("y0"), (F.col("lon") + radius).alias("x1"), (F.col("lat") + radius).alias("y1"))
 
 
 @query(f"""WITH {POINTS} SELECT id AS poly, round(2*0.15::DOUBLE*0.15, 8) AS area_deg2, round(2*0.15::DOUBLE*0.15 * 111320.0*110570.0*cos(radians(lat)) / 4046.8564224, 1) AS acres,
- round(lon, 6) AS cx, round(lat, 6) AS cy FROM points WHERE id % 25 = 0""")
+ round(lon, 6) AS cx, round(lat, 6) AS cy FROM points""")
 def geo_rings(spark, sf_dir):
     ring = F.col("rings")[0]
     c = geo.area_centroid(ring)
@@ -98,25 +98,27 @@ def spatial_radius_counts(spark, sf_dir):
  k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, other) AS rank FROM d WHERE m <= 8000)
  SELECT id, CAST(rank AS INTEGER) AS rank, other, round(m, 2) AS distance_m FROM k WHERE rank <= 3""")
 def spatial_nearest(spark, sf_dir):
+    """The groups part all points into the two sides: group 0 searches all others."""
     p = points(spark, sf_dir)
     other = p.where("grp != 0").select(F.col("id").alias("other"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
     return spatial.nearest(p.where("grp = 0"), other, "id", "other", ("lon", "lat"), ("lon2", "lat2"), 8000, 3).withColumn("distance_m", r("distance_m", 2))
 
 
 @query(f"""WITH {POINTS} SELECT p.id AS poly, count(*) AS inside, round(min(q.depth), 4) AS shallowest FROM points p JOIN points q
- ON abs(q.lon - p.lon) + abs(q.lat - p.lat) < 0.15 - 1e-9 WHERE p.id % 25 = 0 GROUP BY p.id""")
+ ON abs(q.lon - p.lon) + abs(q.lat - p.lat) < 0.15 - 1e-9 GROUP BY p.id""")
 def spatial_polygon_join(spark, sf_dir):
     p = points(spark, sf_dir)
     hit = spatial.polygon_join(p, diamonds(spark, sf_dir), ("lon", "lat"), "rings", ("x0", "y0", "x1", "y1"), 0.1)
     return hit.groupBy("poly").agg(F.count("*").alias("inside"), r(F.min("depth")).alias("shallowest"))
 
 
-BOXES = "boxes AS (SELECT id AS box, lon - 0.02 - depth/400 AS x0, lat - 0.02 - depth/400 AS y0, lon + 0.02 + depth/400 AS x1, lat + 0.02 + depth/400 AS y1 FROM points WHERE id % 5 = 0)"
+BOXES = "boxes AS (SELECT id AS box, lon - 0.02 - depth/400 AS x0, lat - 0.02 - depth/400 AS y0, lon + 0.02 + depth/400 AS x1, lat + 0.02 + depth/400 AS y1 FROM points)"
 
 
 def boxes(spark, sf_dir):
+    """A box about every point, the larger the deeper it is."""
     half = F.col("depth") / 400
-    return points(spark, sf_dir).where("id % 5 = 0").select(F.col("id").alias("box"), (F.col("lon") - 0.02 - half).alias("x0"), (F.col("lat") - 0.02 - half).alias("y0"), (F.col("lon") + 0.02 + half).alias("x1"), (F.col("lat") + 0.02 + half).alias("y1"))
+    return points(spark, sf_dir).select(F.col("id").alias("box"), (F.col("lon") - 0.02 - half).alias("x0"), (F.col("lat") - 0.02 - half).alias("y0"), (F.col("lon") + 0.02 + half).alias("x1"), (F.col("lat") + 0.02 + half).alias("y1"))
 
 
 @query(f"""WITH {POINTS}, {BOXES} SELECT id, box FROM (SELECT p.id, b.box, row_number() OVER (PARTITION BY p.id ORDER BY (x1-x0)*(y1-y0), b.box) AS k
@@ -136,9 +138,10 @@ def spatial_box_pairs(spark, sf_dir):
 
 @query()
 def spatial_overlap_verdicts(spark, sf_dir):
-    a = diamonds(spark, sf_dir)
+    """Every pair of overlapping small diamonds, by sampling."""
+    a = diamonds(spark, sf_dir, 0.04)
     b = a.select(*(F.col(c).alias(f"b_{c}") for c in a.columns))
-    pairs = spatial.box_pairs(a, b, ("x0", "y0", "x1", "y1"), ("b_x0", "b_y0", "b_x1", "b_y1"), 0.3).where("poly < b_poly")
+    pairs = spatial.box_pairs(a, b, ("x0", "y0", "x1", "y1"), ("b_x0", "b_y0", "b_x1", "b_y1"), 0.1).where("poly < b_poly")
     out = spatial.measure_overlaps(pairs, "rings", "b_rings", ["poly", "b_poly"])
     return out.withColumn("v", spatial.overlap_verdict("a_in_b", "b_in_a", "ratio")).select("poly", "b_poly", "a_in_b", "b_in_a", "ratio", F.col("v.label").alias("verdict"), "v.duplicate")
 
@@ -147,6 +150,7 @@ def spatial_overlap_verdicts(spark, sf_dir):
  h AS (SELECT a.id, a.grp, EXISTS (SELECT 1 FROM b WHERE {metres('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 1500) AS hit FROM a)
  SELECT grp, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS share FROM h GROUP BY grp""")
 def spatial_corridor_share(spark, sf_dir):
+    """The groups part all points into samples and others."""
     p = points(spark, sf_dir)
     b = p.where("grp >= 5").select(F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
     return spatial.corridor_share(p.where("grp < 5"), b, "grp", ("lon", "lat"), ("lon2", "lat2"), 1500).withColumn("share", r("share", 6))

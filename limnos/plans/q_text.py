@@ -1,4 +1,4 @@
-"""Queries over documents, pages and conversations of the reference's kinds: sections, chunks, tags, tables, facts."""
+"""Queries over documents, pages and conversations: sections, chunks, tags, tables, facts."""
 
 from __future__ import annotations
 
@@ -18,7 +18,12 @@ def text_sections(spark, sf_dir):
     return out.select("doc_id", "section", "heading", "lines", (F.length("body") - F.greatest(F.col("lines") - 1, F.lit(0))).cast("long").alias("chars"))
 
 
-@query()
+CHUNK_END = "CASE WHEN s + 2000 >= n THEN n WHEN strpos(reverse(substr(x, s + 1001, 1000)), chr(10) || chr(10)) > 0 THEN s + 1999 - strpos(reverse(substr(x, s + 1001, 1000)), chr(10) || chr(10)) ELSE s + 2000 END"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, text AS x, CAST(length(text) AS BIGINT) AS n FROM documents WHERE length(text) > 0), c AS (SELECT doc_id, x, n, 0 AS chunk, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS before FROM t
+  UNION ALL SELECT doc_id, x, n, chunk + 1, greatest(e - 200, s + 1), e FROM (SELECT *, CAST({CHUNK_END} AS BIGINT) AS e FROM c) WHERE e < n), k AS (SELECT *, CAST({CHUNK_END} AS BIGINT) AS e FROM c)
+ SELECT doc_id, chunk, CAST(s AS INTEGER) AS start, CAST(e - s AS INTEGER) AS n, CAST(CASE WHEN chunk = 0 THEN 0 ELSE before - s END AS INTEGER) AS overlap_before FROM k""")
 def text_chunks(spark, sf_dir):
     out = text.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 2000, 200)
     return out.select("doc_id", "chunk", "start", F.length("chunk_text").alias("n"), "overlap_before")
@@ -47,14 +52,16 @@ def text_html_links(spark, sf_dir):
     return p.select("page_id", F.size(text.hrefs(F.col("html"))).cast("long").alias("links"), F.array_join(text.hrefs(F.col("html")), " ").alias("urls"), F.length(text.plain(F.col("html"))).cast("long").alias("chars"))
 
 
-@query("""WITH t AS (SELECT page_id, url, '<table><tr><th>Lake</th><td> ' || page_id || ' &amp; <b>x</b></td></tr><tr><td>' || url || '</td></tr></table>' AS h, '| a | ' || page_id || ' |' AS m FROM pages)
- SELECT page_id, 'Lake;' || page_id || ' & x|' || url AS cells, 'a;' || page_id AS md FROM t""")
+@query("""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li>', 1) AS c, regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1) AS p FROM pages)
+ SELECT page_id, array_to_string(list_transform(c, lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))), ';') AS cells,
+ array_to_string(list_transform(p, lambda x: CAST(length(trim(regexp_replace(x, '[|\\s]+', ' ', 'g'))) AS VARCHAR)), ';') AS md FROM l""")
 def text_table_rows(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
-    html = F.concat(F.lit("<table><tr><th>Lake</th><td> "), F.col("page_id").cast("string"), F.lit(" &amp; <b>x</b></td></tr><tr><td>"), F.col("url"), F.lit("</td></tr></table>"))
-    md = F.concat(F.lit("| a | "), F.col("page_id").cast("string"), F.lit(" |\n| --- | :-: |"))
-    join = lambda rows: F.array_join(F.transform(rows, lambda r: F.array_join(r, ";")), "|")
-    return p.select("page_id", join(text.table_cells(html)).alias("cells"), join(text.markdown_rows(md)).alias("md"))
+    """The pages' list items as a table's cells, and their paragraphs as a pipe table's rows, whose lengths are told."""
+    html = F.col("html")
+    li = F.regexp_replace(F.regexp_replace(html, r"(?is)<li\b[^>]*>(.*?)</li>", "<td>$1</td>"), r"(?is)<(ul|ol)\b[^>]*>(.*?)</\1>", "<tr>$2</tr>")
+    rows = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), lambda x: F.concat(F.lit("| "), F.regexp_replace(x, r"[|\s]+", " "), F.lit(" |")))
+    md = F.transform(text.markdown_rows(F.concat(F.lit("|---|\n"), F.array_join(rows, "\n"))), lambda r: F.length(r[0]).cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.flatten(text.table_cells(li)), ";").alias("cells"), F.array_join(md, ";").alias("md"))
 
 
 @query("""SELECT user_id, event_type, CAST(floor(value / 10) AS BIGINT) AS fact, count(*) AS agree, max(value) AS confidence FROM events GROUP BY ALL""")
@@ -63,13 +70,25 @@ def text_dedupe_facts(spark, sf_dir):
     return text.dedupe_facts(e, ["user_id", "event_type", "fact"], "value")
 
 
-@query("""WITH v AS (SELECT user_id, event_type, floor(value / 20) * 20 + 10 AS v, min(event_id) AS fact FROM events GROUP BY ALL)
- SELECT a.user_id, a.event_type, a.v AS low, b.v AS high, a.fact AS low_fact, b.fact AS high_fact FROM v a JOIN v b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.v < b.v AND b.v - a.v > 0.15 * abs(b.v)""")
+@query("""WITH v AS (SELECT user_id, event_type, floor(value / 20) * 20 + 10 AS v, min(event_id) AS fact FROM events GROUP BY ALL),
+ e AS (SELECT user_id, event_type, min(v) AS lo, arg_min(fact, v) AS lof, max(v) AS hi, arg_max(fact, v) AS hif FROM v GROUP BY ALL), c AS (SELECT *, abs(v - lo) > 0.15 * greatest(abs(v), abs(lo)) AS a, abs(v - hi) > 0.15 * greatest(abs(v), abs(hi)) AS b FROM v JOIN e USING (user_id, event_type))
+ SELECT user_id, event_type, v, fact, CASE WHEN a THEN lo ELSE hi END AS against, CASE WHEN a THEN lof ELSE hif END AS against_fact FROM c WHERE a OR b""")
 def text_contradictions(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_type", (F.floor(F.col("value") / 20) * 20 + 10).cast("double").alias("v"), "event_id")
     return text.contradictions(e, ["user_id", "event_type"], "v", "event_id")
 
 
+@query("""WITH d AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM conversations), n AS (SELECT DISTINCT array_to_string(w[1:2], ' ') AS gram, len(w[1:2]) AS n, conv_id AS slug FROM d WHERE turn = 0 AND len(w) > 0),
+ g AS (SELECT DISTINCT conv_id, turn, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT d.*, l.n, unnest(range(1, len(w) - l.n + 2)) AS i FROM d, (SELECT DISTINCT n FROM n) l))
+ SELECT conv_id, turn, slug, 0.85::DOUBLE AS confidence FROM g JOIN n USING (gram, n)""")
+def text_tag_registry(spark, sf_dir):
+    """Every turn is searched for the first two words of every conversation."""
+    c = table(spark, sf_dir, "conversations")
+    names = c.where("turn = 0").select(F.col("conv_id").alias("slug"), F.array_join(F.slice(text.words_of(F.col("text")), 1, 2), " ").alias("name"), F.lit(False).alias("alias"))
+    docs = c.select(F.struct("conv_id", "turn").alias("k"), F.lit(None).cast("string").alias("head"), "text")
+    return text.tag_registry(docs, "k", "head", "text", names).select("k.conv_id", "k.turn", "slug", "confidence")
+
+
 @query("""WITH d AS (SELECT doc_id, 0.5 * (CASE WHEN source IN ('src0','src1') THEN 1.0 ELSE 0.4 END) + 0.3 * least(1.0, length(text) / 5000.0) + 0.1 * (CASE lang WHEN 'en' THEN 1 ELSE 0 END) + 0.1 * coalesce(quality, 0) AS s FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id))
  SELECT doc_id, round(s, 6) AS score FROM d ORDER BY score DESC, doc_id LIMIT 50""")
 def text_score_documents(spark, sf_dir):

@@ -12,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from limnos.operators import entity
 
+#: Parts of an upserted table: a batch rewrites those that it touches.
+BUCKETS = 32
+
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
     """key, start, end, n of gap sessions; rows later than the watermark are dropped, as a stream must."""
@@ -48,28 +51,52 @@ def hysteresis(events: DataFrame, key: str, order: str, value: str, fire: float,
     return events.select(key, order, value).groupBy(key).applyInPandasWithState(step, schema, "on boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_into(path: str, keys: list[str], version: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink of latest versions by key, written beside and then named as current: a batch that is replayed writes the same.
-    The current state is one Parquet folder a batch; `current` reads the last."""
+def upsert_into(path: str, keys: list[str], version: list[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink of latest versions by key. Keys fall into buckets by hash; a batch rewrites the buckets that it touches, as folders of its
+    epoch, so that a replayed batch writes the same. `current` reads every bucket's last folder; each bucket's last two are kept."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        old = current(spark, path, epoch)
+        rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = {r[0] for r in rows.select("_bucket").distinct().collect()}
+        if not touched:
+            return
+        old = current(spark, path, epoch, touched)
         merged = entity.latest_wins(batch if old is None else old.unionByName(batch), keys, version)
-        merged.write.mode("overwrite").parquet(f"{path}/epoch={epoch:012d}")
+        merged = merged.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        merged.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/epoch={epoch:012d}")
+        at, fs = _fs(spark, path)
+        for folders in _buckets(spark, path, None).values():
+            for old_folder in folders[:-2]:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(old_folder), True)
 
     return write
 
 
-def current(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """The table after the last epoch (before one)."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop))
-    names = [n for n in names if n.startswith("epoch=") and (before is None or int(n[6:]) < before) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return spark.read.parquet(f"{path}/{names[-1]}") if names else None
+def _fs(spark, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _buckets(spark, path: str, before: int | None) -> dict[int, list[str]]:
+    """Each bucket's folders, by epoch, of epochs that were written to their end."""
+    at, fs = _fs(spark, path)
+    out: dict[int, list[str]] = {}
+    if not fs.exists(at):
+        return out
+    for epoch in sorted(s.getPath().getName() for s in fs.listStatus(at)):
+        if epoch.startswith("epoch=") and (before is None or int(epoch[6:]) < before):
+            inner = {s.getPath().getName() for s in fs.listStatus(_fs(spark, f"{path}/{epoch}")[0])}
+            for name in inner if "_SUCCESS" in inner else ():
+                if name.startswith("_bucket="):
+                    out.setdefault(int(name[8:]), []).append(f"{path}/{epoch}/{name}")
+    return out
+
+
+def current(spark, path: str, before: int | None = None, only: set[int] | None = None) -> DataFrame | None:
+    """The table after the last epoch (before one), of some buckets or all."""
+    last = [folders[-1] for b, folders in sorted(_buckets(spark, path, before).items()) if only is None or b in only]
+    return spark.read.parquet(*last) if last else None
 
 
 def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None) -> None:
