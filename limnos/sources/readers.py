@@ -200,7 +200,7 @@ def write_gpx(waypoints: DataFrame, path: str) -> None:
     rows.write.format("xml").option("rootTag", "gpx").option("rowTag", "wpt").save(path)
 
 
-def read_series(spark: SparkSession, path: str) -> DataFrame:
-    """name, unit, t, value of JSON series whose values are [time in ms, value, ...] rows, the unit told beside them; null values stay null."""
-    rows = spark.read.schema("name string, units string, `values` array<array<double>>").option("multiLine", True).json(path)
+def read_series(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """name, unit, t, value of JSON series whose values are [time in ms, value, ...] rows, the unit told beside them; null values stay null. lines: one document a line."""
+    rows = spark.read.schema("name string, units string, `values` array<array<double>>").option("multiLine", not lines).json(path)
     return rows.select("name", F.col("units").alias("unit"), F.explode("values").alias("v")).select("name", "unit", F.timestamp_millis(F.col("v")[0].cast("long")).alias("t"), F.col("v")[1].alias("value"))
