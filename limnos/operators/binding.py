@@ -122,7 +122,9 @@ def holds_most(soundings: DataFrame, polygons: DataFrame, group: str, polygon: s
 
 def stations_of(boxes: DataFrame, stations: DataFrame, box_id: str, station: str, cell: float, show: int = 12) -> DataFrame:
     """box_id, n, first: how many stations each box holds, and the first so many; 0 for bare ones."""
-    hit = spatial.box_join(stations, boxes, ("lon", "lat"), BOX, cell).groupBy(box_id).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(station)), 1, show).alias("first"))
+    hit = spatial.box_join(stations, boxes, ("lon", "lat"), BOX, cell).select(box_id, station)
+    some = hit.withColumn("_r", F.row_number().over(Window.partitionBy(box_id).orderBy(station))).where(F.col("_r") <= show)  # the limit is pushed below the shuffle
+    hit = hit.groupBy(box_id).agg(F.count("*").alias("n")).join(some.groupBy(box_id).agg(F.array_sort(F.collect_list(station)).alias("first")), box_id)
     kind = dict(stations.dtypes)[station]
     return boxes.select(box_id).join(hit, box_id, "left").select(box_id, F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("first", F.array().cast(f"array<{kind}>")).alias("first"))
 
