@@ -25,6 +25,7 @@ from .common import pieces
 CHARS_PER_CALL, STRIPE_BYTES, ROW_INDEX_STRIDE, BLOOM_FPP = 1_500_000, 16 << 20, 1000, 0.01
 #: Chunks that a worker remembers; bytes of text that a file holds on average, at most.
 MEMO_SIZE, FILE_BYTES = 800_000, 256 << 20
+_OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 SCHEMA = "doc_id long, lot long, n_tokens int, ids array<int>"
 
 
@@ -65,7 +66,8 @@ class ChunkEncoder:
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
         self.by_chunk = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
-        self._whole = re.compile("|".join([r"[^\S \n]", *(re.escape(t["content"]) for t in spec["added_tokens"] if t["content"])]))
+        # What makes a text be encoded whole; looking for each alone is far faster than a pattern of them all.
+        self._apart = [*_OTHER_SPACE, *(t["content"] for t in spec["added_tokens"] if t["content"])]
         if self.by_chunk:
             vocab = self.tokenizer.get_vocab()
             self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -151,7 +153,7 @@ class ChunkEncoder:
         get, self.memo.fresh = self.memo.__getitem__, []
         seen: list[np.ndarray | None] = []
         for t in texts:
-            if self.by_chunk and not self._whole.search(t):
+            if self.by_chunk and not any(map(t.__contains__, self._apart)):
                 chunks = self._pieces(t)
                 seen.append(np.fromiter(map(get, chunks), np.int64, len(chunks)))
             else:
