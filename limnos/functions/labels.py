@@ -233,3 +233,16 @@ def with_path(entries, path, value) -> Column:
     m, p = _col(entries), _col(path)
     rest = F.map_filter(m, lambda k, v: (k != p) & ~k.startswith(F.concat(p, F.lit("."))) & ~p.startswith(F.concat(k, F.lit("."))))
     return F.map_concat(rest, F.create_map(p, _col(value)))
+
+
+# Flags of a catch that a person has to look at.
+REVIEW = ("not_fish_or_rejected", "verify_board_length_from_photo", "board_missing_length", "species_needs_review", "inferred_from_notes", "low_confidence", "species_normalized")
+
+
+def review_flags(has_fish, on_board, length, raw_species, notes, confidence) -> Column:
+    """array of the flags of an imported catch, in the order of REVIEW. length: text, blank where none."""
+    told, raw = species_or_inferred(raw_species, notes), F.trim(F.coalesce(_col(raw_species), F.lit("")))
+    fish, board = F.coalesce(_col(has_fish), F.lit(False)), F.coalesce(_col(on_board), F.lit(False))
+    kind = told["species"]
+    holds = (~fish, board, board & (F.trim(F.coalesce(_col(length), F.lit(""))) == ""), kind.isin("", "Other Fish", "Unknown"), told["inferred"], F.lower(F.coalesce(_col(confidence), F.lit(""))).contains("low"), (clean_species(raw) != kind) & (kind != ""))
+    return F.array_compact(F.array(*(F.when(h, F.lit(name)) for name, h in zip(REVIEW, holds, strict=True))))

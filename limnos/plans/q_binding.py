@@ -110,12 +110,12 @@ def as_polygons(df):
 SHARE = "greatest(0, 0.06 - abs((a.lon - b.lon) + (a.lat - b.lat))) * greatest(0, 0.06 - abs((a.lon - b.lon) - (a.lat - b.lat))) / (0.06 * 0.06)"
 
 
-@query(f"""WITH {POINTS}, s AS (SELECT a.id AS poly, b.id AS other, 100 * {SHARE} AS s FROM points a JOIN points b ON a.grp < 5 AND b.grp >= 5 AND abs(a.lon - b.lon) <= 0.06 AND abs(a.lat - b.lat) <= 0.06), k AS (SELECT *, row_number() OVER (PARTITION BY poly ORDER BY round(s, 6) DESC, other) AS r FROM s WHERE s >= 20) SELECT poly, other, round(s, 3) AS share FROM k WHERE r = 1""")
+@query(f"""WITH {POINTS}, s AS (SELECT a.id AS poly, b.id AS other, 100 * {SHARE} AS s FROM points a JOIN points b ON a.grp < 5 AND b.grp >= 5 AND abs(a.lon - b.lon) <= 0.06 AND abs(a.lat - b.lat) <= 0.06), k AS (SELECT *, row_number() OVER (PARTITION BY poly ORDER BY round(s, 6) DESC, other) AS r FROM s WHERE s >= 20) SELECT poly, other, round(round(s, 6) + 1e-5, 3) AS share FROM k WHERE r = 1""")
 def bind_best_overlap(spark, sf_dir):
     """The groups part all diamonds into waters and mapped polygons."""
     grp = points(spark, sf_dir).select(F.col("id").alias("poly"), "grp")
     d = diamonds(spark, sf_dir, 0.03).join(grp, "poly")
-    return binding.match_by_overlap(d.where("grp < 5").drop("grp"), as_polygons(d.where("grp >= 5").drop("grp")), "poly", "other", 0.1, 20.0).withColumn("share", F.round("share", 3))
+    return binding.match_by_overlap(d.where("grp < 5").drop("grp"), as_polygons(d.where("grp >= 5").drop("grp")), "poly", "other", 0.1, 20.0).withColumn("share", F.round(F.col("share") + 1e-5, 3))
 
 
 @query(f"""WITH {POINTS}, h AS (SELECT q.grp, p.id AS poly, count(*) AS n FROM points p JOIN points q ON abs(q.lon - p.lon) + abs(q.lat - p.lat) < 0.04 - 1e-9 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, poly) AS r FROM h), t AS (SELECT grp, count(*) AS total FROM points GROUP BY 1)
@@ -210,3 +210,12 @@ def run_profile(spark, sf_dir):
     """Values by depth, each user's as a station's profile."""
     s = series(spark, sf_dir).select("user_id", F.col("value").alias("depth"), (F.col("event_id") % 97).cast("double").alias("v"))
     return runs.profile(s, ["user_id"], "depth", "v", 30.0, 20.0)
+
+
+@query(f"""WITH {LEGS}, s AS (SELECT CAST(round(lon * 100) AS BIGINT) AS a0, CAST(round(lat * 100) AS BIGINT) AS a1, CAST(round(lon2 * 100) AS BIGINT) AS b0, CAST(round(lat2 * 100) AS BIGINT) AS b1, {metres('lon', 'lat', 'lon2', 'lat2')} AS m FROM legs),
+ e AS (SELECT CASE WHEN (a0, a1) <= (b0, b1) THEN a0 || ' ' || a1 || ' ' || b0 || ' ' || b1 ELSE b0 || ' ' || b1 || ' ' || a0 || ' ' || a1 END AS e, m FROM s WHERE a0 <> b0 OR a1 <> b1) SELECT count(DISTINCT e) AS edges, round(sum(w), 2) AS metres FROM (SELECT e, min(m) AS w FROM e GROUP BY e)""")
+def run_mesh(spark, sf_dir):
+    """Legs as lines on a mesh of hundredths of a degree."""
+    v = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    lines = legs(spark, sf_dir).select("id", F.array(v("lon", "lat"), v("lon2", "lat2")).alias("line"))
+    return runs.mesh(lines, "id", "line", 2).agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 2).alias("metres"))

@@ -116,3 +116,15 @@ def ent_unique_by_name(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("water"), F.col("s_suppkey").alias("cam"), F.col("s_name").alias("name"))
     once = entity.prefer(s.unionByName(s), ["water", "cam"], F.col("name"))
     return once.withColumn("place", F.row_number().over(Window.partitionBy("water").orderBy("name", "cam")).cast("long"))
+
+
+@query(f"""WITH {CATCH}, k AS (SELECT *, CASE s WHEN 'Striper' THEN 'Striped Bass' WHEN 'Mudfish' THEN 'Bowfin' WHEN 'None' THEN '' WHEN 'Black Bass' THEN 'Largemouth Bass' ELSE s END AS own, CASE event_id % 5 WHEN 0 THEN 'Striped Bass' WHEN 1 THEN 'Red Drum (Redfish)' WHEN 3 THEN 'Sunfish (Panfish)' WHEN 4 THEN 'Catfish' END AS told FROM c),
+ f AS (SELECT *, own IN ('', 'Unknown') AND told IS NOT NULL AS inf FROM k), g AS (SELECT *, CASE WHEN inf THEN told ELSE own END AS kind FROM f)
+ SELECT event_id, concat_ws(',', CASE WHEN value < 20 THEN 'not_fish_or_rejected' END, CASE WHEN event_id % 3 = 0 THEN 'verify_board_length_from_photo' END, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'board_missing_length' END, CASE WHEN kind IN ('', 'Unknown') THEN 'species_needs_review' END, CASE WHEN inf THEN 'inferred_from_notes' END,
+  CASE WHEN event_id % 4 = 0 THEN 'low_confidence' END, CASE WHEN own <> kind AND kind <> '' THEN 'species_normalized' END) AS flags FROM g""")
+def label_review(spark, sf_dir):
+    i = F.col("event_id")
+    s = F.get(F.array(*map(F.lit, ("Striper", "Mudfish", "None", "Unknown", "Walleye", "Black Bass"))), (i % 6).cast("int"))
+    n = F.get(F.array(*map(F.lit, ("a striper today", "nice redfish", "nothing", "two shellcracker and a gar", "channel cat"))), (i % 5).cast("int"))
+    flags = labels.review_flags(F.col("value") >= 20, i % 3 == 0, F.when(i % 2 == 1, "12 in"), s, n, F.when(i % 4 == 0, "Low (0.3)").otherwise("high"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(flags, ",").alias("flags"))

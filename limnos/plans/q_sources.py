@@ -8,7 +8,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
-from limnos.functions import geo
+from limnos.functions import geo, labels
 from limnos.operators import text
 from limnos.plans.registry import query
 from limnos.plans.surrogates import LEGS, POINTS, SERIES, legs, points, series, table
@@ -52,10 +52,10 @@ def source_rdb(spark, sf_dir):
 
 @query("""SELECT s_suppkey, s_name || ', "Inc"' || chr(10) || 'x' AS name, round(s_acctbal, 2) AS balance FROM supplier""")
 def source_csv(spark, sf_dir):
-    """Quotes, commas and line feeds within fields; the sink is Spark's own."""
+    """Quotes, commas and line feeds within fields."""
     path = place(spark, "csv")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat("s_name", F.lit(', "Inc"\nx')).alias("name"), F.round("s_acctbal", 2).alias("balance"))
-    s.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    readers.write_csv(s, path)
     return readers.read_csv(spark, path, "s_suppkey long, name string, balance double")
 
 
@@ -120,3 +120,30 @@ def source_rss(spark, sf_dir):
     item = F.concat(F.lit("<item><title><![CDATA[Turn "), n, F.lit(" & more]]></title><link>https://x.example/"), F.col("conv_id").cast("string"), F.lit("</link><pubDate>2024-01-0"), (1 + F.col("turn") % 9).cast("string"), F.lit("</pubDate></item>"))
     feeds = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.concat(F.lit("<rss>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))), lambda x: x["i"]), ""), F.lit("</rss>")).alias("xml"))
     return feeds.select("conv_id", F.posexplode(text.rss_items(F.col("xml"))).alias("turn", "i")).select("conv_id", F.col("turn").cast("long").alias("turn"), "i.title", "i.link", "i.published")
+
+
+@query(f"""WITH {POINTS} SELECT id, lat, lon, ['BOAT_RAMP', 'DAM', 'PIER'][id % 4 + 1] AS kind FROM points WHERE id % 4 < 3""")
+def source_map_features(spark, sf_dir):
+    """Points as a map extract: ramps, dams and piers by their tags, and for every fourth a tag that bears on no water."""
+    path = place(spark, "map")
+    tag = lambda k, v: F.array(F.struct(F.lit(k).alias("_k"), F.lit(v).alias("_v")))
+    i = F.col("id") % 4
+    tags = F.when(i == 0, tag("leisure", "slipway")).when(i == 1, tag("waterway", "dam")).when(i == 2, tag("man_made", "pier")).otherwise(tag("shop", "bait"))
+    nodes = points(spark, sf_dir).select(F.col("id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), tags.alias("tag"))
+    nodes.write.format("xml").option("rootTag", "osm").option("rowTag", "node").save(path)
+    return readers.read_map_features(spark, path).where(labels.worth_keeping("tags")).select("id", "lat", "lon", labels.kind_of("tags").alias("kind"))
+
+
+@query("""WITH o AS (SELECT o_orderstatus AS layer, o_orderkey AS k, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS n FROM orders), t AS (SELECT layer, count(*) AS total FROM o GROUP BY 1)
+ SELECT layer, count(CASE WHEN layer <> 'P' OR n >= 100 THEN 1 END) AS got, any_value(total) AS total, count(CASE WHEN layer <> 'P' OR n >= 100 THEN 1 END) = any_value(total) AS complete FROM o JOIN t USING (layer) GROUP BY layer""")
+def source_paged(spark, sf_dir):
+    """A service's pages of a hundred items, the first of one layer lost."""
+    from pyspark.sql import Window
+
+    path = place(spark, "paged")
+    by = Window.partitionBy("layer")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("layer"), F.col("o_orderkey").alias("k"))
+    o = o.withColumn("n", F.row_number().over(by.orderBy("k")) - 1).withColumn("total", F.count("*").over(by)).withColumn("offset", (F.floor(F.col("n") / 100) * 100).cast("long"))
+    pages = o.groupBy("layer", "offset", "total").agg(F.collect_list(F.struct("k")).alias("features"))
+    pages.where("not (layer = 'P' and offset = 0)").write.json(path)
+    return readers.page_gaps(readers.read_paged(spark, path, "k long"))

@@ -136,14 +136,18 @@ def spatial_box_pairs(spark, sf_dir):
     return spatial.box_pairs(a, b, box_a, box_b, 0.25).where("a < b").select("a", "b", r(geo.box_overlap_share(box_a, box_b), 5).alias("share"))
 
 
-@query()
+SHARED = "greatest(0, 0.08 - abs((a.lon - b.lon) + (a.lat - b.lat))) * greatest(0, 0.08 - abs((a.lon - b.lon) - (a.lat - b.lat))) / (0.08 * 0.08)"
+
+
+@query(f"""WITH {POINTS}, s AS (SELECT a.id AS poly, b.id AS b_poly, 100 * {SHARED} AS s FROM points a JOIN points b ON a.id < b.id AND abs(a.lon - b.lon) < 0.08 AND abs(a.lat - b.lat) < 0.08) SELECT poly, b_poly, round(s + 1e-6, 3) AS a_in_b, round(s + 1e-6, 3) AS b_in_a,
+ CASE WHEN s >= 90 THEN 'same outline' WHEN s >= 40 THEN 'heavy overlap' ELSE 'touching' END AS verdict, s >= 40 AS duplicate FROM s WHERE s > 0.001""")
 def spatial_overlap_verdicts(spark, sf_dir):
-    """Every pair of overlapping small diamonds, by sampling."""
+    """Every pair of overlapping small diamonds, measured exactly; pairs that touch alone go."""
     a = diamonds(spark, sf_dir, 0.04)
     b = a.select(*(F.col(c).alias(f"b_{c}") for c in a.columns))
     pairs = spatial.box_pairs(a, b, ("x0", "y0", "x1", "y1"), ("b_x0", "b_y0", "b_x1", "b_y1"), 0.1).where("poly < b_poly")
-    out = spatial.measure_overlaps(pairs, "rings", "b_rings", ["poly", "b_poly"])
-    return out.withColumn("v", spatial.overlap_verdict("a_in_b", "b_in_a", "ratio")).select("poly", "b_poly", "a_in_b", "b_in_a", "ratio", F.col("v.label").alias("verdict"), "v.duplicate")
+    out = spatial.exact_overlaps(pairs, "rings", "b_rings", ["poly", "b_poly"]).where("a_in_b > 0.001")
+    return out.withColumn("v", spatial.overlap_verdict("a_in_b", "b_in_a", "ratio")).select("poly", "b_poly", r(F.col("a_in_b") + 1e-6, 3).alias("a_in_b"), r(F.col("b_in_a") + 1e-6, 3).alias("b_in_a"), F.col("v.label").alias("verdict"), "v.duplicate")
 
 
 @query(f"""WITH {POINTS}, a AS (SELECT * FROM points WHERE grp < 5), b AS (SELECT * FROM points WHERE grp >= 5),

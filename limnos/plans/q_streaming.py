@@ -54,7 +54,8 @@ def stream_first_sightings(spark, sf_dir):
     return spark.read.schema("user_id long, event_type string").parquet(out)
 
 
-@query()
+@query("""WITH s AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ g AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM g GROUP BY user_id, k""")
 def stream_sessions(spark, sf_dir):
     """Gap sessions by user. The complete table is kept, so no watermark holds the last ones back."""
     source, out = _stream(spark, sf_dir)

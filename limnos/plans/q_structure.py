@@ -47,6 +47,10 @@ def struct_edge_classes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", structure.classify_edge(own, own + k % 20, own - k % 7).alias("edge"))
 
 
+#: Great-circle metres between two points of a DuckDB row.
+ARC = "2 * 6371000.0 * asin(least(1.0, sqrt(power(sin(radians({3} - {1}) / 2), 2) + cos(radians({1})) * cos(radians({3})) * power(sin(radians({2} - {0}) / 2), 2))))"
+
+
 @query()
 def struct_collapse(spark, sf_dir):
     p = points(spark, sf_dir)
@@ -54,13 +58,22 @@ def struct_collapse(spark, sf_dir):
     return structure.collapse(r, "grp", "id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, v AS (SELECT grp, id, lon / 20 AS x, lat / 20 + 32 AS y, 'cove' || id % 5 AS n, row_number() OVER (PARTITION BY grp ORDER BY id) AS i FROM points),
+ w AS (SELECT grp, i, id, [{{'x': x, 'y': y, 'n': n}}] AS kept, true AS new FROM v WHERE i = 1 UNION ALL SELECT v.grp, v.i, v.id, CASE WHEN c.new THEN list_append(w.kept, {{'x': v.x, 'y': v.y, 'n': v.n}}) ELSE w.kept END, c.new FROM w JOIN v ON v.grp = w.grp AND v.i = w.i + 1,
+  LATERAL (SELECT len(list_filter(w.kept, lambda k: sqrt(power(v.y - k.y, 2) + power(v.x - k.x, 2)) < 0.006 OR (sqrt(power(v.y - k.y, 2) + power(v.x - k.x, 2)) < 0.02 AND k.n = v.n))) = 0 AS new) c) SELECT grp, id FROM w WHERE new""")
 def struct_first_wins(spark, sf_dir):
     r = points(spark, sf_dir).select("grp", "id", (F.col("lon") / 20).alias("lon"), (F.col("lat") / 20 + 32).alias("lat"), F.concat(F.lit("Cove "), (F.col("id") % 5).cast("string"), F.lit(" Ramp")).alias("name"))
     return structure.first_wins(r, "grp", "id", structure.same_launch, ["lon", "lat", "name"], "grp int, id long, lon double, lat double, name string, leader long").where("id = leader").select("grp", "id")
 
 
-@query()
+LEAVE = [ARC.format(f"p.x{a}", f"p.y{a}", f"l.u{b}", f"l.v{b}") for b in (0, 1) for a in (0, 1)]
+
+
+@query(f"""WITH RECURSIVE {LEGS}, l AS (SELECT grp, id, lon AS u0, lat AS v0, lon2 AS u1, lat2 AS v1, lon2 AS x0, lat2 AS y0, lon AS x1, lat AS y1, row_number() OVER (PARTITION BY grp ORDER BY id) AS i FROM legs),
+ w AS (SELECT grp, i, {ARC.format('-81.0', '34.0', 'u0', 'v0')} AS c0, {ARC.format('-81.0', '34.0', 'u1', 'v1')} AS c1, [false] AS p0, [true] AS p1 FROM l WHERE i = 1
+  UNION ALL SELECT grp, i, least(a, b), least(c, d), list_append(CASE WHEN a <= b THEN p0 ELSE p1 END, false), list_append(CASE WHEN c <= d THEN p0 ELSE p1 END, true) FROM (SELECT l.grp, l.i, w.p0, w.p1, w.c0 + {LEAVE[0]} AS a, w.c1 + {LEAVE[1]} AS b, w.c0 + {LEAVE[2]} AS c, w.c1 + {LEAVE[3]} AS d FROM w JOIN l ON l.grp = w.grp AND l.i = w.i + 1 JOIN l p ON p.grp = w.grp AND p.i = w.i)),
+ e AS (SELECT w.grp, w.c0 + {ARC.format('x0', 'y0', '-81.0', '34.0')} AS a, w.c1 + {ARC.format('x1', 'y1', '-81.0', '34.0')} AS b, p0, p1 FROM w JOIN (SELECT grp, max(i) AS i FROM l GROUP BY grp) m USING (grp, i) JOIN l USING (grp, i))
+ SELECT l.grp, l.id, CASE WHEN a <= b THEN p0[l.i] ELSE p1[l.i] END AS flipped, round(least(a, b), 3) AS total_m FROM l JOIN e USING (grp)""")
 def plan_orient_legs(spark, sf_dir):
     leg = legs(spark, sf_dir).select("grp", "id", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), "lon2", "lat2", F.lit(-81.0).alias("launch_lon"), F.lit(34.0).alias("launch_lat"))
     return planning.orient_legs(leg, "grp", "id")
@@ -78,7 +91,9 @@ def plan_tours(spark, sf_dir):
     return planning.tours(p, "grp", "id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, v AS (SELECT grp, id, lon AS x, lat AS y, row_number() OVER (PARTITION BY grp ORDER BY depth DESC, id) AS i FROM points),
+ w AS (SELECT grp, i, id, [{{'x': x, 'y': y}}] AS kept, true AS new FROM v WHERE i = 1 UNION ALL SELECT v.grp, v.i, v.id, CASE WHEN c.new THEN list_append(w.kept, {{'x': v.x, 'y': v.y}}) ELSE w.kept END, c.new FROM w JOIN v ON v.grp = w.grp AND v.i = w.i + 1,
+  LATERAL (SELECT len(w.kept) < 10 AND len(list_filter(w.kept, lambda k: {ARC.format('k.x', 'k.y', 'v.x', 'v.y')} < 12000)) = 0 AS new) c) SELECT grp, id, row_number() OVER (PARTITION BY grp ORDER BY i) AS rank FROM w WHERE new""")
 def plan_spaced_picks(spark, sf_dir):
     return planning.spaced_picks(points(spark, sf_dir), "grp", "id", "depth", 12_000, 10)
 

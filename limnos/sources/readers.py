@@ -204,3 +204,27 @@ def read_series(spark: SparkSession, path: str, lines: bool = False) -> DataFram
     """name, unit, t, value of JSON series whose values are [time in ms, value, ...] rows, the unit told beside them; null values stay null. lines: one document a line."""
     rows = spark.read.schema("name string, units string, `values` array<array<double>>").option("multiLine", not lines).json(path)
     return rows.select("name", F.col("units").alias("unit"), F.explode("values").alias("v")).select("name", "unit", F.timestamp_millis(F.col("v")[0].cast("long")).alias("t"), F.col("v")[1].alias("value"))
+
+
+def read_map_features(spark: SparkSession, path: str) -> DataFrame:
+    """id, lat, lon, tags (a map) of the nodes of map extracts in XML; nodes without tags have an empty map."""
+    rows = spark.read.format("xml").option("rowTag", "node").schema("_id long, _lat double, _lon double, tag array<struct<_k:string,_v:string>>").load(path)
+    pairs = F.transform(F.coalesce("tag", F.array().cast("array<struct<_k:string,_v:string>>")), lambda t: F.struct(t["_k"].alias("key"), t["_v"].alias("value")))
+    return rows.select(F.col("_id").alias("id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), F.map_from_entries(pairs).alias("tags"))
+
+
+def read_paged(spark: SparkSession, path: str, item: str) -> DataFrame:
+    """layer, offset, total and the items of a paged service's answers, landed as JSON lines. item: the fields of one."""
+    rows = spark.read.schema(f"layer string, offset long, total long, features array<struct<{item}>>").json(path)
+    return rows.select("layer", "offset", "total", F.explode_outer("features").alias("item"))
+
+
+def page_gaps(items: DataFrame) -> DataFrame:
+    """layer, got, total, complete: whether the pages that were landed hold as many items as the service said, each page once."""
+    got = items.groupBy("layer").agg(F.count("item").alias("got"), F.max("total").alias("total"))
+    return got.withColumn("complete", F.col("got") == F.col("total"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """With a header and doubled quotes, as `read_csv` reads."""
+    df.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
