@@ -43,14 +43,14 @@ def orient_legs(legs: DataFrame, group: str, order: str) -> DataFrame:
     return legs.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, flipped boolean, total_m double")
 
 
-def farthest_first(distance: np.ndarray) -> list[int]:
-    """The medoid, then always the one farthest from those chosen; the first of equal ones."""
-    chosen = [int(distance.sum(1).argmin())]
-    gap = distance[chosen[0]].copy()
-    while len(chosen) < len(distance):
+def farthest_first(n: int, apart) -> list[int]:
+    """The medoid of n items, then always the one farthest from those chosen; the first of equal ones. apart(i): the distances of item i to all, of which one row is held at a time."""
+    chosen = [int(np.array([apart(i).sum() for i in range(n)]).argmin())]
+    gap = apart(chosen[0]).copy()
+    while len(chosen) < n:
         gap[chosen] = -1
         chosen.append(int(gap.argmax()))
-        gap = np.minimum(gap, distance[chosen[-1]])
+        gap = np.minimum(gap, apart(chosen[-1]))
     return chosen
 
 
@@ -60,39 +60,62 @@ def search_order(items: DataFrame, group: str, key: str) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key).reset_index(drop=True)
-        depth = pdf["depth"].to_numpy(float)
+        depth, relief = pdf["depth"].to_numpy(float), pdf["relief"].to_numpy(bool)
         span = max(float(depth.max() - depth.min()), 1e-9)
-        sets = [set(k) for k in pdf["kinds"]]
-        like = np.array([[len(a & b) / len(a | b) if a | b else 1.0 for b in sets] for a in sets])
-        relief = pdf["relief"].to_numpy(bool)
-        d = np.abs(depth[:, None] - depth) / span + (1 - like) + 0.5 * (relief[:, None] != relief)
-        return pd.DataFrame({group: pdf[group][0], key: pdf[key][farthest_first(d)].to_numpy(), "place": range(len(pdf))})
+        names = {k: i for i, k in enumerate(sorted({k for kinds in pdf["kinds"] for k in kinds}))}
+        has = np.zeros((len(pdf), len(names)), np.int64)
+        for row, kinds in enumerate(pdf["kinds"]):
+            has[row, [names[k] for k in kinds]] = 1
+        size = has.sum(1)
+
+        def apart(i: int) -> np.ndarray:
+            both = has @ has[i]
+            either = size + size[i] - both
+            like = np.where(either > 0, both / np.maximum(either, 1), 1.0)
+            return np.abs(depth - depth[i]) / span + (1 - like) + 0.5 * (relief != relief[i])
+
+        return pd.DataFrame({group: pdf[group][0], key: pdf[key][farthest_first(len(pdf), apart)].to_numpy(), "place": range(len(pdf))})
 
     kinds = dict(items.dtypes)
     return items.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, place long")
 
 
+def _all_metres(points: np.ndarray) -> np.ndarray:
+    """Great-circle metres between all pairs."""
+    lon, lat = np.radians(points[:, 0]), np.radians(points[:, 1])
+    h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat)[:, None] * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+    return 2 * 6_371_000.0 * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+
+
 def tour(points: np.ndarray, home: np.ndarray) -> tuple[list[int], float]:
     """A closed tour from home: exact over permutations up to eight stops, else nearest neighbour improved by reversals."""
-    all_ = np.vstack([home[None], points])
-    d = np.array([[_metres(a, b) for b in all_] for a in all_])
+    d = _all_metres(np.vstack([home[None], points]))
     length = lambda p: d[0, p[0]] + sum(d[a, b] for a, b in zip(p, p[1:], strict=False)) + d[p[-1], 0]
-    stops = list(range(1, len(all_)))
+    stops = list(range(1, len(d)))
     if len(stops) <= 8:
         best = min(permutations(stops), key=length)
         return [i - 1 for i in best], float(length(best))
-    path, left = [], set(stops)
-    while left:
-        path.append(min(left, key=lambda j: (d[path[-1] if path else 0, j], j)))
-        left.remove(path[-1])
+    path, left = [], np.ones(len(d), bool)
+    left[0] = False
+    while left.any():
+        path.append(int(np.where(left, d[path[-1] if path else 0], np.inf).argmin()))
+        left[path[-1]] = False
+    at = np.array([0, *path, 0])
     better = True
     while better:
         better = False
-        for i in range(len(path) - 1):
-            for j in range(i + 1, len(path)):
-                turned = path[:i] + path[i : j + 1][::-1] + path[j + 1 :]
-                if length(turned) < length(path) - 1e-9:
-                    path, better = turned, True
+        for i in range(1, len(at) - 2):
+            # What turning the stops i to j round saves, for every j at once: only the two hops at its ends change.
+            while True:
+                j = np.arange(i + 1, len(at) - 1)
+                gain = d[at[i - 1], at[i]] + d[at[j], at[j + 1]] - d[at[i - 1], at[j]] - d[at[i], at[j + 1]]
+                hit = np.flatnonzero(gain > 1e-9)
+                if not len(hit):
+                    break
+                k = int(j[hit[0]])
+                at[i : k + 1] = at[i : k + 1][::-1].copy()
+                better = True
+    path = at[1:-1].tolist()
     return [i - 1 for i in path], float(length(path))
 
 

@@ -133,7 +133,20 @@ def test_tour_and_orientation():
         return s + planning._metres(at, home)
 
     assert abs(best - min(map(cost, product((0, 1), repeat=5)))) < 1e-6 and abs(cost(flipped) - best) < 1e-6
-    assert planning.farthest_first(np.array([[0, 1, 5], [1, 0, 4], [5, 4, 0.0]])) == [1, 2, 0]
+    far = np.array([[0, 1, 5], [1, 0, 4], [5, 4, 0.0]])
+    assert planning.farthest_first(3, lambda i: far[i]) == [1, 2, 0]
+
+
+def test_tour_of_many_stops_has_no_better_turn():
+    rng = np.random.default_rng(8)
+    pts, home = np.stack([rng.uniform(-81, -80, 60), rng.uniform(33, 34, 60)], 1), np.array([-80.5, 33.5])
+    order, total = planning.tour(pts, home)
+    stops = [home, *pts[order], home]
+    hop = planning._metres
+    assert sorted(order) == list(range(60)) and abs(total - sum(hop(a, b) for a, b in zip(stops, stops[1:], strict=False))) < 1e-3
+    for i in range(1, 60):
+        for j in range(i + 1, 61):
+            assert hop(stops[i - 1], stops[i]) + hop(stops[j], stops[j + 1]) <= hop(stops[i - 1], stops[j]) + hop(stops[i], stops[j + 1]) + 1e-6
 
 
 def test_greedy_first_wins(spark):
