@@ -143,3 +143,11 @@ def overall_confidence(raw: Column, has: dict[str, Column], exempt: dict[str, Co
     for k, top in CEILINGS.items():
         out = F.when(lacks[k], F.least(out, F.lit(top))).otherwise(out)
     return F.struct(F.greatest(F.lit(30), F.least(F.lit(99), out)).cast("int").alias("percent"), F.array_compact(F.array(*(F.when(lacks[k], F.lit(k)) for k in PENALTIES))).alias("missing"))
+
+
+def offer(pieces: DataFrame, plan: str, key: str, reasons: list[tuple[str, Column, float]], limit: int | None = None) -> DataFrame:
+    """plan, key, score, reasons, rank: every piece of water of a plan, ranked by the points of the reasons that hold for it (of equal ones the least key first), told in the order of their weight."""
+    points = sum((F.when(holds, F.lit(float(p))).otherwise(0.0) for _, holds, p in reasons), F.lit(0.0))
+    told = F.array_compact(F.array(*(F.when(holds, F.lit(name)) for name, holds, p in sorted(reasons, key=lambda r: -abs(r[2])))))
+    out = pieces.select(plan, key, points.alias("score"), told.alias("reasons")).withColumn("rank", F.row_number().over(Window.partitionBy(plan).orderBy(F.desc("score"), key)))
+    return out.where(F.col("rank") <= limit) if limit else out

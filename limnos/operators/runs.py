@@ -100,3 +100,25 @@ def mesh(lines: DataFrame, key: str, line: str, places: int = 5) -> DataFrame:
     name = lambda x, y: F.concat_ws(",", F.round(x, places).cast("string"), F.round(y, places).cast("string"))
     a, b = name("ax", "ay"), name("bx", "by")
     return seg.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), "m").where("src != dst").groupBy("src", "dst").agg(F.min("m").alias("weight"))
+
+
+def clip_lines(segs: DataFrame, polygons: DataFrame, key: str, cell: float) -> DataFrame:
+    """key, k, piece, ax, ay, bx, by: what of lines' segments lies outside all polygons. Segments are cut where they cross an edge, and a piece goes if a polygon holds its middle.
+    Segments and edges meet by the cells of their boxes. polygons: rings (outer, then holes), x0 to y1."""
+    ring = polygons.select(F.explode("rings").alias("r")).select(F.transform("r", lambda p, i: F.struct(p.alias("p"), F.get(F.col("r"), F.pmod(i + 1, F.size("r"))).alias("q"))).alias("e"))
+    edge = ring.select(F.explode("e").alias("e")).select(F.col("e.p.x").alias("px"), F.col("e.p.y").alias("py"), F.col("e.q.x").alias("qx"), F.col("e.q.y").alias("qy"))
+    edge = edge.select("*", F.least("px", "qx").alias("_ex0"), F.least("py", "qy").alias("_ey0"), F.greatest("px", "qx").alias("_ex1"), F.greatest("py", "qy").alias("_ey1"))
+    boxed = segs.select(key, "k", "ax", "ay", "bx", "by", F.least("ax", "bx").alias("_sx0"), F.least("ay", "by").alias("_sy0"), F.greatest("ax", "bx").alias("_sx1"), F.greatest("ay", "by").alias("_sy1"))
+    met = spatial.box_pairs(boxed, edge, ("_sx0", "_sy0", "_sx1", "_sy1"), ("_ex0", "_ey0", "_ex1", "_ey1"), cell)
+    rx, ry, sx, sy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("qx") - F.col("px"), F.col("qy") - F.col("py")
+    dx, dy, den = F.col("px") - F.col("ax"), F.col("py") - F.col("ay"), F.nullif(rx * sy - ry * sx, F.lit(0.0))
+    t, u = (dx * sy - dy * sx) / den, (dx * ry - dy * rx) / den
+    cuts = met.withColumn("_t", t).withColumn("_u", u).where("_t > 0 and _t < 1 and _u >= 0 and _u <= 1").groupBy(key, "k").agg(F.array_sort(F.collect_set("_t")).alias("_t"))
+    whole = boxed.join(cuts, [key, "k"], "left").withColumn("_t", F.concat(F.array(F.lit(0.0)), F.coalesce("_t", F.array().cast("array<double>")), F.array(F.lit(1.0))))
+    part = F.transform(F.slice("_t", 2, F.size("_t") - 1), lambda x, i: F.struct(F.get(F.col("_t"), i).alias("a"), x.alias("b")))
+    pieces = whole.select(key, "k", "ax", "ay", "bx", "by", F.posexplode(part).alias("piece", "_p"))
+    at = lambda a, b, s: F.col(a) + (F.col(b) - F.col(a)) * F.col(s)
+    pieces = pieces.select(key, "k", "piece", at("ax", "bx", "_p.a").alias("ax"), at("ay", "by", "_p.a").alias("ay"), at("ax", "bx", "_p.b").alias("bx"), at("ay", "by", "_p.b").alias("by"))
+    middle = pieces.select(key, "k", "piece", ((F.col("ax") + F.col("bx")) / 2).alias("lon"), ((F.col("ay") + F.col("by")) / 2).alias("lat"))
+    inside = spatial.polygon_join(middle, polygons.select("rings", "x0", "y0", "x1", "y1"), ("lon", "lat"), "rings", ("x0", "y0", "x1", "y1"), cell).select(key, "k", "piece").distinct()
+    return pieces.join(inside, [key, "k", "piece"], "left_anti")

@@ -158,3 +158,14 @@ def report_regulations(spark, sf_dir):
     w = table(spark, sf_dir, "customer").select(k.alias("water"), F.concat(F.lit("Lake "), pick(("Ft Mill", "Blue Water", "Red (upper), SC"), k)).alias("name"), (F.col("c_nationkey") % 2).alias("st"))
     r = table(spark, sf_dir, "supplier").select(s.alias("rule"), pick(("Mill, Fort", "Water Blue Lake", None), s).alias("rname"), (F.col("s_nationkey") % 2).alias("st"))
     return reports.regulation_of(w, r, "water", "name", "rule", "rname", "st")
+
+
+@query("""SELECT p_partkey AS k, 1 AS pos, p_name AS species, CAST(p_size AS BIGINT) AS creel, 14.0::DOUBLE AS low, NULL::DOUBLE AS high FROM part UNION ALL SELECT p_partkey, 3, 'Gar', NULL, NULL, 40.0 FROM part""")
+def report_limits(spark, sf_dir):
+    """A table of rules a page: a heading, a limit in number and length, a row that tells none, and one of a greatest length."""
+    p = table(spark, sf_dir, "part")
+    html = F.concat(
+        F.lit("<table><tr><th>Species</th><th>Rule</th></tr><tr><td>"), F.col("p_name"), F.lit("</td><td>"), F.col("p_size").cast("string"), F.lit(" fish per person</td><td>14 inch minimum</td></tr><tr><td>Carp</td><td>none</td></tr><tr><td>Gar</td><td>maximum 40 inches</td></tr></table>")
+    )
+    out = reports.limit_rows(p.select(F.col("p_partkey").alias("k"), html.alias("html")), "k", "html")
+    return out.withColumn("creel", F.col("creel").cast("long"))

@@ -219,3 +219,17 @@ def run_mesh(spark, sf_dir):
     v = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     lines = legs(spark, sf_dir).select("id", F.array(v("lon", "lat"), v("lon2", "lat2")).alias("line"))
     return runs.mesh(lines, "id", "line", 2).agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 2).alias("metres"))
+
+
+@query(f"""WITH {LEGS}, c AS (SELECT id, lon AS ax, lat AS ay, lon2 - lon AS dx, lat2 - lat AS dy, -81.0::DOUBLE AS x0, 33.95::DOUBLE AS y0, -80.9::DOUBLE AS x1, 34.05::DOUBLE AS y1 FROM legs),
+ t AS (SELECT id, CASE WHEN dx = 0 THEN CASE WHEN ax BETWEEN x0 AND x1 THEN 0 ELSE 2 END ELSE least((x0 - ax) / dx, (x1 - ax) / dx) END AS tx0, CASE WHEN dx = 0 THEN 1 ELSE greatest((x0 - ax) / dx, (x1 - ax) / dx) END AS tx1, CASE WHEN dy = 0 THEN CASE WHEN ay BETWEEN y0 AND y1 THEN 0 ELSE 2 END ELSE least((y0 - ay) / dy, (y1 - ay) / dy) END AS ty0, CASE WHEN dy = 0 THEN 1 ELSE greatest((y0 - ay) / dy, (y1 - ay) / dy) END AS ty1 FROM c),
+ s AS (SELECT id, greatest(0, least(1, tx1, ty1) - greatest(0, tx0, ty0)) AS inside FROM t) SELECT id, round(1 - inside, 6) AS outside FROM s WHERE inside < 1""")
+def run_clip_lines(spark, sf_dir):
+    """The share of every leg that lies outside an excluded square."""
+    seg = legs(spark, sf_dir).select("id", F.lit(0).alias("k"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("lon2").alias("bx"), F.col("lat2").alias("by"))
+    v = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    square = spark.range(1).select(F.array(F.array(v(-81.0, 33.95), v(-80.9, 33.95), v(-80.9, 34.05), v(-81.0, 34.05))).alias("rings"), F.lit(-81.0).alias("x0"), F.lit(33.95).alias("y0"), F.lit(-80.9).alias("x1"), F.lit(34.05).alias("y1"))
+    out = runs.clip_lines(seg, square, "id", 0.05)
+    length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    whole = seg.select("id", length.alias("m"))
+    return out.groupBy("id").agg(F.sum(length).alias("o")).join(whole, "id").select("id", F.round(F.col("o") / F.col("m"), 6).alias("outside"))

@@ -75,27 +75,28 @@ def cond_first_sites(spark, sf_dir):
     return conditions.charge_first(s, ["user_id"], "event_id", ["temp", "salt"])
 
 
-@query("""SELECT s_suppkey, 'saint ' || s_suppkey AS base, 'GA' AS state, 'My' || ' Big' || ' Name' AS camel, 'Black Bass|crappie' AS forms, 3 AS items, 12.0::DOUBLE AS low, 5 AS creel,
- CASE s_suppkey % 3 WHEN 0 THEN 'official' WHEN 1 THEN 'academic' ELSE 'other' END AS auth, CASE WHEN s_suppkey % 2 = 0 THEN 'Lake Blue' END AS named, '811c9dc5' AS empty_id, 'e40c292c' AS a_id FROM supplier""")
+@query("""WITH p AS (SELECT *, string_split(p_name, ' ') AS w FROM part) SELECT p_partkey, 'saint ' || p_name AS base, ['SC', 'GA', 'TN'][p_size % 3 + 1] AS state, w[1] || ' ' || upper(w[2][1]) || w[2][2:] AS camel, p_name || '|' || p_brand AS forms, p_name || '|' || p_type || '|' || p_brand AS items, p_size::DOUBLE AS low, CAST(p_partkey % 9 + 1 AS INTEGER) AS creel,
+ CASE p_partkey % 3 WHEN 0 THEN 'official' WHEN 1 THEN 'academic' ELSE 'other' END AS auth, CASE WHEN p_partkey % 2 = 0 THEN 'Lake ' || w[1] END AS named, printf('%08x', list_reduce(list_transform(string_split(p_name, ''), lambda x: CAST(ord(x) AS UBIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296, CAST(2166136261 AS UBIGINT))) AS id FROM p""")
 def text_scalars(spark, sf_dir):
-    k = F.col("s_suppkey")
-    s = k.cast("string")
+    """Parts' names as waters' and species' names, their sizes and keys as limits."""
+    k, name, brand, size = F.col("p_partkey"), F.col("p_name"), F.col("p_brand"), F.col("p_size").cast("string")
+    w = F.split(name, " ")
     host = F.when(k % 3 == 0, "dnr.sc.gov").when(k % 3 == 1, "x.edu").otherwise("y.com")
-    body = F.when(k % 2 == 0, "fish in blue lake today").otherwise("fish in blue lake county")
-    limit = words.size_limit(F.lit("12 inch minimum size, 5 fish per person"))
-    return table(spark, sf_dir, "supplier").select(
-        "s_suppkey",
-        words.base_name(F.concat(F.lit("Lk. St. "), s, F.lit(" (upper), GA"))).alias("base"),
-        words.state_of(F.concat(F.lit("X "), s, F.lit(", ga"))).alias("state"),
-        words.split_camel(F.lit("MyBigName")).alias("camel"),
-        F.array_join(words.name_forms(F.lit("Black Bass (crappie)")), "|").alias("forms"),
-        F.size(words.split_list(F.lit("bass, crappie and bream"))).alias("items"),
-        limit["min"].alias("low"),
-        words.creel_limit(F.lit("12 inch minimum size, 5 fish per person")).alias("creel"),
-        words.authority(F.concat(F.lit("https://"), host, F.lit("/a"))).alias("auth"),
-        words.names_water(body, F.array(F.lit("Lake Red"), F.lit("Lake Blue"))).alias("named"),
-        words.fnv1a(F.lit("")).alias("empty_id"),
-        words.fnv1a(F.lit("a")).alias("a_id"),
+    state = F.get(F.array(*map(F.lit, ("sc", "GA", "tn"))), (F.col("p_size") % 3).cast("int"))
+    body = F.concat(F.lit("fish in "), w[0], F.when(k % 2 == 0, " lake today").otherwise(" lake county"))
+    rule = F.concat(size, F.lit(" inch minimum size, "), (k % 9 + 1).cast("string"), F.lit(" fish per person"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        words.base_name(F.concat(F.lit("Lk. St. "), name, F.lit(" ("), brand, F.lit("), "), state)).alias("base"),
+        words.state_of(F.concat(name, F.lit(", "), state)).alias("state"),
+        words.split_camel(F.concat(w[0], F.initcap(w[1]))).alias("camel"),
+        F.array_join(words.name_forms(F.concat(name, F.lit(" ("), brand, F.lit(")"))), "|").alias("forms"),
+        F.array_join(words.split_list(F.concat(name, F.lit(", "), F.col("p_type"), F.lit(" and "), brand)), "|").alias("items"),
+        words.size_limit(rule)["min"].alias("low"),
+        words.creel_limit(rule).alias("creel"),
+        words.authority(F.concat(F.lit("https://"), host, F.lit("/"), size)).alias("auth"),
+        words.names_water(body, F.array(F.concat(F.lit("Lake "), brand), F.concat(F.lit("Lake "), w[0]))).alias("named"),
+        words.fnv1a(name).alias("id"),
     )
 
 

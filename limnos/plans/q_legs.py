@@ -123,3 +123,10 @@ def conf_overall(spark, sf_dir):
     has = {"thermocline": k % 2 == 0, "oxygen": k % 3 == 0, "secchi": k % 5 == 0, "stockings": k % 7 == 0, "dam": s % 2 == 0, "impounded": s % 3 == 0, "predators": k % 11 > 1, "trolling": s % 5 > 0}
     out = leg_ops.overall_confidence(60 + s, has, {"predators": s % 13 == 0})
     return table(spark, sf_dir, "part").select(k.alias("k"), out["percent"].alias("percent"), F.size(out["missing"]).alias("missing"))
+
+
+@query(f"""WITH {POINTS}, s AS (SELECT grp, id, CASE WHEN depth > 8 THEN 3.0 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 1.5 ELSE 0 END + CASE WHEN lat > 34 THEN -1.0 ELSE 0 END AS score, concat_ws(',', CASE WHEN depth > 8 THEN 'deep' END, CASE WHEN id % 3 = 0 THEN 'docks' END, CASE WHEN lat > 34 THEN 'windy' END) AS reasons FROM points),
+ k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, id) AS rank FROM s) SELECT grp, id, CAST(score AS DOUBLE) AS score, reasons, CAST(rank AS INTEGER) AS rank FROM k""")
+def plan_offer(spark, sf_dir):
+    rules = [("docks", F.col("id") % 3 == 0, 1.5), ("deep", F.col("depth") > 8, 3.0), ("windy", F.col("lat") > 34, -1.0)]
+    return leg_ops.offer(points(spark, sf_dir), "grp", "id", rules).withColumn("reasons", F.array_join("reasons", ","))

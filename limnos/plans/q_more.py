@@ -52,11 +52,15 @@ def geo_affine(spark, sf_dir):
     return diamonds(spark, sf_dir).select("poly", F.round(at["x"], 6).alias("x"), F.round(at["y"], 6).alias("y"), *(F.round(m[k] + 0.0, 9).alias(k) for k in "abcdef"))
 
 
-@query("""SELECT s_suppkey, 2 AS n, 10.0::DOUBLE AS low, 15.0::DOUBLE AS high, 'fish' AS kind, 'water' AS second, ' body ' AS part FROM supplier""")
+@query("""WITH s AS (SELECT p_partkey, (p_size % 20 + 1)::DOUBLE AS low, (p_size % 20 + 2 + p_partkey % 7)::DOUBLE AS high, p_partkey % 250 + 30 AS b, p_name FROM part)
+ SELECT p_partkey, CASE WHEN b <= 200 THEN 2 ELSE 1 END AS n, low, high, 'fish' AS kind, CASE WHEN b <= 200 THEN 'water' END AS second, ' ' || p_name || ' ' AS part FROM s""")
 def text_depth_ranges(spark, sf_dir):
-    t = F.concat(F.lit("Bass are holding 10-15 feet. The bottom is at 40 ft; a boat ran 900 feet "), F.col("s_suppkey").cast("string"))
+    """Depths of fish and of the bottom in a sentence about every part; more than 200 feet are none."""
+    k, s = F.col("p_partkey"), F.col("p_size") % 20 + 1
+    t = F.concat(F.lit("Bass are holding "), s.cast("string"), F.lit("-"), (s + 1 + k % 7).cast("string"), F.lit(" feet. The bottom is at "), (k % 250 + 30).cast("string"), F.lit(" ft; a boat ran 900 feet "), F.col("p_name"))
     d = words.depth_ranges(t)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.size(d).alias("n"), d[0]["low"].alias("low"), d[0]["high"].alias("high"), d[0]["kind"].alias("kind"), d[1]["kind"].alias("second"), words.between_markers(F.lit("a [[1]] body [[2]] c"), r"\[\[1\]\]", r"\[\[2\]\]").alias("part"))
+    part = words.between_markers(F.concat(F.lit("a [[1]] "), F.col("p_name"), F.lit(" [[2]] c")), r"\[\[1\]\]", r"\[\[2\]\]")
+    return table(spark, sf_dir, "part").select("p_partkey", F.size(d).alias("n"), d[0]["low"].alias("low"), d[0]["high"].alias("high"), d[0]["kind"].alias("kind"), F.get(d, 1)["kind"].alias("second"), part.alias("part"))
 
 
 @query("""SELECT count(*) AS rows, count(CASE WHEN p_size > 25 THEN 1 END) AS large, count(CASE WHEN p_type = 'PROMO' THEN 1 END) AS promo FROM part""")
