@@ -4,8 +4,8 @@ The patterns' matches (the base) always stay. The CRF is trained on a small labe
 finds elsewhere: personal data in spellings that the patterns miss. A token's features are numbers of its shape
 (digits, letters, signs, what it starts and ends with, lengths in steps) and those of its neighbours.
 
-Texts are tokenised and decoded in numpy batches, many texts laid end to end. Every token may bear a label: the
-field is trained on, and Viterbi runs over, whole texts, all of a batch at once.
+Texts are tokenised, scored and decoded in numpy batches, many texts laid end to end. The field is trained on whole texts, and its labels
+are those of Viterbi over whole texts, though the recursion visits only tokens that a bound does not rule out.
 """
 
 from __future__ import annotations
@@ -282,13 +282,33 @@ class CRF:
                 out[i] = path[r, : length[r]]
         return out
 
+    def may_bear(self, e: np.ndarray) -> np.ndarray:
+        """Which tokens may bear a label in a best labelling, by a bound that holds for any weights.
+
+        A block of labels pays only if it gains over O throughout. A token adds to a block's gain at most the best of its labels' scores
+        with the best step into it, over O's; entering and leaving add at most a constant. So a token bears none unless some
+        run about it gains enough, and the best run that ends, or begins, at each token comes from running sums and their least values.
+        """
+        inner = np.array([self.step[1:, y][~self.banned[1:, y]].max() for y in range(1, len(self.LABELS))])
+        enters = ~self.banned[0, 1:]
+        most = (self.step[0, 1:] - inner)[enters].max() + self.step[1:, 0].max() - self.step[0, 0]
+        gain = (e[:, 1:] + inner).max(1) - e[:, 0] - self.step[0, 0]
+
+        def best_run(x: np.ndarray) -> np.ndarray:
+            upto = np.cumsum(x)
+            return upto - np.minimum.accumulate(np.concatenate([[0.0], upto[:-1]]))
+
+        return best_run(gain) + best_run(gain[::-1])[::-1] - gain + most >= -1e-6
+
     def label(self, f: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The best labels of texts laid end to end, those of Viterbi over each whole text; all texts are decoded together."""
+        """The best labels of texts laid end to end, those of Viterbi over each whole text. Between tokens that bear no label the labelling falls apart, so
+        Viterbi runs over the stretches of those that may, all at once; what lies between is O."""
         out = np.zeros(len(f), np.int64)
         if not len(f):
             return out
         e = self.scores(f, first)
-        pieces = np.split(np.arange(len(f)), np.flatnonzero(first[1:]) + 1)
+        live = np.flatnonzero(self.may_bear(e))
+        pieces = np.split(live, np.flatnonzero((np.diff(live) > 1) | first[live[1:]]) + 1) if len(live) else []
         for at, y in zip(pieces, self.decode([e[p] for p in pieces]), strict=True):
             out[at] = y
         return out

@@ -99,6 +99,26 @@ def test_crf_gradient_and_likelihood():
             assert abs((up - down) / 2e-5 - g[at]) < 1e-5
 
 
+def test_bound_rules_out_no_label():
+    """Labels equal Viterbi's over whole texts for the trained field, and for random ones, of which many favour labels."""
+    texts = [t for t, _ in pii_crf.labelled_table(25, seed=5)] + ["", "word", "1.2.3.4", "call +15215552373 or +15215552374 a@b.co c@d.ef"]
+    fs = [f for t in texts if len(f := pii_crf.features(*pii_crf.tokens(t)))]
+    first = np.concatenate([np.arange(len(f)) == 0 for f in fs])
+    fields, rng = [pii_crf.train(pii_crf.labelled_table())], np.random.default_rng(6)
+    for scale, drop in ((0.3, 0.0), (0.3, 0.4), (1.5, 1.0), (0.1, 2.0)):
+        crf = pii_crf.CRF()
+        crf.emit[:], crf.step[:] = rng.normal(0, scale, crf.emit.shape), rng.normal(0, 1.0, crf.step.shape)
+        crf.emit[0, :, 1:] -= drop / 6
+        fields.append(crf)
+    bare = 0
+    for crf in fields:
+        y = crf.label(np.concatenate(fs), first)
+        whole = np.concatenate(crf.decode([crf.scores(f) for f in fs]))
+        assert (y == whole).all()
+        bare += (~crf.may_bear(crf.scores(np.concatenate(fs), first))).sum()
+    assert bare > 0.15 * len(first) * len(fields)
+
+
 def test_cards_that_run_together(spark):
     crf = pii_crf.train(pii_crf.labelled_table())
     text = "pay 7536784127813050 4845168114407329 now"
