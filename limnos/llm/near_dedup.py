@@ -31,14 +31,14 @@ from .components import components
 
 #: Hash functions; hashes compared at a time; the chosen miss probability; classes and bytes of sets of a grid block.
 K, BATCH, MISS, BLOCK, BLOCK_BYTES = 128, 32, 1e-6, 2048, 8 << 20
-#: Words whose hashes a worker remembers.
-MEMO_WORDS = 150_000
+#: Words whose hashes a worker remembers; shingles that are hashed at a time.
+MEMO_WORDS, PIECE = 150_000, 512
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(5)
-_XOR = _rng.integers(0, 1 << 63, K, dtype=np.int64).astype(np.uint64)
-_MUL = (_rng.integers(0, 1 << 63, K, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+_XOR = _rng.integers(0, 1 << 32, K, dtype=np.int64).astype(np.uint32)[:, None]
+_MUL = ((_rng.integers(0, 1 << 31, K, dtype=np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1))[:, None]
 
 
 def band_rows(threshold: float, k: int = K, miss: float = MISS) -> int:
@@ -84,16 +84,14 @@ def shingle_set(text: str | None, size: int, hashes: dict) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    out = np.full(K, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(0, len(shingles), 4096):  # a piece stays in the cache for all hash functions
-            part = shingles[i : i + 4096]
-            buf = np.empty_like(part)
-            for j in range(K):
-                np.bitwise_xor(part, _XOR[j], out=buf)
-                np.multiply(buf, _MUL[j], out=buf)
-                out[j] = min(out[j], buf.min())
-    return (out >> np.uint64(32)).astype(np.uint32)
+    """The least value of the shingles under each hash function, in pieces whose table of values stays in the cache."""
+    out = np.full(K, 0xFFFFFFFF, np.uint32)
+    hashes = (shingles >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(hashes), PIECE):
+        x = hashes[None, i : i + PIECE] ^ _XOR
+        x *= _MUL
+        np.minimum(out, x.min(1), out=out)
+    return out
 
 
 def _set_key(shingles: np.ndarray) -> bytes:

@@ -71,6 +71,23 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert {got[i] for i in range(100, 141)} == {100} and {got[i] for i in range(1, 60)} == {1} and got[300] == 299
 
 
+def test_signatures_estimate_similarity():
+    """Equal places of two signatures are as many as the sets' Jaccard similarity says, for every share; equal sets agree everywhere."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for share in (0.3, 0.6, 0.85, 0.95):
+        seen = []
+        for _ in range(60):
+            n = int(rng.integers(40, 3000))
+            both = int(n * 2 * share / (1 + share))
+            u = rng.integers(0, 1 << 63, 2 * n - both, dtype=np.int64).astype(np.uint64) << np.uint64(1)
+            a, b = near_dedup.signature(u[:n]), near_dedup.signature(u[n - both :])
+            seen.append((a == b).mean() - both / (2 * n - both))
+            assert (near_dedup.signature(u[:n][::-1]) == a).all()
+        assert abs(np.mean(seen)) < 0.02
+
+
 def test_bounds():
     assert near_dedup.band_rows(0.85) == 5 and near_dedup.band_rows(0.8) == 4
     assert all(a < m for m, a in near_dedup.least_agreements(0.85))
