@@ -8,6 +8,8 @@ that an explicit allow rule names stays allowed whatever its component holds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,11 +70,19 @@ def judged(urls: DataFrame, rules: Rules, host: str, path: str, out: str) -> Dat
     return urls.join(best, [host, path], "left").select(*urls.columns, out)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it: else the plan repeats it, and its code grows beyond what the JVM compiles."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def node(url: Column) -> Column:
     """A url's name in the graph: without its fragment, the scheme and host in lower case; null for null or without ://."""
-    plain = F.regexp_extract(url, r"(?s)^([^#]*)", 1)
-    head = F.regexp_extract(plain, r"(?s)^(.*?://[^/?]*)", 1)
-    return F.when(head != "", F.concat(F.translate(head, UPPER, LOWER), F.substring(plain, F.length(head) + 1, F.length(plain))))
+
+    def named(plain: Column) -> Column:
+        head = F.regexp_extract(plain, r"(?s)^(.*?://[^/?]*)", 1)
+        return _bound(head, lambda h: F.when(h != "", F.concat(F.translate(h, UPPER, LOWER), F.substring(plain, F.length(h) + 1, F.length(plain)))))
+
+    return _bound(F.regexp_extract(url, r"(?s)^([^#]*)", 1), named)
 
 
 def html_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -86,17 +96,20 @@ def html_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         node(F.col(url)).alias("src"),
         F.explode(F.concat(targets(_LINK, _HREF), targets(_META, _REFRESH))).alias("to"),
     ).where("src is not null and to != ''")
-    to, src = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&")), F.col("src")
-    origin = F.regexp_extract(src, r"(?s)^(.*?://[^/?]*)", 1)
+    src = F.col("src")
     place = F.regexp_extract(src, r"(?s)^(.*?://[^?]*/)", 1)
-    absolute = (
-        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
-        .when(to.startswith("//"), F.concat(F.regexp_extract(src, r"^([^:]*:)", 1), to))
-        .when(to.startswith("/"), F.concat(origin, to))
-        .when(to.startswith("#"), src)
-        .otherwise(F.concat(F.when(F.length(place) > F.length(origin), place).otherwise(F.concat(origin, F.lit("/"))), to))
-    )
-    return found.select("src", node(absolute).alias("dst"))
+
+    def absolute(to: Column, origin: Column) -> Column:
+        return (
+            F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+            .when(to.startswith("//"), F.concat(F.regexp_extract(src, r"^([^:]*:)", 1), to))
+            .when(to.startswith("/"), F.concat(origin, to))
+            .when(to.startswith("#"), src)
+            .otherwise(F.concat(F.when(F.length(place) > F.length(origin), place).otherwise(F.concat(origin, F.lit("/"))), to))
+        )
+
+    target = _bound(F.replace(F.col("to"), F.lit("&amp;"), F.lit("&")), lambda to: _bound(F.regexp_extract(src, r"(?s)^(.*?://[^/?]*)", 1), lambda origin: absolute(to, origin)))
+    return found.select("src", node(target).alias("dst"))
 
 
 def filter_urls(pages: DataFrame, rules: Rules, redirects: DataFrame | None = None, url: str = "url", html: str | None = "html", default: str = "allow") -> DataFrame:
