@@ -16,15 +16,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pieces
 
-#: Characters that one encoder call takes, as its results hold many times their bytes; the ORC writer's sizes.
+#: Bytes of text that one encoder call takes, as its results hold many times their bytes; the ORC writer's sizes.
 CHARS_PER_CALL, STRIPE_BYTES, ROW_INDEX_STRIDE, BLOOM_FPP = 1_500_000, 16 << 20, 1000, 0.01
 #: Chunks that a worker remembers; bytes of text that a file holds on average, at most.
 MEMO_SIZE, FILE_BYTES = 800_000, 256 << 20
+_SIGNS = ",.;:!?%*#&$|"
 _OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 SCHEMA = "doc_id long, lot long, n_tokens int, ids array<int>"
 
@@ -107,18 +109,21 @@ class ChunkEncoder:
         Chunks with white space before a word are encoded as one text, whose ids are parted by their bytes."""
         first, get, stem_end = len(self.count), self.memo.__getitem__, self._stem_end
         halves: list[tuple[int, int, int]] = []
-        whole: list[int] = []
-        for i in range(len(fresh)):  # what is looked up here joins the list's end, and is whole
+        split: set[int] = set()
+        for i in [i for i, c in enumerate(fresh) if c[-1:] in _SIGNS]:  # what is looked up here joins the list's end, and is whole
             c = fresh[i]
-            stem = c.rstrip(",.;:!?%*#&$|")
-            if len(stem) < len(c) and stem_end(stem[-1:]):
+            stem = c.rstrip(_SIGNS)
+            if stem_end(stem[-1:]):
                 halves.append((i, get(stem), get("\t" + c[len(stem) :])))
-            else:
-                whole.append(i)
-        whole += range(len(whole) + len(halves), len(fresh))
-        chunks = [c[1:] if c[:1] == "\t" else c if c[:1] == "\n" else " " + c for c in (fresh[i] for i in whole)]
-        joined = [k for k, c in enumerate(chunks) if c[:1] in (" ", "\n") and c[-1] not in " \n"]
-        single = [k for k, c in enumerate(chunks) if c and not (c[0] in " \n" and c[-1] not in " \n")]
+                split.add(i)
+        whole = [i for i in range(len(fresh)) if i not in split] if split else list(range(len(fresh)))
+        chunks, joined, single = [], [], []
+        for k, i in enumerate(whole):
+            c = fresh[i]
+            c = c[1:] if c[:1] == "\t" else c if c[:1] == "\n" else " " + c
+            chunks.append(c)
+            if c:
+                (joined if c[0] in " \n" and c[-1] not in " \n" else single).append(k)
         parts = [np.array(x, np.int32) for x in self._encode([chunks[k] for k in single])]
         size = np.zeros(len(whole), np.int64)
         size[single] = [len(x) for x in parts]
@@ -168,9 +173,10 @@ class ChunkEncoder:
             else:
                 out.append(self._gather(at))
             out.append(self.end)
-        if known := [at for at in seen if at is not None]:
-            for at in known:
-                self.used[at] += 1  # once a text
+        if 2 * len(self.memo) > self.memo_size:  # what was used since the memo was half full decides what is kept
+            for at in seen:
+                if at is not None:
+                    self.used[at] += 1  # once a text
         sizes = [len(x) + 1 for x in out[::2]]
         return np.concatenate(out), np.cumsum([0, *sizes], dtype=np.int32)
 
@@ -185,13 +191,13 @@ def encode_batches(tokenizer_path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path, end_id)
         for batch in batches:
-            texts, i = batch.column(2).to_pylist(), 0
+            texts, i = batch.column(2), 0
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.cumsum(sizes)
             while i < len(texts):
-                j, chars = i, 0
-                while j < len(texts) and (j == i or chars + len(texts[j] or "") <= CHARS_PER_CALL):
-                    chars += len(texts[j] or "")
-                    j += 1
-                ids, ends = encoder.ids([t or "" for t in texts[i:j]])
+                # No more texts become Python strings at a time than one call takes.
+                j = max(i + 1, int(np.searchsorted(upto, upto[i] - sizes[i] + CHARS_PER_CALL, "right")))
+                ids, ends = encoder.ids([t or "" for t in texts.slice(i, j - i).to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(ends), pa.int32()), lists], ["doc_id", "lot", "n_tokens", "ids"])
                 i = j
