@@ -49,3 +49,21 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS i
 SELECT doc_id, CAST(len(x) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+#: Failed filters of every document, counted by part, then all orders and steps by masks.
+OP13 = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS x FROM documents),
+e AS (SELECT t, min(doc_id) AS low FROM w GROUP BY t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, CAST(len(x) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(x)) < 50 * len(x) AS INTEGER) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INTEGER)
+  + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(doc_id > low, false) AS INTEGER) AS m, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM w JOIN e USING (t) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY part, m),
+k(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT k1.l || k2.l || k3.l || k4.l || k5.l AS filter_order, [k1.b, k2.b, k3.b, k4.b, k5.b] AS bs FROM k k1, k k2, k k3, k k4, k k5 WHERE k1.b + k2.b + k3.b + k4.b + k5.b = 31 AND k1.b | k2.b | k3.b | k4.b | k5.b = 31),
+s AS (SELECT filter_order, CAST(i AS INTEGER) AS step, bs[i] AS own, coalesce(list_sum(bs[1:i - 1]), 0)::INTEGER AS before FROM o, range(1, 6) r(i)),
+big AS (SELECT part, filter_order, step, own, before, m, n, g, x FROM c, s),
+r AS (SELECT part, filter_order, step, own, sum(n) FILTER (m & (own | before) = 0) AS kept, sum(n) FILTER (m & own <> 0 AND m & before = 0) AS removed, sum(n) FILTER (m & own <> 0 AND m & before <> 0) AS redundant,
+  sum(n) FILTER (m = own) AS unique_fails, sum(g) FILTER (m & own <> 0 AND m & before = 0) AS good_lost, sum(x) FILTER (m & own <> 0 AND m & before = 0) AS toxic_lost FROM big GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM r
+"""

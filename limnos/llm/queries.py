@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, lz_fingerprint, mixing, near_dedup, pii_crf, token_orc, url_filter
+from . import decontamination, filter_audit, html_text, language_id, lz_fingerprint, mixing, near_dedup, pii_crf, token_orc, url_filter
 from .common import scratch_path, table
-from .oracles import OP2, OP3, OP6
+from .oracles import OP2, OP3, OP6, OP13
 from .sharding import shard_documents
 
 #: The byte-level BPE vocabulary of the public tokenizers; never copied into the repository.
@@ -92,6 +92,10 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.document_index(spark, path)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_redirect_equivalence": op2_redirect_equivalence,
@@ -103,6 +107,7 @@ QUERIES = {
     "op8_consensus_html": op8_consensus_html,
     "op9_language_cnn": op9_language_cnn,
     "op10_token_orc": op10_token_orc,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op2_redirect_equivalence": OP2, "op3_minhash_bayes": OP3, "op6_winnowing": OP6}
+ORACLES: dict[str, str] = {"op2_redirect_equivalence": OP2, "op3_minhash_bayes": OP3, "op6_winnowing": OP6, "op13_filter_audit": OP13}
