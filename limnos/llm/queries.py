@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, filter_audit, html_text, language_id, lz_fingerprint, mixing, near_dedup, pii_crf, token_orc, url_filter
+from . import bpe_scan, decontamination, filter_audit, html_text, language_id, lz_fingerprint, mixing, near_dedup, pii_crf, token_orc, url_filter
 from .common import scratch_path, table
 from .oracles import OP2, OP3, OP6, OP13
 from .sharding import shard_documents
 
 #: The byte-level BPE vocabulary of the public tokenizers; never copied into the repository.
 TOKENIZER = "byte_bpe_50k.json"
+#: The same vocabulary as ranks.
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -92,6 +94,13 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.document_index(spark, path)
 
 
+def op12_bpe_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokenizer_path(RANKS)
+    out = bpe_scan.decode(bpe_scan.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    n_tokens = F.floor(F.coalesce(F.octet_length("ids"), F.lit(0)) / 4).cast("long")
+    return out.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -107,6 +116,7 @@ QUERIES = {
     "op8_consensus_html": op8_consensus_html,
     "op9_language_cnn": op9_language_cnn,
     "op10_token_orc": op10_token_orc,
+    "op12_bpe_scan": op12_bpe_scan,
     "op13_filter_audit": op13_filter_audit,
 }
 
