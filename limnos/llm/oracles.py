@@ -50,6 +50,26 @@ SELECT doc_id, CAST(len(x) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: Prefixes told by the joined hashes of their turns, ancestors by the conversations that pass both; the CRC bit by bit.
+OP11 = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS txt FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, count(*) AS k, CAST(conv_id AS VARCHAR) AS s FROM t GROUP BY conv_id),
+i AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(s) + 1), lambda j: ascii(s[j])::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 4 AS h FROM k),
+c AS (SELECT i.conv_id, h, least(h, coalesce(k.k, 0)) AS got FROM i LEFT JOIN k ON k.conv_id = i.conv_id - i.conv_id % 20),
+r AS (SELECT c.conv_id, pos AS d, role, txt FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 WHERE pos <= h UNION ALL SELECT conv_id, pos - h + got, role, txt FROM c JOIN t USING (conv_id) WHERE pos > h),
+q AS (SELECT conv_id, d, md5(string_agg(md5(length(role) || ':' || role || txt), '') OVER (PARTITION BY conv_id ORDER BY d)) AS p, len(regexp_extract_all(txt, '[^\x20\x09-\x0D]+')) AS w FROM r),
+m AS (SELECT conv_id, d, p, coalesce(lag(p) OVER (PARTITION BY conv_id ORDER BY d), '') AS up, w FROM q UNION ALL SELECT conv_id, 0, '', NULL, 0 FROM c),
+node AS (SELECT p, d, any_value(up) AS up, min(conv_id) AS low, count(*) AS n, any_value(w) AS w FROM m GROUP BY p, d),
+kids AS (SELECT up AS p, count(*) AS kids FROM node WHERE up IS NOT NULL GROUP BY up),
+full_node AS (SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN kids USING (p)),
+under AS (SELECT DISTINCT x.p AS a, y.p AS b FROM m x JOIN m y ON x.conv_id = y.conv_id AND x.d <= y.d),
+sums AS (SELECT a AS p, count(*) FILTER (kids = 0) AS leaves, sum((n - 1) * w) AS saved FROM under JOIN full_node ON b = full_node.p GROUP BY a),
+ends AS (SELECT p, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(p, d) AS p FROM m GROUP BY conv_id) GROUP BY p)
+SELECT f.low AS conv_id, CAST(f.d AS BIGINT) AS depth, u.low AS parent_conv_id, CAST(f.n AS BIGINT) AS n_convs, CAST(f.kids AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_node f JOIN sums USING (p) LEFT JOIN full_node u ON u.p = f.up LEFT JOIN ends ON ends.p = f.p
+"""
+
 #: Failed filters of every document, counted by part, then all orders and steps by masks.
 OP13 = r"""
 WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS x FROM documents),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_scan, decontamination, filter_audit, html_text, language_id, lz_fingerprint, mixing, near_dedup, pii_crf, token_orc, url_filter
+from . import bpe_scan, decontamination, filter_audit, html_text, language_id, lz_fingerprint, mixing, near_dedup, pii_crf, prefix_trie, token_orc, url_filter
 from .common import scratch_path, table
-from .oracles import OP2, OP3, OP6, OP13
+from .oracles import OP2, OP3, OP6, OP11, OP13
 from .sharding import shard_documents
 
 #: The byte-level BPE vocabulary of the public tokenizers; never copied into the repository.
@@ -94,6 +94,10 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.document_index(spark, path)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_bpe_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer_path(RANKS)
     out = bpe_scan.decode(bpe_scan.encode(table(spark, sf_dir, "documents"), ranks), ranks)
@@ -116,8 +120,9 @@ QUERIES = {
     "op8_consensus_html": op8_consensus_html,
     "op9_language_cnn": op9_language_cnn,
     "op10_token_orc": op10_token_orc,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_bpe_scan": op12_bpe_scan,
     "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op2_redirect_equivalence": OP2, "op3_minhash_bayes": OP3, "op6_winnowing": OP6, "op13_filter_audit": OP13}
+ORACLES: dict[str, str] = {"op2_redirect_equivalence": OP2, "op3_minhash_bayes": OP3, "op6_winnowing": OP6, "op11_prefix_trie": OP11, "op13_filter_audit": OP13}
