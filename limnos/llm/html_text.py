@@ -34,8 +34,6 @@ from .url_filter import host as host_of
 BROADCAST_HOSTS = 200_000
 #: Characters of a path beyond which its upper part is written as a hash, so that deep nesting stays linear.
 LONG_PATH = 500
-#: Share of a page's declared article below which text on the host's path is a stub.
-FAR_LESS = 0.1
 #: Share of a container's text that its parts beside the best one add, from which they belong to an undeclared article.
 ADDS = 0.05
 
@@ -48,9 +46,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul caption".split()
 )
 BOILERPLATE = frozenset(
-    "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert menu menubar nav navbar navigation breadcrumb breadcrumbs sidebar aside masthead footer comment comments commentlist disqus replies share sharing social related recommended newsletter subscribe signup login popup modal overlay widget widgets toolbar pagination pager copyright search".split()
+    "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert menu menubar nav navbar navigation breadcrumb breadcrumbs sidebar aside masthead footer comment comments commentlist disqus replies responses reviews teaser teasers share sharing social related recommended newsletter subscribe signup login popup modal overlay widget widgets toolbar pagination pager copyright search".split()
 )
-LAYOUT = frozenset("area article articles bar block body bottom box btn button buttons card col column container content entries entry group header heading icons inline inner item items js label left line link links list main media module outer page pages panel post posts right row section site slot stories text thread title top unit wrap wrapper zone".split())
+LAYOUT = frozenset("area article articles bar block body bottom box btn button buttons card col column container content entries entry group header heading icons inline inner item items js label left line link links list main media module outer page pages panel post posts reader readers right row section site slot stories text thread title top unit user users wrap wrapper zone".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 ARTICLE_WORDS = frozenset("article post entry content story".split())
 
@@ -66,8 +64,8 @@ _ATTR = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", r
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _judged(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, str]:
-    """Whether an element starts a boilerplate subtree, whether it is an article by tag or class, and its first class."""
+def _judged(tag: str, attrs: str, in_article: bool, by_name: bool) -> tuple[bool, bool, str]:
+    """Whether an element starts a boilerplate subtree (by tag, role and, if by_name, class and id), whether it is an article by tag or class, and its first class."""
     article = tag in ("article", "main")
     if tag in SKIP or (tag == "header" and not in_article):
         return True, False, ""
@@ -76,7 +74,8 @@ def _judged(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, str]:
     values = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
     named = [{w.lower() for w in _WORD.findall(name)} for name in f"{values.get('class', '')} {values.get('id', '')}".split()]
     words = set().union(*named)
-    skip = any(n & BOILERPLATE and (not in_article or n <= BOILERPLATE | LAYOUT) for n in named) or ("header" in words and not in_article and not words & ARTICLE_WORDS) or values.get("role", "").lower() in ROLES
+    skip = by_name and (any(n & BOILERPLATE and (not in_article or n <= BOILERPLATE | LAYOUT) for n in named) or ("header" in words and not in_article and not words & ARTICLE_WORDS))
+    skip = skip or values.get("role", "").lower() in ROLES
     hidden = values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "") or re.search(r"(?:^|\s)hidden(?:\s|/|$)", _ATTR.sub("", attrs))
     first = values.get("class", "").split()
     whole = tag in ("html", "body")
@@ -84,9 +83,18 @@ def _judged(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, str]:
 
 
 class Page:
-    """A parsed page: containers (path, parent) and blocks (container, text, link characters) in page order."""
+    """A parsed page: containers (path, parent) and blocks (container, text, link characters) in page order. Where the names of classes and ids leave no text, the page is parsed without them."""
 
     def __init__(self, html: str):
+        self._parse(html, True)
+        if self.best() is None:
+            kept = self.__dict__
+            self.__dict__ = {}
+            self._parse(html, False)
+            if self.best() is None:
+                self.__dict__ = kept
+
+    def _parse(self, html: str, by_name: bool) -> None:
         self.paths: list[str] = ["body"]
         self.parents: list[int] = [-1]
         self.declared: list[bool] = [False]
@@ -143,7 +151,7 @@ class Page:
                 buffer.append(" ")
             if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCKS:
                 continue
-            boiler, article, css = _judged(tag, m["attrs"], articles > 0)
+            boiler, article, css = _judged(tag, m["attrs"], articles > 0, by_name)
             if boiler and not skip and tag not in BLOCKS:
                 buffer.append(" ")
             skip = skip or boiler
@@ -201,38 +209,59 @@ class Page:
         c = self.best()
         return {} if c is None else {self.paths[c]: 1.0}
 
-    def text(self, path: str | None) -> str:
-        """The blocks within containers on the path; where they hold no text, or far less than an article that the page declares, those within the page's best container."""
+    def held(self) -> set[str]:
+        """Paths of the containers that hold text."""
+        out: set[str] = set()
+        for c in {c for c, _, _ in self.blocks}:
+            while c >= 0 and self.paths[c] not in out:
+                out.add(self.paths[c])
+                c = self.parents[c]
+        return out
+
+    def texts(self, path: str | None) -> tuple[str, str | None, str | None]:
+        """The main text by the host's path; where the page's own best container stands apart from it, that one's path and the text of both, in page order.
+
+        A page without text on the host's path has its own container's; so has one that declares its article where what is on the host's path is none.
+        """
         best = self.best()
-        own = None if best is None else self.paths[best]
-        out = self._within(path)
-        if own is None or own == path or out and not self.declared[best]:
-            return out
-        mine = self._within(own)
-        return mine if len(out) < len(mine) * FAR_LESS or not out else out
-
-    def _within(self, path: str | None) -> str:
-        inside = [False] * len(self.paths)
+        usual, mine = [False] * len(self.paths), [False] * len(self.paths)
         for i, p in enumerate(self.paths):
-            inside[i] = p == path or (self.parents[i] >= 0 and inside[self.parents[i]])
+            up = self.parents[i]
+            usual[i] = p == path or (up >= 0 and usual[up])
+            mine[i] = i == best or (up >= 0 and mine[up])
+        if best is None or usual[best]:
+            return self._joined(usual), None, None
+        declared = self.declared[best] and not any(d and u for d, u in zip(self.declared, usual, strict=True))
+        if declared or not any(usual[c] for c, _, _ in self.blocks):
+            return self._joined(mine), None, None
+        return self._joined(usual), self.paths[best], self._joined([a or b for a, b in zip(usual, mine, strict=True)])
+
+    def _joined(self, inside: list[bool]) -> str:
         return "\n".join(t for c, t, _ in self.blocks if inside[c])
 
 
-def winning_paths(pages: DataFrame, host: str, html: str) -> DataFrame:
-    """host and the path that won its pages' votes; of equal ones the first by name."""
+def path_votes(pages: DataFrame, host: str, html: str) -> DataFrame:
+    """host, path, votes (of the pages whose best container it is) and seen (the pages on which it holds text)."""
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            total: dict[tuple[str, str], float] = defaultdict(float)
-            for h, page in zip(x["host"], x["html"], strict=True):
-                for path, share in Page(page or "").votes().items():
-                    total[h, path] += share
-            yield pd.DataFrame([(*k, round(v * 1e6)) for k, v in total.items()], columns=["host", "path", "votes"])
-
-    votes = pages.where(F.col(host) != "").select(F.col(host).alias("host"), F.col(html).alias("html")).mapInPandas(vote, "host string, path string, votes long")
-    summed = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+            total: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0.0, 0])
+            for h, html in zip(x["host"], x["html"], strict=True):
+                page = Page(html or "")
+                for path, share in page.votes().items():
+                    total[h, path][0] += share
+                for path in page.held():
+                    total[h, path][1] += 1
+            yield pd.DataFrame([(*k, round(v * 1e6), n) for k, (v, n) in total.items()], columns=["host", "path", "votes", "seen"])
+
+    votes = pages.where(F.col(host) != "").select(F.col(host).alias("host"), F.col(html).alias("html")).mapInPandas(vote, "host string, path string, votes long, seen long")
+    return votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("seen").alias("seen")).where("votes > 0")
+
+
+def winning_paths(votes: DataFrame) -> DataFrame:
+    """host and the path that won its pages' votes; of equal ones the first by name."""
     # The least of (-votes, path): a map-side combine leaves one row a host and task.
-    return summed.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "path")).alias("best")).select("host", F.col("best.path").alias("path"))
+    return votes.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "path")).alias("best")).select("host", F.col("best.path").alias("path"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
@@ -243,15 +272,21 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
     markup is parsed as far as it goes. Repeated pages get equal texts; an empty table gives an empty one.
     """
     kept = [c for c in pages.columns if c != out]
-    n = unused(pages, "_host", "_path")
-    name, path = n["_host"], n["_path"]
+    n = unused(pages, "_host", "_path", "_texts", "_own", "_doubt")
+    name, path, texts, own, doubt = n.values()
     rows = pages.select(*kept, host_of(F.col(url).cast("string")).alias(name))
-    won = materialize(winning_paths(rows, name, html), "paths").select(F.col("host").alias(name), F.col("path").alias(path))
+    votes = materialize(path_votes(rows, name, html), "paths")
+    won = winning_paths(votes).select(F.col("host").alias(name), F.col("path").alias(path))
     rows = rows.join(F.broadcast(won) if won.count() <= BROADCAST_HOSTS else won, name, "left")
 
-    @F.pandas_udf("string")
-    def text_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("main string, own string, both string")
+    def texts_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for pages, paths in batches:
-            yield pd.Series([Page(h or "").text(p) for h, p in zip(pages, paths, strict=True)], dtype=object)
+            yield pd.DataFrame([Page(h or "").texts(p) for h, p in zip(pages, paths, strict=True)], columns=["main", "own", "both"], dtype=object)
 
-    return rows.select(*kept, text_of(F.col(html).cast("string"), F.col(path)).alias(out))
+    # A page's own container counts beside the host's path unless most pages that have one on its path hold their article elsewhere.
+    doubted = votes.where(F.col("votes") < 500_000 * F.col("seen")).select(F.col("host").alias(name), F.col("path").alias(own), F.lit(True).alias(doubt))
+    told = rows.withColumn(texts, texts_of(F.col(html).cast("string"), F.col(path))).withColumn(own, F.coalesce(F.col(texts)["own"], F.lit("")))
+    told = told.join(F.broadcast(doubted) if doubted.count() <= BROADCAST_HOSTS else doubted, [name, own], "left")
+    text = F.when((F.col(own) != "") & F.col(doubt).isNull(), F.col(texts)["both"]).otherwise(F.col(texts)["main"])
+    return told.select(*kept, text.alias(out))
