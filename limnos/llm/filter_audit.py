@@ -25,13 +25,14 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, pieces
 
 #: Bytes of text a shard holds, unless one text is longer; bytes split into words at a time; bytes of text for each bucket of the dictionary, at most.
-SHARD_BYTES, SLICE_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20, 256 << 20
+SHARD_BYTES, SLICE_BYTES, BUCKET_BYTES = 16 << 20, 1 << 20, 256 << 20
 #: The filters, in bit order; words a document needs; characters that mark junk.
 FILTERS, LEAST_WORDS, MARKS = "ABCDE", 200, b"#$%&*|"
 
 LABELS = "doc_id array<long>, source array<string>, key array<binary>, chars array<long>, capitals array<long>, marked array<boolean>"
 SHARD = f"shard long, {LABELS}, indptr array<int>, indices array<int>, counts array<int>, words array<binary>"
-MATRIX = f"shard long, {LABELS}, indptr array<int>, indices array<long>, counts array<int>, n_words array<long>, n_distinct array<long>"
+SUMS = f"shard long, {LABELS}, n_words array<long>, n_distinct array<long>"
+MATRIX = f"{SUMS}, indptr array<int>, indices array<long>, counts array<int>"
 
 
 class _Codes(dict):
@@ -130,7 +131,7 @@ def _deal(buckets: int):
     return run
 
 
-def _number(buckets: int):
+def _number(buckets: int, with_words: bool):
     """Blocks in order of bucket and shard get their words' numbers: the k-th new word of a bucket is bucket + k * buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,26 +143,32 @@ def _number(buckets: int):
                 words = batch.column(3)[i].values
                 ids = bucket + buckets * np.fromiter(map(codes.__getitem__, words.to_pylist()), np.int64, len(words))
                 one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*one.columns[:3], _lists(pa.array(ids), [0, len(ids)]), one.column(3)], ["bucket", "shard", "at", "ids", "words"])
+                columns = [*one.columns[:3], _lists(pa.array(ids), [0, len(ids)]), *([one.column(3)] if with_words else [])]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "shard", "at", "ids", "words"][: len(columns)])
 
     return run
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode(schema: str):
     """Shards with their words' global numbers in place of their own, row sums and nonzero counts."""
-    names = [f.split()[0] for f in MATRIX.split(", ")]
-    for batch in batches:
-        for i in range(batch.num_rows):
-            one = batch.slice(i, 1)
-            indptr, indices, counts = (one.column(k)[0].values.to_numpy(zero_copy_only=False) for k in ("indptr", "indices", "counts"))
-            blocks = one.column("blocks")[0]
-            column = np.zeros(sum(len(b["at"].values) for b in blocks) if blocks.is_valid else 0, np.int64)
-            for b in blocks if blocks.is_valid else ():
-                column[b["at"].values.to_numpy()] = b["ids"].values.to_numpy()
-            sums = np.diff(np.append(0, np.cumsum(counts, dtype=np.int64))[indptr])
-            made = [pa.array(column[indices]), pa.array(counts, pa.int32()), pa.array(sums), pa.array(np.diff(indptr).astype(np.int64))]
-            columns = [*(one.column(k) for k in names[:8]), *(_lists(x, [0, len(x)]) for x in made)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                made = {k: one.column(k)[0].values.to_numpy(zero_copy_only=False) for k in ("indptr", "indices", "counts")}
+                blocks = one.column("blocks")[0]
+                column = np.full(sum(len(b["at"].values) for b in blocks) if blocks.is_valid else 0, -1, np.int64)
+                for b in blocks if blocks.is_valid else ():
+                    column[b["at"].values.to_numpy()] = b["ids"].values.to_numpy()
+                cells = column[made["indices"]]
+                made["n_words"] = np.diff(np.append(0, np.cumsum(made["counts"], dtype=np.int64))[made["indptr"]])
+                made["n_distinct"] = np.diff(np.append(0, np.cumsum(cells >= 0))[made["indptr"]])
+                made["indices"] = cells
+                yield pa.RecordBatch.from_arrays([_lists(pa.array(made[k]), [0, len(made[k])]) if k in made else one.column(k) for k in names], names)
+
+    return run
 
 
 def local_shards(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -170,21 +177,22 @@ def local_shards(docs: DataFrame, id_col: str = "doc_id", source: str = "source"
     return rows.mapInArrow(_build, SHARD)
 
 
-def dictionary_blocks(shards: DataFrame, buckets: int) -> DataFrame:
-    """bucket, shard, at, ids, words: each shard's words with their global numbers, in blocks. Equal words have equal numbers, different words different ones."""
+def dictionary_blocks(shards: DataFrame, buckets: int, with_words: bool = True) -> DataFrame:
+    """bucket, shard, at, ids and, if wanted, words: each shard's words with their global numbers, in blocks. Equal words have equal numbers, different words different ones."""
     blocks = shards.select("shard", "words").mapInArrow(_deal(buckets), "bucket long, shard long, at array<int>, words array<binary>")
     dealt = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "shard")
-    return dealt.mapInArrow(_number(buckets), "bucket long, shard long, at array<int>, ids array<long>, words array<binary>")
+    return dealt.mapInArrow(_number(buckets, with_words), "bucket long, shard long, at array<int>, ids array<long>" + ", words array<binary>" * with_words)
 
 
-def term_matrix(shards: DataFrame, buckets: int) -> DataFrame:
+def term_matrix(shards: DataFrame, buckets: int, cells: bool = True) -> DataFrame:
     """The shards as a matrix over the global dictionary: a row of `indptr` for each document, `indices` are words' numbers, `counts` their occurrences; `n_words` and `n_distinct` are row sums and nonzero counts.
 
-    Null and wordless texts are rows without cells. A text longer than a shard is a shard of its own. An empty table has no shard.
+    Without `cells` the sums alone leave the tasks that build the matrix. Null and wordless texts are rows without cells. A text longer than a shard is a shard of its own. An empty table has no shard.
     """
-    blocks = dictionary_blocks(shards, buckets).groupBy("shard").agg(F.collect_list(F.struct("at", "ids")).alias("blocks"))
+    blocks = dictionary_blocks(shards, buckets, with_words=False).groupBy("shard").agg(F.collect_list(F.struct("at", "ids")).alias("blocks"))
     joined = shards.drop("words").join(blocks, "shard", "left")
-    return joined.mapInArrow(_encode, MATRIX)
+    schema = MATRIX if cells else SUMS
+    return joined.mapInArrow(_encode(schema), schema)
 
 
 def _bit(letter: str) -> int:
@@ -269,7 +277,7 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", source: st
     """
     buckets = pieces(docs, BUCKET_BYTES, text)
     shards = materialize(local_shards(docs, id_col, source, text), "csr-shards")
-    rows = failures(term_matrix(shards, buckets))
+    rows = failures(term_matrix(shards, buckets, cells=False))
     cells = materialize(part_cells(rows, labels), "filter-cells")
     discard(shards)
     return order_report(cells)
