@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are encoded at a time, unless one text is longer; pieces that a worker remembers; bytes of a piece that is merged in a matrix, at most.
-SLICE_BYTES, MEMO_SIZE, MATRIX_BYTES, MATRIX_ROWS = 1_500_000, 500_000, 48, 8192
+SLICE_BYTES, MEMO_SIZE, MATRIX_BYTES, MATRIX_ROWS = 1_000_000, 300_000, 48, 8192
 #: Unicode's white space; what may follow an apostrophe as one piece.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SUFFIXES = ["s", "t", "re", "ve", "m", "ll", "d"]
@@ -137,21 +137,28 @@ class _Memo(dict):
         return n
 
 
-class Vocabulary:
-    """Tokens' bytes by id, and which pairs of ids merge into which: every cut of a token into two tokens is such a pair."""
+class Tokens:
+    """Tokens' bytes by id."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, size = ranks, max(ranks.values(), default=-1) + 1
-        tokens = [b""] * size
+        self.size = max(ranks.values(), default=-1) + 1
+        tokens = [b""] * self.size
         for t, i in ranks.items():
             tokens[i] = t
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+
+class Vocabulary(Tokens):
+    """Which pairs of ids merge into which, besides: every cut of a token into two tokens is such a pair."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(ranks)
+        self.ranks, size = ranks, self.size
         self.byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
         if (self.byte_ids < 0).any():
             raise ValueError("a byte-level vocabulary has every single byte")
-        self.size = size
         pairs = sorted((ranks[t[:k]] * size + ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks)
         self.pair_keys, self.pair_ids = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((-1,), (size,))))
         self.pair_of = dict(pairs)
@@ -239,6 +246,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
 
 
+@lru_cache(2)
+def tokens_of(path: str) -> Tokens:
+    """One a worker process."""
+    return Tokens(read_ranks(path))
+
+
 @lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
     """One a worker process."""
@@ -328,7 +341,7 @@ def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
+        words = tokens_of(path)
         for batch in batches:
             sizes = np.cumsum(pc.binary_length(pc.fill_null(batch.column("ends"), b"")).to_numpy(zero_copy_only=False).astype(np.int64))
             i = 0
