@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from limnos.operators import spatial
 
-# Words that tell waters of one name apart by kind only.
-GENERIC_WORDS = ("lake", "reservoir", "pond", "river", "creek", "the", "of")
+# What the loose key leaves out, and the words and states that the sorted key does. River and creek stay in both: a river is not the lake of its name.
+GENERIC_WORDS = r"\b(lake|lakes|reservoir|pond|millpond|mill\s+pond|impoundment|sp|state\s+park|the)\b"
+STOP_WORDS = ("lake", "lakes", "reservoir", "rsvr", "pond", "millpond", "mill", "the", "of", "impoundment")
+STATES = ("al", "ar", "fl", "ga", "il", "in", "ky", "la", "mo", "ms", "nc", "sc", "tn", "va", "wv")
 
 
 def clean(name: Column | str) -> Column:
@@ -21,15 +23,22 @@ def tokens(name: Column | str) -> Column:
     return F.filter(F.split(clean(name), " "), lambda t: t != "")
 
 
-def loose_key(name: Column | str, generic: tuple[str, ...] = GENERIC_WORDS) -> Column:
-    """The name without generic words, run together in order."""
-    return F.array_join(F.filter(tokens(name), lambda t: ~t.isin(*generic)), "")
+def plain_name(name: Column | str) -> Column:
+    """The name without its parentheses and what follows its first comma, cleaned."""
+    name = F.col(name) if isinstance(name, str) else name
+    return clean(F.regexp_replace(F.regexp_replace(name, r"\([^)]*\)", " "), r"(?s),.*$", ""))
+
+
+def loose_key(name: Column | str, generic: str = GENERIC_WORDS) -> Column:
+    """The plain name without generic words, run together in order. Not enough on its own to make two records one: a lake and a pond of one name share it."""
+    return F.regexp_replace(F.regexp_replace(plain_name(name), generic, " "), "[^a-z0-9]+", "")
 
 
-def sorted_key(name: Column | str, stop: tuple[str, ...] = GENERIC_WORDS) -> Column:
-    """Tokens of two letters or more but stop words, sorted; all tokens where none is left."""
-    kept = F.filter(tokens(name), lambda t: (F.length(t) > 1) & ~t.isin(*stop))
-    return F.array_join(F.array_sort(F.when(F.size(kept) > 0, kept).otherwise(tokens(name))), " ")
+def sorted_key(name: Column | str, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Tokens but states, single letters (not digits) and stop words, sorted; with the stop words where none is left."""
+    said = F.filter(tokens(name), lambda t: ~t.isin(*STATES) & ((F.length(t) > 1) | t.rlike("^[0-9]+$")))
+    kept = F.filter(said, lambda t: ~t.isin(*stop))
+    return F.array_join(F.array_sort(F.when(F.size(kept) > 0, kept).otherwise(said)), " ")
 
 
 def slug(name: Column | str) -> Column:

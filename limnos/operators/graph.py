@@ -12,24 +12,28 @@ from limnos.sources.shared import cut, cut_and_tell, discard
 
 
 def components(edges: DataFrame, u: str = "src", v: str = "dst") -> DataFrame:
-    """node, component (its least node). Labels are propagated and, each round, replaced by their label's label, so rounds grow
-    with the logarithm of the longest chain. Every round's table is cut from its lineage."""
-    e = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null and a != b").distinct()
-    both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).select(F.col("a").alias("node"), "l"))
+    """node, component (its least node), for all nodes that an edge ties to another.
+
+    Edges point from the greater to the lesser node. In turn, a node's greater neighbours are tied to the least of its neighbours, and its lesser
+    ones to the least of them, until edges are stars. Every step joins edges with one row a node, so no node's neighbours meet in a task,
+    and rounds grow with the logarithm of the longest chain. Every round's table is cut from its lineage.
+    """
+    e = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col("a") != F.col("b"))).distinct()
+    marks = (F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 20)))
+    e, mark = cut_and_tell(e, *marks)
     before = None
-    while True:
-        of = label.select(F.col("node").alias("b"), "l")
-        low = both.join(of, "b").groupBy("a").agg(F.min("l").alias("m"))
-        hooked = label.join(low, label["node"] == low["a"]).select("node", F.least("l", "m").alias("l"))
-        up = hooked.select(F.col("node").alias("l"), F.col("l").alias("up"))
-        after, mark = cut_and_tell(hooked.join(up, "l", "left").select("node", F.coalesce("up", "l").alias("l")), F.sum(F.shiftright(F.xxhash64("node", "l"), 20)), F.count("*"))
-        discard(label)
-        label = after
-        if mark == before or not mark[1]:
-            discard(both)
-            return label.select("node", F.col("l").alias("component"))
+    while mark[0] and mark != before:
+        least = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+        wide = e.join(least, e["b"] == least["n"]).select("a", F.col("m").alias("b"))
+        own = e.join(least, e["a"] == least["n"]).select("a", F.col("m").alias("b"))
+        wide = wide.unionByName(own).where("a != b").distinct()
+        low = wide.groupBy("a").agg(F.min("b").alias("m"))
+        tied = wide.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         before = mark
+        after, mark = cut_and_tell(tied.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), *marks)
+        discard(e)
+        e = after
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def cell_components(cells: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
@@ -71,6 +75,21 @@ def chase(pointers: DataFrame, key: str = "id", to: str = "next") -> DataFrame:
     return out.select(F.col("k").alias(key), "end", F.col("n").alias("steps"))
 
 
+def ranked(links: DataFrame, key: str = "id", to: str = "next") -> DataFrame:
+    """key, list (its least key), rank (from 0) and closed, for keys in lists: each has one key after it, or none at the end of its list, and at most one before it.
+    A closed list, where the last leads to the first, begins at its least key. All of it is done in rounds that grow with the logarithm of the longest list; no list meets in a task."""
+    rows = links.select(F.col(key).alias("k"), F.col(to).alias("t"))
+    found = components(rows, "k", "t")
+    # A key that leads to itself or nowhere, and that none leads to, is in no edge.
+    named = cut(rows.join(found, rows["k"] == found["node"], "left").select("k", "t", F.coalesce("component", "k").alias("list")))
+    shut = named.groupBy("list").agg(F.min(F.col("t").isNotNull()).alias("closed"))
+    opened = named.join(shut, "list").select("k", "list", "closed", F.when(~(F.col("closed") & (F.col("t") == F.col("list"))), F.col("t")).alias("t"))
+    steps = cut(opened.join(chase(opened, "k", "t").select("k", "steps"), "k").select("k", "list", "closed", "steps"))
+    last = steps.groupBy("list").agg(F.max("steps").alias("most"))
+    discard(named)
+    return steps.join(last, "list").select(F.col("k").alias(key), "list", (F.col("most") - F.col("steps")).alias("rank"), "closed")
+
+
 def accumulate(links: DataFrame, own: DataFrame, key: str, to: str, value: str) -> DataFrame:
     """key and the sum of value over itself and all that lead into it, through a forest of links (each key has one `to` at most).
     After k rounds a key holds what lies within 2**k steps; pointers double with it, so rounds grow with the logarithm of the longest chain.

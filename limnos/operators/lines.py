@@ -14,25 +14,29 @@ LINE = "array<struct<x:double,y:double>>"
 
 
 def stitch(lines: DataFrame, key: str, line_id: str, line: str, places: int = 5) -> DataFrame:
-    """key, run (the least fragment's id), fragments, line: fragments joined at equal rounded ends into maximal lines.
+    """key, run (the least fragment's id), fragments, closed, line: fragments joined at equal rounded ends into maximal lines. A key's levels don't mix.
 
-    Fragments that share ends are found as components in Spark; only a component's fragments meet in a task, where they are chained. A key's levels don't mix.
+    At each spot ends are tied in pairs, in order of their fragments' ids, so of an odd number one stays loose. Lines follow by ranking: a fragment is
+    a link in either direction, and of a line's two directions the one in which its least fragment runs as drawn is kept. No line's fragments meet in
+    a task before they are put together as one. line_id: whole numbers. Fragments of fewer than two points are left out.
     """
-    spot = lambda p: F.concat_ws(",", F.col(key).cast("string"), F.round(p["x"], places).cast("string"), F.round(p["y"], places).cast("string"))
-    ends = lines.select(F.col(line_id).alias("id"), F.explode(F.array(spot(F.element_at(line, 1)), spot(F.element_at(line, -1)))).alias("spot"))
-    low = ends.groupBy("spot").agg(F.min("id").alias("low"))
-    tied = ends.join(low, "spot").where("id != low").select("id", "low")
-    found = graph.components(tied, "id", "low")
-    grouped = lines.join(found, lines[line_id] == found["node"], "left").withColumn("_c", F.coalesce("component", line_id))
-
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(line_id)
-        pieces = [[(p["x"], p["y"]) for p in one] for one in pdf[line]]
-        joined = kernels.chain_lines(pieces, places)
-        return pd.DataFrame([(pdf[key].iloc[0], int(k[0]), len(pieces), [{"x": x, "y": y} for x, y in j]) for j in joined], columns=[key, "run", "fragments", "line"])
-
-    kind = dict(lines.dtypes)[key]
-    return grouped.select(key, line_id, line, "_c").groupBy("_c").applyInPandas(run, f"{key} {kind}, run long, fragments long, line {LINE}")
+    pieces = lines.where(F.size(line) > 1).select(key, F.col(line_id).cast("long").alias("id"), F.col(line).alias("_line"))
+    spot = lambda p: F.struct((F.round(p["x"], places) + 0.0).alias("x"), (F.round(p["y"], places) + 0.0).alias("y"))
+    ends = F.array(*(F.struct(F.lit(side).alias("side"), spot(F.element_at("_line", 1 if side == 0 else -1)).alias("spot")) for side in (0, 1)))
+    # A port is a fragment's beginning (even) or end (odd); neighbours in order at a spot are tied two by two.
+    ports = pieces.select(key, "id", F.explode(ends).alias("e")).select(key, "e.spot", (F.col("id") * 2 + F.col("e.side")).alias("port"))
+    met = Window.partitionBy(key, "spot").orderBy("port")
+    n = F.row_number().over(met)
+    partner = F.when(n % 2 == 1, F.lead("port").over(met)).otherwise(F.lag("port").over(met))
+    tied = ports.withColumn("partner", partner)
+    # As drawn a fragment (2 id) leaves by its end and goes on by what is tied there: as drawn from a beginning, against it from an end. Against, it leaves by its beginning.
+    links = tied.select((F.col("port").bitwiseXOR(1)).alias("link"), F.col("partner").alias("next"))
+    ranked = graph.ranked(links, "link", "next").where(F.col("list") % 2 == 0)
+    placed = ranked.select(F.floor(F.col("link") / 2).alias("id"), (F.col("link") % 2 == 1).alias("back"), "list", "rank", "closed").join(pieces, "id")
+    drawn = F.when(F.col("back"), F.reverse("_line")).otherwise(F.col("_line"))
+    part = F.struct("rank", F.when(F.col("rank") == 0, drawn).otherwise(F.slice(drawn, 2, F.size("_line") - 1)).alias("points"))
+    whole = placed.groupBy(key, "list", "closed").agg(F.count("*").alias("fragments"), F.array_sort(F.collect_list(part)).alias("parts"))
+    return whole.select(key, F.floor(F.col("list") / 2).alias("run"), "fragments", "closed", F.flatten(F.transform("parts", lambda x: x["points"])).cast(LINE).alias("line"))
 
 
 def band_stretches(samples: DataFrame, keys: list[str], at_m: str, depth: str, low: float, high: float, least_m: float) -> DataFrame:

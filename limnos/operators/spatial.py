@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.functions import geo, kernels
+from limnos.operators import polygons as by_cells
 
 
 def _around(i: Column, j: Column, n: int) -> Column:
@@ -85,8 +86,8 @@ def box_join(points: DataFrame, boxes: DataFrame, xy: tuple[str, str], box: tupl
 
 
 def polygon_join(points: DataFrame, polygons: DataFrame, xy: tuple[str, str], rings: str, box: tuple[str, str, str, str], size: float) -> DataFrame:
-    """Points with every polygon (rings: outer, then holes) that holds them."""
-    return box_join(points, polygons, xy, box, size).where(geo.in_polygon(xy[0], xy[1], rings))
+    """Points with every polygon (rings: outer, then holes) that holds them, by the index of polygons: no test in inner cells, a border cell's own edges elsewhere. The result is without the rings."""
+    return by_cells.inside(points, polygons, xy, rings, size)
 
 
 def smallest_box(points: DataFrame, boxes: DataFrame, key: str, box_id: str, xy: tuple[str, str], box: tuple[str, str, str, str], size: float) -> DataFrame:

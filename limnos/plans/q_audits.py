@@ -125,20 +125,40 @@ def report_entries(spark, sf_dir):
 WATERS = "w AS (SELECT conv_id AS water, regexp_extract_all(lower(text), '[a-z0-9]+')[1:2] AS t FROM conversations WHERE turn = 0)"
 
 
-@query("""WITH c AS (SELECT conv_id, turn, list_distinct(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM conversations), n AS (SELECT conv_id AS water, regexp_extract_all(lower(text), '[a-z0-9]+')[1:2] AS t FROM conversations WHERE turn = 0),
- t AS (SELECT water, list_distinct(list_transform(list_filter(t, lambda x: x NOT IN ('lake', 'reservoir', 'the', 'of', 'and', 'river', 'creek', 'pond', 'at', 'near')), lambda x: CASE x WHEN 'ft' THEN 'fort' WHEN 'mt' THEN 'mount' ELSE x END)) AS t FROM n), i AS (SELECT a.conv_id, a.turn, a.w AS e, b.w AS a FROM c a LEFT JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
- SELECT conv_id, turn, water, CASE WHEN list_has_all(e, t) THEN 'excerpt' ELSE 'article' END AS matched_in FROM i, t WHERE len(t) > 0 AND (list_has_all(e, t) OR coalesce(list_has_all(a, t), false))""")
+#: A water's tokens, and a text's words but those that County follows.
+TOKENS_OF = "list_distinct(list_transform(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x NOT IN ('', 'lake', 'lakes', 'reservoir', 'res', 'the', 'a', 'of', 'at', 'near', 'on')), lambda x: CASE x WHEN 'ft' THEN 'fort' WHEN 'mt' THEN 'mount' ELSE x END))"
+SAID = r"list_filter(list_transform(range(1, len(regexp_extract_all({0}, '[a-z0-9_]+')) + 1), lambda i: CASE WHEN coalesce(regexp_extract_all({0}, '[a-z0-9_]+')[i + 1] IN ('county', 'counties'), false) AND regexp_full_match(regexp_extract_all({0}, '[a-z0-9_]+([^a-z0-9_]*)', 1)[i], '[\s\-]+') THEN NULL ELSE regexp_extract_all({0}, '[a-z0-9_]+')[i] END), lambda x: x IS NOT NULL)"
+
+
+@query(rf"""WITH n AS (SELECT conv_id, turn, text, regexp_extract_all(lower(text), '[a-z0-9]+')[1:2] AS t FROM conversations), i AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN t[1] || ' County: ' || text[length(t[1]) + 1:] ELSE text END AS e, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM n),
+ w AS (SELECT conv_id AS water, {TOKENS_OF.format("array_to_string(t, ' ')")} AS t FROM n WHERE turn = 0), s AS (SELECT conv_id, turn, {SAID.format('lower(e)')} AS e, {SAID.format("lower(coalesce(a, ''))")} AS a FROM i)
+ SELECT conv_id, turn, water, CASE WHEN list_has_all(e, t) THEN 'excerpt' ELSE 'article' END AS matched_in FROM s, w WHERE len(t) > 0 AND (list_has_all(e, t) OR list_has_all(a, t))""")
 def report_matches(spark, sf_dir):
-    """Turns as items, the next turn as the article; waters are named by the first two words of each conversation."""
+    """Turns as items, the next turn as the article; waters are named by the first two words of each conversation, which stand as a county in a third of them."""
     from pyspark.sql import Window
 
     c = table(spark, sf_dir, "conversations")
-    items = c.select(F.struct("conv_id", "turn").alias("item"), F.col("text").alias("excerpt"), F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("article"), F.col("turn").alias("published"))
-    name = F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), 1, 2), " ")
-    waters = c.where("turn = 0").select(F.col("conv_id").alias("water"), name.alias("name"))
+    first = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), 1, 2)
+    county = F.concat(first[0], F.lit(" County: "), F.substring("text", F.length(first[0]) + 1, F.length("text")))
+    items = c.select(F.struct("conv_id", "turn").alias("item"), F.when(F.col("conv_id") % 3 == 0, county).otherwise(F.col("text")).alias("excerpt"), F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("article"), F.col("turn").alias("published"))
+    waters = c.where("turn = 0").select(F.col("conv_id").alias("water"), F.array_join(first, " ").alias("name"))
     return reports.matched_reports(items, waters, "item", "water", "name").select("item.conv_id", "item.turn", "water", "matched_in")
 
 
+@query(rf"""WITH s AS (SELECT s_suppkey AS k, {TOKENS_OF.format("['Norris Tailwater', 'Ft. Loudoun Reservoir', 'santee cooper lake marion lake moultrie', 'charleston', 'Wateree', 'Lake on the'][s_suppkey % 6 + 1] || CASE WHEN s_nationkey % 3 = 0 THEN ' ' || s_nationkey ELSE '' END")} AS a FROM supplier),
+ w AS (SELECT c_custkey AS water, {TOKENS_OF.format("['Norris Lake', 'Fort Loudoun Lake', 'Lake Marion', 'Lake Moultrie', 'Charleston Harbor', 'Wateree River', 'Lake Wateree'][c_custkey % 7 + 1] || CASE WHEN c_nationkey % 3 = 0 THEN ' ' || c_nationkey ELSE '' END")} AS b FROM customer),
+ p AS (SELECT k, water, a, b, len(list_intersect(a, b)) AS n FROM s, w WHERE len(a) > 0 AND len(b) > 0 AND (list_has_all(b, a) OR list_has_all(a, b))),
+ f AS (SELECT *, CASE WHEN n = len(a) THEN list_filter(b, lambda x: NOT list_contains(a, x)) ELSE list_filter(a, lambda x: NOT list_contains(b, x)) END AS extra FROM p)
+ SELECT k, water, CAST(n AS INTEGER) AS shared FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, water) AS r FROM f WHERE NOT list_has_any(extra, ['river', 'creek', 'canal', 'branch', 'run', 'fork', 'swamp', 'slough', 'tailwater', 'tailrace'])) WHERE r = 1""")
+def report_names(spark, sf_dir):
+    """Names as sources write them against names as a registry does."""
+    pick = lambda words, c, n: F.get(F.array(*map(F.lit, words)), (F.col(c) % n).cast("int"))
+    tail = lambda c: F.when(F.col(c) % 3 == 0, F.concat(F.lit(" "), F.col(c).cast("string"))).otherwise("")
+    a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(pick(("Norris Tailwater", "Ft. Loudoun Reservoir", "santee cooper lake marion lake moultrie", "charleston", "Wateree", "Lake on the"), "s_suppkey", 6), tail("s_nationkey")).alias("name"))
+    b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("water"), F.concat(pick(("Norris Lake", "Fort Loudoun Lake", "Lake Marion", "Lake Moultrie", "Charleston Harbor", "Wateree River", "Lake Wateree"), "c_custkey", 7), tail("c_nationkey")).alias("wname"))
+    return reports.matched_names(a, b, "k", "name", "water", "wname")
+
+
 @query("""WITH f AS (SELECT event_id AS k, lower(['Stripers suspend over the channel', 'Largemouth on the bottom in ', 'Catfish schooling', 'Anchor tight in ', 'clear water', 'ok'][event_id % 6 + 1] || [' in july', ' in March', '', ' every autumn'][event_id % 4 + 1]) AS t FROM events),
  b AS (SELECT k, CASE WHEN contains(t, 'striper') THEN 'Striped Bass' WHEN contains(t, 'largemouth') THEN 'Largemouth Bass' WHEN contains(t, 'catfish') THEN 'Catfish' END AS species, CASE WHEN contains(t, 'march') THEN 'spring' WHEN contains(t, 'july') THEN 'summer' WHEN contains(t, 'autumn') THEN 'fall' END AS season,
   CASE WHEN contains(t, 'bottom') OR contains(t, 'anchor') THEN 'bottom' WHEN contains(t, 'suspend') OR contains(t, 'schooling') THEN 'suspended' END AS holding, length(trim(t)) AS n FROM f) SELECT k, species, season, holding FROM b WHERE n >= 12 AND (species IS NOT NULL OR season IS NOT NULL OR holding IS NOT NULL)""")

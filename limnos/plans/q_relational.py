@@ -12,14 +12,18 @@ from limnos.plans.surrogates import table
 
 CLEAN = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g'))"
 TOKENS = f"list_filter(string_split({CLEAN}, ' '), lambda t: t <> '')"
-GENERIC = "('lake','reservoir','pond','river','creek','the','of')"
+PLAIN = CLEAN.format("regexp_replace(regexp_replace(name, '\\([^)]*\\)', ' ', 'g'), '(?s),.*$', '')")
+STATES = "('al','ar','fl','ga','il','in','ky','la','mo','ms','nc','sc','tn','va','wv')"
+STOP = "('lake','lakes','reservoir','rsvr','pond','millpond','mill','the','of','impoundment')"
 
 
-@query(f"""WITH p AS (SELECT p_partkey, p_type || ' Lake #' || p_brand || ' of ' || p_name AS name FROM part), t AS (SELECT *, {TOKENS.format('name')} AS tok FROM p)
- SELECT p_partkey, {CLEAN.format('name')} AS clean, array_to_string(list_filter(tok, lambda t: t NOT IN {GENERIC}), '') AS loose,
- array_to_string(list_sort(list_filter(tok, lambda t: length(t) > 1 AND t NOT IN {GENERIC})), ' ') AS sorted, replace({CLEAN.format('name')}, ' ', '-') AS slug FROM t""")
+@query(rf"""WITH p AS (SELECT p_partkey, [p_type || ' Lake #', 'Lake ' || p_type || ' River, SC ', 'The Mill Pond of (old) ', 'State Park Lakes B. 7 '][p_partkey % 4 + 1] || p_brand || ' of ' || p_name AS name FROM part),
+ t AS (SELECT *, list_filter({TOKENS.format('name')}, lambda t: t NOT IN {STATES} AND (length(t) > 1 OR regexp_matches(t, '^[0-9]$'))) AS tok FROM p), k AS (SELECT *, list_filter(tok, lambda t: t NOT IN {STOP}) AS core FROM t)
+ SELECT p_partkey, {CLEAN.format('name')} AS clean, regexp_replace(regexp_replace({PLAIN}, '\b(lake|lakes|reservoir|pond|millpond|mill\s+pond|impoundment|sp|state\s+park|the)\b', ' ', 'g'), '[^a-z0-9]+', '', 'g') AS loose,
+ array_to_string(list_sort(CASE WHEN len(core) > 0 THEN core ELSE tok END), ' ') AS sorted, replace({CLEAN.format('name')}, ' ', '-') AS slug FROM k""")
 def ent_keys(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_type", F.lit(" Lake #"), "p_brand", F.lit(" of "), "p_name").alias("name"))
+    kinds = F.array(F.concat("p_type", F.lit(" Lake #")), F.concat(F.lit("Lake "), "p_type", F.lit(" River, SC ")), F.lit("The Mill Pond of (old) "), F.lit("State Park Lakes B. 7 "))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.get(kinds, (F.col("p_partkey") % 4).cast("int")), "p_brand", F.lit(" of "), "p_name").alias("name"))
     return p.select("p_partkey", entity.clean("name").alias("clean"), entity.loose_key("name").alias("loose"), entity.sorted_key("name").alias("sorted"), entity.slug("name").alias("slug"))
 
 
