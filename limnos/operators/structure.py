@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.functions import geo
-from limnos.operators import sequence, spatial
+from limnos.operators import polygons, sequence, spatial
+from limnos.sources.shared import cut
 
 # Feet of drop between compared levels, metres of run at most and at least, degrees of a result cell.
 DROP_FT, MAX_RUN_M, MIN_RUN_M, RESULT_CELL = 5.0, 400.0, 5.0, 0.0008
+#: Acres of a high spot's loop, at least and at most; metres off the shore's vertices, at least.
+HUMP_ACRES, OFFSHORE_M = (0.4, 500.0), 0.0012 * 111320.0
 #: Gap that parts dock groups, length and count that make a line of them.
 DOCK_GAP_M, DOCK_LINE_M, DOCK_LINE_MIN = 120.0, 250.0, 4
 #: Metres within which records of one place collapse.
@@ -36,6 +39,32 @@ def ledges(points: DataFrame, key: str, level: str, lon: str = "lon", lat: str =
     return run.groupBy(key, at["i"].alias("i"), at["j"].alias("j")).agg(best.alias("_b")).select(key, "i", "j", "_b.*")
 
 
+def find_humps(loops: DataFrame, lake: str, loop: str, depth: str, ring: str, shores: DataFrame | None = None, cell: float = 0.02) -> DataFrame:
+    """lake, loop, lon, lat, acres, depth, levels, relief: closed contours of fitting area whose middle lies in the lake and off its shore, with how many smaller ones' middles they hold (themselves included) and the greatest difference
+    of depth to those. ring: array of x, y; shores: lake, ring (of the lake). Loops are looked up by the index of polygons, so a loop meets those in its cells alone; equal areas count by id. Rings that aren't closed are left out."""
+    r = F.col(ring)
+    first, last = F.element_at(r, 1), F.element_at(r, -1)
+    shut = loops.where((F.size(r) >= 4) & (F.abs(first["x"] - last["x"]) < 1e-9) & (F.abs(first["y"] - last["y"]) < 1e-9))
+    middle = geo.vertex_mean(ring)
+    acres = F.abs(geo.shoelace(ring)) * (geo.M_LON * geo.M_LON) * F.cos(F.radians(middle["y"])) / 4046.86
+    sized = shut.select(lake, F.col(loop).alias("loop"), F.col(depth).cast("double").alias("depth"), middle["x"].alias("lon"), middle["y"].alias("lat"), acres.alias("acres"), r.alias("_ring"))
+    h = sized.where(F.col("acres").between(*HUMP_ACRES))
+    if shores is not None:
+        within = polygons.inside(h.select(lake, "loop", "lon", "lat"), shores.select(lake, F.array("ring").alias("_rings")), ("lon", "lat"), "_rings", cell, (lake,))
+        h = h.join(within.select(lake, "loop").distinct(), [lake, "loop"])
+    h = cut(h)
+    about = h.select(lake, F.col("loop").alias("outer"), F.col("depth").alias("_d"), F.col("acres").alias("_a"), F.array("_ring").alias("_rings"))
+    hit = polygons.inside(h.select(lake, "loop", "lon", "lat", "depth", "acres"), about, ("lon", "lat"), "_rings", cell, (lake,))
+    hit = hit.where((F.col("acres") < F.col("_a")) | ((F.col("acres") == F.col("_a")) & (F.col("loop") > F.col("outer"))))
+    nested = hit.groupBy(lake, F.col("outer").alias("loop")).agg(F.count("*").alias("_n"), F.max(F.abs(F.col("depth") - F.col("_d"))).alias("_r"))
+    out = h.join(nested, [lake, "loop"], "left").select(lake, "loop", "lon", "lat", "acres", "depth", (F.coalesce("_n", F.lit(0)) + 1).cast("long").alias("levels"), F.coalesce("_r", F.lit(0.0)).alias("relief"))
+    if shores is not None:
+        spots = shores.select(F.col(lake).alias("_k"), F.explode("ring").alias("p")).select("_k", F.col("p.x").alias("_x"), F.col("p.y").alias("_y"))
+        near = spatial.radius_join(out.select(lake, "loop", "lon", "lat"), spots, ("lon", "lat"), ("_x", "_y"), OFFSHORE_M, [(lake, "_k")])
+        out = out.join(near.where(F.col("distance_m") < OFFSHORE_M).select(lake, "loop").distinct(), [lake, "loop"], "left_anti")
+    return out.withColumnRenamed("loop", loop) if loop != "loop" else out
+
+
 def score_humps(humps: DataFrame, key: str) -> DataFrame:
     """Relief, nesting and size over the group's greatest, weighted .45, .35 and .20, of 100."""
     w = Window.partitionBy(key)

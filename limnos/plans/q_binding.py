@@ -233,3 +233,29 @@ def run_clip_lines(spark, sf_dir):
     length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
     whole = seg.select("id", length.alias("m"))
     return out.groupBy("id").agg(F.sum(length).alias("o")).join(whole, "id").select("id", F.round(F.col("o") / F.col("m"), 6).alias("outside"))
+
+
+#: Small boxes about all points are polygons; deep ones are landings of the name their group gives, at themselves; a name's own box is that of its landings.
+GROWN = """b AS (SELECT id AS node, lon - 0.03 AS x0, lat - 0.03 AS y0, lon + 0.03 AS x1, lat + 0.03 AS y1, id % 3 > 0 AS charted, CASE WHEN depth > 14 THEN grp % 4 END AS owner FROM points),
+ e AS (SELECT a.node AS src, b.node AS dst, b.owner, b.charted, b.x0, b.y0, b.x1, b.y1 FROM b a JOIN b ON a.node <> b.node AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
+ n AS (SELECT owner AS name, avg(x0) - 0.05 AS nx0, avg(y0) - 0.05 AS ny0, avg(x1) + 0.05 AS nx1, avg(y1) + 0.05 AS ny1 FROM b WHERE owner IS NOT NULL GROUP BY owner)"""
+
+
+@query(f"""WITH RECURSIVE {POINTS}, {GROWN}, s AS (SELECT DISTINCT owner AS name, node FROM b WHERE owner IS NOT NULL),
+ one(name, node) AS (SELECT name, node FROM s UNION SELECT one.name, dst FROM one JOIN e ON src = node JOIN n ON n.name = one.name WHERE (owner IS NULL OR owner = one.name) AND nx0 <= x1 AND x0 <= nx1 AND ny0 <= y1 AND y0 <= ny1),
+ w AS (SELECT name, min(x0) - 0.02 AS wx0, min(y0) - 0.02 AS wy0, max(x1) + 0.02 AS wx1, max(y1) + 0.02 AS wy1 FROM one JOIN b USING (node) GROUP BY name),
+ two(name, node) AS (SELECT DISTINCT one.name, one.node FROM one JOIN e ON src = node JOIN n ON n.name = one.name WHERE (owner IS NULL OR owner = one.name) AND NOT (nx0 <= x1 AND x0 <= nx1 AND ny0 <= y1 AND y0 <= ny1)
+  UNION SELECT two.name, dst FROM two JOIN e ON src = node JOIN w ON w.name = two.name WHERE charted AND (owner IS NULL OR owner = two.name) AND wx0 <= x1 AND x0 <= wx1 AND wy0 <= y1 AND y0 <= wy1)
+ SELECT name, node, 1 AS phase FROM one UNION ALL SELECT name, node, 2 FROM two WHERE (name, node) NOT IN (SELECT name, node FROM one)""")
+def bind_grown_waters(spark, sf_dir):
+    """Names grow from their landings' polygons over touching ones."""
+    from limnos.operators import growth, spatial
+
+    p = points(spark, sf_dir)
+    nodes = p.select(F.col("id").alias("node"), *(e.alias(c) for c, e in zip(growth.BOX, (F.col("lon") - 0.03, F.col("lat") - 0.03, F.col("lon") + 0.03, F.col("lat") + 0.03), strict=True)), (F.col("id") % 3 > 0).alias("charted"), F.when(F.col("depth") > 14, F.col("grp") % 4).alias("name"))
+    owner = growth.owners(nodes, "name", "node")
+    other = nodes.select(F.col("node").alias("dst"), *(F.col(c).alias(f"_{c}") for c in growth.BOX))
+    near = spatial.box_pairs(nodes.withColumnRenamed("node", "src"), other, growth.BOX, tuple(f"_{c}" for c in growth.BOX), 0.1).where("src < dst")
+    mean = lambda k, c: (F.avg(c) - 0.05 if k < 2 else F.avg(c) + 0.05).alias(c)
+    names = nodes.where("name is not null").groupBy("name").agg(*(mean(k, c) for k, c in enumerate(growth.BOX)))
+    return growth.grow(nodes.where("name is not null").select("name", "node"), near, nodes.join(owner, "node", "left"), names, 0.02)

@@ -129,3 +129,25 @@ def sun_position(spark, sf_dir):
 def moon_periods(spark, sf_dir):
     s = astro.solunar(F.col("o_orderdate").cast("date"), -81.0, -5)
     return table(spark, sf_dir, "orders").select("o_orderkey", s.alias("s")).select("o_orderkey", F.round("s.major1", 4).alias("major1"), F.round("s.minor1", 4).alias("minor1"), "s.illumination", "s.name")
+
+
+#: Loops about all points by the lake their group names, of a size and depth that follow from the id; a lake is the diamond about the middle of its points.
+LOOPS = """r AS (SELECT id, grp, lon AS plon, lat, depth, 0.0015 + (id % 11) * 0.0008 AS h FROM points), l AS (SELECT *, plon - h / 5 AS lon FROM r), k AS (SELECT grp, round(avg(lon), 3) AS cx, round(avg(lat), 3) AS cy FROM points GROUP BY grp),
+ s AS (SELECT l.*, 2 * h * h * 111320.0 * 111320.0 * cos(radians(lat)) / 4046.86 AS acres FROM l JOIN k USING (grp) WHERE abs(lon - cx) + abs(lat - cy) < 0.4000003)"""
+
+
+@query(f"""WITH {POINTS}, {LOOPS}, o AS (SELECT * FROM s WHERE acres BETWEEN 0.4 AND 500), n AS (SELECT a.id, count(*) AS n, max(abs(b.depth - a.depth)) AS r FROM o a JOIN o b ON a.grp = b.grp AND a.id <> b.id AND abs(a.plon - b.lon) + abs(a.lat - b.lat) < a.h
+  AND (b.h < a.h AND b.acres < a.acres OR b.acres < a.acres OR (b.acres = a.acres AND b.id > a.id)) GROUP BY a.id)
+ SELECT o.grp, o.id, CAST(coalesce(n, 0) + 1 AS BIGINT) AS levels, round(coalesce(r, 0), 4) AS relief, round(acres, 1) AS acres FROM o LEFT JOIN n USING (id)""")
+def struct_humps(spark, sf_dir):
+    """High spots from closed loops, the lakes' shores given."""
+    p = points(spark, sf_dir)
+    v = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    lon, lat = F.col("lon"), F.col("lat")
+    h = 0.0015 + (F.col("id") % 11) * 0.0008
+    diamond = lambda x, y, h: F.array(v(x - h, y + 0.0), v(x + 0.0, y - h), v(x + h, y + 0.0), v(x + 0.0, y + h))
+    loops = p.select("grp", "id", "depth", diamond(lon, lat, h).alias("d")).select("grp", "id", "depth", F.concat("d", F.slice("d", 1, 1)).alias("ring"))
+    lakes = p.groupBy("grp").agg(F.round(F.avg("lon"), 3).alias("cx"), F.round(F.avg("lat"), 3).alias("cy"))
+    shores = lakes.select("grp", diamond(F.col("cx"), F.col("cy"), F.lit(0.4000003)).alias("ring"))
+    humps = structure.find_humps(loops, "grp", "id", "depth", "ring", shores)
+    return humps.select("grp", "id", "levels", F.round("relief", 4).alias("relief"), F.round("acres", 1).alias("acres"))
