@@ -209,3 +209,71 @@ def pull_string(path: np.ndarray, clear, step: float) -> list[int]:
                 keep.append(to)
                 break
     return keep
+
+
+def best_order(home: np.ndarray, ends: np.ndarray) -> tuple[float, list[int], list[bool]]:
+    """The least way from home over all legs and back: its length between legs, their order, and which are run from their second end.
+
+    A program over subsets: the least way to have run a set of legs and stand at an end of one of them. 2^n * 4 n^2 steps, in vectors over the last legs; ends: (n, 2, 2), in a plane.
+    """
+    n = len(ends)
+    if not n:
+        return 0.0, [], []
+    apart = lambda a, b: np.hypot(*(a - b).T)
+    entry = ends.reshape(-1, 2)  # place 2 i + f: leg i is entered at its end f and left at the other
+    left = ends[:, ::-1].reshape(-1, 2)
+    hop = np.hypot(left[:, None, 0] - entry[None, :, 0], left[:, None, 1] - entry[None, :, 1])
+    cost = np.full((1 << n, 2 * n), np.inf)
+    back = np.full((1 << n, 2 * n), -1)
+    place = np.arange(2 * n)
+    cost[1 << (place // 2), place] = apart(entry, home)
+    for done in range(1, 1 << n):
+        here = cost[done]
+        on = np.flatnonzero(np.isfinite(here))
+        for i in range(n):
+            if done >> i & 1:
+                continue
+            for f in (0, 1):
+                ways = here[on] + hop[on, 2 * i + f]
+                k = int(ways.argmin())
+                if ways[k] < cost[done | 1 << i, 2 * i + f]:
+                    cost[done | 1 << i, 2 * i + f], back[done | 1 << i, 2 * i + f] = ways[k], on[k]
+    done = (1 << n) - 1
+    total = cost[done] + apart(left, home)
+    at = int(total.argmin())
+    best, order = float(total[at]), []
+    while at >= 0:
+        order.append(at)
+        done, at = done & ~(1 << at // 2), int(back[done, at])
+    order.reverse()
+    return best, [p // 2 for p in order], [bool(p % 2) for p in order]
+
+
+def good_order(home: np.ndarray, ends: np.ndarray) -> tuple[float, list[int], list[bool]]:
+    """As best_order, for more legs: the nearer end of the nearest leg each time, then stretches turned round as long as that saves more than a metre. No claim to be the least."""
+
+    def walk(order: list[int]) -> tuple[float, list[bool]]:
+        at, m, flips = home, 0.0, []
+        for i in order:
+            a, b = np.hypot(*(ends[i, 0] - at)), np.hypot(*(ends[i, 1] - at))
+            flips.append(bool(b < a))
+            m, at = m + min(a, b), ends[i, 0] if b < a else ends[i, 1]
+        return m + float(np.hypot(*(home - at))), flips
+
+    rest, order, at = list(range(len(ends))), [], home
+    while rest:
+        gap = np.hypot(ends[rest, :, 0] - at[0], ends[rest, :, 1] - at[1])
+        k = int(gap.min(1).argmin())
+        order.append(rest.pop(k))
+        at = ends[order[-1], 1 if gap[k, 0] <= gap[k, 1] else 0]
+    best, flips = walk(order)
+    better = True
+    while better:
+        better = False
+        for i in range(len(order) - 1):
+            for j in range(i + 1, len(order)):
+                turned = order[:i] + order[i : j + 1][::-1] + order[j + 1 :]
+                m, f = walk(turned)
+                if m < best - 1:
+                    order, best, flips, better = turned, m, f, True
+    return best, order, flips

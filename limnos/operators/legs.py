@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from limnos.functions import astro, geo
+from limnos.functions import astro, geo, kernels
 from limnos.operators import spatial
 
 # Share of the wind's head component that a boat must make good; a leg may run so far over the wanted length; metres of a passed spot.
 DRIFT_SHARE, OVER, CORRIDOR_M = 0.03, 1.15, 50.0
+#: Legs of a day up to which its order is the least of all.
+EXACT_LEGS = 8
 
 
 def depth_ladder(low, high, step: int = 2, pad: int = 8) -> Column:
@@ -77,6 +81,60 @@ def day_totals(legs: DataFrame, plan: str, order: str, troll_mph: float, transit
     return sums.select(plan, "troll_m", "move_m", (astro.minutes_for("troll_m", F.lit(troll_mph)) + astro.minutes_for("move_m", F.lit(transit_mph))).alias("minutes"), (astro.amp_hours("troll_m", F.lit(troll_mph)) + astro.amp_hours("move_m", F.lit(transit_mph))).alias("ah"))
 
 
+def worst_winds(winds: DataFrame, plan: str, hour: str) -> DataFrame:
+    """plan, wind_mph, wind_from: the strongest gust, or wind where no gust is told, of each plan's hours, the first of equal ones."""
+    speed = F.coalesce("gust_mph", "mph").cast("double")
+    known = winds.where(speed.isNotNull() & ~F.isnan(speed))
+    best = F.min(F.struct((-speed).alias("n"), F.col(hour).alias("h"), F.col("wind_from").cast("double").alias("f")))
+    return known.groupBy(plan).agg(best.alias("_b")).select(plan, (-F.col("_b.n")).alias("wind_mph"), F.col("_b.f").alias("wind_from"))
+
+
+def day_costs(picked: DataFrame, days: DataFrame, plan: str, leg: str, troll_mph: float, transit_mph: float, winds: DataFrame | None = None) -> DataFrame:
+    """plan, exact, order (legs), flips, move_m, troll_m, minutes, ah, move_ah, usable_ah, fits: what a day of picked legs costs in its best order, and whether the battery lasts.
+
+    The order and the end each leg is run from are the least way of all up to EXACT_LEGS legs (`exact`), and a good one beyond. Hops are straight, so a day that doesn't fit won't fit on the water either. Legs are charged
+    against the worst wind of the plan's hours, moves as with its whole drift ahead. picked: lon1, lat1, lon2, lat2, metres; days: home_lon, home_lat, usable_ah (null or 0: no limit); a day without legs costs nothing. A day's
+    legs are few, as a person picked them: they are one row of the kernel.
+    """
+    day = days.select(plan, "home_lon", "home_lat", F.col("usable_ah").cast("double").alias("usable_ah"))
+    told = day.join(winds, plan, "left") if winds is not None else day.withColumns({"wind_mph": F.lit(None).cast("double"), "wind_from": F.lit(None).cast("double")})
+    each = picked.join(told.select(plan, "home_lon", "home_lat", "wind_mph", "wind_from"), plan)
+    course = geo.planar_bearing("lat1", "lon1", "lat2", "lon2")
+    cost = leg_energy("metres", F.lit(troll_mph), course, F.col("wind_from"), F.col("wind_mph"))["ah"]
+    # A plane in metres about the home.
+    k = F.cos(F.radians("home_lat")) * geo.M_LON
+    flat = lambda n: F.struct(((F.col(f"lon{n}") - F.col("home_lon")) * k).alias("x"), ((F.col(f"lat{n}") - F.col("home_lat")) * geo.M_LAT_POINT).alias("y"))
+    sums = each.groupBy(plan).agg(F.array_sort(F.collect_list(F.struct(F.col(leg).alias("leg"), flat(1).alias("a"), flat(2).alias("b")))).alias("legs"), F.sum("metres").alias("troll_m"), F.sum(cost).alias("leg_ah"))
+
+    @F.pandas_udf("move_m double, at array<int>, flips array<boolean>")
+    def ordered(legs: pd.Series) -> pd.DataFrame:
+        rows = []
+        for one in legs:
+            ends = np.array([[(p[e]["x"], p[e]["y"]) for e in ("a", "b")] for p in one], float)
+            rows.append((kernels.best_order if len(ends) <= EXACT_LEGS else kernels.good_order)(np.zeros(2), ends))
+        return pd.DataFrame(rows, columns=["move_m", "at", "flips"])
+
+    best = sums.withColumn("_o", ordered("legs"))
+    whole = told.join(best, plan, "left")
+    move, troll = F.coalesce("_o.move_m", F.lit(0.0)), F.coalesce("troll_m", F.lit(0.0))
+    move_ah = astro.amp_hours(move, F.lit(transit_mph) + F.greatest(F.lit(0.0), F.coalesce("wind_mph", F.lit(0.0))) * DRIFT_SHARE)
+    ah = F.coalesce("leg_ah", F.lit(0.0)) + move_ah
+    none = F.array().cast("array<boolean>")
+    return whole.select(
+        plan,
+        (F.coalesce(F.size("legs"), F.lit(0)) <= EXACT_LEGS).alias("exact"),
+        F.transform(F.coalesce("_o.at", F.array().cast("array<int>")), lambda i: F.get("legs", i)["leg"]).alias("order"),
+        F.coalesce("_o.flips", none).alias("flips"),
+        move.alias("move_m"),
+        troll.alias("troll_m"),
+        (astro.minutes_for(troll, F.lit(troll_mph)) + astro.minutes_for(move, F.lit(transit_mph))).alias("minutes"),
+        ah.alias("ah"),
+        move_ah.alias("move_ah"),
+        "usable_ah",
+        (~(F.coalesce("usable_ah", F.lit(0.0)) > 0) | (ah <= F.col("usable_ah"))).alias("fits"),
+    )
+
+
 def price_spots(spots: DataFrame, segments: DataFrame, key: str, piece: str, reach_m: float, corridor_m: float = CORRIDOR_M) -> DataFrame:
     """key, piece (within the corridor, else null), detour_m (to the nearest piece within reach), free. spots: lon, lat; segments: ax, ay, bx, by, no longer than reach_m."""
     mid = segments.select(F.col(piece).alias("_p"), "ax", "ay", "bx", "by", ((F.col("ax") + F.col("bx")) / 2).alias("_mx"), ((F.col("ay") + F.col("by")) / 2).alias("_my"))

@@ -130,3 +130,40 @@ def conf_overall(spark, sf_dir):
 def plan_offer(spark, sf_dir):
     rules = [("docks", F.col("id") % 3 == 0, 1.5), ("deep", F.col("depth") > 8, 3.0), ("windy", F.col("lat") > 34, -1.0)]
     return leg_ops.offer(points(spark, sf_dir), "grp", "id", rules).withColumn("reasons", F.array_join("reasons", ","))
+
+
+#: Legs four by four are the days of a group; home is the first point's place, shifted; the wind comes from the legs' depths.
+_HOP = "sqrt(power(({2} - {0}) * cos(radians(hlat)) * 111320.0, 2) + power(({3} - {1}) * 110570.0, 2))"
+
+
+def _hop(*ends: str) -> str:
+    return _HOP.format(*ends)
+
+
+@query(f"""WITH RECURSIVE {LEGS}, n AS (SELECT *, grp * 10000 + (row_number() OVER (PARTITION BY grp ORDER BY id) - 1) // 4 AS plan, CAST((row_number() OVER (PARTITION BY grp ORDER BY id) - 1) % 4 AS INTEGER) AS k FROM legs),
+ y AS (SELECT plan, arg_min(lon, id) + 0.01 AS hlon, arg_min(lat, id) - 0.01 AS hlat, count(*) AS legs, arg_max(depth, (depth, -id)) AS mph, arg_max(id % 360, (depth, -id))::DOUBLE AS wfrom FROM n GROUP BY plan),
+ l AS (SELECT n.*, y.* EXCLUDE (plan), {metres('lon', 'lat', 'lon2', 'lat2')} AS m, degrees(atan2((lon2 - lon) * cos(radians(lat)), lat2 - lat)) AS course FROM n JOIN y USING (plan)),
+ w(plan, done, x, y, hlon, hlat, m) AS (SELECT plan, 0, hlon, hlat, hlon, hlat, 0.0::DOUBLE FROM y UNION ALL
+  SELECT w.plan, w.done + (1 << k), CASE WHEN f = 0 THEN lon2 ELSE lon END, CASE WHEN f = 0 THEN lat2 ELSE lat END, w.hlon, w.hlat, w.m + CASE WHEN f = 0 THEN {_hop('w.x', 'w.y', 'lon', 'lat').replace('hlat', 'w.hlat')} ELSE {_hop('w.x', 'w.y', 'lon2', 'lat2').replace('hlat', 'w.hlat')} END
+  FROM w JOIN l ON l.plan = w.plan AND w.done & (1 << k) = 0, (VALUES (0), (1)) v(f)),
+ b AS (SELECT w.plan, min(m + {_hop('x', 'w.y', 'w.hlon', 'w.hlat').replace('radians(hlat)', 'radians(w.hlat)')}) AS move FROM w JOIN y ON y.plan = w.plan AND w.done = (1 << y.legs) - 1 GROUP BY w.plan),
+ e AS (SELECT plan, sum(m) AS troll, sum(5.0 * power(greatest(0.1, 2.0 + mph * cos(radians(wfrom - course)) * 0.03) / 2.0, 1.756) * (m / 1609.34) / greatest(0.1, 2.0 + mph * cos(radians(wfrom - course)) * 0.03)) AS ah, any_value(mph) AS mph FROM l GROUP BY plan),
+ c AS (SELECT plan, move, troll, ah + 5.0 * power((3.0 + mph * 0.03) / 2.0, 1.756) * (move / 1609.34) / (3.0 + mph * 0.03) AS ah FROM b JOIN e USING (plan))
+ SELECT plan, true AS exact, round(move, 3) AS move_m, round(troll, 3) AS troll_m, round(troll / 1609.34 / 2.0 * 60 + move / 1609.34 / 3.0 * 60, 4) AS minutes, round(ah, 5) AS ah, ah <= 60 AS fits FROM c""")
+def plan_day_costs(spark, sf_dir):
+    """Days of four legs in their best order, against the worst wind of their hours."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("grp").orderBy("id")) - 1
+    leg = legs(spark, sf_dir).withColumn("plan", F.col("grp") * 10000 + F.floor(n / 4))
+    picked = leg.select("plan", "id", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), "lon2", "lat2", geo_m("lon", "lat", "lon2", "lat2").alias("metres"))
+    days = leg.groupBy("plan").agg((F.min_by("lon", "id") + 0.01).alias("home_lon"), (F.min_by("lat", "id") - 0.01).alias("home_lat"), F.lit(60.0).alias("usable_ah"))
+    winds = leg.select("plan", F.col("id").alias("hour"), F.when(F.col("id") % 2 == 0, F.col("depth")).alias("gust_mph"), F.col("depth").alias("mph"), (F.col("id") % 360).alias("wind_from"))
+    out = leg_ops.day_costs(picked, days, "plan", "id", 2.0, 3.0, leg_ops.worst_winds(winds, "plan", "hour"))
+    return out.select("plan", "exact", F.round("move_m", 3).alias("move_m"), F.round("troll_m", 3).alias("troll_m"), F.round("minutes", 4).alias("minutes"), F.round("ah", 5).alias("ah"), "fits")
+
+
+def geo_m(*ends):
+    from limnos.functions import geo
+
+    return geo.equirect_m(*ends)
