@@ -159,3 +159,43 @@ def dominant(pairs: DataFrame, a: str, b: str, share: float = 100.0):
     """Whether first values of pairs are greater (true) or less (false) than second ones by so many to one; null where neither is."""
     n = pairs.agg(F.count_if(F.col(a) > F.col(b)).alias("down"), F.count_if(F.col(a) < F.col(b)).alias("up"))
     return n.select(F.when(F.col("down") > share * F.col("up"), True).when(F.col("up") > share * F.col("down"), False).alias("decreasing"), "down", "up")
+
+
+def shortest(edges: DataFrame, requests: DataFrame, u: str = "src", v: str = "dst", weight: str = "weight") -> DataFrame:
+    """requests (request, a, b) with length, hops and path (nodes from a to b) of a least way over directed edges; null where there is none. For a graph of any size and any number of pairs on it.
+
+    Ways grow from each distinct start, a round a hop, over the nodes that the round before brought nearer, and no farther than the farthest end that the start still has to reach, once a way to all of its ends is known.
+    Of equal ways one is told. Weights are not negative; edges without one, or with an unknown end, don't exist. Paths are followed back by the nodes before, a round a hop; nothing but a path is one row.
+    """
+    e = cut(edges.where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(weight) >= 0)).groupBy(F.col(u).alias("_u"), F.col(v).alias("_v")).agg(F.min(weight).cast("double").alias("_w")))
+    asks = cut(requests.select("request", "a", "b"))
+    start = asks.where("a is not null").select(F.col("a").alias("s"), F.col("a").alias("n")).distinct()
+    best = cut(start.select("s", "n", F.lit(0.0).alias("m"), F.lit(None).cast(start.schema["n"].dataType).alias("prev"), F.lit(0).alias("hops")))
+    front, live = best, 1
+    while live:
+        due = asks.join(best.select(F.col("s").alias("a"), F.col("n").alias("b"), "m"), ["a", "b"], "left").groupBy(F.col("a").alias("s")).agg(F.max(F.coalesce("m", F.lit(float("inf")))).alias("due"))
+        near = front.join(e, front["n"] == e["_u"]).select("s", F.col("_v").alias("n"), (F.col("m") + F.col("_w")).alias("m"), F.col("n").alias("prev"), (F.col("hops") + 1).alias("hops"))
+        near = near.join(due, "s").where("m < due").groupBy("s", "n").agg(F.min(F.struct("m", "hops", "prev")).alias("x"))
+        known = best.select("s", "n", F.col("m").alias("_m"))
+        nearer = near.join(known, ["s", "n"], "left").where(F.col("_m").isNull() | (F.col("x.m") < F.col("_m"))).select("s", "n", "x.m", "x.prev", "x.hops")
+        after, (live,) = cut_and_tell(nearer, F.count("*"))
+        if live:
+            merged = cut(best.join(after.select("s", "n"), ["s", "n"], "left_anti").unionByName(after))
+            discard(best)
+            best = merged
+        if front is not best:
+            discard(front)
+        front = after
+    met = asks.join(best.select(F.col("s").alias("a"), F.col("n").alias("b"), "m", "hops"), ["a", "b"], "left").select("request", "a", "b", F.col("m").alias("length"), "hops")
+    back = best.select("s", "n", "prev")
+    step, (live,) = cut_and_tell(met.where("length is not null").select("request", F.col("a").alias("s"), F.col("b").alias("n"), F.lit(0).alias("k")), F.count("*"))
+    steps = [step]
+    while live:
+        up = steps[-1].join(back, ["s", "n"]).where("prev is not null").select("request", "s", F.col("prev").alias("n"), (F.col("k") + 1).alias("k"))
+        step, (live,) = cut_and_tell(up, F.count("*"))
+        steps.append(step)
+    whole = steps[0]
+    for s in steps[1:]:
+        whole = whole.unionByName(s)
+    paths = whole.groupBy("request").agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "n"))).alias("p")).select("request", F.transform("p", lambda x: x["n"]).alias("path"))
+    return met.join(paths, "request", "left")

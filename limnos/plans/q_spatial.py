@@ -270,3 +270,16 @@ def graph_routes(spark, sf_dir):
     edges = near.select("grp", F.col("id").alias("src"), "dst", F.col("distance_m").alias("weight"), F.col("depth2").alias("depth"))
     ask = p.groupBy("grp").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("grp", F.col("a").alias("request"), "a", "b", F.lit(2.0).alias("min_depth"))
     return graph.routes(edges, ask, "grp")
+
+
+@query(f"""WITH RECURSIVE {POINTS}, e AS (SELECT a.id AS src, b.id AS dst, {metres('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS m FROM points a JOIN points b ON a.grp = b.grp AND a.id <> b.id AND {metres('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 15000),
+ q AS (SELECT p.id AS request, s.a, p.id AS b FROM points p JOIN (SELECT grp, min(id) AS a FROM points GROUP BY grp) s USING (grp) WHERE p.id % 50 = 0),
+ t(s, n, m) USING KEY (s, n) AS (SELECT DISTINCT a, a, 0.0::DOUBLE FROM q UNION SELECT c.s, c.n, c.m FROM (SELECT t.s, e.dst AS n, min(t.m + e.m) AS m FROM t JOIN e ON e.src = t.n GROUP BY ALL) c LEFT JOIN recurring.t r ON r.s = c.s AND r.n = c.n WHERE c.m < coalesce(r.m, 1e300))
+ SELECT request, a, b, round(t.m, 3) AS length FROM q LEFT JOIN t ON t.s = a AND t.n = b""")
+def graph_shortest(spark, sf_dir):
+    """From the least point of each group to those whose id 50 divides, over legs of at most 15 km."""
+    p = points(spark, sf_dir)
+    q = p.select(F.col("grp").alias("grp2"), F.col("id").alias("dst"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    near = spatial.radius_join(p, q, ("lon", "lat"), ("lon2", "lat2"), 15000, [("grp", "grp2")]).where("id != dst")
+    ask = p.where("id % 50 = 0").join(p.groupBy("grp").agg(F.min("id").alias("a")), "grp").select(F.col("id").alias("request"), "a", F.col("id").alias("b"))
+    return graph.shortest(near.withColumnRenamed("id", "src"), ask, weight="distance_m").select("request", "a", "b", F.round("length", 3).alias("length"))
