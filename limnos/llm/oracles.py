@@ -4,18 +4,43 @@ from __future__ import annotations
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def _straight(p: str) -> str:
+    """A path without dot segments, as text; / for an empty one."""
+    walked = f"list_reduce(list_prepend('', string_split({p}, '/')[2:]), lambda a, x: CASE x WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN '.' THEN a ELSE a || '/' || x END)"
+    return f"{walked} || CASE WHEN {p} = '' OR string_split({p}, '/')[-1] IN ('.', '..') THEN '/' ELSE '' END"
+
+
+def _node(u: str) -> str:
+    plain = f"regexp_extract({u}, '(?s)^([^#]*)', 1)"
+    head = f"translate(regexp_extract({plain}, '(?s)^(.*?://[^/?]*)', 1), '{_UP}', '{_LOW}')"
+    rest = f"regexp_extract({plain}, '(?s)^.*?://[^/?]*(.*)$', 1)"
+    path = f"regexp_extract({rest}, '(?s)^([^?]*)', 1)"
+    return rf"CASE WHEN {head} <> '' THEN regexp_replace(regexp_replace({head}, '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1') || {_straight(path)} || regexp_extract({rest}, '(?s)^[^?]*(.*)$', 1) END"
+
+
+def _resolved(t: str, base: str) -> str:
+    origin, bare = f"regexp_extract({base}, '(?s)^(.*?://[^/?]*)', 1)", f"regexp_extract({base}, '(?s)^([^?]*)', 1)"
+    place = f"regexp_extract({bare}, '(?s)^(.*?://.*/)', 1)"
+    return f"""CASE WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {t} WHEN starts_with({t}, '//') THEN regexp_extract({base}, '^([^:]*:)', 1) || {t} WHEN starts_with({t}, '/') THEN {origin} || {t}
+  WHEN starts_with({t}, '#') OR {t} = '' THEN {base} WHEN starts_with({t}, '?') THEN {bare} || {t} WHEN length({place}) > length({origin}) THEN {place} || {t} ELSE {origin} || '/' || {t} END"""
+
+
+_HREF = r"""(?i)[\s"''/]href\s*=\s*(?:"\s*([^"]*)"|''\s*([^'']*)''|([^\s"''>]+))"""
+_VALUE = f"trim(replace(regexp_extract(x, '{_HREF}', 1) || regexp_extract(x, '{_HREF}', 2) || regexp_extract(x, '{_HREF}', 3), '&amp;', '&'))"
+
 #: Hosts, paths, rules, and blocks carried over canonical-link and refresh edges by reachability.
 OP2 = rf"""
 WITH RECURSIVE rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 pg AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UP}', '{_LOW}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
-  regexp_extract(url, '(?s)^([^#]*)', 1) AS plain, coalesce(html, '') AS html FROM pages),
-nd AS (SELECT *, CASE WHEN regexp_extract(plain, '(?s)^(.*?://[^/?]*)', 1) <> '' THEN translate(regexp_extract(plain, '(?s)^(.*?://[^/?]*)', 1), '{_UP}', '{_LOW}') || substr(plain, length(regexp_extract(plain, '(?s)^(.*?://[^/?]*)', 1)) + 1) END AS node FROM pg),
-tags AS (SELECT node AS src, unnest(list_concat(list_transform(regexp_extract_all(html, '(?i)<link\b[^<>]*\brel\s*=\s*["'']?canonical\b[^<>]*>'), lambda x: regexp_extract(x, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
-  list_transform(regexp_extract_all(html, '(?i)<meta\b[^<>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^<>]*>'), lambda x: regexp_extract(x, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS t FROM nd WHERE node IS NOT NULL),
-found AS (SELECT src, replace(t, '&amp;', '&') AS t FROM tags),
-absolute AS (SELECT src, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(src, '^([^:]*:)', 1) || t WHEN starts_with(t, '/') THEN regexp_extract(src, '(?s)^(.*?://[^/?]*)', 1) || t WHEN starts_with(t, '#') THEN src
-  WHEN length(regexp_extract(src, '(?s)^(.*?://[^?]*/)', 1)) > length(regexp_extract(src, '(?s)^(.*?://[^/?]*)', 1)) THEN regexp_extract(src, '(?s)^(.*?://[^?]*/)', 1) || t ELSE regexp_extract(src, '(?s)^(.*?://[^/?]*)', 1) || '/' || t END AS u FROM found WHERE t <> ''),
-edges AS (SELECT src, translate(regexp_extract(p, '(?s)^(.*?://[^/?]*)', 1), '{_UP}', '{_LOW}') || substr(p, length(regexp_extract(p, '(?s)^(.*?://[^/?]*)', 1)) + 1) AS dst FROM (SELECT src, regexp_extract(u, '(?s)^([^#]*)', 1) AS p FROM absolute) WHERE p LIKE '%://%'),
+  url, regexp_replace(coalesce(html, ''), '(?s)<!--.*?(?:-->|$)', ' ', 'g') AS html FROM pages),
+nd AS (SELECT *, {_node('url')} AS node FROM pg),
+read AS (SELECT node AS src, list_filter(list_concat(list_transform(list_filter(regexp_extract_all(html, '(?i)<link\b[^<>]*>'), lambda x: regexp_matches(x, '(?i)[\s"''/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|''(?:[^'']*\s)?canonical(?:\s[^'']*)?''|canonical[\s>/])')), lambda x: {_VALUE}),
+  list_transform(list_filter(regexp_extract_all(html, '(?i)<meta\b[^<>]*>'), lambda x: regexp_matches(x, '(?i)[\s"''/]http-equiv\s*=\s*["'']?\s*refresh["''\s>/]')), lambda x: trim(replace(regexp_extract(x, '(?i)[\s"'';0-9,]url\s*=\s*["'']?([^"''\s>]+)', 1), '&amp;', '&')))), lambda x: x <> '') AS ts,
+  list_filter(list_transform(regexp_extract_all(html, '(?i)<base\b[^<>]*>'), lambda x: {_VALUE}), lambda x: x <> '')[1] AS b FROM nd WHERE node IS NOT NULL),
+named AS (SELECT src, unnest(ts) AS t, CASE WHEN b IS NULL THEN src ELSE {_resolved('b', 'src')} END AS b FROM read), based AS (SELECT src, t, coalesce({_node('b')}, src) AS b FROM named),
+absolute AS (SELECT src, {_resolved('t', 'b')} AS u FROM based), edges AS (SELECT src, {_node('u')} AS dst FROM absolute),
 ties AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
 judged AS (SELECT n.node, arg_max(v, length(h || p)) AS v FROM (SELECT DISTINCT a AS node, translate(regexp_extract(a, '(?s)^.*?://([^/?#]*)', 1), '{_UP}', '{_LOW}') AS host, regexp_extract(a, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM ties) n JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n.node),
 reach(node) AS (SELECT node FROM judged WHERE v = 'block' UNION SELECT b FROM reach JOIN ties ON a = node),

@@ -24,10 +24,13 @@ Rules = list[tuple[str, str, str]] | DataFrame
 
 _HOST = r"(?s)^.*?://([^/?#]*)"
 _PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
-_LINK = r"(?i)<link\b[^<>]*\brel\s*=\s*[\"']?canonical\b[^<>]*>"
-_META = r"(?i)<meta\b[^<>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^<>]*>"
-_HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+_COMMENT = r"(?s)<!--.*?(?:-->|$)"
+_LINK, _META, _BASE = r"(?i)<link\b[^<>]*>", r"(?i)<meta\b[^<>]*>", r"(?i)<base\b[^<>]*>"
+#: Attributes stand in any order; rel is a list of words.
+_CANONICAL = r"""(?i)[\s"'/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s>/])"""
+_IS_REFRESH = r"""(?i)[\s"'/]http-equiv\s*=\s*["']?\s*refresh["'\s>/]"""
+_HREF = r"""(?i)[\s"'/]href\s*=\s*(?:"\s*([^"]*)"|'\s*([^']*)'|([^\s"'>]+))"""
+_REFRESH = r"""(?i)[\s"';0-9,]url\s*=\s*["']?([^"'\s>]+)"""
 
 
 def host(url: Column) -> Column:
@@ -75,41 +78,65 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def _straight(path: Column) -> Column:
+    """A path without `.` and `..` segments; `/` for an empty one."""
+    parts = F.split(path, "/")
+
+    def walk(p: Column) -> Column:
+        way = F.aggregate(F.slice(p, 2, F.size(p)), F.lit(""), lambda at, x: F.when(x == "..", F.regexp_replace(at, "/[^/]*$", "")).when(x == ".", at).otherwise(F.concat(at, F.lit("/"), x)))
+        return F.concat(way, F.when((F.size(p) == 1) | F.element_at(p, -1).isin(".", ".."), "/").otherwise(""))
+
+    return _bound(parts, walk)
+
+
 def node(url: Column) -> Column:
-    """A url's name in the graph: without its fragment, the scheme and host in lower case; null for null or without ://."""
+    """A url's name in the graph: without its fragment and its scheme's own port, the scheme and host in lower case, the path without dot segments; null for null or without ://."""
 
     def named(plain: Column) -> Column:
-        head = F.regexp_extract(plain, r"(?s)^(.*?://[^/?]*)", 1)
-        return _bound(head, lambda h: F.when(h != "", F.concat(F.translate(h, UPPER, LOWER), F.substring(plain, F.length(h) + 1, F.length(plain)))))
+        head = F.translate(F.regexp_extract(plain, r"(?s)^(.*?://[^/?]*)", 1), UPPER, LOWER)
+        rest = F.regexp_extract(plain, r"(?s)^.*?://[^/?]*(.*)$", 1)
+        told = lambda h: F.regexp_replace(F.regexp_replace(h, "^(http://.*):80$", "$1"), "^(https://.*):443$", "$1")
+        return _bound(head, lambda h: F.when(h != "", F.concat(told(h), _straight(F.regexp_extract(rest, r"(?s)^([^?]*)", 1)), F.regexp_extract(rest, r"(?s)^[^?]*(.*)$", 1))))
 
     return _bound(F.regexp_extract(url, r"(?s)^([^#]*)", 1), named)
 
 
-def html_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """src, dst: the canonical links and the refresh redirects of each page, relative targets resolved against its url."""
-    text = F.coalesce(F.col(html).cast("string"), F.lit(""))
-
-    def targets(tag: str, part: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, part, 1))
-
-    found = pages.select(
-        node(F.col(url)).alias("src"),
-        F.explode(F.concat(targets(_LINK, _HREF), targets(_META, _REFRESH))).alias("to"),
-    ).where("src is not null and to != ''")
-    src = F.col("src")
-    place = F.regexp_extract(src, r"(?s)^(.*?://[^?]*/)", 1)
+def resolved(to: Column, base: Column) -> Column:
+    """The url that a reference names, seen from the url base; its dot segments stay for `node`."""
+    bare = F.regexp_extract(base, r"(?s)^([^?]*)", 1)
 
-    def absolute(to: Column, origin: Column) -> Column:
+    def absolute(t: Column, origin: Column) -> Column:
+        place = F.regexp_extract(bare, r"(?s)^(.*?://.*/)", 1)
         return (
-            F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
-            .when(to.startswith("//"), F.concat(F.regexp_extract(src, r"^([^:]*:)", 1), to))
-            .when(to.startswith("/"), F.concat(origin, to))
-            .when(to.startswith("#"), src)
-            .otherwise(F.concat(F.when(F.length(place) > F.length(origin), place).otherwise(F.concat(origin, F.lit("/"))), to))
+            F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+            .when(t.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:]*:)", 1), t))
+            .when(t.startswith("/"), F.concat(origin, t))
+            .when(t.startswith("#") | (t == ""), base)
+            .when(t.startswith("?"), F.concat(bare, t))
+            .otherwise(F.concat(F.when(F.length(place) > F.length(origin), place).otherwise(F.concat(origin, F.lit("/"))), t))
         )
 
-    target = _bound(F.replace(F.col("to"), F.lit("&amp;"), F.lit("&")), lambda to: _bound(F.regexp_extract(src, r"(?s)^(.*?://[^/?]*)", 1), lambda origin: absolute(to, origin)))
-    return found.select("src", node(target).alias("dst"))
+    return _bound(to, lambda t: _bound(F.regexp_extract(base, r"(?s)^(.*?://[^/?]*)", 1), lambda origin: absolute(t, origin)))
+
+
+def _value(tag: Column, pattern: str, groups: int) -> Column:
+    return F.trim(F.replace(F.concat(*(F.regexp_extract(tag, pattern, k + 1) for k in range(groups))), F.lit("&amp;"), F.lit("&")))
+
+
+def html_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """src, dst: the canonical links and the refresh redirects of each page, relative targets resolved against its first base or else its url. What stands in comments is none."""
+    text = F.regexp_replace(F.coalesce(F.col(html).cast("string"), F.lit("")), _COMMENT, " ")
+
+    def read(t: Column) -> Column:
+        links = F.transform(F.filter(F.regexp_extract_all(t, F.lit(_LINK), F.lit(0)), lambda x: x.rlike(_CANONICAL)), lambda x: _value(x, _HREF, 3))
+        metas = F.transform(F.filter(F.regexp_extract_all(t, F.lit(_META), F.lit(0)), lambda x: x.rlike(_IS_REFRESH)), lambda x: _value(x, _REFRESH, 1))
+        bases = F.filter(F.transform(F.regexp_extract_all(t, F.lit(_BASE), F.lit(0)), lambda x: _value(x, _HREF, 3)), lambda x: x != "")
+        return F.struct(F.filter(F.concat(links, metas), lambda x: x != "").alias("to"), F.get(bases, 0).alias("base"))
+
+    found = pages.select(node(F.col(url)).alias("src"), _bound(text, read).alias("_t")).where("src is not null and size(_t.to) > 0")
+    based = found.select("src", "_t.base", F.explode("_t.to").alias("to"))
+    at = F.when(F.col("base").isNull(), F.col("src")).otherwise(F.coalesce(node(resolved(F.col("base"), F.col("src"))), F.col("src")))
+    return based.select("src", _bound(at, lambda b: node(resolved(F.col("to"), b))).alias("dst"))
 
 
 def filter_urls(pages: DataFrame, rules: Rules, redirects: DataFrame | None = None, url: str = "url", html: str | None = "html", default: str = "allow") -> DataFrame:
