@@ -17,19 +17,6 @@ from limnos.functions import geo, kernels
 from limnos.operators import polygons as by_cells
 
 
-def _around(i: Column, j: Column, n: int) -> Column:
-    return F.array(*(F.struct((i + a).alias("i"), (j + b).alias("j")) for a in range(-n, n + 1) for b in range(-n, n + 1)))
-
-
-def within_cells(left: DataFrame, right: DataFrame, left_xy: tuple[str, str], right_xy: tuple[str, str], size: float, reach: int = 1) -> DataFrame:
-    """Pairs whose cells are at most `reach` apart. Column names of the two sides must differ."""
-    c = geo.cell(*left_xy, size)
-    a = left.withColumn("_c", F.explode(_around(c["i"], c["j"], reach)))
-    d = geo.cell(*right_xy, size)
-    b = right.withColumn("_i", d["i"]).withColumn("_j", d["j"])
-    return a.join(b, (F.col("_c.i") == F.col("_i")) & (F.col("_c.j") == F.col("_j"))).drop("_c", "_i", "_j")
-
-
 def _row(lat: Column, metres: float) -> Column:
     return F.floor(lat * (geo.M_LAT_POINT / metres))
 

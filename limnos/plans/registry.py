@@ -25,4 +25,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from limnos.plans import q_audits, q_binding, q_conditions, q_feeds, q_fitting, q_labels, q_legs, q_lines, q_more, q_ordered, q_polygons, q_relational, q_sources, q_spatial, q_streaming, q_structure, q_text  # noqa: E402, F401
+from limnos.plans import q_audits, q_binding, q_conditions, q_feeds, q_fitting, q_labels, q_legs, q_lines, q_more, q_ordered, q_polygons, q_relational, q_scalars, q_sources, q_spatial, q_streaming, q_structure, q_text  # noqa: E402, F401
