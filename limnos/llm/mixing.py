@@ -62,6 +62,16 @@ def solve_exponent(totals: DataFrame, budget: int, target_entropy: float = TARGE
     return round(high, 6)
 
 
+def _placed(rows: DataFrame, src: str, part: str, at: str, out: str) -> DataFrame:
+    """rows, which are alike but for their other columns, numbered from 1 within each source: by the task that wrote them down, and in it. No source's rows meet in one task."""
+    kept = materialize(rows.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}), "mix-tied")
+    counts = kept.groupBy(src, part).agg(F.count("*").alias(out))
+    before = F.coalesce(F.sum(out).over(Window.partitionBy(src).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = kept.join(counts.withColumn(out, before), [src, part])
+    number = F.row_number().over(Window.partitionBy(src, part).orderBy(at))
+    return placed.withColumn(out, F.col(out) + number).drop(part, at)
+
+
 def mix(
     docs: DataFrame,
     source: str = "source",
@@ -79,7 +89,7 @@ def mix(
 
     tokens: a document's, by default its words; budget: by default all documents' tokens. Draws of a source sum to its
     budget, less than a document short of it. A null source is a source of its own. Sources without tokens are passed once. Documents without tokens are drawn
-    in every whole pass, and in the partial one if they stand before the cut. Rows that are equal in id and text are drawn alike. An empty table gives an empty one.
+    in every whole pass, and in the partial one if they stand before the cut. Rows that are equal in id and text stand at one place of the order; where the cut falls on it, as many of them are drawn as fit. An empty table gives an empty one.
     """
     added = ["tokens", "weight", "epoch", "block", "block_order", "doc_order"]
     kept = docs.columns if plain else [c for c in docs.columns if c not in added]
@@ -137,15 +147,18 @@ def mix(
     blocks = narrow.join(few(partial.join(lanes, "src")), "src").where(lane == F.col("cut_lane"))
     blocks = blocks.groupBy("src", F.struct(order.alias("order"), block_of(F.col("doc")).alias("block")).alias("at")).agg(F.sum("tokens").alias("n"), F.max("rest").alias("rest"))
     cut = materialize(cut_of(blocks, "at", "rest", "left").select("src", "at.order", "at.block", F.col("left").alias("rest")), "mix-cut")
-    # Within that block: the last document, in hash order, that still fits.
+    # Within that block: the last document, in hash order, that still fits; of rows that share the next place, as many as do.
     inside = narrow.join(few(partial.join(cut, "src")), "src").where(block_of(F.col("doc")) == F.col("block"))
-    w = Window.partitionBy("src").orderBy("lot").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = inside.withColumn("lot", doc_order(F.col("passes"), F.col("doc"))).withColumn("upto", F.sum("tokens").over(w)).where("upto <= rest")
-    plan = plan.join(cut, "src", "left").join(fits.groupBy("src").agg(F.max("lot").alias("last")), "src", "left")
-    plan = materialize(plan.select("src", "weight", "blocks", "passes", F.col("order").alias("cut_order"), F.col("block").alias("cut_block"), F.col("last").alias("cut_lot")), "mix-cuts")
+    lots = inside.groupBy("src", doc_order(F.col("passes"), F.col("doc")).alias("lot")).agg(F.sum("tokens").alias("n"), F.count("*").alias("rows"), F.max("rest").alias("rest"))
+    w = Window.partitionBy("src").orderBy("lot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lots = lots.withColumn("upto", F.sum("n").over(w))
+    room = F.floor((F.col("rest") - F.col("upto") + F.col("n")) * F.col("rows") / F.col("n")).cast("long")
+    fits = lots.groupBy("src").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("lot"))).alias("last"), F.min(F.when(F.col("upto") > F.col("rest"), F.struct("lot", room.alias("take")))).alias("tie"))
+    plan = plan.join(cut, "src", "left").join(fits, "src", "left")
+    plan = materialize(plan.select("src", "weight", "blocks", "passes", F.col("order").alias("cut_order"), F.col("block").alias("cut_block"), F.col("last").alias("cut_lot"), F.col("tie.lot").alias("tie_lot"), F.coalesce("tie.take", F.lit(0).cast("long")).alias("take")), "mix-cuts")
 
     # Helper columns of the plan take free names, so that none of docs' columns is touched.
-    names = unused(base, *[f"_p_{c}" for c in plan.columns], "_block", "_epoch")
+    names = unused(base, *[f"_p_{c}" for c in plan.columns], "_block", "_epoch", "_part", "_at", "_place")
     own = plan.select(*(F.col(c).alias(names[f"_p_{c}"]) for c in plan.columns))
     p = {c: F.col(names[f"_p_{c}"]) for c in plan.columns}
     drawn = base.join(few(own), base[src] == p["src"]).withColumn(names["_block"], F.pmod(F.col(doc), p["blocks"]))
@@ -153,10 +166,19 @@ def mix(
     def block_order(epoch: Column) -> Column:
         return F.xxhash64(F.lit(seed), F.lit("block"), p["src"], epoch.cast("long"), F.col(names["_block"]))
 
-    order = block_order(p["passes"])
-    extra = F.coalesce((order < p["cut_order"]) | ((F.col(names["_block"]) == p["cut_block"]) & (doc_order(p["passes"], F.col(doc)) <= p["cut_lot"])), F.lit(False))
-    count = p["passes"] + F.when(extra, 1).otherwise(0)
-    drawn = drawn.where(count > 0).withColumn(names["_epoch"], F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    order, block = block_order(p["passes"]), F.col(names["_block"])
+    place = doc_order(p["passes"], F.col(doc))
+    extra = F.coalesce((order < p["cut_order"]) | ((block == p["cut_block"]) & (place <= p["cut_lot"])), F.lit(False))
+
+    def draws(rows: DataFrame, more: Column) -> DataFrame:
+        count = p["passes"] + F.when(more, 1).otherwise(0)
+        return rows.where(count > 0).withColumn(names["_epoch"], F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+
+    if plan.where("take > 0").isEmpty():
+        drawn = draws(drawn, extra)
+    else:
+        tied = F.coalesce((block == p["cut_block"]) & (place == p["tie_lot"]) & (p["take"] > 0), F.lit(False))
+        drawn = draws(drawn.where(~tied), extra).unionByName(draws(_placed(drawn.where(tied), names["_p_src"], names["_part"], names["_at"], names["_place"]), F.col(names["_place"]) <= p["take"]).drop(names["_place"]))
     epoch = F.col(names["_epoch"])
     if plain:
         return drawn.select(*kept)
