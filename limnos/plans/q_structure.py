@@ -51,7 +51,11 @@ def struct_edge_classes(spark, sf_dir):
 ARC = "2 * 6371000.0 * asin(least(1.0, sqrt(power(sin(radians({3} - {1}) / 2), 2) + cos(radians({1})) * cos(radians({3})) * power(sin(radians({2} - {0}) / 2), 2))))"
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, v AS (SELECT grp, id, lon / 50 AS x, lat / 50 + 33 AS y, 'Ramp ' || id % 7 AS name, id % 9 = 0 AS fuel, 's' || id % 3 AS source, row_number() OVER (PARTITION BY grp ORDER BY id) AS i FROM points),
+ w AS (SELECT grp, i, id, id AS leader, [{{'id': id, 'x': x, 'y': y, 'f': fuel}}] AS kept FROM v WHERE i = 1 UNION ALL SELECT v.grp, v.i, v.id, coalesce(c.lead, v.id), CASE WHEN c.lead IS NULL THEN list_append(w.kept, {{'id': v.id, 'x': v.x, 'y': v.y, 'f': v.fuel}}) ELSE w.kept END
+  FROM w JOIN v ON v.grp = w.grp AND v.i = w.i + 1, LATERAL (SELECT list_filter(w.kept, lambda k: k.f = v.fuel AND sqrt(power((v.x - k.x) * cos(radians(k.y)) * 111320.0, 2) + power((v.y - k.y) * 110540.0, 2)) <= 150)[1].id AS lead) c),
+ g AS (SELECT w.grp, leader, arg_min(name, (-length(name), name)) AS name, list_sort(list_distinct(list(name))) AS names, array_to_string(list_sort(list_distinct(list(source))), '+') AS sources, count(*) AS n FROM w JOIN v USING (grp, id) GROUP BY ALL)
+ SELECT grp, leader, name, list_filter(names, lambda x: x <> name) AS aliases, sources, n FROM g""")
 def struct_collapse(spark, sf_dir):
     p = points(spark, sf_dir)
     r = p.select("grp", "id", (F.col("lon") / 50).alias("lon"), (F.col("lat") / 50 + 33).alias("lat"), F.concat(F.lit("Ramp "), (F.col("id") % 7).cast("string")).alias("name"), F.when(F.col("id") % 9 == 0, "fuel_dock").otherwise("boat_ramp").alias("kind"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"))
