@@ -57,6 +57,34 @@ def slice_runs(vertices: DataFrame, run: str, order: str, wanted_m: float, near:
     return v.where((F.col("_side") == F.col("_best")) | (F.col(order) == F.col("_from.o"))).select(*vertices.columns, F.round("_gone", 6).alias("at_m"))
 
 
+def slice_legs(vertices: DataFrame, run: str, order: str, wanted_m: float, near: tuple[str, str], start_s: str, closed: str) -> DataFrame:
+    """As slice_runs, and the leg may begin at the vertex nearest to a distance along the run (column start_s; null: to the place), and goes on past the ends of a run that is closed, up to where it began.
+
+    run, order, the vertices' columns, side (1 along the run, -1 against it) and at_m, metres from where the leg begins. closed: a column that is alike for all vertices of a run. Of equally near vertices the first begins the leg; of equally
+    long ways, in whole metres, the one along the run is taken. A run's vertices meet in windows of the run alone.
+    """
+    w = Window.partitionBy(run).orderBy(order)
+    whole = Window.partitionBy(run)
+    step = F.coalesce(geo.equirect_m(F.lag("lon").over(w), F.lag("lat").over(w), "lon", "lat"), F.lit(0.0))
+    v = vertices.withColumn("_m", step).withColumn("_i", F.row_number().over(w)).withColumn("_s", F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    end = lambda c, f: f(F.struct("_i", c)).over(whole)[c]
+    close = geo.equirect_m(end("lon", F.max), end("lat", F.max), end("lon", F.min), end("lat", F.min))
+    v = v.withColumn("_n", F.max("_i").over(whole)).withColumn("_l", F.max("_s").over(whole) + close)
+    off = F.when(F.col(start_s).isNotNull(), F.abs(F.col("_s") - F.col(start_s))).otherwise(geo.equirect_m(near[0], near[1], "lon", "lat"))
+    v = v.withColumn("_f", F.min(F.struct(off.alias("d"), F.col("_i").alias("i"), F.col("_s").alias("s"))).over(whole))
+    v = v.withColumn("_side", F.explode(F.array(F.lit(1), F.lit(-1))))
+    # Vertices and metres on the way to a vertex, round the ring where that is closed.
+    on = (F.col("_i") - F.col("_f.i")) * F.col("_side")
+    far = (F.col("_s") - F.col("_f.s")) * F.col("_side")
+    v = v.withColumn("_k", F.when(on < 0, on + F.col("_n")).otherwise(on)).withColumn("_gone", F.when(on < 0, far + F.col("_l")).otherwise(far)).where((on >= 0) | F.col(closed))
+    way = Window.partitionBy(run, "_side").orderBy("_k")
+    before = F.lag("_gone").over(way)
+    v = v.withColumn("_taken", (F.col("_k") == 0) | ((before < wanted_m) & (F.col("_gone") <= OVER * wanted_m))).where("_taken")
+    reach = lambda side: F.max(F.when(F.col("_side") == side, F.round("_gone"))).over(whole)
+    v = v.withColumn("_best", F.when(reach(1) >= reach(-1), 1).otherwise(-1))
+    return v.where("_side = _best").select(*vertices.columns, F.col("_side").alias("side"), F.round("_gone", 6).alias("at_m"))
+
+
 def passed(spots: DataFrame, legs: DataFrame, run: str, at: str, kind: str, start: str, end: str) -> DataFrame:
     """run, kind, n: how many spots of each kind a leg passes, by their places along the run."""
     met = spots.join(legs.select(run, start, end), run).where(F.col(at).between(F.col(start), F.col(end)))

@@ -167,3 +167,17 @@ def geo_m(*ends):
     from limnos.functions import geo
 
     return geo.equirect_m(*ends)
+
+
+@query(f"""WITH RECURSIVE {POINTS}, u AS (SELECT grp, id, lon, lat, row_number() OVER (PARTITION BY grp ORDER BY id) AS i, {metres('lag(lon) OVER q', 'lag(lat) OVER q', 'lon', 'lat')} AS m FROM points WINDOW q AS (PARTITION BY grp ORDER BY id)),
+ v AS (SELECT *, sum(coalesce(m, 0)) OVER (PARTITION BY grp ORDER BY i) AS s FROM u),
+ n AS (SELECT grp, CAST(CASE WHEN grp % 3 = 0 THEN arg_min(i, (abs(s - 250000), i)) ELSE arg_min(i, ({metres('-81.0::DOUBLE', '34.0::DOUBLE', 'lon', 'lat')}, i)) END AS BIGINT) AS i0, max(i) AS top, grp % 2 = 0 AS closed FROM v GROUP BY grp),
+ w AS (SELECT n.grp, x.side, i0, top, closed, i0 AS i, 0.0::DOUBLE AS d FROM n, (VALUES (1), (-1)) x(side)
+  UNION ALL SELECT w.grp, side, i0, top, closed, b.i, w.d + {metres('a.lon', 'a.lat', 'b.lon', 'b.lat')} FROM w JOIN v a ON a.grp = w.grp AND a.i = w.i JOIN v b ON b.grp = w.grp AND b.i = CASE WHEN closed THEN (w.i - 1 + side + top) % top + 1 ELSE w.i + side END
+  WHERE b.i <> i0 AND w.d < 900000 AND w.d + {metres('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 1.15 * 900000),
+ f AS (SELECT grp, round(max(CASE WHEN side = 1 THEN d END)) AS fore, round(max(CASE WHEN side = -1 THEN d END)) AS back FROM w GROUP BY grp)
+ SELECT w.grp, v.id, w.side, round(w.d, 1) AS at_m FROM w JOIN f ON f.grp = w.grp AND w.side = CASE WHEN fore >= back THEN 1 ELSE -1 END JOIN v ON v.grp = w.grp AND v.i = w.i""")
+def plan_slice_legs(spark, sf_dir):
+    """Runs, every second one closed, sliced to some 900 km, a third of them from a distance along the run."""
+    p = points(spark, sf_dir).select("grp", "id", "lon", "lat", F.lit(-81.0).alias("nlon"), F.lit(34.0).alias("nlat"), F.when(F.col("grp") % 3 == 0, 250_000.0).alias("from_s"), (F.col("grp") % 2 == 0).alias("closed"))
+    return leg_ops.slice_legs(p, "grp", "id", 900_000, ("nlon", "nlat"), "from_s", "closed").select("grp", "id", "side", F.round("at_m", 1).alias("at_m"))
