@@ -44,9 +44,10 @@ def source_rdb(spark, sf_dir):
     """A tab-separated table under comments and a line of formats."""
     path = place(spark, "rdb")
     c = table(spark, sf_dir, "customer")
-    rows = c.select(F.concat_ws("\t", F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).otherwise(""), F.col("c_nationkey").cast("string")).alias("value"))
+    rows = c.select(F.col("c_custkey").alias("site_no"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("station_nm"), F.col("c_nationkey").alias("nation"))
     head = spark.createDataFrame([("# made for a round trip\nsite_no\tstation_nm\tnation\n5s\t15s\t3n",)], "value string")
-    head.coalesce(1).unionByName(rows).coalesce(1).write.text(path)  # one file, as a service answers: a head, then rows
+    head.write.text(path)
+    rows.write.mode("append").option("sep", "\t").option("header", True).csv(path)  # each file under a head of its own
     return readers.read_rdb(spark, path)
 
 

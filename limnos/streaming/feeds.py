@@ -64,7 +64,8 @@ def upsert_into(path: str, keys: list[str], version: list[str], buckets: int = B
         old = current(spark, path, epoch, touched)
         merged = entity.latest_wins(batch if old is None else old.unionByName(batch), keys, version)
         merged = merged.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        merged.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/epoch={epoch:012d}")
+        # A bucket is written by as many tasks as its bytes ask for.
+        merged.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/epoch={epoch:012d}")
         at, fs = _fs(spark, path)
         for folders in _buckets(spark, path, None).values():
             for old_folder in folders[:-2]:
