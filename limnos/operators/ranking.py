@@ -98,3 +98,44 @@ def best_of_kinds(items: DataFrame, keys: list[str], kind: str, score: str, item
 def registry_counts(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
     """One row: how many rows each flag holds for."""
     return rows.agg(F.count("*").alias("rows"), *(F.count_if(c).alias(n) for n, c in flags.items()))
+
+
+# How research words kinds of structure and of bottom, and by how much a kind that it names leads.
+STRUCTURE_PHRASES = [
+    (r"creek\s*mouth|tributary mouth|feeder creek", ["creek_mouth"]),
+    (r"\bpoint", ["point"]),
+    (r"\bcove|pocket\b|\bbasin\b|\barm\b", ["cove"]),
+    (r"hump|offshore structure|sunken island|shoal|high spot", ["hump"]),
+    (r"ledge|drop\s*-?\s*off|break\s*line|breakline|\bbluff", ["ledge"]),
+    (r"timber|laydown|stump|brush|wood|treetop", ["timber", "attractor"]),
+    (r"attractor|fish habitat|reef ball|brush\s*pile", ["attractor", "pile"]),
+    (r"bridge|causeway|piling", ["bridge", "pile"]),
+    (r"\bflat|shallow|shoreline", ["shallow"]),
+]
+RELIEF_PHRASES = [
+    (r"river channel|channel|current break|\bcut\b|old river", ["channel_edge"]),
+    (r"\bflat", ["flat"]),
+    (r"steep|bluff|wall", ["steep_bank"]),
+    (r"break", ["break"]),
+]
+RESEARCH_LEAD = 27.0
+
+
+def structure_weights(phrases: Column, base: dict[str, float], relief: dict[str, float], lead: float = RESEARCH_LEAD) -> Column:
+    """struct<weights,relief,matched,unmatched>: the base weights of kinds of structure and of bottom, those that the phrases name with a lead; which these are, and the phrases that name none. A kind without a base weight
+    is not led, since nothing would be scored by it; blank and null phrases say nothing, and without phrases the base stands."""
+    said = F.filter(F.coalesce(phrases, F.array().cast("array<string>")), lambda p: F.coalesce(F.trim(p) != "", F.lit(False)))
+    rules = [(p, [(f"{mark}{t}", t) for t in kinds if table.get(t, 0) > 0]) for table, mark, all_ in ((base, "", STRUCTURE_PHRASES), (relief, "relief:", RELIEF_PHRASES)) for p, kinds in all_]
+    rules = [(f"(?i){p}", kinds) for p, kinds in rules if kinds]
+    hit = {name: F.lit(False) for _, kinds in rules for name, _ in kinds}
+    says = lambda pattern: F.exists(said, lambda p: p.rlike(pattern))
+    for pattern, kinds in rules:
+        for name, _ in kinds:
+            hit[name] = hit[name] | says(pattern)
+
+    def led(table: dict[str, float], mark: str) -> Column:
+        return F.create_map(*(x for t, w in table.items() for x in (F.lit(t), F.lit(float(w)) + F.when(hit.get(f"{mark}{t}", F.lit(False)), lead).otherwise(0.0))))
+
+    matched = F.array_sort(F.array_compact(F.array(*(F.when(h, F.lit(name)) for name, h in hit.items()))))
+    named = lambda p: F.greatest(*(p.rlike(pattern) for pattern, _ in rules))
+    return F.struct(led(base, "").alias("weights"), led(relief, "relief:").alias("relief"), matched.alias("matched"), F.filter(said, lambda p: ~named(p)).alias("unmatched"))

@@ -75,3 +75,21 @@ def ent_forms(spark, sf_dir):
     holds = entity.containment(F.split(F.lower("kind"), " "), F.split(F.lower("box"), " "))
     out = p.join(n, "kind", "left")
     return out.select("k", entity.pid(F.concat(F.lit("{"), F.upper("p_brand"), F.lit("} "))).alias("pid"), holds.alias("holds"), F.coalesce("n", F.lit(0).cast("long")).alias("clashes"))
+
+
+PHRASES = ("Main lake points", "creek mouth", "Brush piles in timber", "current breaks", "lower lake", " ", "steep bluff walls", "flats by the bridge", "docks")
+BASE = {"timber": 27, "attractor": 27, "point": 11, "creek_mouth": 10, "shallow": 8, "ledge": 4, "hump": 3, "pile": 3, "bridge": 0, "dock": 4}
+RELIEF = {"channel_edge": 12, "break": 6, "flat": 8, "steep_bank": 4}
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, list_filter([{", ".join("'" + x + "'" for x in PHRASES)}], lambda x, i: (p_partkey >> i) % 2 = 1 AND trim(x) <> '') AS said FROM part),
+ h AS (SELECT k, said, len(list_filter(said, lambda x: regexp_matches(x, '(?i)timber|laydown|stump|brush|wood|treetop'))) > 0 AS wood, len(list_filter(said, lambda x: regexp_matches(x, '(?i)attractor|fish habitat|reef ball|brush\\s*pile'))) > 0 AS pile,
+  len(list_filter(said, lambda x: regexp_matches(x, '(?i)\\bpoint'))) > 0 AS point, len(list_filter(said, lambda x: regexp_matches(x, '(?i)break'))) > 0 AS brk, len(list_filter(said, lambda x: regexp_matches(x, '(?i)bridge|causeway|piling'))) > 0 AS bridge FROM p)
+ SELECT k, CASE WHEN wood THEN 54.0::DOUBLE ELSE 27.0 END AS timber, CASE WHEN wood OR pile THEN 54.0::DOUBLE ELSE 27.0 END AS attractor, CASE WHEN pile OR bridge THEN 30.0::DOUBLE ELSE 3.0 END AS pile, 0.0::DOUBLE AS bridge, CASE WHEN point THEN 38.0::DOUBLE ELSE 11.0 END AS point,
+ CASE WHEN brk THEN 33.0::DOUBLE ELSE 6.0 END AS brk, list_filter(said, lambda x: x IN ('lower lake', 'docks')) AS unmatched FROM h""")
+def rank_structure_weights(spark, sf_dir):
+    """Weights led by every set of phrases that a part's number picks."""
+    said = F.filter(F.array(*map(F.lit, PHRASES)), lambda x, i: F.call_function("shiftright", F.col("p_partkey"), i + 1) % 2 == 1)
+    w = ranking.structure_weights(said, BASE, RELIEF)
+    out = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), w.alias("w"))
+    return out.select("k", *(F.col("w.weights")[t].alias(t) for t in ("timber", "attractor", "pile", "bridge", "point")), F.col("w.relief")["break"].alias("brk"), "w.unmatched")
