@@ -97,7 +97,7 @@ def profile(samples: DataFrame, keys: list[str], depth: str, value: str, floor:
 def mesh(lines: DataFrame, key: str, line: str, places: int = 5) -> DataFrame:
     """src, dst, weight: the segments of lines as edges between their rounded ends, each pair of ends once, at its least length; ends are named lon,lat."""
     seg = segments(lines, key, line)
-    name = lambda x, y: F.concat_ws(",", F.round(x, places).cast("string"), F.round(y, places).cast("string"))
+    name = lambda x, y: F.concat_ws(",", numbers.round_scaled(x, places).cast("string"), numbers.round_scaled(y, places).cast("string"))
     a, b = name("ax", "ay"), name("bx", "by")
     return seg.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), "m").where("src != dst").groupBy("src", "dst").agg(F.min("m").alias("weight"))
 
