@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from limnos.functions import geo
+from limnos.functions import geo, numbers
 from limnos.operators import binding, runs
 from limnos.plans.q_spatial import BOXES, CELLS, boxes, cells, diamonds
 from limnos.plans.registry import query
@@ -121,7 +121,7 @@ def bind_best_overlap(spark, sf_dir):
 @query(f"""WITH {POINTS}, h AS (SELECT q.grp, p.id AS poly, count(*) AS n FROM points p JOIN points q ON abs(q.lon - p.lon) + abs(q.lat - p.lat) < 0.04 - 1e-9 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, poly) AS r FROM h), t AS (SELECT grp, count(*) AS total FROM points GROUP BY 1)
  SELECT t.grp, poly, coalesce(n, 0) AS inside, total FROM t LEFT JOIN (SELECT * FROM k WHERE r = 1) k ON t.grp = k.grp""")
 def bind_holds_most(spark, sf_dir):
-    return binding.holds_most(points(spark, sf_dir), diamonds(spark, sf_dir, 0.04), "grp", "poly", 0.05)
+    return binding.holds_most(points(spark, sf_dir), diamonds(spark, sf_dir, 0.04 - 1e-9), "grp", "poly", 0.05)
 
 
 @query(f"""WITH {POINTS}, {BOXES}, h AS (SELECT box, id FROM boxes JOIN points ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1) SELECT box, count(id) AS n, coalesce(array_to_string(list_slice(list_sort(list(id)), 1, 12), ','), '') AS first FROM boxes LEFT JOIN h USING (box) GROUP BY box""")
@@ -170,7 +170,7 @@ def run_beside(spark, sf_dir):
     g = p.where("grp >= 5").select((F.col("id") % 3).alias("run"), F.col("id").alias("k"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), (F.col("lon") + 0.003).alias("bx"), (F.col("lat") + 0.001).alias("by"), (F.col("depth") * 50).alias("s"))
     g = g.withColumn("m", geo.equirect_m("ax", "ay", "bx", "by"))
     out = runs.beside(p.where("grp < 5"), g, "id", "run", 1500.0)
-    return out.select("run", "id", F.round("distance_m", 2).alias("distance_m"), F.round("s", 1).alias("s"))
+    return out.select("run", "id", numbers.round_scaled("distance_m", 2).alias("distance_m"), numbers.round_scaled("s", 1).alias("s"))
 
 
 @query(f"""WITH {SERIES}, a AS (SELECT user_id, list(CASE WHEN event_id % 9 > 0 THEN value END ORDER BY event_id) AS d FROM series GROUP BY 1), k AS (SELECT user_id, d, list_filter(range(1, len(d) + 1), lambda i: NOT coalesce(d[i] >= 10, false)) AS bad FROM a)
