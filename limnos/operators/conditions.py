@@ -15,8 +15,9 @@ def latest_reading(readings: DataFrame, keys: list[str], at: str, value: str, no
 
 def seasonal_value(points: DataFrame, key: str, year_day: str, value: str, at: DataFrame, at_day: str, linear: bool = False) -> DataFrame:
     """at with `level`: the yearly curve's value on a day of the year (held from the last point, or interpolated). The curve repeats: its points stand in the year before and after too."""
-    shifted = points.select(key, F.explode(F.array(F.lit(-365), F.lit(0), F.lit(365))).alias("_s"), (F.col(year_day) + F.col("_s")).alias("_d"), F.col(value).alias("_v")).drop("_s")
-    w = Window.partitionBy(key).orderBy("_d")
+    shifted = points.select(key, F.explode(F.array(F.lit(-365), F.lit(0), F.lit(365))).alias("_s"), (F.col(year_day) + F.col("_s")).alias("_d"), F.col(value).alias("_v"))
+    # A leap year's day 366 and the next day 1 fall together: each day's own point counts from there on, and the year's own last one up to it.
+    w = Window.partitionBy(key).orderBy("_d", "_s")
     span = shifted.withColumn("_n", F.lead("_d").over(w)).withColumn("_nv", F.lead("_v").over(w))
     hit = at.join(span, key, "left").where(F.col("_d").isNull() | ((F.col("_d") <= F.col(at_day)) & (F.col(at_day) < F.coalesce("_n", F.lit(1e9)))))
     line = F.col("_v") + (F.col(at_day) - F.col("_d")) * (F.col("_nv") - F.col("_v")) / F.nullif(F.col("_n") - F.col("_d"), F.lit(0))
