@@ -277,3 +277,34 @@ def good_order(home: np.ndarray, ends: np.ndarray) -> tuple[float, list[int], li
                 if m < best - 1:
                     order, best, flips, better = turned, m, f, True
     return best, order, flips
+
+
+def exact_overlap_many(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As exact_overlap for many pairs at once: edges of both (n, edges, 2, 2), areas (n, 3). Levels are taken in turn over all pairs."""
+    p, r = a[:, :, None, 0], a[:, :, None, 1] - a[:, :, None, 0]
+    q, s = b[:, None, :, 0], b[:, None, :, 1] - b[:, None, :, 0]
+    cross = r[..., 0] * s[..., 1] - r[..., 1] * s[..., 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = ((q - p)[..., 0] * s[..., 1] - (q - p)[..., 1] * s[..., 0]) / cross
+        u = ((q - p)[..., 0] * r[..., 1] - (q - p)[..., 1] * r[..., 0]) / cross
+        meets = np.where((cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1), p[..., 1] + t * r[..., 1], np.inf)
+    levels = np.sort(np.concatenate([a[:, :, 0, 1], b[:, :, 0, 1], meets.reshape(len(a), -1)], 1), axis=1)
+    levels = levels[:, : int(np.isfinite(levels).sum(1).max(initial=0))]
+    # Where a pair has fewer levels than others, its last one repeats, with slabs of no height.
+    levels = np.where(np.isfinite(levels), levels, np.where(np.isfinite(levels), levels, -np.inf).max(1, keepdims=True, initial=-np.inf))
+
+    def spans(e: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (x0, y0), (x1, y1) = (e[:, :, 0, 0], e[:, :, 0, 1]), (e[:, :, 1, 0], e[:, :, 1, 1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = np.sort(np.where((y0 > y) != (y1 > y), x0 + (y - y0) * (x1 - x0) / (y1 - y0), np.inf), axis=1)
+        lo, hi = x[:, 0 : x.shape[1] // 2 * 2 : 2], x[:, 1::2]
+        return lo, np.where(np.isfinite(lo), hi, -np.inf)
+
+    areas = np.zeros((len(a), 3))
+    for k in range(levels.shape[1] - 1):
+        height = levels[:, k + 1] - levels[:, k]
+        y = ((levels[:, k] + levels[:, k + 1]) / 2)[:, None]
+        (p0, p1), (q0, q1) = spans(a, y), spans(b, y)
+        both = np.maximum(0.0, np.minimum(p1[:, :, None], q1[:, None]) - np.maximum(p0[:, :, None], q0[:, None])).sum((1, 2))
+        areas += height[:, None] * np.stack([np.maximum(0.0, p1 - p0).sum(1), np.maximum(0.0, q1 - q0).sum(1), both], 1)
+    return areas

@@ -295,3 +295,24 @@ def test_shapes_and_tables(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"name": "x", "units": "ft", "values": [[0, 1.5, 0], [3600000, null, 0]]}')
     got = readers.read_series(spark, str(tmp_path / "s.json")).collect()
     assert [(r["unit"], r["value"]) for r in got] == [("ft", 1.5), ("ft", None)]
+
+
+def test_exact_overlaps_of_many_pairs(spark):
+    from limnos.operators import spatial
+
+    rng = np.random.default_rng(5)
+
+    def polygon():
+        turn = np.sort(rng.uniform(0, 2 * np.pi, rng.integers(3, 7)))
+        outer = rng.uniform(0, 3, 2) + np.stack([np.cos(turn), np.sin(turn)], 1) * rng.uniform(0.5, 2)
+        return [outer] if rng.random() < 0.7 else [outer, outer.mean(0) + (outer - outer.mean(0)) * 0.4]
+
+    pairs = [(polygon(), polygon()) for _ in range(300)]
+    pairs += [(p, p) for p, _ in pairs[:9]]
+    said = lambda p: [[(float(x), float(y)) for x, y in r] for r in p]
+    df = spark.createDataFrame([(i, said(a), said(b)) for i, (a, b) in enumerate(pairs)] + [(999, None, said(pairs[0][0]))], "id int, a array<array<struct<x:double,y:double>>>, b array<array<struct<x:double,y:double>>>")
+    got = {r["id"]: (r["a_in_b"], r["b_in_a"], r["ratio"]) for r in spatial.exact_overlaps(df, "a", "b", ["id"]).collect()}
+    assert got.pop(999) == (0, 0, 0)
+    for i, (a, b) in enumerate(pairs):
+        na, nb, both = kernels.exact_overlap(a, b)
+        assert np.allclose(got[i], (100 * both / na, 100 * both / nb, min(na, nb) / max(na, nb)), atol=1e-9)
