@@ -105,13 +105,14 @@ def accumulate(links: DataFrame, own: DataFrame, key: str, to: str, value: str)
     return total.select(F.col("k").alias(key), F.col("v").alias(value))
 
 
-def health(edges: DataFrame, graph: str, u: str = "src", v: str = "dst") -> DataFrame:
-    """graph, nodes, edges and the share of nodes outside the largest component."""
+def health(edges: DataFrame, graph: str, u: str = "src", v: str = "dst", counts: DataFrame | None = None) -> DataFrame:
+    """graph, nodes, edges and the share of nodes outside the largest component. Where the edges are only ties that leave the same components, counts (graph, edges) tells how many there are."""
     name = lambda c: F.struct(F.col(graph).alias("g"), F.col(c).alias("n"))
     e = edges.select(name(u).alias("a"), name(v).alias("b"))
     sizes = components(e, "a", "b").groupBy("component").agg(F.count("*").alias("n"))
     by = sizes.groupBy(F.col("component.g").alias(graph)).agg(F.sum("n").alias("nodes"), F.max("n").alias("largest"))
-    counts = edges.groupBy(graph).agg(F.count("*").alias("edges"))
+    if counts is None:
+        counts = edges.groupBy(graph).agg(F.count("*").alias("edges"))
     return by.join(counts, graph).select(graph, "nodes", "edges", F.round(1 - F.col("largest") / F.col("nodes"), 6).alias("orphan_share"))
 
 

@@ -8,43 +8,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.functions import geo
+from limnos.functions.blocks import apart, blocks, boxed, flat
 from limnos.operators.spatial import around, place_of
 from limnos.sources.shared import cut, cut_and_tell, discard
 
-#: Points of a block: two blocks are held against each other point by point, or not at all.
-BLOCK = 256
-
-
-def blocks(x: np.ndarray, y: np.ndarray, size: int = BLOCK) -> list[np.ndarray]:
-    """Places of the points by compact blocks: strips of x, cut along y; within a block they stay in order."""
-    strips = max(1, round(np.sqrt(len(x) / size)))
-    out = []
-    for s in np.array_split(np.argsort(x, kind="stable"), strips):
-        out += np.array_split(s[np.argsort(y[s], kind="stable")], max(1, -(-len(s) // size)))
-    return [np.sort(b) for b in out if len(b)]
-
-
-def flat(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Flat metres from each of the first points to each of the second ones, the cosine at the middle latitude."""
-    a, b = np.radians(y) / 2, np.radians(v) / 2
-    cos = np.cos(a)[:, None] * np.cos(b) - np.sin(a)[:, None] * np.sin(b)
-    return np.sqrt(((u - x[:, None]) * cos * geo.M_LON) ** 2 + ((v - y[:, None]) * geo.M_LAT_POINT) ** 2)
-
-
-def boxed(x: np.ndarray, y: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
-    """x0, y0, x1, y1 of each block."""
-    return np.array([(x[b].min(), y[b].min(), x[b].max(), y[b].max()) for b in parts]).reshape(-1, 4)
-
-
-def apart(box: np.ndarray, boxes: np.ndarray) -> np.ndarray:
-    """No more than the flat metres between any point of a box and any of each other box."""
-    dx = np.maximum(0, np.maximum(boxes[:, 0] - box[2], box[0] - boxes[:, 2]))
-    dy = np.maximum(0, np.maximum(boxes[:, 1] - box[3], box[1] - boxes[:, 3]))
-    top = np.maximum(np.abs(boxes[:, [1, 3]]).max(1), np.abs(box[[1, 3]]).max())
-    return np.hypot(dx * np.maximum(0, np.cos(np.radians(top))) * geo.M_LON, dy * geo.M_LAT_POINT) * (1 - 1e-9)
-
-
 def nearer(x, y, m, fx, fy, fm, metres: float) -> tuple[np.ndarray, np.ndarray]:
     """For each point the least of its way so far (m) and of ways over a leg from a front point, and that front point (-1: none is shorter; of equal ones the first).
     Blocks are held against each other from the least possible way up, and not at all where no way can be shorter."""

@@ -2,12 +2,12 @@
 
 import numpy as np
 
-from limnos.functions import kernels
+from limnos.functions import blocks, kernels
 from limnos.operators import ways
 
 
 def test_routes_equal_dijkstra_over_all_legs(spark, monkeypatch):
-    monkeypatch.setattr(ways, "BLOCK", 8)
+    monkeypatch.setattr(blocks, "BLOCK", 8)
     rng = np.random.default_rng(11)
     rows = [(g, 1000 * g + k, float(x), float(y), None if k % 9 == 0 else float(d)) for g in (0, 1) for k, (x, y, d) in enumerate(np.c_[rng.normal(-81, 0.15, 160), rng.normal(34, 0.15, 160), rng.uniform(0, 10, 160)])]
     rows += [(1, 1990, -70.0, 34.0, 5.0), (1, 1991, None, 34.0, 5.0), (0, 7, rows[3][2], rows[3][3], 9.0)]
