@@ -249,13 +249,11 @@ GROWN = """b AS (SELECT id AS node, lon - 0.03 AS x0, lat - 0.03 AS y0, lon + 0.
  SELECT name, node, 1 AS phase FROM one UNION ALL SELECT name, node, 2 FROM two WHERE (name, node) NOT IN (SELECT name, node FROM one)""")
 def bind_grown_waters(spark, sf_dir):
     """Names grow from their landings' polygons over touching ones."""
-    from limnos.operators import growth, spatial
+    from limnos.operators import growth
 
     p = points(spark, sf_dir)
     nodes = p.select(F.col("id").alias("node"), *(e.alias(c) for c, e in zip(growth.BOX, (F.col("lon") - 0.03, F.col("lat") - 0.03, F.col("lon") + 0.03, F.col("lat") + 0.03), strict=True)), (F.col("id") % 3 > 0).alias("charted"), F.when(F.col("depth") > 14, F.col("grp") % 4).alias("name"))
     owner = growth.owners(nodes, "name", "node")
-    other = nodes.select(F.col("node").alias("dst"), *(F.col(c).alias(f"_{c}") for c in growth.BOX))
-    near = spatial.box_pairs(nodes.withColumnRenamed("node", "src"), other, growth.BOX, tuple(f"_{c}" for c in growth.BOX), 0.1).where("src < dst")
     mean = lambda k, c: (F.avg(c) - 0.05 if k < 2 else F.avg(c) + 0.05).alias(c)
     names = nodes.where("name is not null").groupBy("name").agg(*(mean(k, c) for k, c in enumerate(growth.BOX)))
-    return growth.grow(nodes.where("name is not null").select("name", "node"), near, nodes.join(owner, "node", "left"), names, 0.02)
+    return growth.grow(nodes.where("name is not null").select("name", "node"), None, nodes.join(owner, "node", "left"), names, 0.02, 0.1)
