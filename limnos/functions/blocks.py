@@ -80,3 +80,53 @@ def overlapped(boxes: np.ndarray, ids, others: np.ndarray, other_ids) -> np.ndar
             meet = (a[:, None, 0] <= b[:, 2]) & (b[:, 0] <= a[:, None, 2]) & (a[:, None, 1] <= b[:, 3]) & (b[:, 1] <= a[:, None, 3]) & (ids[left][:, None] != other_ids[p])
             hit[left] = meet.any(1)
     return hit
+
+
+def by_value(values: np.ndarray, size: int | None = None) -> list[np.ndarray]:
+    """Places by blocks of like values; within a block they stay in order."""
+    order = np.argsort(values, kind="stable")
+    return [np.sort(b) for b in np.array_split(order, max(1, -(-len(order) // (size or BLOCK)))) if len(b)]
+
+
+def least(n: int, mine: list[np.ndarray], parts: list[np.ndarray], bound, score) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of n asks the first score, the second one and the place of its best other row (infinite and -1 without one): the least by both scores, of equal ones the first.
+    bound(block): no more than the first score of any of its asks with each other block; score(block, part): both scores of all its asks with the part's rows. Parts are looked at from the least bound up, until none can be better."""
+    first, second, at = np.full(n, np.inf), np.full(n, np.inf), np.full(n, -1)
+    for m in mine:
+        low = bound(m)
+        for k in np.argsort(low, kind="stable"):
+            if low[k] == np.inf or low[k] > first[m].max():
+                break
+            a, b = score(m, parts[k])
+            best = a.min(1)
+            b = np.where(a == best[:, None], b, np.inf)
+            i = b.argmin(1)
+            second_best, place = b[np.arange(len(m)), i], parts[k][i]
+            better = (best < first[m]) | ((best == first[m]) & (best < np.inf) & ((second_best < second[m]) | ((second_best == second[m]) & (place < at[m]))))
+            first[m[better]], second[m[better]], at[m[better]] = best[better], second_best[better], place[better]
+    return first, second, at
+
+
+def held(boxes: np.ndarray, x: np.ndarray, y: np.ndarray, show: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many points each box holds, edges counted, and the places of the first so many. Blocks that are wholly inside or outside are not looked at point by point."""
+    n, firsts = np.zeros(len(boxes), np.int64), [np.zeros(0, int)] * len(boxes)
+    parts = blocks(x, y)
+    hulls, size = boxed(x, y, parts), np.array([len(p) for p in parts])
+    within = lambda b, p: (b[:, None, 0] <= x[p]) & (x[p] <= b[:, None, 2]) & (b[:, None, 1] <= y[p]) & (y[p] <= b[:, None, 3])
+    for m in blocks((boxes[:, 0] + boxes[:, 2]) / 2, (boxes[:, 1] + boxes[:, 3]) / 2):
+        b = boxes[m]
+        meet = (b[:, None, 0] <= hulls[:, 2]) & (hulls[:, 0] <= b[:, None, 2]) & (b[:, None, 1] <= hulls[:, 3]) & (hulls[:, 1] <= b[:, None, 3])
+        whole = (b[:, None, 0] <= hulls[:, 0]) & (hulls[:, 2] <= b[:, None, 2]) & (b[:, None, 1] <= hulls[:, 1]) & (hulls[:, 3] <= b[:, None, 3])
+        n[m] += whole @ size
+        for k in np.flatnonzero((meet & ~whole).any(0)):
+            rows = np.flatnonzero(meet[:, k] & ~whole[:, k])
+            n[m[rows]] += within(b[rows], parts[k]).sum(1)
+        todo, start, step = m[n[m] > 0], 0, 64
+        while len(todo) and start < len(x):
+            p = np.arange(start, min(len(x), start + step))
+            for row, hit in zip(todo, within(boxes[todo], p), strict=True):
+                if hit.any():
+                    firsts[row] = np.concatenate([firsts[row], p[hit]])[:show]
+            todo = todo[[len(firsts[t]) < min(show, n[t]) for t in todo]]
+            start, step = start + step, min(4096, 2 * step)
+    return n, firsts

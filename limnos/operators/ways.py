@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.functions.blocks import apart, blocks, boxed, flat
-from limnos.operators.spatial import around, place_of
+from limnos.operators.spatial import around, known_place, place_of
 from limnos.sources.shared import cut, cut_and_tell, discard
 
 def nearer(x, y, m, fx, fy, fm, metres: float) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +42,7 @@ def tree(points: DataFrame, starts: DataFrame, group: str, metres: float) -> Dat
     """
     own = ["a", "floor", group]
     i, j = place_of("x", "y", metres)
-    at = points.where("lon is not null and lat is not null").select(group, "id", F.col("lon").alias("x"), F.col("lat").alias("y"), "depth").join(starts.select(*own).distinct(), group)
+    at = points.where(known_place("lon", "lat")).select(group, "id", F.col("lon").alias("x"), F.col("lat").alias("y"), "depth").join(starts.select(*own).distinct(), group)
     first = F.col("id") == F.col("a")
     begin = at.select(
         *own,

@@ -3,7 +3,7 @@
 import numpy as np
 
 from limnos.functions import blocks
-from limnos.operators import spatial
+from limnos.operators import binding, spatial
 
 
 def test_pairs_are_counted_not_made(spark, monkeypatch):
@@ -37,3 +37,25 @@ def test_overlapped(monkeypatch):
     meet = (a[:, None, 0] <= b[:, 2]) & (b[:, 0] <= a[:, None, 2]) & (a[:, None, 1] <= b[:, 3]) & (b[:, 1] <= a[:, None, 3])
     meet[0, 0] = False
     assert (blocks.overlapped(a, ids, b, other) == meet.any(1)).all() and 0 < meet.any(1).sum() < 400
+
+
+def flat(x, y, u, v):
+    return np.hypot((u - x[:, None]) * np.cos(np.radians((v + y[:, None]) / 2)) * 111320.0, (v - y[:, None]) * 110570.0)
+
+
+def test_dams_meet_waters_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    some = lambda n, k: [(i, float(x), float(y), None if i % k == 0 else float(d)) for i, (x, y, d) in enumerate(np.c_[rng.normal(-81, 0.08, n).round(3), rng.normal(34, 0.08, n).round(3), rng.integers(-1, 30, n)])]
+    dams, waters = [*some(150, 4), (900, None, 34.0, 1.0), (901, float("nan"), 34.0, 1.0)], [*some(260, 5), (901, -81.5, 34.0, None)]
+    df = binding.bind_by_drainage(spark.createDataFrame(dams, "dam long, lon double, lat double, drainage double"), spark.createDataFrame(waters, "water int, wlon double, wlat double, wdrainage double"), "dam", "water", 7000, 0.1)
+    got = {r["dam"]: (r["water"], r["verdict"], r["km"]) for r in df.collect()}
+    want = {}
+    for k, x, y, d in dams[:-2]:
+        m = flat(np.array([x]), np.array([y]), np.array([w[1] for w in waters]), np.array([w[2] for w in waters]))[0]
+        off = [abs(d - w[3]) / max(d, w[3]) if d is not None and d > 0 and w[3] is not None and w[3] > 0 else None for w in waters]
+        best = min(((o is None, o or 0.0, round(far, 6), w[0]) for o, far, w in zip(off, m, waters, strict=True) if far <= 7000), default=None)
+        if best:
+            want[k] = (best[3], "position only" if best[0] else "confirmed" if best[1] <= 0.1 else "refused", round(best[2] / 1000, 3))
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()} and all(abs(got[k][2] - want[k][2]) < 0.0015 for k in want)
+    assert {v[1] for v in got.values()} == {"position only", "confirmed", "refused"}
