@@ -6,7 +6,7 @@ import heapq
 
 import numpy as np
 
-from .geo import M_LAT_POINT, M_LON
+from .geo import M_LAT_POINT, M_LAT_SEGMENT, M_LON
 
 
 def rdp_keep(xy: np.ndarray, tolerance: float) -> np.ndarray:
@@ -308,3 +308,13 @@ def exact_overlap_many(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         both = np.maximum(0.0, np.minimum(p1[:, :, None], q1[:, None]) - np.maximum(p0[:, :, None], q0[:, None])).sum((1, 2))
         areas += height[:, None] * np.stack([np.maximum(0.0, p1 - p0).sum(1), np.maximum(0.0, q1 - q0).sum(1), both], 1)
     return areas
+
+
+def to_segments_m(x, y, ax, ay, bx, by) -> np.ndarray:
+    """Metres from each point to each segment in the plane about the point, as `geo.point_segment_m`."""
+    k = np.cos(np.radians(y))[:, None] * M_LON
+    ux, uy, vx, vy = (ax - x[:, None]) * k, (ay - y[:, None]) * M_LAT_SEGMENT, (bx - x[:, None]) * k, (by - y[:, None]) * M_LAT_SEGMENT
+    dx, dy = vx - ux, vy - uy
+    square = dx * dx + dy * dy
+    t = np.clip(np.divide(-ux * dx - uy * dy, square, out=np.zeros_like(square), where=square > 0), 0.0, 1.0)
+    return np.hypot(ux + t * dx, uy + t * dy)
