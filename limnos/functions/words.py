@@ -51,13 +51,20 @@ def split_list(text) -> Column:
     return F.filter(F.transform(F.split(_col(text), r"(?i)\s*(?:[,;/]|\band\b)\s*"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def size_limit(text) -> Column:
-    """struct<min,max> inches out of prose; null where neither is told."""
+def size_bounds(text) -> tuple[Column, Column]:
+    """Least and greatest inches out of prose; null where not told."""
     t = F.lower(_col(text))
-    number = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit("")).try_cast("double")
+    # An empty find would cast to null too, at the price of an exception.
+    number = lambda p, n=1: F.nullif(F.regexp_extract(t, p, n), F.lit("")).try_cast("double")
     span = r"(\d+(?:\.\d+)?)\s*(?:-|to|and)\s*(\d+(?:\.\d+)?)\s*(?:in|\")"
     low = F.coalesce(number(span), number(r"(\d+(?:\.\d+)?)\s*(?:-?\s*in\w*|\")\s*(?:minimum|min\b|or (?:longer|more|larger))"), number(r"(?:minimum|min\b|at least)\D{0,20}(\d+(?:\.\d+)?)"))
-    high = F.coalesce(F.nullif(F.regexp_extract(t, span, 2), F.lit("")).try_cast("double"), number(r"(?:maximum|max\b|no more than|under)\D{0,20}(\d+(?:\.\d+)?)"))
+    high = F.coalesce(number(span, 2), number(r"(?:maximum|max\b|no more than|under)\D{0,20}(\d+(?:\.\d+)?)"))
+    return low, high
+
+
+def size_limit(text) -> Column:
+    """struct<min,max> inches out of prose; null where neither is told."""
+    low, high = size_bounds(text)
     return F.when(low.isNotNull() | high.isNotNull(), F.struct(low.alias("min"), high.alias("max")))
 
 
