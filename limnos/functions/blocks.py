@@ -130,3 +130,62 @@ def held(boxes: np.ndarray, x: np.ndarray, y: np.ndarray, show: int) -> tuple[np
             todo = todo[[len(firsts[t]) < min(show, n[t]) for t in todo]]
             start, step = start + step, min(4096, 2 * step)
     return n, firsts
+
+
+def counted(odd: np.ndarray, flips: tuple[np.ndarray, np.ndarray], edges: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray, group: np.ndarray, groups: int, size: int = 64) -> np.ndarray:
+    """How many points of each group every row of `polygons.index` of a cell holds (rows, groups), by the rule of `polygons.holds`. flips, edges: values of all rows, and where each row's end.
+    Within a block that none of a row's edges comes near all points lie on one side, told at one of them; only the others are looked at point by point."""
+    (f, f_ends), (e, e_ends) = flips, edges
+    out = np.zeros((len(odd), groups), np.int64)
+    parts = blocks(x, y, size)
+    if not len(odd) or not len(parts):
+        return out
+    inner = np.diff(e_ends, prepend=0) == 0
+    out[inner] = np.bincount(group, minlength=groups)
+    hulls, first = boxed(x, y, parts), np.array([p[0] for p in parts])
+    width = max(map(len, parts))
+    at = np.array([np.pad(p, (0, width - len(p)), constant_values=-1) for p in parts])
+    by = np.zeros((len(parts), groups))
+    np.add.at(by, (np.repeat(np.arange(len(parts)), [len(p) for p in parts]), group[np.concatenate(parts)]), 1)
+    corners = hulls[:, [[0, 1], [2, 1], [2, 3], [0, 3]]]
+
+    def right(k, u, v):
+        ax, ay, bx, by_ = (e[k, c][:, None] for c in range(4))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return ((ay > v) != (by_ > v)) & (u < ax + (v - ay) * (bx - ax) / (by_ - ay))
+
+    spread = lambda n: (np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    begin_e, begin_f = np.append(0, e_ends[:-1]), np.append(0, f_ends[:-1])
+    n_e, n_f = e_ends - begin_e, f_ends - begin_f
+    border = np.flatnonzero(~inner)
+    step = max(1, 2_000_000 // (len(parts) * 4 + groups))
+    for s in range(0, len(border), step):
+        rows = border[s : s + step]
+        row_e, k = spread(n_e[rows])
+        k += begin_e[rows][row_e]
+        row_f, m = spread(n_f[rows])
+        m += begin_f[rows][row_f]
+        a, b = e[k, :2], e[k, 2:]
+        low, high = np.minimum(a, b) - 1e-9, np.maximum(a, b) + 1e-9
+        near = (low[:, None, 0] <= hulls[:, 2]) & (hulls[:, 0] <= high[:, None, 0]) & (low[:, None, 1] <= hulls[:, 3]) & (hulls[:, 1] <= high[:, None, 1])
+        d = b - a
+        side = [(corners[:, c, 1] - a[:, None, 1]) * d[:, None, 0] - (corners[:, c, 0] - a[:, None, 0]) * d[:, None, 1] for c in range(4)]
+        slack = 1e-9 * (np.abs(d).sum(1)[:, None] + 1e-9)
+        near &= (np.minimum.reduce(side) <= slack) & (np.maximum.reduce(side) >= -slack)
+        begins = np.cumsum(n_e[rows]) - n_e[rows]
+        close = np.logical_or.reduceat(near, begins, axis=0)
+        count = np.add.reduceat(right(k, x[first], y[first]).astype(np.int64), begins, axis=0) + odd[rows, None]
+        np.add.at(count, row_f, f[m][:, None] > y[first])
+        out[rows] += (((count % 2 == 1) & ~close).astype(float) @ by).astype(np.int64)
+        pair_row, pair_part = np.nonzero(close)
+        most = max(1, 1_000_000 // (width * max(1, int(n_e[rows].max()))))
+        for t in range(0, len(pair_row), most):
+            r, p = rows[pair_row[t : t + most]], at[pair_part[t : t + most]]
+            u, v = x[p], y[p]
+            pair, k = spread(n_e[r])
+            count = np.add.reduceat(right(k + begin_e[r][pair], u[pair], v[pair]).astype(np.int64), np.cumsum(n_e[r]) - n_e[r], axis=0) + odd[r, None]
+            pair, m = spread(n_f[r])
+            np.add.at(count, pair, f[m + begin_f[r][pair]][:, None] > v[pair])
+            hit, place = np.nonzero((count % 2 == 1) & (p >= 0))
+            np.add.at(out, (r[hit], group[p[hit, place]]), 1)
+    return out

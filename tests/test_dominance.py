@@ -44,3 +44,29 @@ def test_rivers_are_summed_without_pairs(spark, monkeypatch):
         assert got == want
         # Boxes and segments don't meet as rows of a join.
         assert "CoGroup" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_polygons_count_soundings_without_pairs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from limnos.operators import polygons
+
+    rng = random.Random(9)
+    points = [(k, rng.choice([0, 1, 2]), rng.gauss(0, 0.2), rng.gauss(0, 0.2)) for k in range(600)] + [(600, None, 0.0, 0.0), (601, 1, None, 0.0)]
+    shapes = []
+    for k in range(60):
+        x, y, h = rng.gauss(0, 0.2), rng.gauss(0, 0.2), rng.choice((0.03, 0.2, 0.5))
+        ring = [(x - h, y - h / 3), (x, y - h / 5), (x + h, y - h), (x + h / 2, y), (x + h, y + h), (x - h / 4, y + h / 2)]
+        shapes.append((k, [ring] + ([[(x - h / 9, y - h / 9), (x + h / 9, y - h / 9), (x, y + h / 9)]] if k % 2 else [])))
+    p = spark.createDataFrame(points, "id long, grp int, lon double, lat double")
+    s = spark.createDataFrame(shapes, "poly long, rings array<array<struct<x: double, y: double>>>")
+    want = {(r["grp"], r["poly"]): r["n"] for r in polygons.inside(p, s, ("lon", "lat"), "rings", 0.1).where("grp is not null").groupBy("grp", "poly").agg(F.count("*").alias("n")).collect()}
+    for size, cell in ((20, 0.1), (5000, 1.0)):
+        monkeypatch.setattr(binding, "POLYGON_PART", size)
+        monkeypatch.setattr(binding, "SOUNDING_PART", size)
+        out = binding.holds_most(p, s, "grp", "poly", cell)
+        got = {r["grp"]: (r["poly"], r["inside"], r["total"]) for r in out.collect()}
+        for g in (0, 1, 2):
+            n, k = min((-n, k) for (h, k), n in want.items() if h == g)
+            assert got[g] == (k, -n, sum(q[1] == g for q in points))
+        assert got[None] == (None, 0, 1) and "CoGroup" in out._jdf.queryExecution().optimizedPlan().toString()
