@@ -11,6 +11,11 @@ from limnos.functions import kernels
 from limnos.sources.shared import cut, cut_and_tell, discard
 
 
+def by_keys(df: DataFrame) -> DataFrame:
+    """A join's side that is shuffled to its keys, however small it is: a round's tables would be sent to all executors through the driver, which in many rounds adds up there."""
+    return df.hint("merge")
+
+
 def components(edges: DataFrame, u: str = "src", v: str = "dst") -> DataFrame:
     """node, component (its least node), for all nodes that an edge ties to another.
 
@@ -24,11 +29,11 @@ def components(edges: DataFrame, u: str = "src", v: str = "dst") -> DataFrame:
     before = None
     while mark[0] and mark != before:
         least = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        wide = e.join(least, e["b"] == least["n"]).select("a", F.col("m").alias("b"))
-        own = e.join(least, e["a"] == least["n"]).select("a", F.col("m").alias("b"))
+        wide = e.join(by_keys(least), e["b"] == least["n"]).select("a", F.col("m").alias("b"))
+        own = e.join(by_keys(least), e["a"] == least["n"]).select("a", F.col("m").alias("b"))
         wide = wide.unionByName(own).where("a != b").distinct()
         low = wide.groupBy("a").agg(F.min("b").alias("m"))
-        tied = wide.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        tied = wide.join(by_keys(low), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         before = mark
         after, mark = cut_and_tell(tied.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), *marks)
         discard(e)
@@ -64,7 +69,7 @@ def chase(pointers: DataFrame, key: str = "id", to: str = "next") -> DataFrame:
         for p in parts:
             known = known.unionByName(p)
         known = known.select(F.col("k").alias("t"), F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("end").alias("end2"), F.lit(1).alias("hit"))
-        met = rest.drop("end").join(known, "t", "left")
+        met = rest.drop("end").join(by_keys(known), "t", "left")
         moved = met.select("k", F.when(F.col("end2").isNull(), F.coalesce("t2", "t")).otherwise(F.col("t")).alias("t"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.when(F.col("hit").isNull(), F.col("t")).otherwise(F.col("end2")).alias("end"))
         state, (live,) = cut_and_tell(moved, F.count_if(F.col("end").isNull()))
         parts.append(state.where("end is not null"))
@@ -81,13 +86,13 @@ def ranked(links: DataFrame, key: str = "id", to: str = "next") -> DataFrame:
     rows = links.select(F.col(key).alias("k"), F.col(to).alias("t"))
     found = components(rows, "k", "t")
     # A key that leads to itself or nowhere, and that none leads to, is in no edge.
-    named = cut(rows.join(found, rows["k"] == found["node"], "left").select("k", "t", F.coalesce("component", "k").alias("list")))
+    named = cut(rows.join(by_keys(found), rows["k"] == found["node"], "left").select("k", "t", F.coalesce("component", "k").alias("list")))
     shut = named.groupBy("list").agg(F.min(F.col("t").isNotNull()).alias("closed"))
-    opened = named.join(shut, "list").select("k", "list", "closed", F.when(~(F.col("closed") & (F.col("t") == F.col("list"))), F.col("t")).alias("t"))
-    steps = cut(opened.join(chase(opened, "k", "t").select("k", "steps"), "k").select("k", "list", "closed", "steps"))
+    opened = named.join(by_keys(shut), "list").select("k", "list", "closed", F.when(~(F.col("closed") & (F.col("t") == F.col("list"))), F.col("t")).alias("t"))
+    steps = cut(opened.join(by_keys(chase(opened, "k", "t").select("k", "steps")), "k").select("k", "list", "closed", "steps"))
     last = steps.groupBy("list").agg(F.max("steps").alias("most"))
     discard(named)
-    return steps.join(last, "list").select(F.col("k").alias(key), "list", (F.col("most") - F.col("steps")).alias("rank"), "closed")
+    return steps.join(by_keys(last), "list").select(F.col("k").alias(key), "list", (F.col("most") - F.col("steps")).alias("rank"), "closed")
 
 
 def accumulate(links: DataFrame, own: DataFrame, key: str, to: str, value: str) -> DataFrame:

@@ -32,7 +32,7 @@ def stitch(lines: DataFrame, key: str, line_id: str, line: str, places: int = 5)
     # As drawn a fragment (2 id) leaves by its end and goes on by what is tied there: as drawn from a beginning, against it from an end. Against, it leaves by its beginning.
     links = tied.select((F.col("port").bitwiseXOR(1)).alias("link"), F.col("partner").alias("next"))
     ranked = graph.ranked(links, "link", "next").where(F.col("list") % 2 == 0)
-    placed = ranked.select(F.floor(F.col("link") / 2).alias("id"), (F.col("link") % 2 == 1).alias("back"), "list", "rank", "closed").join(pieces, "id")
+    placed = ranked.select(F.floor(F.col("link") / 2).alias("id"), (F.col("link") % 2 == 1).alias("back"), "list", "rank", "closed").join(graph.by_keys(pieces), "id")
     drawn = F.when(F.col("back"), F.reverse("_line")).otherwise(F.col("_line"))
     part = F.struct("rank", F.when(F.col("rank") == 0, drawn).otherwise(F.slice(drawn, 2, F.size("_line") - 1)).alias("points"))
     whole = placed.groupBy(key, "list", "closed").agg(F.count("*").alias("fragments"), F.array_sort(F.collect_list(part)).alias("parts"))
