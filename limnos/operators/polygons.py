@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.functions import geo
-from limnos.sources.shared import cut, discard
+from limnos.sources.shared import cut, cut_and_tell, discard
 
 #: Share of a cell by which an edge's part in a row of cells is widened before it is dealt to cells, so that rounding never puts it beside its own.
 SLACK = 1e-7
 CELLS = "i long, j long, odd int, flips array<double>, edges array<struct<ax: double, ay: double, bx: double, by: double>>"
 RINGS = "array<array<struct<x: double, y: double>>>"
+#: Pieces of a polygon up to which its rings are tied in one task; a polygon of more is ranked in rounds.
+TIED = 4096
 
 
 def _spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +137,7 @@ def inside(points: DataFrame, polygons: DataFrame, xy: tuple[str, str], rings: s
     """Points with every polygon that holds them: the columns of both, rings aside. on: columns that must be equal. Names of the two sides must differ, but for those."""
     cells = index(polygons, rings, size).withColumnsRenamed({"i": "_i", "j": "_j"})
     c = geo.cell(*xy, size)
-    met = points.withColumn("_i", c["i"]).withColumn("_j", c["j"]).join(cells, ["_i", "_j", *on])
+    met = points.withColumn("_i", c["i"]).withColumn("_j", c["j"]).join(cells, [*on, "_i", "_j"])
     return met.where(holds(F.col(xy[0]), F.col(xy[1]))).drop("_i", "_j", "odd", "flips", "edges")
 
 
@@ -158,51 +160,66 @@ def oriented(rings: Column, places: int) -> Column:
 
 
 def _ring_edges(polygons: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, e (an edge's number in its polygon), ax, ay, bx, by."""
+    """keep, ax, ay, bx, by."""
     r = F.col("_ring")
     pairs = F.transform(r, lambda p, k: F.struct(p.alias("p"), F.get(r, F.pmod(k + 1, F.size(r))).alias("q")))
-    ring = polygons.select(*keep, F.posexplode("rings").alias("_n", "_ring"))
-    edge = ring.select(*keep, "_n", F.posexplode(pairs).alias("_k", "_e"))
-    return edge.select(*keep, (F.col("_n") * 4294967296 + F.col("_k")).alias("e"), F.col("_e.p.x").alias("ax"), F.col("_e.p.y").alias("ay"), F.col("_e.q.x").alias("bx"), F.col("_e.q.y").alias("by")).where("ax != bx or ay != by")
+    ring = polygons.select(*keep, F.explode("rings").alias("_ring"))
+    edge = ring.select(*keep, F.explode(pairs).alias("_e"))
+    return edge.select(*keep, F.col("_e.p.x").alias("ax"), F.col("_e.p.y").alias("ay"), F.col("_e.q.x").alias("bx"), F.col("_e.q.y").alias("by")).where("ax != bx or ay != by")
 
 
-def _split_points(tol: float, places: int) -> Column:
-    """Where an edge a-b is to be cut for another, p-q: that one's ends on it, or the proper crossing, as structs of t, x, y."""
-    ax, ay, bx, by, px, py, qx, qy = (F.col(c) for c in ("ax", "ay", "bx", "by", "px", "py", "qx", "qy"))
-    length2 = (bx - ax) * (bx - ax) + (by - ay) * (by - ay)
+def _split_points(met: DataFrame, keep: list[str], tol: float, places: int) -> DataFrame:
+    """keep, p: where an edge a-b is to be cut for another, p-q: that one's ends on it, or the proper crossing, as structs of t, x, y.
+
+    Told in steps, each a select over the columns of the one before: as one expression every step would hold copies of those before it.
+    """
+    ends = ("ax", "ay", "bx", "by", "px", "py", "qx", "qy")
+    ax, ay, bx, by, px, py, qx, qy = map(F.col, ends)
     near = lambda x, y, u, v: F.hypot(x - u, y - v) <= tol
 
-    def touching(x: Column, y: Column) -> Column:
-        t = ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / length2
-        off = F.abs((x - ax) * (by - ay) - (y - ay) * (bx - ax)) / F.sqrt(length2)
+    def step(df: DataFrame, **more: Column) -> DataFrame:
+        return df.select("*", *(c.alias(k) for k, c in more.items()))
+
+    def touching(x: Column, y: Column, t: Column, off: Column) -> Column:
         return F.when((off <= tol) & (t > 0) & (t < 1) & ~near(x, y, ax, ay) & ~near(x, y, bx, by), F.struct(t.alias("t"), x.alias("x"), y.alias("y")))
 
+    one = step(met.select(*dict.fromkeys((*keep, *ends))), _u=bx - ax, _v=by - ay, _first=F.struct(ax, ay, bx, by) < F.struct(px, py, qx, qy))
+    u, v, first = F.col("_u"), F.col("_v"), F.col("_first")
     # Both edges of a pair compute the crossing alike: in order of their ends.
-    first = F.struct(ax, ay, bx, by) < F.struct(px, py, qx, qy)
-    c = [F.when(first, u).otherwise(v) for u, v in zip((ax, ay, bx, by, px, py, qx, qy), (px, py, qx, qy, ax, ay, bx, by), strict=True)]
-    rx, ry, sx, sy = c[2] - c[0], c[3] - c[1], c[6] - c[4], c[7] - c[5]
-    den = F.nullif(rx * sy - ry * sx, F.lit(0.0))
-    t1, t2 = ((c[4] - c[0]) * sy - (c[5] - c[1]) * sx) / den, ((c[4] - c[0]) * ry - (c[5] - c[1]) * rx) / den
-    x, y = F.bround(c[0] + rx * t1, places) + 0.0, F.bround(c[1] + ry * t1, places) + 0.0
+    c = {f"_c{k}": F.when(first, F.col(m)).otherwise(F.col(n)) for k, (m, n) in enumerate(zip(ends, (*ends[4:], *ends[:4]), strict=True))}
+    two = step(one, _l2=u * u + v * v, **c)
+    c = [F.col(k) for k in c]
+    three = step(two, _rx=c[2] - c[0], _ry=c[3] - c[1], _sx=c[6] - c[4], _sy=c[7] - c[5], _tp=((px - ax) * u + (py - ay) * v) / F.col("_l2"), _tq=((qx - ax) * u + (qy - ay) * v) / F.col("_l2"), _len=F.sqrt("_l2"))
+    rx, ry, sx, sy = map(F.col, ("_rx", "_ry", "_sx", "_sy"))
+    off = lambda x, y: F.abs((x - ax) * v - (y - ay) * u) / F.col("_len")
+    four = step(three, _den=F.nullif(rx * sy - ry * sx, F.lit(0.0)), _op=off(px, py), _oq=off(qx, qy))
+    five = step(four, _t1=((c[4] - c[0]) * sy - (c[5] - c[1]) * sx) / F.col("_den"), _t2=((c[4] - c[0]) * ry - (c[5] - c[1]) * rx) / F.col("_den"))
+    t1, t2 = F.col("_t1"), F.col("_t2")
+    six = step(five, _within=(t1 > 0) & (t1 < 1) & (t2 > 0) & (t2 < 1))
+    # Few pairs cross, and rounding is dear.
+    at = lambda a, r: F.when(F.col("_within"), F.bround(a + r * t1, places) + 0.0)
+    seven = step(six, _x=at(c[0], rx), _y=at(c[1], ry))
+    x, y = F.col("_x"), F.col("_y")
     clear = ~(near(x, y, ax, ay) | near(x, y, bx, by) | near(x, y, px, py) | near(x, y, qx, qy))
-    cross = F.when((t1 > 0) & (t1 < 1) & (t2 > 0) & (t2 < 1) & clear, F.struct(F.when(first, t1).otherwise(t2).alias("t"), x.alias("x"), y.alias("y")))
-    return F.array_compact(F.array(touching(px, py), touching(qx, qy), cross))
+    cross = F.when(F.col("_within") & clear, F.struct(F.when(first, t1).otherwise(t2).alias("t"), x.alias("x"), y.alias("y")))
+    told = seven.select(*keep, touching(px, py, F.col("_tp"), F.col("_op")).alias("_p"), touching(qx, qy, F.col("_tq"), F.col("_oq")).alias("_q"), cross.alias("_c"))
+    return told.select(*keep, F.explode(F.array("_p", "_q", "_c")).alias("p")).where("p is not null")
 
 
 def _pieces(edges: DataFrame, size: float, places: int) -> DataFrame:
-    """kind, owner, grp, ax, ay, bx, by: all edges cut where edges of other polygons of their group meet them; edges of kind 0 don't cut each other."""
+    """kind, owner, grp, ax, ay, bx, by: all edges (numbered by e) cut where edges of other polygons of their group meet them; edges of kind 0 don't cut each other."""
     from limnos.operators import spatial
 
     box = ("_x0", "_y0", "_x1", "_y1")
     ends = [F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by")]
     pad = 2.0 * 10.0**-places
     boxed = edges.select("*", *((e - pad if k < 2 else e + pad).alias(c) for k, (c, e) in enumerate(zip(box, ends, strict=True))))
-    dealt = boxed.withColumn("_c", F.explode(spatial.box_cells(box, size)))
-    other = dealt.select("grp", "_c", F.col("kind").alias("k2"), F.col("owner").alias("o2"), F.col("ax").alias("px"), F.col("ay").alias("py"), F.col("bx").alias("qx"), F.col("by").alias("qy"), *(F.col(c).alias(f"o{c}") for c in box))
-    met = dealt.join(other, ["grp", "_c"]).where(((F.col("kind") != F.col("k2")) | ((F.col("kind") == 1) & (F.col("owner") != F.col("o2")))) & geo.boxes_overlap(box, tuple(f"o{c}" for c in box)))
-    who = ["kind", "owner", "grp", "e", "ax", "ay", "bx", "by"]
-    points = met.select(*who, F.explode(_split_points(1.5 * 10.0**-places, places)).alias("p")).groupBy(*who).agg(F.array_sort(F.collect_set("p")).alias("cuts"))
-    whole = edges.join(points.select("kind", "owner", "grp", "e", "cuts"), ["kind", "owner", "grp", "e"], "left")
+    # A group may be a struct: rows are sorted by a whole number before it.
+    dealt = boxed.withColumn("_c", F.explode(spatial.box_cells(box, size))).withColumn("_h", F.xxhash64("grp", "_c"))
+    other = dealt.select("_h", "grp", "_c", F.col("kind").alias("k2"), F.col("owner").alias("o2"), F.col("ax").alias("px"), F.col("ay").alias("py"), F.col("bx").alias("qx"), F.col("by").alias("qy"), *(F.col(c).alias(f"o{c}") for c in box))
+    met = dealt.join(other, ["_h", "grp", "_c"]).where(((F.col("kind") != F.col("k2")) | ((F.col("kind") == 1) & (F.col("owner") != F.col("o2")))) & geo.boxes_overlap(box, tuple(f"o{c}" for c in box)))
+    points = _split_points(met, ["e"], 1.5 * 10.0**-places, places).groupBy("e").agg(F.array_sort(F.collect_set("p")).alias("cuts"))
+    whole = edges.join(points, "e", "left")
     spot = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     stops = F.concat(F.array(spot("ax", "ay")), F.transform(F.coalesce("cuts", F.array().cast("array<struct<t: double, x: double, y: double>>")), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))), F.array(spot("bx", "by")))
     parts = whole.withColumn("_s", stops).select("kind", "owner", "grp", F.explode(F.transform(F.slice("_s", 1, F.size("_s") - 1), lambda p, k: F.struct(p.alias("p"), F.get("_s", k + 1).alias("q")))).alias("s"))
@@ -214,34 +231,104 @@ def _kept(pieces: DataFrame, a: DataFrame, b: DataFrame, size: float, common: bo
     """owner (of kind 0), ax, ay, bx, by: pieces that bound what is left of a without b, or what both hold (common), the inside on their left."""
     forward = F.struct("ax", "ay") < F.struct("bx", "by")
     end = lambda first: F.when(forward if first else ~forward, F.struct(F.col("ax").alias("x"), F.col("ay").alias("y"))).otherwise(F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))
-    rows = cut(pieces.select("*", end(True).alias("lo"), end(False).alias("hi"), forward.alias("way"), ((F.col("ax") + F.col("bx")) / 2).alias("mx"), ((F.col("ay") + F.col("by")) / 2).alias("my"), F.monotonically_increasing_id().alias("piece")))
+    rows = pieces.select("*", F.xxhash64("grp").alias("_g"), end(True).alias("lo"), end(False).alias("hi"), forward.alias("way"), ((F.col("ax") + F.col("bx")) / 2).alias("mx"), ((F.col("ay") + F.col("by")) / 2).alias("my"), F.monotonically_increasing_id().alias("piece"))
+    rows = cut(rows.withColumn("_h", F.xxhash64("grp", "lo", "hi")))
     # Pieces on top of each other, by the polygons they are of.
-    same = rows.select("grp", "lo", "hi", F.col("kind").alias("k2"), F.col("owner").alias("o2"), F.col("way").alias("w2"))
-    on_top = rows.select("piece", "kind", "owner", "grp", "lo", "hi", "way").join(same, ["grp", "lo", "hi"]).where("kind != k2 or owner != o2")
-    on_top = on_top.select("piece", "k2", "o2", (F.col("way") == F.col("w2")).alias("along"))
-    points = rows.select("piece", "grp", "mx", "my")
+    same = rows.select("_h", "grp", "lo", "hi", F.col("kind").alias("k2"), F.col("owner").alias("o2"), F.col("way").alias("w2"))
+    on_top = rows.select("piece", "kind", "owner", "_h", "grp", "lo", "hi", "way").join(same, ["_h", "grp", "lo", "hi"]).where("kind != k2 or owner != o2")
+    on_top = cut(on_top.select("piece", "k2", "o2", (F.col("way") == F.col("w2")).alias("along")))
     tops = on_top.select("piece", "k2", "o2").distinct()
 
-    def within(polygons: DataFrame, owner: str, kind: int) -> DataFrame:
-        of = polygons.select(F.col(owner).alias("o2"), "grp", "rings")
-        hit = inside(points, of, ("mx", "my"), "rings", size, ("grp",)).select("piece", "o2", F.lit(kind).alias("k2"))
+    def within(points: DataFrame, polygons: DataFrame, kind: int) -> DataFrame:
+        of = polygons.select(F.col("owner").alias("o2"), F.col("grp").cast(rows.schema["grp"].dataType).alias("grp"), "rings").withColumn("_g", F.xxhash64("grp"))
+        hit = inside(points.select("piece", "_g", "grp", "mx", "my", "kind", F.col("owner").alias("own")), of, ("mx", "my"), "rings", size, ("_g", "grp"))
+        hit = hit.where((F.col("kind") != kind) | (F.col("own") != F.col("o2"))).select("piece", "o2", F.lit(kind).alias("k2"))
         return hit.join(tops, ["piece", "k2", "o2"], "left_anti")
 
-    in_b, in_a = within(b, "owner", 1), within(a, "owner", 0)
     # Kind 0 by the cutters about it and those along it.
-    about = in_b.join(rows.select("piece", F.col("owner").alias("own"), F.col("kind").alias("own_kind")), "piece").where("own_kind = 0 or own != o2").select("piece").distinct().withColumn("about", F.lit(True))
+    about = within(rows, b, 1).select("piece").distinct().withColumn("about", F.lit(True))
     seams = on_top.where("k2 = 1").groupBy("piece").agg(F.max("along").alias("along"), F.max(~F.col("along")).alias("against"), F.min(F.when(F.col("along"), F.col("o2"))).alias("least"))
     told = rows.join(about, "piece", "left").join(seams, "piece", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("about", "along", "against")})
     of_a = told.where("kind = 0").where(F.col("about") | F.col("along") if common else ~F.col("about") & ~F.col("along")).select("owner", "ax", "ay", "bx", "by")
     of_b = told.where("kind = 1 and not about and not against and (least is null or least > owner)")
     # A cutter's piece is a boundary in every polygon that holds it; on the polygon's own boundary that one's pieces decide.
-    of_b = of_b.select("piece", "ax", "ay", "bx", "by").join(in_a.select("piece", F.col("o2").alias("owner")), "piece")
+    of_b = of_b.select("piece", "ax", "ay", "bx", "by").join(within(rows.where("kind = 1"), a, 0).select("piece", F.col("o2").alias("owner")), "piece")
     turned = of_b.select("owner", "ax", "ay", "bx", "by") if common else of_b.select("owner", F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("ax").alias("bx"), F.col("ay").alias("by"))
     return of_a.unionByName(turned)
 
 
-def rings_of(pieces: DataFrame, key: str = "owner") -> DataFrame:
-    """key, ring (a number), points: directed pieces tied into rings at equal ends. Where several go on from a point, the first one clockwise from the way back does, so rings touch and don't cross."""
+def _doubled(to: np.ndarray, value: np.ndarray, join, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """After so many rounds of doubling: where 2**rounds steps lead, and what values on the way are joined to. The last place leads to itself."""
+    for _ in range(rounds):
+        value, to = join(value, value[to]), to[to]
+    return to, value
+
+
+def tied(owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rings of directed pieces a-b of owners (numbers, in order) by the rule of `rings_of`: the pieces that are of rings, ring by ring from its first piece on, and how many each ring has."""
+    n = len(owner)
+    spots = np.concatenate([np.column_stack([owner, p]) for p in (a, b)])
+    order = np.lexsort(spots.T[::-1])
+    new = np.append(False, (spots[order[1:]] != spots[order[:-1]]).any(1))
+    code = np.empty(2 * n, np.int64)
+    code[order] = np.cumsum(new)
+    begins, ends = code[:n], code[n:]
+    by_begin = np.argsort(begins, kind="stable")
+    first, last = (np.searchsorted(begins[by_begin], ends, side) for side in ("left", "right"))
+    piece, at = _spans(first, last - 1)
+    to = by_begin[at]
+    (bx, by), (ox, oy) = (a - b)[piece].T, (b - a)[to].T
+    turn = np.mod(np.arctan2(by, bx) - np.arctan2(oy, ox), 2 * np.pi)
+    best = np.lexsort((to, np.where(turn < 1e-12, 7.0, turn), piece))
+    best = best[np.append(True, np.diff(piece[best]) > 0)] if len(best) else best
+    nxt = np.full(n + 1, n)
+    nxt[piece[best]] = to[best]
+    rounds = int(np.bincount(owner.astype(np.int64), minlength=1).max()).bit_length() if n else 0
+    # What so many steps lead to is of rings, and so is all of a ring.
+    far, least = _doubled(nxt, np.arange(n + 1), np.minimum, rounds)
+    closed = np.zeros(n + 1, bool)
+    closed[far] = True
+    closed[n] = False
+    _, steps = _doubled(open_ := np.where(nxt == least, n, nxt), (open_ != n).astype(np.int64), np.add, rounds)
+    mine = np.flatnonzero(closed)
+    mine = mine[np.lexsort((-steps[mine], least[mine]))]
+    return mine, np.unique(least[mine], return_counts=True)[1]
+
+
+def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, e (its pieces) to key, ring, points."""
+    for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+        keys, lists = batch.columns
+        sizes = np.diff(lists.offsets.to_numpy())
+        ax, ay, bx, by = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        mine, counts = tied(owner, np.stack([ax, ay], 1), np.stack([bx, by], 1))
+        ends = np.append(0, np.cumsum(counts))
+        points = pa.StructArray.from_arrays([pa.array(ax[mine]), pa.array(ay[mine])], ["x", "y"])
+        of = owner[mine[ends[:-1]]]
+        ring = mine[ends[:-1]] - (np.cumsum(sizes) - sizes)[of]
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(of)), pa.array(ring), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), points)], names=["key", "ring", "points"])
+
+
+def rings_of(pieces: DataFrame, key: str = "owner", most: int | None = None) -> DataFrame:
+    """key, ring (a number), points: directed pieces tied into rings at equal ends. Where several go on from a point, the first one clockwise from the way back does, so rings touch and don't cross.
+
+    Rings of a key of at most `most` pieces (TIED) are tied in a task, a batch of keys at once; those of others are ranked in rounds, and no such key's pieces meet before its rings are put together. pieces: a table that was cut.
+    """
+    most = TIED if most is None else most
+    large, (many,) = cut_and_tell(pieces.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(key), F.count("*"))
+    small = pieces.where(F.col(key).isNotNull())
+    if many:
+        small = small.join(large, key, "left_anti")
+    # Pieces in an order of their own: rings and their numbers are the same in every run.
+    lists = small.groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_list(F.struct("ax", "ay", "bx", "by"))).alias("e"))
+    kind = pieces.schema[key].dataType.simpleString()
+    out = lists.mapInArrow(_tie, f"key {kind}, ring long, points array<struct<x: double, y: double>>").withColumnRenamed("key", key)
+    return out.unionByName(_ranked_rings(pieces.join(large, key, "left_semi"), key)) if many else out
+
+
+def _ranked_rings(pieces: DataFrame, key: str) -> DataFrame:
+    """As rings_of, in rounds."""
     from limnos.operators import graph
 
     p = cut(pieces.select(key, "ax", "ay", "bx", "by", F.monotonically_increasing_id().alias("id")))
@@ -257,15 +344,19 @@ def rings_of(pieces: DataFrame, key: str = "owner") -> DataFrame:
 
 def with_holes(rings: DataFrame, size: float, key: str = "owner", least: float = 1e-15) -> DataFrame:
     """key, part (from 0, by the first ring's number), rings: counter-clockwise rings with the clockwise ones within them; of several about a hole the smallest. Rings of at most `least` square units are left out."""
-    sized = cut(rings.withColumn("area", geo.shoelace("points")).where(F.abs("area") > least))
+    sized, (many,) = cut_and_tell(rings.withColumn("area", geo.shoelace("points")).where(F.abs("area") > least), F.count_if(F.col("area") < 0))
     outer = sized.where("area > 0").select(key, F.col("ring").alias("outer"), F.col("area").alias("size"), F.array("points").alias("rings"))
+    part = (F.row_number().over(Window.partitionBy(key).orderBy("outer")) - 1).alias("part")
+    if not many:
+        return outer.select(key, part, "rings")
     spot = geo.inside_point("points")
     holes = sized.where("area < 0").select(key, "ring", "points", spot["x"].alias("hx"), spot["y"].alias("hy"))
-    hit = inside(holes.select(key, "ring", "hx", "hy"), outer, ("hx", "hy"), "rings", size, (key,))
+    holed = outer.join(holes.select(key).distinct(), key, "left_semi")
+    hit = inside(holes.select(key, "ring", "hx", "hy"), holed, ("hx", "hy"), "rings", size, (key,))
     of = hit.groupBy(key, "ring").agg(F.min_by("outer", F.struct("size", "outer")).alias("outer"))
     grouped = holes.join(of, [key, "ring"]).groupBy(key, "outer").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "points"))), lambda h: h["points"]).alias("holes"))
     whole = outer.join(grouped, [key, "outer"], "left").select(key, "outer", F.concat("rings", F.coalesce("holes", F.array().cast(RINGS))).alias("rings"))
-    return whole.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("outer")) - 1).alias("part"), "rings")
+    return whole.select(key, part, "rings")
 
 
 def overlay(polygons: DataFrame, cutters: DataFrame, key: str, cutter: str, size: float, on: str | None = None, common: bool = False, places: int = 9) -> DataFrame:
@@ -287,12 +378,13 @@ def overlay(polygons: DataFrame, cutters: DataFrame, key: str, cutter: str, size
     met = cut(met.where(geo.boxes_overlap(("_ax0", "_ay0", "_ax1", "_ay1"), ("_ox0", "_oy0", "_ox1", "_oy1"))).select("owner").distinct())
     touched = cut(a.join(met, "owner"))
     edges = _ring_edges(touched.withColumn("kind", F.lit(0)), ["kind", "owner", "grp"]).unionByName(_ring_edges(b.withColumn("kind", F.lit(1)), ["kind", "owner", "grp"]))
+    edges = cut(edges.withColumn("e", F.monotonically_increasing_id()))
     kept = cut(_kept(_pieces(edges, size, places), touched, b, size, common))
     out = with_holes(rings_of(kept), size)
     if not common:
         out = out.unionByName(a.join(met, "owner", "left_anti").select("owner", F.lit(0).alias("part"), "rings"))
     out = cut(out)
-    discard(a, b, met, touched, kept)
+    discard(a, b, met, touched, edges, kept)
     return out.withColumnRenamed("owner", key)
 
 
@@ -312,15 +404,21 @@ def dissolve(tiles: DataFrame, key: str, box: tuple[str, str, str, str], size: f
     inner = edges.where("not seam")
     # Pieces with an end where none begins, or a beginning where none ends, are open, and so is what they are tied to.
     ends = inner.select("owner", "tile", F.inline(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y"), F.lit(1).alias("d")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"), F.lit(-1).alias("d")))))
-    loose = ends.groupBy("owner", "x", "y").agg(F.sum("d").alias("d")).where("d != 0")
-    bare = cut(ends.join(loose.select("owner", "x", "y"), ["owner", "x", "y"]).select("tile").distinct())
-    go_on = ends.where("d = -1").select("owner", "x", "y", F.col("tile").alias("from")).join(ends.where("d = 1").select("owner", "x", "y", F.col("tile").alias("to")), ["owner", "x", "y"])
-    of = cut(graph.components(go_on.where("from != to"), "from", "to"))
-    spoilt = of.join(bare, of["node"] == bare["tile"]).select("component").distinct()
-    open_tiles = cut(bare.unionByName(of.join(spoilt, "component").select(F.col("node").alias("tile"))).distinct())
-    kept = cut(inner.join(open_tiles, "tile", "left_anti").unionByName(edges.join(open_tiles, "tile", "left_semi")).select("owner", "ax", "ay", "bx", "by"))
+    loose = cut(ends.groupBy("owner", "x", "y").agg(F.sum("d").alias("d")).where("d != 0").select("owner", "x", "y"))
+    bare, (some,) = cut_and_tell(ends.join(loose, ["owner", "x", "y"]).select("owner", "tile").distinct(), F.count("*"))
+    kept = inner.select("owner", "ax", "ay", "bx", "by")
+    if some:
+        # Only wholes that have an open piece are looked through for what it is tied to.
+        open_ends = ends.join(bare.select("owner").distinct(), "owner", "left_semi")
+        go_on = open_ends.where("d = -1").select("owner", "x", "y", F.col("tile").alias("from")).join(open_ends.where("d = 1").select("owner", "x", "y", F.col("tile").alias("to")), ["owner", "x", "y"])
+        of = cut(graph.components(go_on.where("from != to"), "from", "to"))
+        spoilt = of.join(bare, of["node"] == bare["tile"]).select("component").distinct()
+        open_tiles = cut(bare.select("tile").unionByName(of.join(spoilt, "component").select(F.col("node").alias("tile"))).distinct())
+        kept = inner.join(open_tiles, "tile", "left_anti").unionByName(edges.join(open_tiles, "tile", "left_semi")).select("owner", "ax", "ay", "bx", "by")
+        kept = cut(kept)
+        discard(of, open_tiles)
     out = cut(with_holes(rings_of(kept), size))
-    discard(shaped, edges, bare, of, open_tiles, kept)
+    discard(shaped, edges, loose, bare, kept)
     return out.withColumnRenamed("owner", key)
 
 
