@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 
@@ -311,10 +312,16 @@ def exact_overlap_many(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def to_segments_m(x, y, ax, ay, bx, by) -> np.ndarray:
-    """Metres from each point to each segment in the plane about the point, as `geo.point_segment_m`."""
-    k = np.cos(np.radians(y))[:, None] * M_LON
-    ux, uy, vx, vy = (ax - x[:, None]) * k, (ay - y[:, None]) * M_LAT_SEGMENT, (bx - x[:, None]) * k, (by - y[:, None]) * M_LAT_SEGMENT
+    """Metres from each point to each segment in the plane about the point, as `geo.point_segment_m`. Of equally far segments the last bits decide: a point's least distances have those of the C library, the steps in SQL's order."""
+    k = np.array([math.cos(r) for r in np.radians(y)]).reshape(-1, 1)
+    ux, uy, vx, vy = (ax - x[:, None]) * k * M_LON, (ay - y[:, None]) * M_LAT_SEGMENT, (bx - x[:, None]) * k * M_LON, (by - y[:, None]) * M_LAT_SEGMENT
     dx, dy = vx - ux, vy - uy
     square = dx * dx + dy * dy
     t = np.clip(np.divide(-ux * dx - uy * dy, square, out=np.zeros_like(square), where=square > 0), 0.0, 1.0)
-    return np.hypot(ux + t * dx, uy + t * dy)
+    px, py = ux + t * dx, uy + t * dy
+    far = np.sqrt(px * px + py * py)
+    if far.size:
+        least = far <= far.min(1, keepdims=True) * (1 + 1e-12)
+        # A power of the C library is not always the rounded square.
+        far[least] = np.sqrt([math.pow(a, 2.0) + math.pow(b, 2.0) for a, b in zip(px[least], py[least], strict=True)])
+    return far
