@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, pieces
+from .common import LARGE_ROWS, discard, materialize, pieces
 
 #: Bytes of text a shard holds, unless one text is longer; bytes split into words at a time; bytes of text for each bucket of the dictionary, at most.
 SHARD_BYTES, SLICE_BYTES, BUCKET_BYTES = 16 << 20, 1 << 20, 256 << 20
@@ -150,23 +150,19 @@ def _number(buckets: int, with_words: bool):
 
 
 def _encode(schema: str):
-    """Shards with their words' global numbers in place of their own, row sums and nonzero counts."""
+    """A shard with its words' global numbers in place of its own, row sums and nonzero counts."""
     names = [f.split()[0] for f in schema.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                made = {k: one.column(k)[0].values.to_numpy(zero_copy_only=False) for k in ("indptr", "indices", "counts")}
-                blocks = one.column("blocks")[0]
-                column = np.full(sum(len(b["at"].values) for b in blocks) if blocks.is_valid else 0, -1, np.int64)
-                for b in blocks if blocks.is_valid else ():
-                    column[b["at"].values.to_numpy()] = b["ids"].values.to_numpy()
-                cells = column[made["indices"]]
-                made["n_words"] = np.diff(np.append(0, np.cumsum(made["counts"], dtype=np.int64))[made["indptr"]])
-                made["n_distinct"] = np.diff(np.append(0, np.cumsum(cells >= 0))[made["indptr"]])
-                made["indices"] = cells
-                yield pa.RecordBatch.from_arrays([_lists(pa.array(made[k]), [0, len(made[k])]) if k in made else one.column(k) for k in names], names)
+    def run(shard: pa.Table, blocks: pa.Table) -> pa.Table:
+        made = {k: shard[k][0].values.to_numpy(zero_copy_only=False) for k in ("indptr", "indices", "counts")}
+        column = np.full(sum(len(at.values) for at in blocks["at"]), -1, np.int64)
+        for at, ids in zip(blocks["at"], blocks["ids"], strict=True):
+            column[at.values.to_numpy()] = ids.values.to_numpy()
+        cells = column[made["indices"]]
+        made["n_words"] = np.diff(np.append(0, np.cumsum(made["counts"], dtype=np.int64))[made["indptr"]])
+        made["n_distinct"] = np.diff(np.append(0, np.cumsum(cells >= 0))[made["indptr"]])
+        made["indices"] = cells
+        return pa.Table.from_arrays([_lists(pa.array(made[k]), [0, len(made[k])]) if k in made else shard[k] for k in names], names)
 
     return run
 
@@ -189,10 +185,10 @@ def term_matrix(shards: DataFrame, buckets: int, cells: bool = True) -> DataFram
 
     Without `cells` the sums alone leave the tasks that build the matrix. Null and wordless texts are rows without cells. A text longer than a shard is a shard of its own. An empty table has no shard.
     """
-    blocks = dictionary_blocks(shards, buckets, with_words=False).groupBy("shard").agg(F.collect_list(F.struct("at", "ids")).alias("blocks"))
-    joined = shards.drop("words").join(blocks, "shard", "left")
+    blocks = dictionary_blocks(shards, buckets, with_words=False).select("shard", "at", "ids")
     schema = MATRIX if cells else SUMS
-    return joined.mapInArrow(_encode(schema), schema)
+    # One shard and its blocks are held at a time, however many a task gets.
+    return shards.drop("words").groupBy("shard").cogroup(blocks.groupBy("shard")).applyInArrow(_encode(schema), schema)
 
 
 def _bit(letter: str) -> int:
@@ -276,7 +272,7 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", source: st
     can clash. An empty table has no part and gives no row. Shards are written once in the shared folder and deleted when the cells are counted.
     """
     buckets = pieces(docs, BUCKET_BYTES, text)
-    shards = materialize(local_shards(docs, id_col, source, text), "csr-shards")
+    shards = materialize(local_shards(docs, id_col, source, text), "csr-shards", **LARGE_ROWS)
     rows = failures(term_matrix(shards, buckets, cells=False))
     cells = materialize(part_cells(rows, labels), "filter-cells")
     discard(shards)
