@@ -132,16 +132,19 @@ def held(boxes: np.ndarray, x: np.ndarray, y: np.ndarray, show: int) -> tuple[np
     return n, firsts
 
 
-def counted(odd: np.ndarray, flips: tuple[np.ndarray, np.ndarray], edges: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray, group: np.ndarray, groups: int, size: int = 64) -> np.ndarray:
-    """How many points of each group every row of `polygons.index` of a cell holds (rows, groups), by the rule of `polygons.holds`. flips, edges: values of all rows, and where each row's end.
+def counted(odd: np.ndarray, flips: tuple[np.ndarray, np.ndarray], edges: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray, group: np.ndarray, groups: int, size: int = 64, values: np.ndarray | None = None) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """How many points of each group every row of `polygons.index` of a cell holds (rows, groups), by the rule of `polygons.holds`; with values also the least value each row holds (else infinite). flips, edges: values of all rows, and where each row's end.
     Within a block that none of a row's edges comes near all points lie on one side, told at one of them; only the others are looked at point by point."""
     (f, f_ends), (e, e_ends) = flips, edges
-    out = np.zeros((len(odd), groups), np.int64)
+    out, low_value = np.zeros((len(odd), groups), np.int64), np.full(len(odd), np.inf)
     parts = blocks(x, y, size)
     if not len(odd) or not len(parts):
-        return out
+        return out if values is None else (out, low_value)
     inner = np.diff(e_ends, prepend=0) == 0
     out[inner] = np.bincount(group, minlength=groups)
+    if values is not None:
+        low_value[inner] = values.min()
+        least_of = np.array([values[p].min() for p in parts])
     hulls, first = boxed(x, y, parts), np.array([p[0] for p in parts])
     width = max(map(len, parts))
     at = np.array([np.pad(p, (0, width - len(p)), constant_values=-1) for p in parts])
@@ -176,7 +179,10 @@ def counted(odd: np.ndarray, flips: tuple[np.ndarray, np.ndarray], edges: tuple[
         close = np.logical_or.reduceat(near, begins, axis=0)
         count = np.add.reduceat(right(k, x[first], y[first]).astype(np.int64), begins, axis=0) + odd[rows, None]
         np.add.at(count, row_f, f[m][:, None] > y[first])
-        out[rows] += (((count % 2 == 1) & ~close).astype(float) @ by).astype(np.int64)
+        whole = (count % 2 == 1) & ~close
+        out[rows] += (whole.astype(float) @ by).astype(np.int64)
+        if values is not None:
+            low_value[rows] = np.where(whole, least_of, np.inf).min(1)
         pair_row, pair_part = np.nonzero(close)
         most = max(1, 1_000_000 // (width * max(1, int(n_e[rows].max()))))
         for t in range(0, len(pair_row), most):
@@ -188,4 +194,6 @@ def counted(odd: np.ndarray, flips: tuple[np.ndarray, np.ndarray], edges: tuple[
             np.add.at(count, pair, f[m + begin_f[r][pair]][:, None] > v[pair])
             hit, place = np.nonzero((count % 2 == 1) & (p >= 0))
             np.add.at(out, (r[hit], group[p[hit, place]]), 1)
-    return out
+            if values is not None:
+                np.minimum.at(low_value, r[hit], values[p[hit, place]])
+    return out if values is None else (out, low_value)

@@ -122,6 +122,14 @@ def index(polygons: DataFrame, rings: str, size: float) -> DataFrame:
     return polygons.select(F.col(rings).cast(RINGS).alias(rings), *others).mapInArrow(run, f"{fields}, {CELLS}" if others else CELLS)
 
 
+def arrays(cells: pa.Table) -> tuple:
+    """odd, flips and edges of rows of `index`, as `blocks.counted` takes them."""
+    f, e = (cells[k].combine_chunks() for k in ("flips", "edges"))
+    ends = lambda x: np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))
+    edges = np.stack([e.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4)], 1).reshape(-1, 4)
+    return cells["odd"].to_numpy(), (f.flatten().to_numpy(zero_copy_only=False), ends(f)), (edges, ends(e))
+
+
 def holds(x: Column, y: Column) -> Column:
     """Whether the polygon of a row of `index` holds a point of that row's cell."""
 
