@@ -37,3 +37,17 @@ def test_the_query_joins_no_outlines(spark, monkeypatch):
     monkeypatch.delattr(spatial, "box_pairs")
     monkeypatch.delattr(spatial, "exact_overlaps")
     assert registry.QUERIES["spatial_overlap_verdicts"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_copies_of_a_box_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "PART", 1)
+    rows, df = outlines(spark, 600)
+    seen = []
+    dealt = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: seen.append(self) or dealt(self, *a))
+    got = spatial.overlapping(df, "k", ("x0", "y0", "x1", "y1"), 1.0).count()
+    box = np.array([r[2:] for r in rows])
+    hit = (box[:, None, 0] <= box[:, 2]) & (box[:, 0] <= box[:, None, 2]) & (box[:, None, 1] <= box[:, 3]) & (box[:, 1] <= box[:, None, 3])
+    assert got == np.triu(hit, 1).sum()
+    cells = spatial.box_cells(("x0", "y0", "x1", "y1"), 1.0)
+    assert seen[0].count() <= spatial.COPIES * df.selectExpr("*").withColumn("c", cells).selectExpr("sum(size(c))").first()[0]
